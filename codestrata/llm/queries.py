@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import bpe, token_counts, url_filter
+from codestrata.llm import bpe, minhash, simhash, token_counts, url_filter
 from codestrata.llm.scratch import Scratch
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -36,6 +36,14 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 OP5_SQL = r"""
 WITH parts AS (
   SELECT page_id,
@@ -59,6 +67,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_byte_bpe": op2_byte_bpe,
         "op3_token_counts": op3_token_counts,
         "op5_url_filter": op5_url_filter,
+        "op6_minhash": op6_minhash,
+        "op10_simhash": op10_simhash,
     }
 
 
