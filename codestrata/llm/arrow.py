@@ -26,7 +26,7 @@ def map_rows(df: DataFrame, schema: str | T.StructType, function: Callable[[Iter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for made in function(batches):
-            columns = [x if isinstance(x, pa.Array) and x.type == f.type else pa.array(x, type=f.type) for f, x in ((f, made[f.name]) for f in wanted)]
+            columns = [x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, type=f.type) for f, x in ((f, made[f.name]) for f in wanted)]
             yield pa.RecordBatch.from_arrays(columns, schema=wanted)
 
     return df.mapInArrow(run, kind)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import bpe, minhash, simhash, token_counts, url_filter
+from codestrata.llm import bpe, minhash, quality, simhash, token_counts, url_filter, warc
 from codestrata.llm.scratch import Scratch
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -40,6 +40,18 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model).drop("text")
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.write_and_read(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -68,6 +80,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op5_url_filter": op5_url_filter,
         "op6_minhash": op6_minhash,
+        "op7_quality": op7_quality,
+        "op9_warc": op9_warc,
         "op10_simhash": op10_simhash,
     }
 
