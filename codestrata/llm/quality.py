@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codestrata.llm.arrow import column, map_rows, utf8
 from codestrata.llm.words import Words, blocks, mix
@@ -242,8 +243,9 @@ def train(docs: DataFrame, labels: DataFrame, *, label_column: str = "quality",
 def score(docs: DataFrame, model: Model, *, text_column: str = "text", score_column: str = "score") -> DataFrame:
     """Adds the score (0 to 1, higher: label 1 likelier) to every row. Nothing is shuffled; the model is a broadcast of fixed size."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.drop(score_column).schema.add(score_column, "double")
-    kept = [f.name for f in schema.fields[:-1]]
+    fields = docs.drop(score_column).schema.fields
+    schema = T.StructType([*fields, T.StructField(score_column, T.DoubleType())])
+    kept = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import bpe, minhash, quality, simhash, token_counts, url_filter, warc
+from codestrata.llm import bpe, decontaminate, line_dedup, minhash, quality, simhash, token_counts, url_filter, warc
 from codestrata.llm.scratch import Scratch
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -31,6 +31,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNTED_TOKENIZER), cache)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.filter_urls(spark, table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -47,6 +51,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "lines_in", "lines_out", "text")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.write_and_read(table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -78,9 +87,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_byte_bpe": op2_byte_bpe,
         "op3_token_counts": op3_token_counts,
+        "op4_decontaminate": op4_decontaminate,
         "op5_url_filter": op5_url_filter,
         "op6_minhash": op6_minhash,
         "op7_quality": op7_quality,
+        "op8_line_dedup": op8_line_dedup,
         "op9_warc": op9_warc,
         "op10_simhash": op10_simhash,
     }
