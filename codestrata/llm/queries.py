@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import bpe, decontaminate, line_dedup, minhash, quality, simhash, token_counts, url_filter, warc
+from codestrata.llm import bpe, decontaminate, html_text, line_dedup, minhash, quality, simhash, token_counts, url_filter, warc
 from codestrata.llm.scratch import Scratch
 
-BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+BPE_RANKS = corpus_pipeline.BPE_RANKS
 COUNTED_TOKENIZER = "word_bpe_49k.json"
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -20,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode_documents(docs, public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN, ids=False)
@@ -85,6 +90,7 @@ WHERE place = 1
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_text": op1_html_text,
         "op2_byte_bpe": op2_byte_bpe,
         "op3_token_counts": op3_token_counts,
         "op4_decontaminate": op4_decontaminate,
@@ -94,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_warc": op9_warc,
         "op10_simhash": op10_simhash,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -80,17 +80,17 @@ def fingerprints(texts: list[bytes], width: int = 4, seed: int = 42) -> np.ndarr
 
 
 def with_fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 4) -> DataFrame:
-    """(id, ``fp`` bigint: the fingerprint's 64 bits) for every row."""
+    """(``i``: the id, ``row``: a hash of id and text, ``fp`` bigint: the fingerprint's 64 bits) for every row."""
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                yield {"i": column(part, "i"), "fp": fingerprints(utf8(column(part, "t")), width).view(np.int64)}
+                yield {"i": column(part, "i"), "row": column(part, "row"), "fp": fingerprints(utf8(column(part, "t")), width).view(np.int64)}
 
-    rows = docs.select(docs[id_column].alias("i"), docs[text_column].alias("t"))
-    return map_rows(rows, f"i {kind}, fp long", run)
+    rows = docs.select(docs[id_column].alias("i"), docs[text_column].alias("t"), F.xxhash64(docs[id_column], docs[text_column]).alias("row"))
+    return map_rows(rows, f"i {kind}, row long, fp long", run)
 
 
 def chain_masks(start: int) -> list[tuple[np.uint64, int]]:
@@ -258,14 +258,37 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     raise RuntimeError(f"the components are not stable after {max_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 4) -> DataFrame:
-    """(id, ``fingerprint`` of 16 hex digits, ``component_id``: the smallest id reachable over links) per row."""
-    scratch = Scratch(docs.sparkSession, "simhash")
+def _named(docs: DataFrame, scratch: Scratch, id_column: str, text_column: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """(every row's fingerprint; every fingerprint's ``root`` and ``component_id``), both written."""
     prints = scratch.table(with_fingerprints(docs, id_column=id_column, text_column=text_column, width=width), "fingerprints")
     classes = scratch.table(prints.groupBy("fp").agg(F.min("i").alias("first")), "classes")
     rooted = components(hamming_links(classes, scratch), scratch)
     members = classes.join(rooted, classes["fp"] == rooted["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     members = scratch.table(members, "members")
     lowest = scratch.table(members.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
-    named = scratch.table(members.join(lowest, "root").select("fp", "component_id"), "named")
+    return prints, scratch.table(members.join(lowest, "root").select("fp", "root", "component_id"), "named")
+
+
+def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 4) -> DataFrame:
+    """(id, ``fingerprint`` of 16 hex digits, ``component_id``: the smallest id reachable over links) per row."""
+    prints, named = _named(docs, Scratch(docs.sparkSession, "simhash"), id_column, text_column, width)
     return prints.join(named, "fp").select(F.col("i").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 4) -> DataFrame:
+    """The rows, with all their columns, that stay: of each component the one with the smallest id (null last; ties: by the text's hash)."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    prints, named = _named(docs, scratch, id_column, text_column, width)
+    place = F.struct(F.col("i").isNull().alias("none"), F.col("i").alias("i"), F.col("row").alias("row"))
+    # Equal rows are one place; how often it stands is counted, so that one of them stays.
+    places = scratch.table(prints.groupBy("fp", "i", "row").agg(F.count("*").alias("n")).join(named.select("fp", "root"), "fp"), "places")
+    stay = places.groupBy("root").agg(F.min(F.struct(place.alias("place"), F.col("n"))).alias("s")).select(F.coalesce(F.col("s.place.i"), F.lit(0)).alias("__i"), F.col("s.place.none").alias("__none"), F.col("s.place.row").alias("__row"), F.col("s.n").alias("__n"))
+    stay = scratch.table(stay, "stay")
+    i = docs[id_column]
+    keyed = docs.withColumns({"__i": F.coalesce(i, F.lit(0)), "__none": i.isNull(), "__row": F.xxhash64(i, docs[text_column])})
+    keys = ["__i", "__none", "__row"]
+    kept = keyed.join(stay, keys)
+    if stay.where("__n > 1").isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.where("__n = 1")
+    return once.unionByName(kept.where("__n > 1").dropDuplicates(keys)).select(*docs.columns)
