@@ -95,13 +95,17 @@ def tfidf_tokens(c: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]", " "), " +"), lambda x: F.length(x) > 1)
 
 
+# The shapes of a single identifier.
+IDENTIFIER_SHAPES = ["^[a-z][a-z0-9]*(_[a-z0-9]+)+$", "^[A-Z][a-z0-9]+([A-Z][a-z0-9]*)+$", "^[a-z][a-z0-9]*([A-Z][a-z0-9]*)+$"]
+
+
 def query_mode(query: Column) -> Column:
     """``keyword`` for one identifier in snake, Pascal or camel case, else ``hybrid``."""
     q = strip(query)
-    return F.when(
-        q.rlike(r"^[a-z_][a-z0-9_]*$") & q.contains("_") | q.rlike(r"^[A-Z][a-zA-Z0-9]+$") | q.rlike(r"^[a-z]+[A-Z][a-zA-Z0-9]*$"),
-        "keyword",
-    ).otherwise("hybrid")
+    shaped = F.lit(False)
+    for shape in IDENTIFIER_SHAPES:
+        shaped = shaped | q.rlike(shape)
+    return F.when(shaped, "keyword").otherwise("hybrid")
 
 
 def wants_tests(query: Column) -> Column:
@@ -118,7 +122,5 @@ def register(spark: SparkSession) -> None:
     spark.sql("create or replace temporary function node_id(f string, n string, l int) returns string return substr(md5(concat_ws('::', f, n, cast(l as string))), 1, 12)")
     spark.sql("create or replace temporary function content_hash(s string) returns string return substr(sha2(s, 256), 1, 16)")
     spark.sql("create or replace temporary function tfidf_tokens(t string) returns array<string> return filter(split(regexp_replace(lower(t), '[^a-z0-9]', ' '), ' +'), x -> length(x) > 1)")
-    spark.sql(
-        "create or replace temporary function query_mode(q string) returns string return case when (trim(q) rlike '^[a-z_][a-z0-9_]*$' and contains(q, '_')) "
-        "or trim(q) rlike '^[A-Z][a-zA-Z0-9]+$' or trim(q) rlike '^[a-z]+[A-Z][a-zA-Z0-9]*$' then 'keyword' else 'hybrid' end"
-    )
+    shaped = " or ".join(f"trim(q) rlike '{shape}'" for shape in IDENTIFIER_SHAPES)
+    spark.sql(f"create or replace temporary function query_mode(q string) returns string return case when {shaped} then 'keyword' else 'hybrid' end")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.functions.languages import language_of
+from codestrata.functions.languages import language_of, supported_extensions
 from codestrata.functions.text import content_hash
 
 # Folders that hold no sources of the project.
@@ -24,24 +26,51 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """UTF-8 without what is not UTF-8, every line end one line feed: no built-in drops bad bytes."""
     for batch in batches:
         texts = [(b or b"").decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n") for b in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2)], names=["file", "source", "bytes_hash"])
-
-
-def scan_paths(spark: SparkSession, root: str, ignored: list[str] = IGNORED) -> DataFrame:
-    """(file, content, language) of the tree's supported files; paths are relative to ``root``."""
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    marker = base.removeprefix("file://") + "/"
-    relative = F.expr(f"substr(path, instr(path, '{marker}') + {len(marker)})")
-    files = raw.select(relative.alias("file"), "content").withColumn("language", language_of(F.col("file")))
-    folders = F.slice(F.split("file", "/"), 1, F.greatest(F.size(F.split("file", "/")) - 1, F.lit(0)))
-    return files.where(F.col("language").isNotNull() & ~F.arrays_overlap(folders, F.array(*map(F.lit, ignored))))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["file", "source"])
+
+
+def list_files(root: str, ignored: list[str] = IGNORED) -> list[tuple[str, int]]:
+    """(relative path, bytes) of the tree's supported files; ignored folders are not entered.
+
+    Spark's own file sources pass over names that begin with ``_`` or ``.``, as
+    package files do, so the tree is listed here.
+    """
+    system, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), os.path.abspath(root))
+    base = base.rstrip("/")
+    wanted, found, folders = {e.lower() for e in supported_extensions()}, [], [base]
+    while folders:
+        for entry in system.get_file_info(pafs.FileSelector(folders.pop())):
+            if entry.type == pafs.FileType.Directory:
+                if entry.base_name not in ignored:
+                    folders.append(entry.path)
+            elif os.path.splitext(entry.base_name)[1].lower() in wanted:
+                found.append((entry.path[len(base) + 1 :], entry.size or 0))
+    return sorted(found)
+
+
+def scan_paths(spark: SparkSession, root: str, ignored: list[str] = IGNORED, bytes_per_task: int = 32 << 20) -> DataFrame:
+    """(file, content, language) of the tree's supported files; paths are relative to ``root``. Files that can't be read are left out."""
+    files = list_files(root, ignored)
+    tasks = max(1, min(len(files), sum(n + 4096 for _, n in files) // bytes_per_task + 1))
+    names = spark.createDataFrame([(f,) for f, _ in files], "file string").repartition(tasks)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), os.path.abspath(root))
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                try:
+                    with system.open_input_stream(f"{base.rstrip('/')}/{name}") as file:
+                        content = file.read()
+                except OSError:
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], names=["file", "content"])
+
+    return names.mapInArrow(read, "file string, content binary").withColumn("language", language_of(F.col("file")))
 
 
 def read_sources(spark: SparkSession, root: str) -> DataFrame:
     """(file, language, source, sha256) of the files to parse: neither ignored nor generated."""
-    files = scan_paths(spark, root).select("file", "content", F.lit("").alias("bytes_hash"))
-    decoded = files.mapInArrow(_decoded, "file string, source string, bytes_hash string").drop("bytes_hash")
+    decoded = scan_paths(spark, root).select("file", "content").mapInArrow(_decoded, "file string, source string")
     return with_hash(not_generated(decoded)).withColumn("language", language_of(F.col("file"))).select("file", "language", "source", "sha256")
 
 
