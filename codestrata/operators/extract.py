@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as X
@@ -108,9 +109,16 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-_FILE = W.partitionBy("file").orderBy("line")
-_SO_FAR = _FILE.rowsBetween(W.unboundedPreceding, 0)
-_AHEAD = _FILE.rowsBetween(1, 20)
+def _by_file() -> WindowSpec:
+    return W.partitionBy("file").orderBy("line")
+
+
+def _so_far() -> WindowSpec:
+    return _by_file().rowsBetween(W.unboundedPreceding, 0)
+
+
+def _ahead() -> WindowSpec:
+    return _by_file().rowsBetween(1, 20)
 
 
 def _python_lines(lines: DataFrame) -> DataFrame:
@@ -124,7 +132,7 @@ def _python_lines(lines: DataFrame) -> DataFrame:
     base = lines.withColumn("left", left).withColumn("indent", F.length("txt") - F.length("left"))
     is_class = F.col("left").rlike(PY_CLASS)
     base = base.withColumns({"is_class": is_class, "is_def": F.col("left").rlike(PY_DEF) & ~is_class, "starts_def": F.col("left").rlike(PY_DEF_START)})
-    base = base.withColumns({"class_part": F.sum(F.col("is_class").cast("int")).over(_SO_FAR), "def_part": F.sum(F.col("starts_def").cast("int")).over(_SO_FAR)})
+    base = base.withColumns({"class_part": F.sum(F.col("is_class").cast("int")).over(_so_far()), "def_part": F.sum(F.col("starts_def").cast("int")).over(_so_far())})
     in_class = W.partitionBy("file", "class_part").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
     in_def = W.partitionBy("file", "def_part").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
     base = base.withColumns({
@@ -139,7 +147,7 @@ def _python_lines(lines: DataFrame) -> DataFrame:
     return base.withColumns({
         "parent": F.when((F.col("class_part") > 0) & ~F.col("class_over"), F.col("class_name")).otherwise(""),
         "inside": F.when((F.col("def_part") > 0) & ~F.col("def_over") & ~F.col("starts_def"), F.col("def_name")),
-        "ahead": F.collect_list("txt").over(_AHEAD),
+        "ahead": F.collect_list("txt").over(_ahead()),
     })
 
 
@@ -260,7 +268,7 @@ def parse_go(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def parse_java(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    rows = lines_of(sources.where("language = 'java'")).withColumn("above", F.coalesce(F.lag("txt").over(_FILE), F.lit("")))
+    rows = lines_of(sources.where("language = 'java'")).withColumn("above", F.coalesce(F.lag("txt").over(_by_file()), F.lit("")))
     line = F.col("txt")
     classes = rows.where(line.rlike(JAVA_CLASS)).withColumns({"name": F.regexp_extract(line, JAVA_CLASS, 1), "base": F.coalesce(F.regexp_extract(line, JAVA_CLASS, 2), F.lit(""))})
     methods = rows.where(line.rlike(JAVA_METHOD)).withColumns({"name": F.regexp_extract(line, JAVA_METHOD, 1), "given": F.regexp_extract(line, JAVA_METHOD, 2)}).where(~F.col("name").isin(METHOD_KEYWORDS))
@@ -280,9 +288,9 @@ def parse_rust(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     line = F.col("txt")
     attribute = F.col("both") == "#[test]"
     is_fn = line.rlike(RUST_FUNCTION) & ~attribute
-    rows = rows.withColumn("is_fn", is_fn).withColumn("fn_part", F.coalesce(F.sum(F.col("is_fn").cast("int")).over(_FILE.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("is_fn", is_fn).withColumn("fn_part", F.coalesce(F.sum(F.col("is_fn").cast("int")).over(_by_file().rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     in_part = W.partitionBy("file", "fn_part").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("is_test", F.max(attribute).over(in_part) | F.max(F.col("both").contains("mod tests")).over(_SO_FAR))
+    rows = rows.withColumn("is_test", F.max(attribute).over(in_part) | F.max(F.col("both").contains("mod tests")).over(_so_far()))
     functions = rows.where("is_fn").withColumns({"name": F.regexp_extract(line, RUST_FUNCTION, 1), "given": F.regexp_extract(line, RUST_FUNCTION, 2)})
     structs = rows.where(line.rlike(RUST_STRUCT)).withColumn("name", F.regexp_extract(line, RUST_STRUCT, 1))
     nodes = nodes_from(functions, "function", F.col("name"), signature=F.concat(F.lit("fn "), F.col("name"), F.lit("("), F.col("given"), F.lit(")")), is_test=F.col("is_test")).unionByName(

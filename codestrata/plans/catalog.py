@@ -1,15 +1,409 @@
-"""Registry of the engine's own queries and of their SQL oracles."""
+"""Registry of the engine's own queries and of their SQL oracles.
+
+Each query applies an operator to whole tables of the star schema; see
+``binding`` for the graph in them. The oracle says the same in DuckDB's SQL.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codestrata.functions import languages
+from codestrata.functions import text as X
+from codestrata.operators import cost, extract, graph, impact, incremental, retrieval, store
+from codestrata.plans import binding, oracles
+from codestrata.sources import trees
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+CHANGED_FILE = "NATION_3"
+DOC_SEARCH = "erthe anon"
+HOURS = 3600.0
+
+
+def query(function: Query) -> Query:
+    _QUERIES[function.__name__] = function
+    return function
+
+
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return binding.nodes(spark, d), binding.edges(spark, d)
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return binding.table(spark, d, name)
+
+
+# --- graph ----------------------------------------------------------------------------------------
+
+
+@query
+def graph_callers(spark: SparkSession, d: str) -> DataFrame:
+    return graph.callers(*_graph(spark, d))
+
+
+@query
+def graph_callees(spark: SparkSession, d: str) -> DataFrame:
+    return graph.callees(binding.edges(spark, d))
+
+
+@query
+def graph_tests_for(spark: SparkSession, d: str) -> DataFrame:
+    return graph.tests_for(*_graph(spark, d))
+
+
+@query
+def graph_dependents(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _graph(spark, d)
+    return graph.dependents_of_all(edges, nodes.select("file").distinct())
+
+
+@query
+def graph_context(spark: SparkSession, d: str) -> DataFrame:
+    found = graph.context(*_graph(spark, d))
+    return found.select("function", F.array_join(F.transform("callers", lambda x: F.concat_ws("@", x["name"], x["file"])), ",").alias("callers"), F.array_join("callees", ",").alias("callees"), F.array_join("tests", ",").alias("tests"))
+
+
+@query
+def graph_stats_totals(spark: SparkSession, d: str) -> DataFrame:
+    return graph.stats_totals(*_graph(spark, d), _table(spark, d, "embeddings"))
+
+
+@query
+def graph_stats_by_type(spark: SparkSession, d: str) -> DataFrame:
+    return graph.stats_by_type(*_graph(spark, d))
+
+
+@query
+def graph_d3_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.graph_nodes(binding.nodes(spark, d))
+
+
+@query
+def graph_d3_links(spark: SparkSession, d: str) -> DataFrame:
+    return graph.graph_links(*_graph(spark, d))
+
+
+@query
+def edge_resolution(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _graph(spark, d)
+    return extract.resolve(nodes, edges).select("id", "from_name", "to_name", "type", "to_id")
+
+
+@query
+def nodes_by_file(spark: SparkSession, d: str) -> DataFrame:
+    return graph.nodes_by_file(binding.nodes(spark, d), CHANGED_FILE).select("id", "name", "type", "line", "signature", "is_test")
+
+
+@query
+def analyze_functions(spark: SparkSession, d: str) -> DataFrame:
+    return impact.analyze_all_functions(*_graph(spark, d))
+
+
+# --- impact ---------------------------------------------------------------------------------------
+
+
+def _impact(spark: SparkSession, d: str) -> impact.Impact:
+    return impact.analyze_file(*_graph(spark, d), CHANGED_FILE)
+
+
+def _total_files(spark: SparkSession, d: str) -> DataFrame:
+    return binding.nodes(spark, d).agg(F.count_distinct("file").alias("total_files"))
+
+
+@query
+def blast_direct(spark: SparkSession, d: str) -> DataFrame:
+    return _impact(spark, d).direct.select("function", "file", "reason", "risk")
+
+
+@query
+def blast_indirect(spark: SparkSession, d: str) -> DataFrame:
+    return _impact(spark, d).indirect.select("depth", "function", "file", "reason", "risk")
+
+
+@query
+def blast_tests_covered(spark: SparkSession, d: str) -> DataFrame:
+    return _impact(spark, d).covered
+
+
+@query
+def blast_tests_missing(spark: SparkSession, d: str) -> DataFrame:
+    return _impact(spark, d).missing.select("function")
+
+
+@query
+def blast_files(spark: SparkSession, d: str) -> DataFrame:
+    return _impact(spark, d).files()
+
+
+@query
+def blast_risk(spark: SparkSession, d: str) -> DataFrame:
+    return impact.risk(_impact(spark, d)).drop("error")
+
+
+@query
+def blast_review_order(spark: SparkSession, d: str) -> DataFrame:
+    return impact.review_order(_impact(spark, d)).select("step", "entry")
+
+
+@query
+def compare_cost(spark: SparkSession, d: str) -> DataFrame:
+    return impact.compare(impact.risk(_impact(spark, d)), _total_files(spark, d))
+
+
+@query
+def review_context(spark: SparkSession, d: str) -> DataFrame:
+    found = _impact(spark, d)
+    row = impact.review_context(found, impact.risk(found), impact.review_order(found), _total_files(spark, d))
+    return row.select("changed_file", "risk_level", "risk_score", "token_savings", "files_reviewed_with_kit", "total_project_files", F.array_join("files_to_review", "; ").alias("files_to_review"), F.array_join("missing", ",").alias("missing"), "warning", "indirect_impact_count")
+
+
+# --- cost and activity ----------------------------------------------------------------------------
+
+
+@query
+def token_scenarios(spark: SparkSession, d: str) -> DataFrame:
+    return cost.scenarios(_total_files(spark, d))
+
+
+def _activity(spark: SparkSession, d: str) -> DataFrame:
+    e = _table(spark, d, "events")
+    files = F.pmod(F.col("user_id"), F.lit(40))
+    entries = cost.log_entry(F.col("event_type"), F.concat(F.lit("user "), F.col("user_id").cast("string")), F.when(F.col("event_id") % 2 == 0, "web").otherwise("claude"), F.col("value"), files, F.lit(25), F.from_json("props", "map<string,int>"))
+    return e.select(F.col("event_id").alias("id"), F.date_format("ts", "HH:mm:ss").alias("ts"), *(c.alias(k) for k, c in entries.items()))
+
+
+@query
+def activity_recent(spark: SparkSession, d: str) -> DataFrame:
+    return cost.recent(_activity(spark, d)).select("id", "ts", "op", "target", "source", "time_ms", "files_with", "tokens_with", "tokens_without", "reduction", "time_without_s", F.get_json_object("extra_json", "$.k").cast("int").alias("k"))
+
+
+@query
+def activity_totals(spark: SparkSession, d: str) -> DataFrame:
+    return cost.totals(_activity(spark, d))
+
+
+@query
+def search_token_stats(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieval.like_search(binding.nodes(spark, d), "machinery", 50)
+    return cost.token_stats(found, _total_files(spark, d))
+
+
+# --- retrieval ------------------------------------------------------------------------------------
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+@query
+def doc_tokens(spark: SparkSession, d: str) -> DataFrame:
+    tokens = retrieval.tokens_of(_table(spark, d, "documents"), "doc_id", "text")
+    return tokens.groupBy("id").agg(F.count("*").alias("n_tokens"), F.count_distinct("term").alias("n_terms"))
+
+
+@query
+def doc_df(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    return docs.select(F.explode(F.array_distinct(X.tfidf_tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+@query
+def tfidf_vocab(spark: SparkSession, d: str) -> DataFrame:
+    v = retrieval.vocabulary(_table(spark, d, "documents"), "doc_id", "text")
+    return v.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query
+def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    w = retrieval.tfidf(docs, retrieval.vocabulary(docs, "doc_id", "text"), "doc_id", "text")
+    return w.select("id", "term", F.round("w", 4).alias("w"))
+
+
+@query
+def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
+    postings, lengths = retrieval.inverted_index(_docs(spark, d), "id", ["text"])
+    found = retrieval.bm25(postings, lengths, retrieval.query_tokens(spark, DOC_SEARCH))
+    return found.select("id", F.round("score", 4).alias("score"))
+
+
+@query
+def keyword_search(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieval.keyword_search(binding.nodes(spark, d), "MachineryCustomer nation_3")
+    return found.select("place", "id", "name", F.round("bm25", 4).alias("bm25"))
+
+
+@query
+def like_search(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.like_search(binding.nodes(spark, d), "machinery", 50).select("id", "name")
+
+
+@query
+def query_mode(spark: SparkSession, d: str) -> DataFrame:
+    p = _table(spark, d, "part")
+    shaped = F.element_at(F.array(F.translate("p_name", " ", "_"), F.translate(F.initcap("p_name"), " ", ""), F.col("p_name"), F.concat(F.substring_index("p_name", " ", 1), F.translate("p_brand", "#", "")), F.col("p_type")), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return p.select("p_partkey", shaped.alias("asked")).withColumn("mode", X.query_mode(F.col("asked")))
+
+
+def _query_vector(spark: SparkSession, d: str) -> list[float]:
+    return _table(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]  # one row: the query
+
+
+@query
+def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.nearest(_table(spark, d, "embeddings"), _query_vector(spark, d), 20, "vec_id", "embedding")
+
+
+@query
+def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    docs, k = _docs(spark, d), 20
+    postings, lengths = retrieval.inverted_index(docs, "id", ["text"])
+    best = retrieval.bm25(postings, lengths, retrieval.query_tokens(spark, DOC_SEARCH)).orderBy(F.col("score").desc(), "id").limit(2 * k)
+    said = best.agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("m"), "id"))).alias("l")).select(F.posexplode("l").alias("place", "x")).select("place", F.col("x.id").alias("id"))
+    near = retrieval.nearest(_table(spark, d, "embeddings"), _query_vector(spark, d), 2 * k, "vec_id", "embedding")
+    return retrieval.fuse(said, near, docs.select("id", (F.col("id") % 10 == 0).alias("is_test")), k, False)
+
+
+@query
+def embedding_texts(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _graph(spark, d)
+    return retrieval.embedding_text(nodes, graph.context(nodes, edges))
+
+
+@query
+def embedding_nodes(spark: SparkSession, d: str) -> DataFrame:
+    vectors, docs = _table(spark, d, "embeddings"), _table(spark, d, "documents")
+    return vectors.join(docs, F.col("vec_id") == F.col("doc_id")).select("vec_id", "label", "lang", "source", F.size("embedding").alias("dim"))
+
+
+# --- extraction -----------------------------------------------------------------------------------
+
+
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    """A small source file for each caller: a class, a method, a line for each call; every tenth is a test file."""
+    nodes, edges = _graph(spark, d)
+    called = edges.where("type = 'calls'").select((F.substring("from_name", 10, 9).cast("long")).alias("key"), "id", F.substring("to_name", 10, 9).cast("long").alias("callee"))
+    bodies = called.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "callee"))).alias("calls"))
+    test = F.col("key") % 10 == 0
+    name = lambda k: F.concat(F.when(k % 10 == 0, "test_c").otherwise("c"), k.cast("string"))
+    lines = F.transform("calls", lambda x: F.concat(F.lit("        self."), name(x["callee"]), F.lit("(1)  # step")))
+    head = F.array(F.lit("import base, other"), F.concat(F.when(test, "class TestC").otherwise("class C"), F.col("key").cast("string"), F.lit("(Base, object):")), F.concat(F.lit("    def "), name(F.col("key")), F.lit("(self, a) -> int:")), F.lit('        """Runs it."""'))
+    file = F.concat(F.lit("src/"), F.when(test, "test_f").otherwise("f"), F.col("key").cast("string"), F.lit(".py"))
+    made = bodies.select(file.alias("file"), F.array_join(F.concat(head, lines), "\n").alias("source"))
+    return trees.with_hash(made).withColumn("language", languages.language_of(F.col("file"))).select("file", "language", "source", "sha256")
+
+
+@query
+def extract_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return extract.parse(_sources(spark, d))[0].select("id", "name", "type", "language", "file", "line", "signature", "docstring", "is_test", "parent_class")
+
+
+@query
+def extract_edges(spark: SparkSession, d: str) -> DataFrame:
+    return extract.parse(_sources(spark, d))[1].select("file", "type", "from_name", "to_name", "line")
+
+
+@query
+def line_scan(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), F.lit("text").alias("language"), F.col("text").alias("source"), F.lit("").alias("sha256"))
+    lines = extract.lines_of(docs).withColumn("left", X.strip_left(F.col("txt")))
+    return lines.select(F.col("file").cast("long").alias("doc_id"), "line", F.length("txt").alias("size"), (F.length("txt") - F.length("left")).alias("indent"))
+
+
+@query
+def script_calls(spark: SparkSession, d: str) -> DataFrame:
+    pages = _table(spark, d, "pages")
+    return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(\w+)\s*\("), 1)).alias("called")).where(~F.col("called").isin(extract.CALL_DENYLIST)).groupBy("page_id", "called").agg(F.count("*").alias("n"))
+
+
+@query
+def node_ids(spark: SparkSession, d: str) -> DataFrame:
+    o = _table(spark, d, "orders")
+    return o.select("o_orderkey", X.node_id(F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_orderkey")).alias("id"), X.content_hash(F.col("o_orderpriority")).alias("hash"))
+
+
+@query
+def file_languages(spark: SparkSession, d: str) -> DataFrame:
+    endings = F.array(*map(F.lit, [".py", ".JS", ".tsx", ".rs", ".kts", ".h", ".txt", ""]))
+    path = F.concat(F.lit("src/"), F.translate("p_name", " ", "/"), F.element_at(endings, (F.col("p_partkey") % 8 + 1).cast("int")))
+    return _table(spark, d, "part").select("p_partkey", path.alias("file")).select("p_partkey", languages.language_of(F.col("file")).alias("language"), X.module_name(F.col("file")).alias("module"), X.stem(F.col("file")).alias("stem"))
+
+
+@query
+def generated_skip(spark: SparkSession, d: str) -> DataFrame:
+    return trees.not_generated(_table(spark, d, "pages"), "url", "html").select("page_id")
+
+
+# --- store ----------------------------------------------------------------------------------------
+
+
+@query
+def upsert_nodes(spark: SparkSession, d: str) -> DataFrame:
+    nodes = binding.nodes(spark, d).select("id", "name", "file", "line", "signature")
+    new = nodes.where("line % 3 = 0").withColumn("signature", F.concat(F.col("signature"), F.lit(" -> int")))
+    return store.upsert_nodes(nodes, new)
+
+
+@query
+def clear_file(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _graph(spark, d)
+    gone = spark.createDataFrame([(CHANGED_FILE,)], "file string")
+    left = lambda df, name: store.clear_files(df, gone).groupBy("file").agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "file", "n")
+    return left(nodes, "nodes").unionByName(left(edges, "edges"))
+
+
+@query
+def clear_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    nodes = binding.nodes(spark, d)
+    vectors = nodes.select(F.col("id").alias("node_id"), F.col("name").alias("text_input"))
+    return store.clear_embeddings(vectors, nodes, spark.createDataFrame([(CHANGED_FILE,)], "file string"))
+
+
+@query
+def rename_file(spark: SparkSession, d: str) -> DataFrame:
+    return store.rename_file(binding.nodes(spark, d), CHANGED_FILE, "NATION_X").select("id", "name", "file")
+
+
+# --- incremental ----------------------------------------------------------------------------------
+
+
+def _hashes(spark: SparkSession, d: str, when: str) -> DataFrame:
+    e = _table(spark, d, "events").where(when)
+    return e.groupBy(F.col("user_id").cast("string").alias("file")).agg(F.substring(F.md5(F.sum(F.col("event_id") % 3).cast("string")), 1, 16).alias("sha256"))
+
+
+@query
+def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.snapshot_diff(_hashes(spark, d, "day(ts) <= 2 and user_id % 7 <> 1"), _hashes(spark, d, "day(ts) = 3 and user_id % 7 <> 2"))
+
+
+@query
+def rename_match(spark: SparkSession, d: str) -> DataFrame:
+    e = _table(spark, d, "events").where("event_type in ('error', 'signup')")
+    events = e.select(F.when(F.col("event_type") == "error", "delete").otherwise("create").alias("kind"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("file"), F.col("user_id").cast("string").alias("hash"), "ts")
+    return incremental.rename_match(events, 24 * HOURS)
+
+
+@query
+def debounce(spark: SparkSession, d: str) -> DataFrame:
+    e = _table(spark, d, "events").select(F.col("user_id").cast("string").alias("file"), "ts")
+    return incremental.debounce(e, 6 * HOURS)
+
+
+@query
+def event_stream_counts(spark: SparkSession, d: str) -> DataFrame:
+    e = _table(spark, d, "events")
+    return e.groupBy(F.date_trunc("day", "ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.all_sql(CHANGED_FILE, DOC_SEARCH)

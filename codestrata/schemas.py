@@ -2,14 +2,22 @@
 
 from pyspark.sql import types as T
 
-NODES = T.StructType.fromDDL(
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "array<float>": T.ArrayType(T.FloatType())}
+
+
+def _schema(text: str) -> T.StructType:
+    """A schema from ``name type, ...``; no session is needed."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (x.split() for x in text.split(", "))])
+
+
+NODES = _schema(
     "id string, name string, type string, language string, file string, line int, end_line int, signature string, "
     "docstring string, sha256 string, is_test boolean, parent_class string, body_preview string"
 )
-EDGES = T.StructType.fromDDL("id bigint, from_id string, to_id string, from_name string, to_name string, type string, file string, line int")
-EMBEDDINGS = T.StructType.fromDDL("node_id string, vector array<float>, model string, text_input string")
-FILE_HASHES = T.StructType.fromDDL("file string, sha256 string, node_count int")
-ACTIVITY = T.StructType.fromDDL(
+EDGES = _schema("id bigint, from_id string, to_id string, from_name string, to_name string, type string, file string, line int")
+EMBEDDINGS = _schema("node_id string, vector array<float>, model string, text_input string")
+FILE_HASHES = _schema("file string, sha256 string, node_count int")
+ACTIVITY = _schema(
     "id bigint, ts string, op string, target string, source string, time_ms double, files_with int, files_without int, "
     "tokens_with int, tokens_without int, reduction double, time_without_s double, extra_json string"
 )
