@@ -73,21 +73,33 @@ class Store:
         return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{table}/{found}")
 
     def write(self, table: str, rows: DataFrame, by: str | None = None) -> None:
-        """Writes the next snapshot, clustered by ``by`` so that look-ups read few row groups, and switches to it."""
-        before, name = self.current(table), f"snapshot-{uuid.uuid4().hex}"
-        columns = rows.select(*(F.col(f.name).cast(f.dataType) for f in TABLES[table].fields))
-        if by:
-            columns = columns.repartitionByRange(by).sortWithinPartitions(by)
-        columns.write.parquet(f"{self.path}/{table}/{name}")
-        jvm, _, fs = self._fs(f"{self.path}/{table}/CURRENT")
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/CURRENT.next"), True)
-        out.write(bytearray(name.encode()))
-        out.close()
-        current = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/CURRENT")
-        fs.delete(current, False)
-        fs.rename(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/CURRENT.next"), current)
-        if before:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/{before}"), True)
+        """Writes the table's next snapshot and switches to it."""
+        self.write_all({table: (rows, by)})
+
+    def write_all(self, tables: dict[str, tuple[DataFrame, str | None]]) -> None:
+        """Writes the next snapshots of several tables, all from the current ones, then switches to them.
+
+        A snapshot is clustered by its column, so that look-ups read few row groups.
+        """
+        written = {}
+        for table, (rows, by) in tables.items():
+            name = f"snapshot-{uuid.uuid4().hex}"
+            columns = rows.select(*(F.col(f.name).cast(f.dataType) for f in TABLES[table].fields))
+            if by:
+                columns = columns.repartitionByRange(by).sortWithinPartitions(by)
+            columns.write.parquet(f"{self.path}/{table}/{name}")
+            written[table] = name
+        for table, name in written.items():
+            before = self.current(table)
+            jvm, current, fs = self._fs(f"{self.path}/{table}/CURRENT")
+            following = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/CURRENT.next")
+            out = fs.create(following, True)
+            out.write(bytearray(name.encode()))
+            out.close()
+            fs.delete(current, False)
+            fs.rename(following, current)
+            if before:
+                fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/{before}"), True)
 
     def write_graph(self, nodes: DataFrame, edges: DataFrame) -> None:
         """A rebuild replaces the snapshot, so edges do not pile up."""

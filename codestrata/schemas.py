@@ -21,4 +21,5 @@ ACTIVITY = _schema(
     "id bigint, ts string, op string, target string, source string, time_ms double, files_with int, files_without int, "
     "tokens_with int, tokens_without int, reduction double, time_without_s double, extra_json string"
 )
-TABLES = {"nodes": NODES, "edges": EDGES, "embeddings": EMBEDDINGS, "file_hashes": FILE_HASHES, "activity_log": ACTIVITY}
+VOCABULARY = _schema("term string, df bigint, idf double")
+TABLES = {"vocabulary": VOCABULARY, "nodes": NODES, "edges": EDGES, "embeddings": EMBEDDINGS, "file_hashes": FILE_HASHES, "activity_log": ACTIVITY}
