@@ -16,11 +16,13 @@ Nothing is paired, so one line or one template in a third of all rows costs no
 more than others.
 
 Pruning. The variants of a whole line are as many as its words, so lines whose
-neighbourhood is empty are told apart first: lines within one edit also share a
-deletion variant of their first ``PREFIX`` words, of which there are ``PREFIX``
-a line. Prefix keys with two different lines are written to a bit array whose
-size is bounded (``MAX_BITS``) and broadcast; only lines that hit it emit their
-whole neighbourhood. A false hit costs work, never a result.
+neighbourhood is empty are told apart first, in passes that shuffle a few numbers
+a line. Lines within one edit share (1) a deletion variant of their first
+``PREFIX`` words and (2) one of their halves, whole. Keys that two different
+lines share are written to a bit array of bounded size (``MAX_BITS``) and
+broadcast; only lines that hit (1) emit (2), and only lines that hit both emit
+their neighbourhood, first as bare keys to find those that stand twice, then
+with their places. A false hit costs work, never a result.
 
 Verification. A shared key proves the edit: replacement keys hold the position
 and both kinds hold all other words in order and their number, as 96 hash bits.
@@ -33,7 +35,7 @@ alike.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +52,7 @@ PREFIX = 6
 MAX_BITS = 1 << 26
 _BASES = (0xD6E8FEB86659FD93 | 1, 0xA0761D6478BD642F | 1)
 _LENGTH = np.uint64(0xE7037ED1A0B428DB)
-_DELETED, _REPLACED = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
-_FILES, _READS = 1, 2
+_REPLACED, _HALF = np.uint64(0x589965CC75374CC3), np.uint64(0x8EBC6AF09C88C6E3)
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,22 +127,36 @@ class Lines:
             keys.append(mix(poly + left.astype(np.uint64) * _LENGTH))
         return np.concatenate(lines), np.concatenate(keys)
 
+    def half_keys(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(line, key): the halves of lines, as the shorter and as the longer of two lines; one edit leaves one half whole."""
+        total, inverse = self.sums[0]
+        out_lines, keys = [], []
+        start, count = self.first[lines], self.count[lines]
+        for less in (0, 1):
+            short = count - less
+            half = short // 2
+            for tail, (a, b) in enumerate(((start, start + half), (start + count - (short - half), start + count))):
+                size = (short * 2 + tail).astype(np.uint64)
+                out_lines.append(lines)
+                keys.append(mix((total[b] - total[a]) * inverse[a] + mix(size + _HALF)))
+        return np.concatenate(out_lines), np.concatenate(keys)
+
 
 def _text_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(docs[id_column].cast("long").alias("i"), docs[text_column].alias("t"), F.xxhash64(docs[id_column].cast("long"), docs[text_column]).alias("row"))
 
 
-def _colliding(rows: DataFrame) -> DataFrame:
-    """Prefix keys that two different lines share."""
+def _shared_keys(rows: DataFrame, emit: Callable[[Lines], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Keys that two different lines emit, by pre-aggregated minima and maxima of the lines' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for _, part in blocks(utf8(column(batch, "t"))):
                 lines = Lines(part)
                 h = lines.whole()[0]
+                line, key = emit(lines)
                 one = np.zeros(len(h), bool)
                 one[np.unique(h, return_index=True)[1]] = True  # a block's repeats emit once
-                line, key = lines.prefix_keys()
                 line, key = line[one[line]], key[one[line]]
                 yield {"key": key.view(np.int64), "h": h[line].view(np.int64)}
 
@@ -160,61 +175,102 @@ def _bit_array(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _filed(rows: DataFrame, array: np.ndarray) -> DataFrame:
-    """(g, c: a key; role; i, row, line: the place): every line's own key, and the whole neighbourhood of lines that hit."""
-    shared = rows.sparkSession.sparkContext.broadcast(array)
+def _hits(key: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which keys a bit array accepts."""
+    mask = np.uint64(len(bits) * 64 - 1)
+    at = key & mask
+    found = bits[at >> np.uint64(6)] >> (at & np.uint64(63))
+    at = (key >> np.uint64(32)) & mask
+    return (found & (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)) == 1
+
+
+def _near_by_prefix(lines: Lines, bits: np.ndarray) -> np.ndarray:
+    line, key = lines.prefix_keys()
+    return np.unique(line[_hits(key, bits)])
+
+
+def _near(lines: Lines, prefixes: np.ndarray, halves: np.ndarray) -> np.ndarray:
+    """The lines that another line may be within one edit of."""
+    line, key = lines.half_keys(_near_by_prefix(lines, prefixes))
+    return np.unique(line[_hits(key, halves)])
+
+
+class _Rows:
+    """A block's keys with their places: ``line``, ``g``/``c``: the key, ``deleted``: whether a word is missing from it."""
+
+    def __init__(self, lines: Lines, prefixes: np.ndarray, halves: np.ndarray, place: np.ndarray):
+        g, c = lines.whole()
+        own = np.flatnonzero(lines.count > 0)
+        near = _near(lines, prefixes, halves)
+        # Later repeats of a line go anyway; only the block's earliest files its neighbourhood.
+        order = near[np.lexsort((lines.number[near], place[lines.text[near]], g[near]))]
+        near = order[np.concatenate(([True], g[order][1:] != g[order][:-1]))] if len(order) else order
+        where, position, vg, vc = lines.variants(near[lines.count[near] >= LEAST_WORDS])
+        replaced = mix((vg ^ _REPLACED) + position.astype(np.uint64))
+        self.line = np.concatenate((own, where, where))
+        self.g = np.concatenate((g[own], vg, replaced))
+        self.c = (np.concatenate((c[own], vc, vc)) >> np.uint64(32)).astype(np.uint32)
+        self.deleted = np.zeros(len(self.line), bool)
+        self.deleted[len(own) : len(own) + len(where)] = True
+
+
+def _places(batch: pa.RecordBatch) -> np.ndarray:
+    """The ids as an order of a block's rows: null last."""
+    return column(batch, "i").fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
+
+
+def _keys(rows: DataFrame, prefixes: np.ndarray, halves: np.ndarray) -> DataFrame:
+    """Keys of all kinds that stand more than once."""
+    shared = rows.sparkSession.sparkContext.broadcast((prefixes, halves))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        bits = shared.value
-        mask = np.uint64(len(bits) * 64 - 1)
+        for batch in batches:
+            place = _places(batch)
+            for first, part in blocks(utf8(column(batch, "t"))):
+                yield {"key": _Rows(Lines(part), *shared.value, place[first:]).g.view(np.int64)}
+
+    return map_rows(rows.select("i", "t"), "key long", run).groupBy("key").count().where("count > 1").select("key")
 
-        def hit(key: np.ndarray) -> np.ndarray:
-            at = key & mask
-            found = (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
-            at = (key >> np.uint64(32)) & mask
-            return (found & (bits[at >> np.uint64(6)] >> (at & np.uint64(63)))) == 1
 
+def _filed(rows: DataFrame, prefixes: np.ndarray, halves: np.ndarray, keys: np.ndarray) -> DataFrame:
+    """(g, c: a key; deleted; i, row, line: the place) of the keys that stand more than once."""
+    shared = rows.sparkSession.sparkContext.broadcast((prefixes, halves, keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        prefixes, halves, keys = shared.value
         for batch in batches:
-            ids, row = column(batch, "i"), column(batch, "row").to_numpy(zero_copy_only=False)
+            ids, row, place = column(batch, "i"), column(batch, "row").to_numpy(zero_copy_only=False), _places(batch)
             for first, part in blocks(utf8(column(batch, "t"))):
                 lines = Lines(part)
-                g, c = lines.whole()
-                own = np.flatnonzero(lines.count > 0)
-                line, key = lines.prefix_keys()
-                near = np.unique(line[hit(key)])
-                where, position, vg, vc = lines.variants(near[lines.count[near] >= LEAST_WORDS])
-                spot = position.astype(np.uint64)
-                pieces = [
-                    (own, g[own], c[own], _FILES | _READS),  # equal lines
-                    (near, g[near] ^ _DELETED, c[near], _READS),  # a longer line without one word
-                    (where, vg ^ _DELETED, vc, _FILES),
-                    (where, vg, vc, _READS),  # this line without one word
-                    (where, mix((vg ^ _REPLACED) + spot), vc, _FILES | _READS),  # the same word replaced
-                ]
-                at = np.concatenate([p[0] for p in pieces])
-                text = lines.text[at] + first
+                made = _Rows(lines, prefixes, halves, place[first:])
+                some = np.flatnonzero(_hits(made.g, keys))
+                line = made.line[some]
+                text = lines.text[line] + first
                 yield {
-                    "g": np.concatenate([p[1] for p in pieces]).view(np.int64),
-                    "c": (np.concatenate([p[2] for p in pieces]) >> np.uint64(32)).astype(np.uint32).view(np.int32),
-                    "role": np.concatenate([np.full(len(p[0]), p[3], np.int8) for p in pieces]),
+                    "g": made.g[some].view(np.int64),
+                    "c": made.c[some].view(np.int32),
+                    "deleted": made.deleted[some],
                     "i": ids.take(pa.array(text)),
                     "row": row[text],
-                    "line": lines.number[at].astype(np.int32),
+                    "line": lines.number[line].astype(np.int32),
                 }
 
-    return map_rows(rows, "g long, c int, role tinyint, i long, row long, line int", run)
+    return map_rows(rows, "g long, c int, deleted boolean, i long, row long, line int", run)
 
 
 def duplicate_lines(docs: DataFrame, scratch: Scratch, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(i, row, lines): for each row that loses lines its id, the hash of id and text, and the lines' numbers from 0."""
     rows = _text_rows(docs, id_column, text_column)
-    colliding = scratch.table(_colliding(rows), "colliding")
-    filed = scratch.table(_filed(rows, _bit_array(colliding)), "filed")
+    prefixes = _bit_array(scratch.table(_shared_keys(rows, Lines.prefix_keys), "prefixes"))
+    first = rows.sparkSession.sparkContext.broadcast(prefixes)
+    halves = _bit_array(scratch.table(_shared_keys(rows, lambda lines: lines.half_keys(_near_by_prefix(lines, first.value))), "halves"))
+    keys = _bit_array(scratch.table(_keys(rows, prefixes, halves), "keys"))
+    filed = scratch.table(_filed(rows, prefixes, halves, keys), "filed")
     place = F.coalesce(F.col("i").cast("decimal(20,0)"), F.lit("99999999999999999999").cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line")
-    earliest = filed.where(F.col("role").bitwiseAND(_FILES) > 0).groupBy("g", "c").agg(F.min(place).alias("earliest"), F.count("*").alias("n"))
-    # A key that one line files and reads itself decides nothing; what is left is small and written first, so the join can be split.
-    earliest = scratch.table(earliest, "earliest")
-    hits = filed.where(F.col("role").bitwiseAND(_READS) > 0).join(earliest, ["g", "c"]).where(F.col("earliest") < place)
+    # The earliest place of a key as a whole line (or replacement) and as a line without one word. Written first, so the join can be split.
+    earliest = scratch.table(filed.groupBy("g", "c").agg(F.min(F.when(~F.col("deleted"), place)).alias("as_is"), F.min(F.when(F.col("deleted"), place)).alias("without")), "earliest")
+    joined = filed.join(earliest, ["g", "c"])
+    hits = joined.where((F.col("as_is") < place) | (~F.col("deleted") & (F.col("without") < place)))
     return hits.groupBy("i", "row").agg(F.collect_set("line").alias("lines"))
 
 
