@@ -55,13 +55,19 @@ _LENGTH = np.uint64(0xE7037ED1A0B428DB)
 _REPLACED, _HALF = np.uint64(0x589965CC75374CC3), np.uint64(0x8EBC6AF09C88C6E3)
 
 
+_known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        step = np.full(n + 1, b, np.uint64)
-        step[0] = 1
-        out.append(np.multiply.accumulate(step))
-    return out[0], out[1]
+    """At least ``n + 1`` powers of the base and of its inverse modulo 2**64."""
+    if base not in _known or len(_known[base][0]) <= n:
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            step = np.full(max(n + 1, 1 << 18), b, np.uint64)
+            step[0] = 1
+            out.append(np.multiply.accumulate(step))
+        _known[base] = (out[0], out[1])
+    return _known[base]
 
 
 class Lines:
@@ -75,20 +81,22 @@ class Lines:
         words = Words([line for lines in split for line in lines])
         self.first, self.count = words.first[:-1], words.counts
         self.word = words.hashes()
-        self.sums = []
-        for base in _BASES:
-            power, inverse = _powers(base, len(self.word))
+        self._sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def sums(self, which: int) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of the words' hashes times powers of a base, and the powers of its inverse."""
+        if which not in self._sums:
+            power, inverse = _powers(_BASES[which], len(self.word))
             total = np.zeros(len(self.word) + 1, np.uint64)
-            np.cumsum(self.word * power[:-1], out=total[1:])
-            self.sums.append((total, inverse))
+            np.cumsum(self.word * power[: len(self.word)], out=total[1:])
+            self._sums[which] = (total, inverse)
+        return self._sums[which]
 
-    def whole(self) -> tuple[np.ndarray, np.ndarray]:
-        """Each line's two hashes."""
-        out = []
-        for total, inverse in self.sums:
-            poly = (total[self.first + self.count] - total[self.first]) * inverse[self.first]
-            out.append(mix(poly + self.count.astype(np.uint64) * _LENGTH))
-        return out[0], out[1]
+    def whole(self, which: int) -> np.ndarray:
+        """One of each line's two hashes."""
+        total, inverse = self.sums(which)
+        poly = (total[self.first + self.count] - total[self.first]) * inverse[self.first]
+        return mix(poly + self.count.astype(np.uint64) * _LENGTH)
 
     def variants(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(line, position, two hashes) of each line with one word deleted."""
@@ -98,7 +106,7 @@ class Lines:
         start = self.first[line]
         at, end = start + position, start + self.count[line]
         out = []
-        for total, inverse in self.sums:
+        for total, inverse in (self.sums(0), self.sums(1)):
             head = (total[at] - total[start]) * inverse[start]
             tail = (total[end] - total[at + 1]) * inverse[start] * inverse[1]
             out.append(mix(head + tail + (self.count[line] - 1).astype(np.uint64) * _LENGTH))
@@ -129,7 +137,7 @@ class Lines:
 
     def half_keys(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(line, key): the halves of lines, as the shorter and as the longer of two lines; one edit leaves one half whole."""
-        total, inverse = self.sums[0]
+        total, inverse = self.sums(0)
         out_lines, keys = [], []
         start, count = self.first[lines], self.count[lines]
         for less in (0, 1):
@@ -153,7 +161,7 @@ def _shared_keys(rows: DataFrame, emit: Callable[[Lines], tuple[np.ndarray, np.n
         for batch in batches:
             for _, part in blocks(utf8(column(batch, "t"))):
                 lines = Lines(part)
-                h = lines.whole()[0]
+                h = lines.whole(0)
                 line, key = emit(lines)
                 one = np.zeros(len(h), bool)
                 one[np.unique(h, return_index=True)[1]] = True  # a block's repeats emit once
@@ -199,7 +207,7 @@ class _Rows:
     """A block's keys with their places: ``line``, ``g``/``c``: the key, ``deleted``: whether a word is missing from it."""
 
     def __init__(self, lines: Lines, prefixes: np.ndarray, halves: np.ndarray, place: np.ndarray):
-        g, c = lines.whole()
+        g, c = lines.whole(0), lines.whole(1)
         own = np.flatnonzero(lines.count > 0)
         near = _near(lines, prefixes, halves)
         # Later repeats of a line go anyway; only the block's earliest files its neighbourhood.
@@ -210,6 +218,9 @@ class _Rows:
         self.line = np.concatenate((own, where, where))
         self.g = np.concatenate((g[own], vg, replaced))
         self.c = (np.concatenate((c[own], vc, vc)) >> np.uint64(32)).astype(np.uint32)
+        # Whose key it is: a neighbourhood belongs to a line's text, a whole line to its place.
+        seat = mix((place[lines.text[own]].astype(np.uint64) << np.uint64(20)) + lines.number[own].astype(np.uint64))
+        self.owner = np.concatenate((seat, g[where], g[where]))
         self.deleted = np.zeros(len(self.line), bool)
         self.deleted[len(own) : len(own) + len(where)] = True
 
@@ -220,16 +231,18 @@ def _places(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _keys(rows: DataFrame, prefixes: np.ndarray, halves: np.ndarray) -> DataFrame:
-    """Keys of all kinds that stand more than once."""
+    """Keys that two places, or the neighbourhoods of two different lines, share."""
     shared = rows.sparkSession.sparkContext.broadcast((prefixes, halves))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             place = _places(batch)
             for first, part in blocks(utf8(column(batch, "t"))):
-                yield {"key": _Rows(Lines(part), *shared.value, place[first:]).g.view(np.int64)}
+                made = _Rows(Lines(part), *shared.value, place[first:])
+                yield {"key": made.g.view(np.int64), "owner": made.owner.view(np.int64)}
 
-    return map_rows(rows.select("i", "t"), "key long", run).groupBy("key").count().where("count > 1").select("key")
+    keyed = map_rows(rows.select("i", "t"), "key long, owner long", run)
+    return keyed.groupBy("key").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).where("low <> high").select("key")
 
 
 def _filed(rows: DataFrame, prefixes: np.ndarray, halves: np.ndarray, keys: np.ndarray) -> DataFrame:
