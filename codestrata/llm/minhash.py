@@ -6,7 +6,7 @@ choose one of ``BINS`` bins, each bin keeps its least value. An empty bin takes
 the value of the first filled bin in its own fixed random order of the bins, the
 same for all texts; so all bins agree between two texts with the probability of
 their likeness, and no bin depends on how far the next filled one is. Each bin
-keeps its ``LOW`` low-order bits, packed. Two unlike values agree in these by
+keeps ``LOW`` low-order bits of its value mixed with its number, packed. Two unlike values agree in these by
 chance with probability 2^-LOW, which the likeness corrects.
 
 Defined cases: a text without words has the fingerprint of zeros and is like
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm.arrow import column, map_rows
-from codestrata.llm.words import Words, blocks
+from codestrata.llm.words import Words, blocks, mix
 
 BINS = 512
 LOW = 4
@@ -38,6 +38,7 @@ RUN_BYTES = 2 << 20
 
 _BIN_BITS = BINS.bit_length() - 1
 _ORDER = np.argsort(np.random.Generator(np.random.PCG64(20170707)).random((BINS, BINS)), axis=1)
+_BIN_SALT = np.random.Generator(np.random.PCG64(314159)).integers(0, 1 << 63, BINS, dtype=np.uint64)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -67,7 +68,8 @@ def signatures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         np.minimum.at(bins, at, h & np.uint64((1 << (64 - _BIN_BITS)) - 1))
         bins = bins.reshape(len(part), BINS)
         mine = (bins != _EMPTY).any(axis=1)
-        low = (densify(bins) & np.uint64((1 << LOW) - 1)).astype(np.uint8)
+        # Mixed with the bin's number: a value that stands in many bins has other low bits in each, so chance agreements stay independent.
+        low = (mix(densify(bins) + _BIN_SALT) & np.uint64((1 << LOW) - 1)).astype(np.uint8)
         low[~mine] = 0
         bits = (low[:, :, None] >> np.arange(LOW, dtype=np.uint8)) & 1
         packed[first : first + len(part)] = np.packbits(bits.reshape(len(part), -1), axis=1, bitorder="little")
