@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as X
-from codestrata.operators import cost, extract, graph, impact, incremental, retrieval
+from codestrata.operators import cost, extract, graph, impact, incremental, retrieval, syntax
 from codestrata.operators.store import Store, rename_file
 from codestrata.sources import trees
 
@@ -52,7 +52,7 @@ class Project:
 
     def build(self) -> dict[str, Any]:
         """Parses the tree, resolves, embeds and writes all tables; returns the statistics."""
-        nodes, edges = extract.parse(trees.read_sources(self.spark, self.root))
+        nodes, edges = syntax.parse_best(trees.read_sources(self.spark, self.root))
         self.store.write("nodes", nodes, "file")
         self.store.write("edges", extract.numbered(extract.resolve(self.nodes, edges)), "to_name")
         self._embed()
