@@ -9,7 +9,7 @@ a global row number: the winners are pre-aggregated minima.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -35,6 +35,11 @@ class Impact:
     covered: DataFrame  # test_name, test_file, covers
     missing: DataFrame  # function, line
     dependents: DataFrame  # from_name, file
+    kept: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        for level in self.kept:
+            level.unpersist()
 
     @property
     def direct(self) -> DataFrame:
@@ -55,21 +60,26 @@ class Impact:
         return out.distinct()
 
 
-def analyze_file(nodes: DataFrame, edges: DataFrame, file: str, max_depth: int = 3) -> Impact:
+def analyze_file(nodes: DataFrame, edges: DataFrame, file: str, max_depth: int = 3, keep: bool = False) -> Impact:
     """The impact of a change to ``file`` over at most ``max_depth`` levels of callers.
 
     Changed functions are not visited in advance: one that calls another counts
-    as affected. Names are visited once, whatever their file.
+    as affected. Names are visited once, whatever their file. Each level is
+    read by the next ones and by most answers; with ``keep`` the levels, which
+    hold only the names that were reached, are persisted (``release`` frees
+    them), so each level reads the edges once.
     """
     changed = nodes.where((F.col("file") == file) & (F.col("type") == "function")).select("name", "line", "id")
     calls = edges.where(F.col("type") == "calls").where(graph.has_text(F.col("from_name"))).select(F.col("to_name").alias("via"), F.col("from_name").alias("function"), F.coalesce("file", F.lit("unknown")).alias("file"), F.col("id").alias("edge"))
     frontier = changed.groupBy(F.col("name").alias("via")).agg(F.min(F.array(F.col("line").cast("long"))).alias("path"))
-    levels, visited = [], None
+    levels, visited, kept = [], None, []
     for depth in range(1, max_depth + 1):
         found = calls.join(frontier, "via").select("function", F.struct(F.concat("path", F.array("edge")).alias("path"), "via", "file").alias("how"))
         level = found.groupBy("function").agg(F.min("how").alias("how")).select("function", F.col("how.path").alias("path"), F.col("how.via").alias("via"), F.col("how.file").alias("file"))
         if visited is not None:
             level = level.join(visited, "function", "left_anti")
+        if keep:
+            kept.append(level.persist())
         reason = F.concat(F.lit("directly calls ") if depth == 1 else F.lit(f"indirectly affected (depth {depth}) via "), F.col("via"))
         risk = "high" if depth == 1 else "medium" if depth == 2 else "low"
         levels.append(level.select(F.lit(depth).alias("depth"), "path", "function", F.when(F.col("file") != "", F.col("file")).otherwise("unknown").alias("file"), reason.alias("reason"), F.lit(risk).alias("risk")))
@@ -82,7 +92,7 @@ def analyze_file(nodes: DataFrame, edges: DataFrame, file: str, max_depth: int =
     tests = graph.tests_for(nodes, edges).select(F.col("function").alias("name"), "test_name", "test_file")
     covered = changed.join(tests, "name").select("test_name", F.when(graph.has_text(F.col("test_file")), F.col("test_file")).otherwise("unknown").alias("test_file"), F.col("name").alias("covers"))
     missing = changed.join(edges.where("type = 'tests'").select(F.col("to_name").alias("name")).distinct(), "name", "left_anti").where(~F.col("name").startswith("_")).select(F.col("name").alias("function"), "line")
-    return Impact(file, changed.select("name", "line"), affected, covered, missing, graph.dependents(edges, file))
+    return Impact(file, changed.select("name", "line"), affected, covered, missing, graph.dependents(edges, file), kept)
 
 
 def risk(impact: Impact) -> DataFrame:

@@ -108,7 +108,7 @@ def analyze_functions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _impact(spark: SparkSession, d: str) -> impact.Impact:
-    return impact.analyze_file(*_graph(spark, d), CHANGED_FILE)
+    return impact.analyze_file(*_graph(spark, d), CHANGED_FILE, keep=True)
 
 
 def _total_files(spark: SparkSession, d: str) -> DataFrame:

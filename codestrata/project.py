@@ -114,7 +114,7 @@ class Project:
 
     def blast(self, file: str, source: str = "web") -> dict[str, Any]:
         begun = time.time()
-        found = impact.analyze_file(self.nodes, self.edges, file)
+        found = impact.analyze_file(self.nodes, self.edges, file, keep=True)
         row = first(impact.risk(found))
         out: dict[str, Any] = {"changed_file": file}
         if row["error"]:
@@ -130,6 +130,7 @@ class Project:
             "risk_level": row["risk_level"],
             "review_order": [r["entry"] for r in impact.review_order(found).orderBy("step").collect()],
         }
+        found.release()
         spent = (time.time() - begun) * 1000
         self._log("blast", file, spent, row["affected_file_count"], source, {"risk_level": row["risk_level"], "risk_score": row["risk_score"], "direct_count": row["n_direct"]})
         return out | {"time_ms": round(spent)}
