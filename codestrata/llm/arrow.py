@@ -19,6 +19,13 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def _fitted(values: object, kind: pa.DataType) -> pa.Array:
+    """The values as an array of the type; a column that is passed on keeps its time zone and its nested types."""
+    if not isinstance(values, pa.Array):
+        return pa.array(values, type=kind)
+    return values if pa.types.is_timestamp(kind) or pa.types.is_nested(kind) else values.cast(kind)
+
+
 def map_rows(df: DataFrame, schema: str | T.StructType, function: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
     """``function`` turns record batches into dicts of columns, each dict one output batch."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -26,7 +33,7 @@ def map_rows(df: DataFrame, schema: str | T.StructType, function: Callable[[Iter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for made in function(batches):
-            columns = [x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, type=f.type) for f, x in ((f, made[f.name]) for f in wanted)]
-            yield pa.RecordBatch.from_arrays(columns, schema=wanted)
+            columns = [_fitted(made[f.name], f.type) for f in wanted]
+            yield pa.RecordBatch.from_arrays(columns, names=wanted.names)
 
     return df.mapInArrow(run, kind)

@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from codestrata.llm.arrow import column, map_rows
 
@@ -332,7 +333,7 @@ def extract_text(pages: DataFrame, *, html_column: str = "html", text_column: st
     """All rows and columns but the page itself, with its main text and that text's code points. Nothing is shuffled."""
     kept = [c for c in pages.columns if c not in (html_column, text_column, chars_column)]
     rows = pages.select(*kept, html_column)
-    schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept), f"`{text_column}` string, `{chars_column}` long"])
+    schema = T.StructType([*(pages.schema[c] for c in kept), T.StructField(text_column, T.StringType()), T.StructField(chars_column, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:

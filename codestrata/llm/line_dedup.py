@@ -287,17 +287,17 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, *, id_column: str = "doc_
     return hits.groupBy("i", "row").agg(F.collect_set("line").alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """All rows and columns, the text without its duplicate lines, and ``lines_in``, ``lines_out``."""
+def dedup_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", before_column: str = "lines_in", after_column: str = "lines_out") -> DataFrame:
+    """All rows and columns, the text without its duplicate lines, and the numbers of lines before and after."""
     scratch = Scratch(docs.sparkSession, "lines")
     drops = duplicate_lines(docs, scratch, id_column=id_column, text_column=text_column)
     drops = drops.select(F.col("row").alias("__row"), F.coalesce("i", F.lit(0)).alias("__i"), F.col("i").isNull().alias("__none"), F.col("lines").alias("__lines"))
-    base = docs.drop("lines_in", "lines_out")
+    base = docs.drop(before_column, after_column)
     i = docs[id_column].cast("long")
     keyed = base.withColumns({"__row": F.xxhash64(i, docs[text_column]), "__i": F.coalesce(i, F.lit(0)), "__none": i.isNull()})
     joined = keyed.join(drops, ["__row", "__i", "__none"], "left").drop("__row", "__i", "__none")
     kept = [c for c in base.columns if c != text_column]
-    schema = T.StructType([*base.schema.fields, T.StructField("lines_in", T.IntegerType()), T.StructField("lines_out", T.IntegerType())])
+    schema = T.StructType([*base.schema.fields, T.StructField(before_column, T.IntegerType()), T.StructField(after_column, T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -313,6 +313,6 @@ def dedup_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
                         text = "\n".join(lines)
                     after.append(len(lines))
                     texts.append(text)
-                yield {c: column(part, c) for c in kept} | {text_column: texts, "lines_in": before, "lines_out": after}
+                yield {c: column(part, c) for c in kept} | {text_column: texts, before_column: before, after_column: after}
 
     return map_rows(joined, schema, run)

@@ -29,8 +29,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand earlier go; so do documents of which no word is left (all their lines stand elsewhere)."""
-    cleaned = line_dedup.dedup_lines(docs)
-    left = cleaned.where((F.col("lines_out") == F.col("lines_in")) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    cleaned = line_dedup.dedup_lines(docs, before_column="__before", after_column="__after")
+    left = cleaned.where((F.col("__after") == F.col("__before")) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return left.select(*docs.columns)
