@@ -236,7 +236,8 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     Each half round is a pre-aggregated minimum per node and one join; both
     are written first, so adaptive execution can split the join at a hub.
     """
-    edges = scratch.table(edges.where("a <> b"), "edges-0")
+    last = "edges-0"
+    edges = scratch.table(edges.where("a <> b"), last)
     before = None
     for k in range(max_rounds):
         for half in ("large", "small"):
@@ -251,6 +252,9 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
             else:
                 pairs = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.where("a <> m").select("a", F.col("m").alias("b")))
             edges = scratch.table(pairs.where("a <> b").distinct(), f"edges-{half}-{k}")
+            for read in (last, f"lowest-{half}-{k}"):  # no plan reads them any more
+                scratch.drop(read)
+            last = f"edges-{half}-{k}"
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if before == now:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
