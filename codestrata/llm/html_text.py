@@ -70,7 +70,7 @@ DROPPED = frozenset(
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note tablist".split())
 #: Words of class and id values (split at case changes and signs) that name what is no part of an article.
 NAMED = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu submenu breadcrumb "
+    "ad ads adsbygoogle adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu submenu breadcrumb "
     "breadcrumbs sidebar aside rail footer masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox newsletter subscribe "
     "subscription signup login register share sharing social follow comment comments commentlist reply replies respond disqus discussion reactions related recommended "
     "recommendations recirc trending popular widget pagination pager copyright disclaimer legal paywall skip tags tagcloud toc search hidden".split()
@@ -211,17 +211,25 @@ def _density(m: _Measures, body: _Measures) -> float:
 
 def content_roots(root: Node) -> list[Node]:
     """The subtrees that make the main text, in page order."""
-    # Elements around an article keep their place whatever their names ("layout with-sidebar").
-    holders: set[Node] = set()
-    walk = [root]
+    # Elements around the article keep their place whatever their names ("layout with-sidebar"): if every element
+    # that marks an article stands inside named ones, those inside the fewest keep what is around them.
+    marks: list[tuple[int, Node]] = []
+    walk = [(root, 0)]
     while walk:
-        node = walk.pop()
-        if node.name in ("main", "h1") or (node.name == "article" and not named(node)):
-            up = node.parent
-            while up is not None and up not in holders:
-                holders.add(up)
-                up = up.parent
-        walk.extend(c for c in node.children if isinstance(c, Node))
+        node, inside = walk.pop()
+        if node is not root and (node.name in DROPPED or node.name == "header"):
+            continue
+        own = node.name not in KEPT_TAGS and named(node)
+        if node.name in ("main", "h1") or (node.name == "article" and not own):
+            marks.append((inside, node))
+        walk.extend((c, inside + own) for c in node.children if isinstance(c, Node))
+    least = min((n for n, _ in marks), default=0)
+    holders: set[Node] = set()
+    for inside, node in marks if least else []:
+        up = node.parent if inside == least else None
+        while up is not None and up not in holders:
+            holders.add(up)
+            up = up.parent
     order: list[tuple[Node, bool]] = []
     stack: list[tuple[Node, bool]] = [(root, False)]
     while stack:

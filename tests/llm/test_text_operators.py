@@ -113,6 +113,9 @@ def test_html():
     assert text(page) == "Head\nOne two.\nThree\ni\nj"
     plain = "<body><div id=top><a href=a>l1</a> <a href=b>l2</a></div><div><p>" + "word " * 80 + "</p><p>" + "more " * 60 + "</p></div><div><a href=c>x</a><a href=d>y</a></div></body>"
     assert text(plain) == ("word " * 80).strip() + "\n" + ("more " * 60).strip()
+    nested = '<div class="layout has-sidebar"><article><p>Body of it.</p></article><div class="comments"><article><p>A reader says a thing or two.</p></article></div></div>'
+    assert text(nested) == "Body of it."
+    assert text('<article><p>Short.</p></article><div class="comments"><article>Long words of a reader of this page</article></div><div class="adBox"><h1>Buy</h1></div>') == "Short."
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     assert text(deep) == "deep"
 
