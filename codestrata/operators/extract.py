@@ -121,7 +121,7 @@ def _ahead() -> WindowSpec:
     return _by_file().rowsBetween(1, 20)
 
 
-def _python_lines(lines: DataFrame) -> DataFrame:
+def _python_lines(lines: DataFrame, ahead: bool = False) -> DataFrame:
     """Lines with their class and function context.
 
     A class stands until a definition at or left of its own indent; a function
@@ -144,10 +144,11 @@ def _python_lines(lines: DataFrame) -> DataFrame:
     outside = F.col("is_def") & (F.col("indent") <= F.col("class_indent"))
     dedent = ~F.col("starts_def") & (F.col("left") != "") & ~F.col("left").startswith("#") & (F.col("indent") <= F.col("def_indent"))
     base = base.withColumns({"class_over": F.max(outside).over(in_class), "def_over": F.max(dedent).over(in_def)})
+    if ahead:  # only class and function lines look at what follows
+        base = base.withColumn("ahead", F.collect_list("txt").over(_ahead()))
     return base.withColumns({
         "parent": F.when((F.col("class_part") > 0) & ~F.col("class_over"), F.col("class_name")).otherwise(""),
         "inside": F.when((F.col("def_part") > 0) & ~F.col("def_over") & ~F.col("starts_def"), F.col("def_name")),
-        "ahead": F.collect_list("txt").over(_ahead()),
     })
 
 
@@ -160,13 +161,9 @@ def _docstring(ahead: Column) -> Column:
     taken = F.when(closing > 0, F.slice(rest, F.lit(1), F.greatest(closing, F.lit(1)).cast("int"))).otherwise(rest)
     parts = F.transform(taken, lambda x, k: F.when((closing > 0) & (k == closing - 1), F.regexp_replace(X.strip(x), "[\"']+$", "")).otherwise(X.strip(x)))
     whole = F.endswith(head, quote) & (F.length(head) > 6)
-    one = X.strip(F.substr(head, F.lit(4), F.greatest(F.length(head) - 6, F.lit(0))))
-    return F.when(head.rlike("^(\"\"\"|''')"), F.when(whole, one).otherwise(X.strip(F.concat_ws(" ", F.substr(head, F.lit(4)), F.array_join(parts, " "))))).otherwise("")
-
-
-def _docstring_fixed(ahead: Column) -> Column:
-    """``_docstring`` with a lone opening line: no second part, no blank at the end."""
-    return X.strip(_docstring(ahead))
+    one = F.substr(head, F.lit(4), F.greatest(F.length(head) - 6, F.lit(0)))
+    many = F.concat_ws(" ", F.substr(head, F.lit(4)), F.when(F.size(parts) > 0, F.array_join(parts, " ")))
+    return X.strip(F.when(head.rlike("^(\"\"\"|\'\'\')"), F.when(whole, one).otherwise(many)).otherwise(""))
 
 
 def _preview(ahead: Column) -> Column:
@@ -175,46 +172,61 @@ def _preview(ahead: Column) -> Column:
     return F.substring(F.array_join(kept, " "), 1, 300)
 
 
+def _edge_struct(kind: str, source: Column, target: Column, part: int, place: Column) -> Column:
+    return F.struct(F.lit(kind).alias("type"), source.alias("from_name"), target.alias("to_name"), F.lit(part).alias("part"), place.cast("int").alias("place"))
+
+
+def _python_edges(rows: DataFrame) -> DataFrame:
+    """All edges that a line gives, as one array a line that is exploded: one pass for five kinds."""
+    some = lambda given, listed: F.when(given, listed).otherwise(F.array())
+    name = F.regexp_extract("left", PY_CLASS, 1)
+    bases = F.transform(F.split(F.coalesce(F.regexp_extract("left", PY_CLASS, 2), F.lit("")), ","), X.strip)
+    inherits = F.filter(F.transform(bases, lambda b, k: _edge_struct("inherits", name, b, 0, k)), lambda e: (e["to_name"] != "") & ~e["to_name"].isin(PLAIN_BASES))
+    member = F.array(_edge_struct("member_of", F.regexp_extract("left", PY_DEF, 2), F.col("parent"), 0, F.lit(0)))
+    module, both = X.module_name(F.col("file")), X.strip(F.col("txt"))
+    imported = F.transform(F.split(F.regexp_extract(both, PY_FROM, 2), ","), lambda n: X.strip(F.substring_index(X.strip(n), " as ", 1)))
+    from_module = F.regexp_extract(both, PY_FROM, 1)
+    froms = F.filter(F.transform(imported, lambda n, k: F.struct(F.lit("imports").alias("type"), module.alias("from_name"), F.when(n != "", F.concat(from_module, F.lit("."), n)).otherwise("").alias("to_name"), F.lit(1).alias("part"), k.cast("int").alias("place"))), lambda e: e["to_name"] != "")
+    plain = F.array(_edge_struct("imports", module, F.regexp_extract(both, PY_IMPORT, 1), 1, F.lit(0)))
+    # Calls: what the line's function calls, in the order of the line, then its getattr names.
+    called = F.transform(F.regexp_extract_all("left", F.lit(PY_CALL), 1), lambda c, k: _edge_struct("calls", F.col("inside"), c, 2, k))
+    called = F.filter(called, lambda e: ((e["to_name"] != F.col("inside")) & ~e["to_name"].startswith("_")) | e["to_name"].startswith("__"))
+    dynamic = F.transform(F.regexp_extract_all("left", F.lit(PY_GETATTR), 1), lambda c, k: _edge_struct("calls", F.col("inside"), c, 2, k + 100_000))
+    calls = F.filter(F.concat(called, dynamic), lambda e: ~e["to_name"].isin(CALL_DENYLIST))
+    every = F.concat(
+        some(F.col("is_class"), inherits), some(F.col("is_def") & (F.col("parent") != ""), member), some(both.rlike(PY_FROM), froms), some(both.rlike(PY_IMPORT), plain), some(F.col("inside").isNotNull(), calls)
+    )
+    found = rows.select("file", "line", F.explode(every).alias("e"))
+    return found.select(F.lit("").alias("from_id"), F.lit("").alias("to_id"), "e.from_name", "e.to_name", "e.type", "file", "line", "e.part", "e.place")
+
+
 def parse_python(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    rows = _python_lines(lines_of(sources.where("language = 'python'")))
+    """Nodes in one pass over the lines, edges in another; tests join the two for test files alone."""
+    python = sources.where("language = 'python'")
     test_file = X.matches_any(X.basename(F.col("file")), PY_TESTS)
-    name, bases = F.regexp_extract("left", PY_CLASS, 1), F.coalesce(F.regexp_extract("left", PY_CLASS, 2), F.lit(""))
-    classes = rows.where("is_class")
-    class_nodes = nodes_from(
-        classes, "class", name, signature=F.when(bases != "", F.concat(F.lit("class "), name, F.lit("("), bases, F.lit(")"))).otherwise(F.concat(F.lit("class "), name)), docstring=_docstring_fixed(F.col("ahead")), is_test=name.startswith("Test") & test_file
-    )
-    inherits = classes.select("file", "line", name.alias("name"), F.posexplode(F.split(bases, ",")).alias("place", "base")).withColumn("base", X.strip(F.col("base"))).where((F.col("base") != "") & ~F.col("base").isin(PLAIN_BASES))
-    defs = rows.where("is_def")
-    called, given, back = (F.regexp_extract("left", PY_DEF, k) for k in (2, 3, 4))
+    nodes = _python_nodes(_python_lines(lines_of(python), ahead=True))
+    edges = _python_edges(_python_lines(lines_of(python)))
+    of_tests = python.where(test_file)
+    tests = _python_nodes(_python_lines(lines_of(of_tests))).where("is_test").select("file", F.col("name").alias("from_name"), F.col("line").alias("test_line"))
+    tested = _python_edges(_python_lines(lines_of(of_tests))).where("type = 'calls'").join(tests, ["file", "from_name"])
+    tested = tested.withColumns({"place": F.col("line") * 1000 + F.col("place") % 1000, "line": F.col("test_line"), "type": F.lit("tests"), "part": F.lit(3)})
+    return nodes, edges.unionByName(tested.select(*edges.columns))
+
+
+def _python_nodes(rows: DataFrame) -> DataFrame:
+    test_file = X.matches_any(X.basename(F.col("file")), PY_TESTS)
+    is_class = F.col("is_class")
+    bases = F.coalesce(F.regexp_extract("left", PY_CLASS, 2), F.lit(""))
+    given, back = F.regexp_extract("left", PY_DEF, 3), F.coalesce(F.regexp_extract("left", PY_DEF, 4), F.lit(""))
     word = F.when(F.regexp_extract("left", PY_DEF, 1) != "", "async def").otherwise("def")
-    signature = F.concat(word, F.lit(" "), called, F.lit("("), given, F.lit(")"), F.when(F.coalesce(back, F.lit("")) != "", F.concat(F.lit(" -> "), back)).otherwise(""))
-    functions = nodes_from(
-        defs, "function", called, signature=signature, docstring=_docstring_fixed(F.col("ahead")), is_test=called.startswith("test_") | (test_file & called.startswith("test")), parent=F.col("parent"), preview=_preview(F.col("ahead"))
-    )
-    members = edges_from(defs.where("parent <> ''"), "member_of", called, F.col("parent"), 0)
-    whole = rows.withColumn("both", X.strip(F.col("txt")))
-    module = X.module_name(F.col("file"))
-    from_rows = whole.where(F.col("both").rlike(PY_FROM)).select("file", "line", F.regexp_extract("both", PY_FROM, 1).alias("module"), F.posexplode(F.split(F.regexp_extract("both", PY_FROM, 2), ",")).alias("place", "name"))
-    from_rows = from_rows.withColumn("name", X.strip(F.substring_index(X.strip(F.col("name")), " as ", 1))).where("name <> ''")
-    plain = whole.where(F.col("both").rlike(PY_IMPORT))
-    # Calls: what the line's function calls, in the order of the line, then its getattr names.
-    inside = rows.where("inside is not null")
-    calls = inside.select("file", "line", "inside", F.posexplode(F.regexp_extract_all("left", F.lit(PY_CALL), 1)).alias("place", "called"))
-    calls = calls.where(((F.col("called") != F.col("inside")) & ~F.col("called").startswith("_")) | F.col("called").startswith("__"))
-    dynamic = inside.select("file", "line", "inside", F.posexplode(F.regexp_extract_all("left", F.lit(PY_GETATTR), 1)).alias("place", "called")).withColumn("place", F.col("place") + 100_000)
-    call_edges = edges_from(calls.unionByName(dynamic).where(~F.col("called").isin(CALL_DENYLIST)), "calls", F.col("inside"), F.col("called"), 2, F.col("place"))
-    nodes = class_nodes.unionByName(functions)
-    tests = nodes.where(F.col("is_test") & test_file).select("file", F.col("name").alias("test"), F.col("line").alias("test_line"))
-    tested = call_edges.select("file", F.col("from_name").alias("test"), "to_name", F.col("line").alias("call_line"), "place").join(tests, ["file", "test"]).withColumn("line", F.col("test_line"))
-    edges = _union([
-        edges_from(inherits, "inherits", F.col("name"), F.col("base"), 0, F.col("place")),
-        members,
-        edges_from(from_rows, "imports", module, F.concat_ws(".", "module", "name"), 1, F.col("place")),
-        edges_from(plain, "imports", module, F.regexp_extract("both", PY_IMPORT, 1), 1),
-        call_edges,
-        edges_from(tested, "tests", F.col("test"), F.col("to_name"), 3, F.col("call_line") * 1000 + F.col("place") % 1000),
-    ])
-    return nodes, edges
+    named = rows.where("is_class or is_def").withColumn("name", F.when(is_class, F.regexp_extract("left", PY_CLASS, 1)).otherwise(F.regexp_extract("left", PY_DEF, 2)))
+    name = F.col("name")
+    of_class = F.concat(F.lit("class "), name, F.when(bases != "", F.concat(F.lit("("), bases, F.lit(")"))).otherwise(""))
+    of_def = F.concat(word, F.lit(" "), name, F.lit("("), given, F.lit(")"), F.when(back != "", F.concat(F.lit(" -> "), back)).otherwise(""))
+    is_test = F.when(is_class, name.startswith("Test") & test_file).otherwise(name.startswith("test_") | (test_file & name.startswith("test")))
+    ahead = F.col("ahead") if "ahead" in rows.columns else F.array().cast("array<string>")
+    made = nodes_from(named, "class", name, signature=F.when(is_class, of_class).otherwise(of_def), docstring=_docstring(ahead), is_test=is_test, parent=F.when(is_class, "").otherwise(F.col("parent")), preview=F.when(is_class, "").otherwise(_preview(ahead)))
+    return made.withColumn("type", F.when(F.col("signature").startswith("class "), "class").otherwise("function"))
 
 
 def _first_match(patterns: list[str], group: int, line: Column) -> Column:
@@ -309,12 +321,21 @@ def parse_generic(sources: DataFrame) -> DataFrame:
     return nodes_from(found, "function", F.col("name")).unionByName(nodes_from(classes, "class", F.col("name")))
 
 
-def parse(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and unresolved edges of all files. Edges hold their order (file, part, line, place) in place of an id."""
-    parsed = [p(sources) for p in (parse_python, parse_script, parse_go, parse_java, parse_rust)]
-    nodes = _union([p[0] for p in parsed] + [parse_generic(sources)])
-    edges = _union([p[1] for p in parsed])
-    return nodes.select(NODE_COLUMNS), edges.select(EDGE_COLUMNS)
+_PARSERS = {("python",): parse_python, ("javascript", "typescript", "tsx"): parse_script, ("go",): parse_go, ("java",): parse_java, ("rust",): parse_rust}
+
+
+def parse(sources: DataFrame, languages: set[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and unresolved edges of all files. Edges hold their order (file, part, line, place) in place of an id.
+
+    Each parser scans the sources; ``languages``, where they are known, leaves
+    out the parsers that have nothing to do.
+    """
+    used = [p for of, p in _PARSERS.items() if languages is None or languages & set(of)]
+    parsed = [p(sources) for p in used or [parse_python]]
+    nodes, edges = [p[0] for p in parsed], [p[1] for p in parsed]
+    if languages is None or languages - set(OWN_PARSER):
+        nodes.append(parse_generic(sources))
+    return _union(nodes).select(NODE_COLUMNS), _union(edges).select(EDGE_COLUMNS)
 
 
 def resolve(nodes: DataFrame, edges: DataFrame) -> DataFrame:

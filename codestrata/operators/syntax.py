@@ -237,11 +237,11 @@ def parse_trees(sources: DataFrame, parser: Callable[[str], Any] = parser_for) -
     return nodes.select(NODE_COLUMNS), edges.select(EDGE_COLUMNS)
 
 
-def parse_best(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Trees for the languages that have a parser here, line rules for the others."""
+def parse_best(sources: DataFrame, languages: set[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Trees for the languages that have a parser here, line rules for the others; ``languages``: those present, if known."""
     with_trees = [name for name in grammars() if available() and parser_for(name) is not None]
     if not with_trees:
-        return parse(sources)
+        return parse(sources, languages)
     by_tree = parse_trees(sources.where(F.col("language").isin(with_trees)))
-    by_line = parse(sources.where(~F.col("language").isin(with_trees)))
+    by_line = parse(sources.where(~F.col("language").isin(with_trees)), languages and languages - set(with_trees))
     return by_tree[0].unionByName(by_line[0]), by_tree[1].unionByName(by_line[1])

@@ -300,12 +300,12 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def extract_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return extract.parse(_sources(spark, d))[0].select("id", "name", "type", "language", "file", "line", "signature", "docstring", "is_test", "parent_class")
+    return extract.parse(_sources(spark, d), {"python"})[0].select("id", "name", "type", "language", "file", "line", "signature", "docstring", "is_test", "parent_class")
 
 
 @query
 def extract_edges(spark: SparkSession, d: str) -> DataFrame:
-    return extract.parse(_sources(spark, d))[1].select("file", "type", "from_name", "to_name", "line")
+    return extract.parse(_sources(spark, d), {"python"})[1].select("file", "type", "from_name", "to_name", "line")
 
 
 @query

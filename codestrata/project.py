@@ -52,7 +52,7 @@ class Project:
 
     def build(self) -> dict[str, Any]:
         """Parses the tree, resolves, embeds and writes all tables; returns the statistics."""
-        nodes, edges = syntax.parse_best(trees.read_sources(self.spark, self.root))
+        nodes, edges = syntax.parse_best(trees.read_sources(self.spark, self.root), trees.languages_in(self.root))
         self.store.write("nodes", nodes, "file")
         self.store.write("edges", extract.numbered(extract.resolve(self.nodes, edges)), "to_name")
         self._embed()

@@ -10,7 +10,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.functions.languages import language_of, supported_extensions
+from codestrata.functions.languages import EXTENSIONS, language_of, supported_extensions
 from codestrata.functions.text import content_hash
 
 # Folders that hold no sources of the project.
@@ -48,6 +48,12 @@ def list_files(root: str, ignored: list[str] = IGNORED) -> list[tuple[str, int]]
     return sorted(found)
 
 
+def languages_in(root: str) -> set[str]:
+    """The languages of the tree's files, from the listing alone."""
+    of = {e.lower(): language for language, extensions in reversed(EXTENSIONS.items()) for e in extensions}
+    return {of[os.path.splitext(f)[1].lower()] for f, _ in list_files(root)}
+
+
 def scan_paths(spark: SparkSession, root: str, ignored: list[str] = IGNORED, bytes_per_task: int = 32 << 20) -> DataFrame:
     """(file, content, language) of the tree's supported files; paths are relative to ``root``. Files that can't be read are left out."""
     files = list_files(root, ignored)
