@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 
 from codestrata.llm.arrow import column, map_rows
 
-STATES = 300_000
+STATES = 150_000
 PIECES = 300_000
 SUBTREE = 4
 WINDOW = 4096
