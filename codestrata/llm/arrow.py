@@ -19,6 +19,12 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A plain scan, dealt out anew only where it has fewer splits than the cluster has cores (a small table in one row group)."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def _fitted(values: object, kind: pa.DataType) -> pa.Array:
     """The values as an array of the type; a column that is passed on keeps its time zone and its nested types."""
     if not isinstance(values, pa.Array):

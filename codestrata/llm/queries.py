@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm import bpe, decontaminate, html_text, line_dedup, minhash, quality, simhash, token_counts, url_filter, warc
+from codestrata.llm.arrow import spread
 from codestrata.llm.scratch import Scratch
 
 BPE_RANKS = corpus_pipeline.BPE_RANKS
@@ -22,22 +23,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return html_text.extract_text(spread(table(spark, sf_dir, "pages"))).select("page_id", "url", "text", "n_chars")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return bpe.encode_documents(docs, public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN, ids=False)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The cache is the run's own, so that a run counts its whole table; a production job names a lasting path.
     cache = token_counts.DigestCache(spark, Scratch(spark, "counts").path("cache"))
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNTED_TOKENIZER), cache)
+    return token_counts.count_tokens(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(COUNTED_TOKENIZER), cache)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,28 +47,28 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.fingerprint_documents(table(spark, sf_dir, "documents"))
+    return minhash.fingerprint_documents(spread(table(spark, sf_dir, "documents")))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     scored = quality.score(docs, model).drop("text")
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "lines_in", "lines_out", "text")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = warc.write_and_read(table(spark, sf_dir, "pages"))
+    read = warc.write_and_read(spread(table(spark, sf_dir, "pages")))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 OP5_SQL = r"""
