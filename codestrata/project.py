@@ -33,7 +33,7 @@ class Project:
 
     def __init__(self, spark: SparkSession, root: str, path: str | None = None, scorer=None):
         self.spark, self.root, self.scorer = spark, root, scorer
-        self.store = Store(spark, path or f"{root.rstrip('/')}/.code-review-graph/tables")
+        self.store = Store(spark, path or f"{root.rstrip('/')}/.codestrata/tables")
 
     # Tables.
 

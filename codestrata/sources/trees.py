@@ -15,6 +15,8 @@ from codestrata.functions.text import content_hash
 
 # Folders that hold no sources of the project.
 IGNORED = ["node_modules", ".git", "__pycache__", ".venv", "venv", ".tox", "dist", "build", ".code-review-graph", ".idea", ".vscode", "vendor", "target"]
+#: The store that a project keeps in its own tree.
+OWN_FOLDER = ".codestrata"
 WATCH_IGNORED = [*IGNORED, ".next", ".nuxt"]
 # Marks of generated files.
 GENERATED_PATHS = [r"_pb2\.py$", r"_pb2_grpc\.py$", r"[/\\]migrations[/\\]\d+_", r"\.generated\."]
@@ -41,7 +43,7 @@ def list_files(root: str, ignored: list[str] = IGNORED) -> list[tuple[str, int]]
     while folders:
         for entry in system.get_file_info(pafs.FileSelector(folders.pop())):
             if entry.type == pafs.FileType.Directory:
-                if entry.base_name not in ignored:
+                if entry.base_name not in ignored and entry.base_name != OWN_FOLDER:
                     folders.append(entry.path)
             elif os.path.splitext(entry.base_name)[1].lower() in wanted:
                 found.append((entry.path[len(base) + 1 :], entry.size or 0))
