@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, dealt out anew only where its scan has fewer splits than there are cores."""
+    found, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return found if found.rdd.getNumPartitions() >= cores else found.repartition(cores)
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
     joined = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))

@@ -197,30 +197,30 @@ def search_token_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return binding.texts(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
 @query
 def doc_tokens(spark: SparkSession, d: str) -> DataFrame:
-    tokens = retrieval.tokens_of(_table(spark, d, "documents"), "doc_id", "text")
+    tokens = retrieval.tokens_of(binding.texts(spark, d, "documents"), "doc_id", "text")
     return tokens.groupBy("id").agg(F.count("*").alias("n_tokens"), F.count_distinct("term").alias("n_terms"))
 
 
 @query
 def doc_df(spark: SparkSession, d: str) -> DataFrame:
-    docs = _table(spark, d, "documents")
+    docs = binding.texts(spark, d, "documents")
     return docs.select(F.explode(F.array_distinct(X.tfidf_tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 @query
 def tfidf_vocab(spark: SparkSession, d: str) -> DataFrame:
-    v = retrieval.vocabulary(_table(spark, d, "documents"), "doc_id", "text")
+    v = retrieval.vocabulary(binding.texts(spark, d, "documents"), "doc_id", "text")
     return v.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query
 def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
-    docs = _table(spark, d, "documents")
+    docs = binding.texts(spark, d, "documents")
     w = retrieval.tfidf(docs, retrieval.vocabulary(docs, "doc_id", "text"), "doc_id", "text")
     return w.select("id", "term", F.round("w", 4).alias("w"))
 
@@ -277,7 +277,7 @@ def embedding_texts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def embedding_nodes(spark: SparkSession, d: str) -> DataFrame:
-    vectors, docs = _table(spark, d, "embeddings"), _table(spark, d, "documents")
+    vectors, docs = _table(spark, d, "embeddings"), binding.texts(spark, d, "documents")
     return vectors.join(docs, F.col("vec_id") == F.col("doc_id")).select("vec_id", "label", "lang", "source", F.size("embedding").alias("dim"))
 
 
@@ -310,14 +310,14 @@ def extract_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def line_scan(spark: SparkSession, d: str) -> DataFrame:
-    docs = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), F.lit("text").alias("language"), F.col("text").alias("source"), F.lit("").alias("sha256"))
+    docs = binding.texts(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), F.lit("text").alias("language"), F.col("text").alias("source"), F.lit("").alias("sha256"))
     lines = extract.lines_of(docs).withColumn("left", X.strip_left(F.col("txt")))
     return lines.select(F.col("file").cast("long").alias("doc_id"), "line", F.length("txt").alias("size"), (F.length("txt") - F.length("left")).alias("indent"))
 
 
 @query
 def script_calls(spark: SparkSession, d: str) -> DataFrame:
-    pages = _table(spark, d, "pages")
+    pages = binding.texts(spark, d, "pages")
     return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(\w+)\s*\("), 1)).alias("called")).where(~F.col("called").isin(extract.CALL_DENYLIST)).groupBy("page_id", "called").agg(F.count("*").alias("n"))
 
 
