@@ -150,6 +150,13 @@ class Lines:
         return np.concatenate(out_lines), np.concatenate(keys)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that a worker holds few texts twice."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _text_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(docs[id_column].cast("long").alias("i"), docs[text_column].alias("t"), F.xxhash64(docs[id_column].cast("long"), docs[text_column]).alias("row"))
 
@@ -158,7 +165,7 @@ def _shared_keys(rows: DataFrame, emit: Callable[[Lines], tuple[np.ndarray, np.n
     """Keys that two different lines emit, by pre-aggregated minima and maxima of the lines' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
+        for batch in _slices(batches):
             for _, part in blocks(utf8(column(batch, "t"))):
                 lines = Lines(part)
                 h = lines.whole(0)
@@ -235,7 +242,7 @@ def _keys(rows: DataFrame, prefixes: np.ndarray, halves: np.ndarray) -> DataFram
     shared = rows.sparkSession.sparkContext.broadcast((prefixes, halves))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
+        for batch in _slices(batches):
             place = _places(batch)
             for first, part in blocks(utf8(column(batch, "t"))):
                 made = _Rows(Lines(part), *shared.value, place[first:])
@@ -251,7 +258,7 @@ def _filed(rows: DataFrame, prefixes: np.ndarray, halves: np.ndarray, keys: np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         prefixes, halves, keys = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             ids, row, place = column(batch, "i"), column(batch, "row").to_numpy(zero_copy_only=False), _places(batch)
             for first, part in blocks(utf8(column(batch, "t"))):
                 lines = Lines(part)
@@ -300,19 +307,17 @@ def dedup_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     schema = T.StructType([*base.schema.fields, T.StructField(before_column, T.IntegerType()), T.StructField(after_column, T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts, before, after = [], [], []
-                for text, gone in zip(column(part, text_column).to_pylist(), column(part, "__lines").to_pylist(), strict=True):
-                    lines = text.split("\n") if text is not None else []
-                    before.append(len(lines))
-                    if gone:
-                        out = set(gone)
-                        lines = [x for k, x in enumerate(lines) if k not in out]
-                        text = "\n".join(lines)
-                    after.append(len(lines))
-                    texts.append(text)
-                yield {c: column(part, c) for c in kept} | {text_column: texts, before_column: before, after_column: after}
+        for part in _slices(batches):
+            texts, before, after = [], [], []
+            for text, gone in zip(column(part, text_column).to_pylist(), column(part, "__lines").to_pylist(), strict=True):
+                lines = text.split("\n") if text is not None else []
+                before.append(len(lines))
+                if gone:
+                    out = set(gone)
+                    lines = [x for k, x in enumerate(lines) if k not in out]
+                    text = "\n".join(lines)
+                after.append(len(lines))
+                texts.append(text)
+            yield {c: column(part, c) for c in kept} | {text_column: texts, before_column: before, after_column: after}
 
     return map_rows(joined, schema, run)
