@@ -283,6 +283,11 @@ def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     """The rows, with all their columns, that stay: of each component the one with the smallest id (null last; ties: by the text's hash)."""
     scratch = Scratch(docs.sparkSession, "simhash")
     prints, named = _named(docs, scratch, id_column, text_column, width)
+    return keep_one(docs, prints, named, scratch, id_column=id_column, text_column=text_column)
+
+
+def keep_one(docs: DataFrame, prints: DataFrame, named: DataFrame, scratch: Scratch, *, id_column: str, text_column: str) -> DataFrame:
+    """The rows that stay; ``prints``: (i, row, fp) of every row, ``named``: (fp, root)."""
     place = F.struct(F.col("i").isNull().alias("none"), F.col("i").alias("i"), F.col("row").alias("row"))
     # Equal rows are one place; how often it stands is counted, so that one of them stays.
     places = scratch.table(prints.groupBy("fp", "i", "row").agg(F.count("*").alias("n")).join(named.select("fp", "root"), "fp"), "places")

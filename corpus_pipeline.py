@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import bpe, decontaminate, line_dedup, quality, simhash
+from codestrata.llm import bpe, decontaminate, line_dedup, near_copies, quality
 from codestrata.llm.arrow import spread
 from codestrata.llm.scratch import Scratch
 
@@ -38,8 +38,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) stays."""
+    return near_copies.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ STAGES = [
     ("byte_bpe", token_stage),
 ]
 
-#: A linear model, an edit-distance join, 64-bit shingle votes, BM25 and BPE have no SQL form; tests hold each against brute force.
+#: A linear model, an edit-distance join, a set similarity join, BM25 and BPE have no SQL form; tests hold each against brute force.
 ORACLE_SQL = None
 
 

@@ -6,12 +6,13 @@ import random
 import re
 from collections import defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from codestrata.llm import decontaminate, line_dedup, minhash, queries, simhash, url_filter, warc
+from codestrata.llm import decontaminate, line_dedup, minhash, near_copies, queries, simhash, url_filter, warc
 from codestrata.llm.scratch import Scratch
 
 DATA = "/root/testdata/sf0.001"
@@ -125,6 +126,43 @@ def test_components_of_a_path(spark):
     assert got == {k: 0 for k in range(1, 61)} | {101: 100}
 
 
+# --- near copies ----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("rounds", "small"), [(near_copies.ROUNDS, 1), (0, near_copies.SMALL)])
+def test_near_copies(spark, monkeypatch, rounds, small):
+    """The pipeline's stage against all pairs at a Jaccard similarity of 0.8 of five-word shingles."""
+    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+    monkeypatch.setattr(near_copies, "SMALL", small)
+    r = random.Random(21)
+    words = [f"w{k}" for k in range(400)]
+    common = " ".join(r.choices(words, k=60))
+    base = [" ".join(r.choices(words, k=n)) for n in (3, 5, 9, 14, 45, 90, 200, 600) for _ in range(3)]
+    texts = [None, "", " \n", "w1", "W1", *base, *(f"{common} {t}" for t in base)]
+    for t in base:
+        n = len(t.split())
+        texts += [noisy(r, t, r.randint(0, 1 + n // 30)) for _ in range(6)] + [t.rsplit(" ", 1 + n // 8)[0], f"{t} {' '.join(r.choices(words, k=1 + n // 7))}"]
+    texts += [noisy(r, base[-4], r.randint(0, 6)) for _ in range(60)]
+    r.shuffle(texts)
+
+    def shingles(text):
+        w = split(text)
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    pairs = 0
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                pairs += 1
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {x["doc_id"] for x in corpus_pipeline.near_dedup_stage(spark, rows.repartition(5), DATA).collect()}
+    assert pairs > 300 and kept == set(root)
+
+
 # --- MinHash --------------------------------------------------------------------------------------
 
 
