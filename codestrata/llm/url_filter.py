@@ -39,7 +39,9 @@ def host_of(url: Column) -> Column:
 
 def path_of(url: Column) -> Column:
     """What follows the host, up to ``?``, ``#`` or the end."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    # Cut first: a host pattern that may start at a later ``://`` would give an inner URL's path.
+    rest = F.when(F.contains(url, F.lit("://")), F.substr(url, F.locate("://", url) + 3))
+    return F.coalesce(F.regexp_extract(rest, r"(?s)^[^/?#]*(/[^?#]*)", 1), F.lit(""))
 
 
 def key_of(host: Column, path: Column) -> Column:

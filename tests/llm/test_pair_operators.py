@@ -334,6 +334,14 @@ def test_urls(spark):
     assert {r["verdict"] for r in url_filter.filter_urls(spark, df, []).collect()} == {"allow"}
 
 
+def test_urls_within_urls(spark):
+    """The path is the outer URL's, also where that has none."""
+    urls = ["https://shop.example.org?next=https://x.com/es/1", "https://shop.example.org?next=https://x.example.org/es/1", "http://a.com#http://b/de/x", "http://a.com/fr/?u=http://b.com/de/", "http://example.org://x/es/", "://://org/es/", "http://é.com?ü://b.com/de/x", "x" * 20000 + "://a.com?y://b.com/de/", "x" * 20000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(spark, df, queries.URL_RULES).collect())
+    assert got == [(k, *plain_rule(u)) for k, u in enumerate(urls)]
+
+
 def test_cascade_is_exact(spark):
     r = random.Random(12)
     universe = [f"h{k}.example/{r.randint(0, 99)}" for k in range(3000)]
