@@ -3,9 +3,10 @@
 A count depends on a text's normal content and on the tokenizer alone. So counts
 are stored under (digest of the normal content, digest of the tokenizer file):
 a run joins its digests to the stored ones, encodes each distinct missing
-content once and appends what it found. The normal content folds runs of space,
-tab, line feed and carriage return into one space and trims them, which this
-family of tokenizers drops; the digest is SHA-256.
+content once and appends what it found. Where the tokenizer drops white space, the
+normal content folds runs of space, tab, line feed and carriage return into one
+space and trims them; for any other it is the text as it is. The digest is SHA-256.
+Tokenizer files are those of the ``tokenizers`` library (JSON); others are refused.
 
 Encoding. The tokenizer's pre-tokenizer never crosses white space, so a text's
 count is the sum over its white-space chunks; a worker remembers the chunks it
@@ -40,6 +41,26 @@ CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 _LIBRARY = regex.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u0300-\U0010ffff]")
 
 
+def described(path: str) -> dict:
+    """A tokenizer file's JSON."""
+    try:
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+    except ValueError as e:
+        made = e
+    if not isinstance(made, dict) or not isinstance(made.get("model"), dict):
+        raise ValueError(f"{path} is no JSON file of the tokenizers library; other kinds, like sentencepiece models, are not supported")
+    return made
+
+
+def drops_white_space(made: dict) -> bool:
+    """Whether the count is the sum over white-space chunks: NFC, white space folded, lower case; white space removed by the splitter."""
+    steps = made.get("normalizer") or {}
+    kinds = [x["type"] for x in steps.get("normalizers", [])]
+    split = (made.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+    return kinds == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and bool(split.get("invert")) and made["model"].get("type") == "BPE"
+
+
 class Counter:
     """Counts of whole texts by a ``tokenizers`` file, as ``encode(text, add_special_tokens=False)`` gives them."""
 
@@ -47,16 +68,11 @@ class Counter:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        made = described(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        with open(path, encoding="utf-8") as file:
-            made = json.load(file)
-        steps = made.get("normalizer") or {}
-        kinds = [x["type"] for x in steps.get("normalizers", [])]
-        split = (made.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-        # The shortcut holds for: NFC, white space folded, lower case; white space removed by the splitter.
-        self.by_chunk = kinds == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and bool(split.get("invert")) and made["model"]["type"] == "BPE"
+        self.by_chunk = drops_white_space(made)
         special = [x["content"] for x in made.get("added_tokens", [])]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.memo: dict[str, int] = {}
@@ -99,9 +115,10 @@ def counter(path: str) -> Counter:
     return _counters[path]
 
 
-def content_digest(text: Column) -> Column:
-    """SHA-256 of the normal content, as 32 bytes."""
-    return F.unhex(F.sha2(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[ \\t\\n\\r]+", " ")), 256))
+def content_digest(text: Column, folded: bool = True) -> Column:
+    """SHA-256 of the normal content, as 32 bytes; ``folded``: white space does not count."""
+    text = F.coalesce(text, F.lit(""))
+    return F.unhex(F.sha2(F.trim(F.regexp_replace(text, "[ \\t\\n\\r]+", " ")) if folded else text, 256))
 
 
 def tokenizer_digest(path: str) -> str:
@@ -136,10 +153,12 @@ def count_tokens(docs: DataFrame, path: str, cache: DigestCache, *, limit: int =
     digests back to their counts, a plain join that adaptive execution splits
     where one content is hot.
     """
-    version = tokenizer_digest(path)
+    folded = drops_white_space(described(path))
+    # Counts of folded contents that a cache may hold for such a tokenizer are not read.
+    version = tokenizer_digest(path) + ("" if folded else "-raw")
     text = F.coalesce(docs[text_column], F.lit(""))
-    keyed = docs.select(docs[id_column].alias("i"), F.octet_length(text).cast("long").alias("n_bytes"), content_digest(text).alias("content_digest"))
-    contents = docs.select(content_digest(text).alias("content_digest"), text.alias("t"))
+    keyed = docs.select(docs[id_column].alias("i"), F.octet_length(text).cast("long").alias("n_bytes"), content_digest(text, folded).alias("content_digest"))
+    contents = docs.select(content_digest(text, folded).alias("content_digest"), text.alias("t"))
     missing = contents.join(cache.counts(version), "content_digest", "left_anti").groupBy("content_digest").agg(F.first("t").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

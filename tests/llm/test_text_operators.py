@@ -94,6 +94,24 @@ def test_counts_like_the_library(spark, docs):
     assert token_counts.count_tokens(docs.limit(0), path, cache).count() == 0
 
 
+def test_token_counts_of_white_space(spark, tmp_path):
+    """A tokenizer that keeps white space counts each text by itself; files of another kind are refused."""
+    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+    own = Tokenizer(models.WordLevel({"a": 0, " ": 1, "?": 2}, unk_token="?"))
+    own.pre_tokenizer = pre_tokenizers.Split(Regex(r"\s"), "isolated")
+    path = str(tmp_path / "kept.json")
+    own.save(path)
+    texts = ["a a", "a  a", " a a", "a\na", None, "", "  "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cache = token_counts.DigestCache(spark, Scratch(spark, "t").path("kept"))
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, path, cache).collect()}
+    assert got == {k: len(own.encode(t or "").ids) for k, t in enumerate(texts)}
+    (tmp_path / "x.model").write_bytes(b"\n\x0e\n\x05<unk>\x15\xff")
+    with pytest.raises(ValueError, match="not supported"):
+        token_counts.count_tokens(docs, str(tmp_path / "x.model"), cache)
+
+
 def test_counts_by_chunk_cover_latin():
     own = token_counts.Counter(public_tokenizers.path(queries.COUNTED_TOKENIZER))
     for point in range(0x20, 0x300):
