@@ -19,6 +19,18 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, or longer ones where the table has columns of such names already."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def spread(table: DataFrame) -> DataFrame:
     """A plain scan, dealt out anew only where it has fewer splits than the cluster has cores (a small table in one row group)."""
     cores = table.sparkSession.sparkContext.defaultParallelism

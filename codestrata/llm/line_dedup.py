@@ -2,35 +2,34 @@
 
 A line is what line feeds part, as its words (runs without ASCII white space,
 A-Z in lower case). Two lines are duplicates if they are equal or if at most
-``EDITS`` = 1 word is inserted, deleted or replaced between them and the longer
-has ``LEAST_WORDS`` words or more (so that at least four of five words agree).
+one word is inserted, deleted or replaced between them and the longer has
+``least_words`` words or more (5: so that at least four of five words agree).
 A line goes if a duplicate stands earlier: in a row with a smaller id, or
 further up in the same row.
 
 The join. Two lines are within one edit exactly if they share a deletion variant:
 both with the same word deleted (a replacement), or one as it is and the other
-with a word deleted. So every line emits all its variants as hashed keys, each
-key learns the earliest place that files it (a pre-aggregated minimum, never a
-list), and a line is a duplicate if a key that it reads has an earlier place.
+with a word deleted. So each distinct line emits all its variants as hashed keys,
+each key learns the earliest line that files it (a pre-aggregated minimum, never a
+list), and a line has an earlier duplicate if a key that it reads has one.
 Nothing is paired, so one line or one template in a third of all rows costs no
 more than others.
 
-Pruning. The variants of a whole line are as many as its words, so lines whose
-neighbourhood is empty are told apart first, in passes that shuffle a few numbers
-a line. Lines within one edit share (1) a deletion variant of their first
-``PREFIX`` words and (2) one of their halves, whole. Keys that two different
-lines share are written to a bit array of bounded size (``MAX_BITS``) and
-broadcast; only lines that hit (1) emit (2), and only lines that hit both emit
-their neighbourhood, first as bare keys to find those that stand twice, then
-with their places. A false hit costs work, never a result.
+Pruning. The variants of a line are as many as its words, so lines whose
+neighbourhood is empty are told apart first: an edit leaves one half of a line
+whole, and only lines that share a half with a different line file variants. A
+bit array of bounded size (``MAX_BITS``) of the shared halves lets few other lines'
+texts travel; the join that follows is exact, so a full array costs one more
+shuffle of the texts and neither results nor more variants. Variants are filed
+as bare keys first; only those that two lines share are filed with places.
 
-Verification. A shared key proves the edit: replacement keys hold the position
-and both kinds hold all other words in order and their number, as 96 hash bits.
+Verification. The words of both lines are compared; only pairs at one edit count.
+Equal lines are equal in 96 hash bits of their words.
 
 Defined cases: ids are integers; null ids come last; null text stays null and has no
 lines; blank lines stay; rows are neither merged nor dropped; lines that share
 id and line number (repeated rows) are one place, so repeated rows are treated
-alike.
+alike; other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -39,20 +38,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codestrata.llm.arrow import column, map_rows, utf8
+from codestrata.llm.arrow import column, fresh, map_rows, utf8
 from codestrata.llm.scratch import Scratch
-from codestrata.llm.words import Words, blocks, mix
+from codestrata.llm.words import LOWER, Words, blocks, mix
 
 LEAST_WORDS = 5
-PREFIX = 6
 MAX_BITS = 1 << 26
 _BASES = (0xD6E8FEB86659FD93 | 1, 0xA0761D6478BD642F | 1)
 _LENGTH = np.uint64(0xE7037ED1A0B428DB)
 _REPLACED, _HALF = np.uint64(0x589965CC75374CC3), np.uint64(0x8EBC6AF09C88C6E3)
+_PLACE = "decimal(31,0)"
 
 
 _known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -78,7 +77,8 @@ class Lines:
         n = np.fromiter(map(len, split), np.int64, len(split))
         self.text = np.repeat(np.arange(len(texts)), n)
         self.number = np.arange(len(self.text)) - np.repeat(np.cumsum(n) - n, n)
-        words = Words([line for lines in split for line in lines])
+        self.lines = [line for lines in split for line in lines]
+        words = Words(self.lines)
         self.first, self.count = words.first[:-1], words.counts
         self.word = words.hashes()
         self._sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -98,56 +98,36 @@ class Lines:
         poly = (total[self.first + self.count] - total[self.first]) * inverse[self.first]
         return mix(poly + self.count.astype(np.uint64) * _LENGTH)
 
-    def variants(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(line, position, two hashes) of each line with one word deleted."""
+    def variants(self, lines: np.ndarray, second: bool = True) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(line, position, one or two hashes) of each line with one word deleted."""
         n = self.count[lines]
         line = np.repeat(lines, n)
         position = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
         start = self.first[line]
         at, end = start + position, start + self.count[line]
         out = []
-        for total, inverse in (self.sums(0), self.sums(1)):
+        for total, inverse in [self.sums(0), self.sums(1)][: 1 + second]:
             head = (total[at] - total[start]) * inverse[start]
             tail = (total[end] - total[at + 1]) * inverse[start] * inverse[1]
             out.append(mix(head + tail + (self.count[line] - 1).astype(np.uint64) * _LENGTH))
-        return line, position, out[0], out[1]
-
-    def prefix_keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """(line, key): the deletion variants of each line's first words, cut to ``PREFIX - 1`` words."""
-        lines, keys = [], []
-        power, _ = _powers(_BASES[0], PREFIX)
-        near = np.flatnonzero(self.count >= LEAST_WORDS - 1)
-        last = max(len(self.word) - 1, 0)
-        for gone in range(PREFIX):
-            # Without word ``gone``; the last turn of a short line deletes nothing.
-            here = near if gone == PREFIX - 1 else near[self.count[near] >= LEAST_WORDS]
-            size = np.minimum(self.count[here], PREFIX)
-            poly = np.zeros(len(here), np.uint64)
-            left = np.zeros(len(here), np.int64)
-            for k in range(PREFIX):
-                if k == gone:
-                    continue
-                there = k < size
-                part = self.word[np.minimum(self.first[here] + k, last)] if len(self.word) else poly
-                poly += np.where(there, part, np.uint64(0)) * power[k - (k > gone)]
-                left += there
-            lines.append(here)
-            keys.append(mix(poly + left.astype(np.uint64) * _LENGTH))
-        return np.concatenate(lines), np.concatenate(keys)
-
-    def half_keys(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(line, key): the halves of lines, as the shorter and as the longer of two lines; one edit leaves one half whole."""
+        return line, position, out
+
+    def half_keys(self, lines: np.ndarray) -> np.ndarray:
+        """Per line four keys: its halves, as the shorter and as the longer of two lines; one edit leaves one half whole."""
         total, inverse = self.sums(0)
-        out_lines, keys = [], []
+        keys = []
         start, count = self.first[lines], self.count[lines]
         for less in (0, 1):
             short = count - less
             half = short // 2
             for tail, (a, b) in enumerate(((start, start + half), (start + count - (short - half), start + count))):
                 size = (short * 2 + tail).astype(np.uint64)
-                out_lines.append(lines)
                 keys.append(mix((total[b] - total[a]) * inverse[a] + mix(size + _HALF)))
-        return np.concatenate(out_lines), np.concatenate(keys)
+        return np.stack(keys, axis=1)
+
+    def distinct(self, lines: np.ndarray) -> np.ndarray:
+        """The first of each set of equal lines; a block's repeats emit once."""
+        return lines[np.unique(self.whole(0)[lines], return_index=True)[1]]
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -157,28 +137,6 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def _text_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.select(docs[id_column].cast("long").alias("i"), docs[text_column].alias("t"), F.xxhash64(docs[id_column].cast("long"), docs[text_column]).alias("row"))
-
-
-def _shared_keys(rows: DataFrame, emit: Callable[[Lines], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Keys that two different lines emit, by pre-aggregated minima and maxima of the lines' hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in _slices(batches):
-            for _, part in blocks(utf8(column(batch, "t"))):
-                lines = Lines(part)
-                h = lines.whole(0)
-                line, key = emit(lines)
-                one = np.zeros(len(h), bool)
-                one[np.unique(h, return_index=True)[1]] = True  # a block's repeats emit once
-                line, key = line[one[line]], key[one[line]]
-                yield {"key": key.view(np.int64), "h": h[line].view(np.int64)}
-
-    keyed = map_rows(rows.select("t"), "key long, h long", run)
-    return keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
-
-
 def _bit_array(keys: DataFrame) -> np.ndarray:
     """The keys' bits, 64 a word; its size is the least power of two with 32 bits a key, within the bound."""
     n = keys.count()
@@ -199,117 +157,188 @@ def _hits(key: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (found & (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)) == 1
 
 
-def _near_by_prefix(lines: Lines, bits: np.ndarray) -> np.ndarray:
-    line, key = lines.prefix_keys()
-    return np.unique(line[_hits(key, bits)])
+def _lists(values: np.ndarray, owner: np.ndarray, rows: int) -> pa.Array:
+    """One list of keys for each row; null for rows that own none. ``owner`` ascends, each owner has one row of ``values``."""
+    width = values.shape[1]
+    has = np.zeros(rows, bool)
+    has[owner] = True
+    offsets = np.concatenate(([0], np.cumsum(has * width))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.reshape(-1).view(np.int64)), type=pa.list_(pa.field("element", pa.int64())), mask=pa.array(~has))
 
 
-def _near(lines: Lines, prefixes: np.ndarray, halves: np.ndarray) -> np.ndarray:
-    """The lines that another line may be within one edit of."""
-    line, key = lines.half_keys(_near_by_prefix(lines, prefixes))
-    return np.unique(line[_hits(key, halves)])
+def _place(i: Column, line: Column) -> Column:
+    """A place as a number: by id, null last, then by line."""
+    number = F.coalesce(i.cast("decimal(20,0)"), F.lit("99999999999999999999").cast("decimal(20,0)"))
+    return (number * F.lit(1 << 31).cast("decimal(10,0)") + line).cast(_PLACE)
 
 
-class _Rows:
-    """A block's keys with their places: ``line``, ``g``/``c``: the key, ``deleted``: whether a word is missing from it."""
-
-    def __init__(self, lines: Lines, prefixes: np.ndarray, halves: np.ndarray, place: np.ndarray):
-        g, c = lines.whole(0), lines.whole(1)
-        own = np.flatnonzero(lines.count > 0)
-        near = _near(lines, prefixes, halves)
-        # Later repeats of a line go anyway; only the block's earliest files its neighbourhood.
-        order = near[np.lexsort((lines.number[near], place[lines.text[near]], g[near]))]
-        near = order[np.concatenate(([True], g[order][1:] != g[order][:-1]))] if len(order) else order
-        where, position, vg, vc = lines.variants(near[lines.count[near] >= LEAST_WORDS])
-        replaced = mix((vg ^ _REPLACED) + position.astype(np.uint64))
-        self.line = np.concatenate((own, where, where))
-        self.g = np.concatenate((g[own], vg, replaced))
-        self.c = (np.concatenate((c[own], vc, vc)) >> np.uint64(32)).astype(np.uint32)
-        # Whose key it is: a neighbourhood belongs to a line's text, a whole line to its place.
-        seat = mix((place[lines.text[own]].astype(np.uint64) << np.uint64(20)) + lines.number[own].astype(np.uint64))
-        self.owner = np.concatenate((seat, g[where], g[where]))
-        self.deleted = np.zeros(len(self.line), bool)
-        self.deleted[len(own) : len(own) + len(where)] = True
-
-
-def _places(batch: pa.RecordBatch) -> np.ndarray:
-    """The ids as an order of a block's rows: null last."""
-    return column(batch, "i").fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
-
-
-def _keys(rows: DataFrame, prefixes: np.ndarray, halves: np.ndarray) -> DataFrame:
-    """Keys that two places, or the neighbourhoods of two different lines, share."""
-    shared = rows.sparkSession.sparkContext.broadcast((prefixes, halves))
+def _occurrences(rows: DataFrame, least: int) -> DataFrame:
+    """(g, c: a line's hashes; i, row, line: where it stands; halves: keys, once a block and line) of every line with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in _slices(batches):
-            place = _places(batch)
+            ids, row = column(batch, "i"), column(batch, "row").to_numpy(zero_copy_only=False)
             for first, part in blocks(utf8(column(batch, "t"))):
-                made = _Rows(Lines(part), *shared.value, place[first:])
-                yield {"key": made.g.view(np.int64), "owner": made.owner.view(np.int64)}
+                lines = Lines(part)
+                own = np.flatnonzero(lines.count > 0)
+                g, c = lines.whole(0), lines.whole(1)
+                emits = np.sort(lines.distinct(np.flatnonzero(lines.count >= least - 1)))
+                text = lines.text[own] + first
+                yield {
+                    "g": g[own].view(np.int64),
+                    "c": (c[own] >> np.uint64(32)).astype(np.uint32).view(np.int32),
+                    "i": ids.take(pa.array(text)),
+                    "row": row[text],
+                    "line": lines.number[own].astype(np.int32),
+                    "halves": _lists(lines.half_keys(emits), np.searchsorted(own, emits), len(own)),
+                }
 
-    keyed = map_rows(rows.select("i", "t"), "key long, owner long", run)
-    return keyed.groupBy("key").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).where("low <> high").select("key")
+    return map_rows(rows, "g long, c int, i long, row long, line int, halves array<long>", run)
 
 
-def _filed(rows: DataFrame, prefixes: np.ndarray, halves: np.ndarray, keys: np.ndarray) -> DataFrame:
-    """(g, c: a key; deleted; i, row, line: the place) of the keys that stand more than once."""
-    shared = rows.sparkSession.sparkContext.broadcast((prefixes, halves, keys))
+def _texts(rows: DataFrame, halves: np.ndarray, least: int) -> DataFrame:
+    """(g, c, text, halves) of the lines with a half in the bit array, once a block and line."""
+    shared = rows.sparkSession.sparkContext.broadcast(halves)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        prefixes, halves, keys = shared.value
         for batch in _slices(batches):
-            ids, row, place = column(batch, "i"), column(batch, "row").to_numpy(zero_copy_only=False), _places(batch)
-            for first, part in blocks(utf8(column(batch, "t"))):
+            for _, part in blocks(utf8(column(batch, "t"))):
                 lines = Lines(part)
-                made = _Rows(lines, prefixes, halves, place[first:])
-                some = np.flatnonzero(_hits(made.g, keys))
-                line = made.line[some]
-                text = lines.text[line] + first
+                some = lines.distinct(np.flatnonzero(lines.count >= least - 1))
+                keys = lines.half_keys(some)
+                hit = _hits(keys, shared.value).any(axis=1)
+                some, keys = some[hit], keys[hit]
                 yield {
-                    "g": made.g[some].view(np.int64),
-                    "c": made.c[some].view(np.int32),
-                    "deleted": made.deleted[some],
-                    "i": ids.take(pa.array(text)),
-                    "row": row[text],
-                    "line": lines.number[line].astype(np.int32),
+                    "g": lines.whole(0)[some].view(np.int64),
+                    "c": (lines.whole(1)[some] >> np.uint64(32)).astype(np.uint32).view(np.int32),
+                    "text": pa.array([lines.lines[k] for k in some], pa.binary()).cast(pa.string()),
+                    "halves": _lists(keys, np.arange(len(some)), len(some)),
                 }
 
-    return map_rows(rows, "g long, c int, deleted boolean, i long, row long, line int", run)
+    return map_rows(rows.select("t"), "g long, c int, text string, halves array<long>", run)
+
+
+def _blocks_of(near: DataFrame, schema: str, made: Callable[[Lines, pa.RecordBatch], dict]) -> DataFrame:
+    """``made`` of the blocks of a table of lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in _slices(batches, 2048):
+            at = 0
+            for _, part in blocks(utf8(column(batch, "text"))):
+                yield made(Lines(part), batch.slice(at, len(part)))
+                at += len(part)
+
+    return map_rows(near, schema, run)
 
 
-def duplicate_lines(docs: DataFrame, scratch: Scratch, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def _shared_variants(near: DataFrame, least: int) -> DataFrame:
+    """Keys (a line as it is, or without one word) that two different lines have."""
+
+    def made(lines: Lines, _: pa.RecordBatch) -> dict:
+        g = lines.whole(0)
+        line, _, (key,) = lines.variants(np.flatnonzero(lines.count >= least), second=False)
+        return {"key": np.concatenate((g, key)).view(np.int64), "h": np.concatenate((g, g[line])).view(np.int64)}
+
+    keyed = _blocks_of(near.select("text"), "key long, h long", made)
+    return keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
+
+
+def _filed(near: DataFrame, keys: np.ndarray, least: int) -> DataFrame:
+    """(k, kc: a key; deleted: a word is missing from it; g, c, place: the line that files it) of the keys that a bit array accepts."""
+    shared = near.sparkSession.sparkContext.broadcast(keys)
+
+    def made(lines: Lines, batch: pa.RecordBatch) -> dict:
+        g, c = lines.whole(0), lines.whole(1)
+        own = np.flatnonzero(_hits(g, shared.value))
+        where, position, (vg, vc) = lines.variants(np.flatnonzero(lines.count >= least))
+        hit = _hits(vg, shared.value)
+        where, position, vg, vc = where[hit], position[hit], vg[hit], vc[hit]
+        replaced = mix((vg ^ _REPLACED) + position.astype(np.uint64))
+        line = np.concatenate((own, where, where))
+        deleted = np.zeros(len(line), bool)
+        deleted[len(own) : len(own) + len(where)] = True
+        take = pa.array(line)
+        return {
+            "k": np.concatenate((g[own], vg, replaced)).view(np.int64),
+            "kc": (np.concatenate((c[own], vc, vc)) >> np.uint64(32)).astype(np.uint32).view(np.int32),
+            "deleted": deleted,
+            **{x: column(batch, x).take(take) for x in ("g", "c", "place")},
+        }
+
+    return _blocks_of(near, f"k long, kc int, deleted boolean, g long, c int, place {_PLACE}", made)
+
+
+def one_edit(a: list[bytes], b: list[bytes]) -> bool:
+    """Whether one word is inserted, deleted or replaced between two lists."""
+    a, b = sorted((a, b), key=len)
+    if len(b) - len(a) > 1:
+        return False
+    same = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    return a != b and a[same + (len(a) == len(b)) :] == b[same + 1 :]
+
+
+def _verified(pairs: DataFrame, near: DataFrame) -> DataFrame:
+    """The pairs whose words are at one edit."""
+    for end in ("", "o"):
+        pairs = pairs.join(near.select(F.col("g").alias(f"{end}g"), F.col("c").alias(f"{end}c"), F.col("text").alias(f"{end}text")), [f"{end}g", f"{end}c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in _slices(batches, 2048):
+            both = (([w for w in x.translate(LOWER).split(b" ") if w] for x in utf8(column(batch, name))) for name in ("text", "otext"))
+            ok = pa.array([one_edit(a, b) for a, b in zip(*both, strict=True)], pa.bool_())
+            yield {x: column(batch, x).filter(ok) for x in ("g", "c", "before")}
+
+    return map_rows(pairs, f"g long, c int, before {_PLACE}", run)
+
+
+def duplicate_lines(docs: DataFrame, scratch: Scratch, *, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(i, row, lines): for each row that loses lines its id, the hash of id and text, and the lines' numbers from 0."""
-    rows = _text_rows(docs, id_column, text_column)
-    prefixes = _bit_array(scratch.table(_shared_keys(rows, Lines.prefix_keys), "prefixes"))
-    first = rows.sparkSession.sparkContext.broadcast(prefixes)
-    halves = _bit_array(scratch.table(_shared_keys(rows, lambda lines: lines.half_keys(_near_by_prefix(lines, first.value))), "halves"))
-    keys = _bit_array(scratch.table(_keys(rows, prefixes, halves), "keys"))
-    filed = scratch.table(_filed(rows, prefixes, halves, keys), "filed")
-    place = F.coalesce(F.col("i").cast("decimal(20,0)"), F.lit("99999999999999999999").cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line")
-    # The earliest place of a key as a whole line (or replacement) and as a line without one word. Written first, so the join can be split.
-    earliest = scratch.table(filed.groupBy("g", "c").agg(F.min(F.when(~F.col("deleted"), place)).alias("as_is"), F.min(F.when(F.col("deleted"), place)).alias("without")), "earliest")
-    joined = filed.join(earliest, ["g", "c"])
-    hits = joined.where((F.col("as_is") < place) | (~F.col("deleted") & (F.col("without") < place)))
-    return hits.groupBy("i", "row").agg(F.collect_set("line").alias("lines"))
-
-
-def dedup_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", before_column: str = "lines_in", after_column: str = "lines_out") -> DataFrame:
+    i = docs[id_column].cast("long")
+    rows = docs.select(i.alias("i"), docs[text_column].alias("t"), F.xxhash64(i, docs[text_column]).alias("row"))
+    lines = scratch.table(_occurrences(rows, least_words), "lines")
+    halves = lines.select(F.explode("halves").alias("key"), F.col("g").alias("h"))
+    halves = scratch.table(halves.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key"), "halves")
+    # Distinct lines that share a half with another, with their earliest places.
+    texts = scratch.table(_texts(rows, _bit_array(halves), least_words).dropDuplicates(["g", "c"]), "texts")
+    meets = texts.select("g", "c", F.explode("halves").alias("key")).join(halves, "key", "left_semi").select("g", "c").distinct()
+    place = _place(F.col("i"), F.col("line"))
+    classes = scratch.table(lines.groupBy("g", "c").agg(F.min(place).alias("place"), F.max(place).alias("last")), "classes")
+    near = texts.select("g", "c", "text").join(meets, ["g", "c"]).join(classes.select("g", "c", "place"), ["g", "c"])
+    near = scratch.table(near, "near")
+    keys = _bit_array(scratch.table(_shared_variants(near, least_words), "keys"))
+    filed = scratch.table(_filed(near, keys, least_words), "filed")
+    # The earliest line of a key as a whole line (or replacement) and as a line without one word. Written first, so the join can be split.
+    line = F.struct("place", "g", "c")
+    earliest = filed.groupBy("k", "kc").agg(F.min(F.when(~F.col("deleted"), line)).alias("as_is"), F.min(F.when(F.col("deleted"), line)).alias("without"))
+    earliest = scratch.table(earliest, "earliest")
+    found = F.array(F.col("as_is"), F.when(~F.col("deleted"), F.col("without")))
+    pairs = filed.join(earliest, ["k", "kc"]).select("g", "c", "place", F.explode(found).alias("o")).where(F.col("o.place") < F.col("place"))
+    pairs = pairs.select("g", "c", F.col("o.g").alias("og"), F.col("o.c").alias("oc"), F.col("o.place").alias("before")).distinct()
+    before = _verified(scratch.table(pairs, "pairs"), near).groupBy("g", "c").agg(F.min("before").alias("before"))
+    # Of each line what stands after its own first place, or all of it if a near line is earlier.
+    going = classes.join(scratch.table(before, "before"), ["g", "c"], "left").where(F.col("before").isNotNull() | (F.col("place") < F.col("last")))
+    going = scratch.table(going.select("g", "c", F.least("place", "before").alias("stays")), "going")
+    gone = lines.select("g", "c", "i", "row", "line").join(going, ["g", "c"]).where(place > F.col("stays"))
+    return gone.groupBy("i", "row").agg(F.collect_set("line").alias("lines"))
+
+
+def dedup_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", before_column: str = "lines_in", after_column: str = "lines_out", least_words: int = LEAST_WORDS) -> DataFrame:
     """All rows and columns, the text without its duplicate lines, and the numbers of lines before and after."""
     scratch = Scratch(docs.sparkSession, "lines")
-    drops = duplicate_lines(docs, scratch, id_column=id_column, text_column=text_column)
-    drops = drops.select(F.col("row").alias("__row"), F.coalesce("i", F.lit(0)).alias("__i"), F.col("i").isNull().alias("__none"), F.col("lines").alias("__lines"))
+    drops = duplicate_lines(docs, scratch, id_column=id_column, text_column=text_column, least_words=least_words)
     base = docs.drop(before_column, after_column)
+    row, number, none, gone_column = fresh(base, "row", "i", "none", "gone")
+    drops = drops.select(F.col("row").alias(row), F.coalesce("i", F.lit(0)).alias(number), F.col("i").isNull().alias(none), F.col("lines").alias(gone_column))
     i = docs[id_column].cast("long")
-    keyed = base.withColumns({"__row": F.xxhash64(i, docs[text_column]), "__i": F.coalesce(i, F.lit(0)), "__none": i.isNull()})
-    joined = keyed.join(drops, ["__row", "__i", "__none"], "left").drop("__row", "__i", "__none")
+    keyed = base.withColumns({row: F.xxhash64(i, docs[text_column]), number: F.coalesce(i, F.lit(0)), none: i.isNull()})
+    joined = keyed.join(drops, [row, number, none], "left").drop(row, number, none)
     kept = [c for c in base.columns if c != text_column]
     schema = T.StructType([*base.schema.fields, T.StructField(before_column, T.IntegerType()), T.StructField(after_column, T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for part in _slices(batches):
             texts, before, after = [], [], []
-            for text, gone in zip(column(part, text_column).to_pylist(), column(part, "__lines").to_pylist(), strict=True):
+            for text, gone in zip(column(part, text_column).to_pylist(), column(part, gone_column).to_pylist(), strict=True):
                 lines = text.split("\n") if text is not None else []
                 before.append(len(lines))
                 if gone:

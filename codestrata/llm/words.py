@@ -13,11 +13,11 @@ import numpy as np
 
 BLOCK_BYTES = 1 << 20
 
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
 _BLANK = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 _SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: As lower-case words, with ASCII punctuation read as white space.
-PLAIN = _LOWER.translate(bytes.maketrans(_SIGNS, b" " * len(_SIGNS)))
+PLAIN = LOWER.translate(bytes.maketrans(_SIGNS, b" " * len(_SIGNS)))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -67,7 +67,7 @@ class Words:
     """
 
     def __init__(self, texts: list[bytes], lower: bool = True, table: bytes | None = None):
-        joined = b"\n".join([*texts, b""]).translate(table or (_LOWER if lower else _BLANK))
+        joined = b"\n".join([*texts, b""]).translate(table or (LOWER if lower else _BLANK))
         raw = np.frombuffer(joined, np.uint8)
         blank = raw == 32
         before = np.empty_like(blank)

@@ -250,6 +250,29 @@ def test_lines(spark, monkeypatch, bits):
     assert sorted(map(str, ((r["doc_id"], r["text"], r["lines_in"], r["lines_out"]) for r in got))) == sorted(map(str, want))
 
 
+def test_lines_far_apart(spark):
+    """Ids whose places would meet in 64 bits, and lines beyond 2^20 of one row."""
+    same = "one line of six words here"
+    rows = [(0, same), (1 << 44, same), (2, "other words stand in this line"), (2 + (1 << 44), "other words stood in this line"), (-(1 << 63), "the least id"), ((1 << 63) - 1, "The least  ID")]
+    got = {r["doc_id"]: r["lines_out"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 1, 1 << 44: 0, 2: 1, 2 + (1 << 44): 0, -(1 << 63): 1, (1 << 63) - 1: 0}
+    df = spark.createDataFrame([(0, "\n" * (1 << 20) + same), (1, same)], "doc_id long, text string")
+    assert {r["doc_id"]: r["lines_out"] for r in line_dedup.dedup_lines(df).collect()} == {0: (1 << 20) + 1, 1: 0}
+
+
+def test_one_edit():
+    a = [b"a", b"b", b"c", b"d"]
+    for b, near in (("a b c d", False), ("a b x d", True), ("a c d", True), ("a b c d e", True), ("x a b c d", True), ("b a c d", False), ("a b", False), ("x b c y", False)):
+        assert line_dedup.one_edit(a, b.encode().split()) is near and line_dedup.one_edit(b.encode().split(), a) is near
+
+
+def test_lines_with_clashing_columns(spark):
+    names = "row i none gone g c line halves text_ __row __i lines_in".split()
+    df = spark.createDataFrame([(1, "one line of five words", *range(12)), (2, "one line of five words", *range(12))], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    got = line_dedup.dedup_lines(df).orderBy("doc_id").collect()
+    assert [r["lines_out"] for r in got] == [1, 0] and all(r[n] == k for r in got for k, n in enumerate(names[:-1]))
+
+
 def test_lines_long_and_none(spark):
     long = " ".join(f"w{k}" for k in range(30000))
     df = spark.createDataFrame([(1, long), (2, long.replace("w29990 ", "")), (3, long.replace("w15000", "other")), (4, long.replace("w1 ", "x ").replace("w2 ", "y "))], "doc_id long, text string")
