@@ -1,26 +1,36 @@
 """Main text of web pages by composite text density.
 
 A page is read into a tree (implied end tags as browsers close them; unclosed
-and cut pages end where they end). What a page says of itself as no part of the
-article goes first: scripts, styles, menus, headers, footers, sidebars, forms,
-hidden parts and elements whose class, id or role names an advert, notice,
-comment list and the like. Then each element has
+and cut pages end where they end). Left out from the start is what cannot be text
+of the page: scripts, styles, form controls, embedded objects, hidden parts. Then
+each element has
 
     density = C/T * log_b( C/L * T/K ),   b = ln(C/(C-L) * L + Lb/Cb * C + e)
 
 with C its characters, T its tags, L its link characters, K its link tags and
 Cb, Lb the body's characters and link characters (0 counts as 1), so links make
-an element thin. The block with the greatest sum of its children's densities is
-the main block. The least density on the path from it to the body is the
-threshold: blocks that reach it elsewhere on the page are content too and each
-gives its own greatest subtree.
+an element thin. The block with the greatest sum of its children's densities (its
+own bare text counts as a child) is the main block; of equal sums the innermost. The
+least density on the path from it up to the body is the threshold: blocks that
+reach it elsewhere on the page are content too. A main block inside an
+``article`` or ``main`` element brings in that whole element, whose headings and
+short blocks may be thin.
+
+Adverts, notices and reader comments are often as dense as paragraphs, so what a
+page itself names by tag, role, class or id as such counts as link text: it has
+density 0, makes what holds it thin and is left out. Class and id names count for
+containers only; for paragraphs and headings only names of adverts do, for inline
+elements only outside running text. Not so named are: a form that holds most of the
+page's text, what stands around an article or a main heading, and, on pages
+without one, what holds most of the text.
 
 Text. Character references are decoded, white space inside a block is one space,
 blocks are trimmed and joined in page order by one line feed.
 
 Defined cases: null and empty pages, and pages without text, give the empty
 text; rows are neither merged nor dropped; nothing of a block is cut. Work and
-memory are linear in the page, the tree is walked without recursion.
+memory are linear in the page however deep it nests; the tree is walked without
+recursion.
 """
 
 from __future__ import annotations
@@ -63,19 +73,26 @@ IMPLIED = {
     "body": (frozenset(["head"]), frozenset(["html"])),
 }
 SCOPE = frozenset("table td th caption button object applet marquee template html".split())
+#: Elements that are never text of the page.
 DROPPED = frozenset(
-    "script style noscript template head title meta link iframe object embed applet canvas svg math audio video map nav footer aside form button input select "
-    "textarea datalist dialog menu noembed noframes search".split()
+    "script style noscript template head title meta link iframe object embed applet canvas svg math audio video map button input select textarea datalist noembed noframes".split()
 )
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note tablist".split())
-#: Words of class and id values (split at case changes and signs) that name what is no part of an article.
+#: Tags and roles by which a page names what is no part of the article.
+ASIDE = frozenset("nav footer aside form dialog menu search".split())
+ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note tablist".split())
+#: Words of class and id values (split at case changes and signs) that do so.
 NAMED = frozenset(
     "ad ads adsbygoogle adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu submenu breadcrumb "
     "breadcrumbs sidebar aside rail footer masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox newsletter subscribe "
     "subscription signup login register share sharing social follow comment comments commentlist reply replies respond disqus discussion reactions related recommended "
-    "recommendations recirc trending popular widget pagination pager copyright disclaimer legal paywall skip tags tagcloud toc search hidden".split()
+    "recommendations recirc trending popular widget pagination pager copyright disclaimer legal paywall skip tags tagcloud toc search hidden userposts usercomments ugc guestbook".split()
 )
+ADVERTS = frozenset("ad ads adsbygoogle adv advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion promoted cookie cookies newsletter".split())
+#: Blocks of running text.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dt dd figcaption caption summary".split())
 KEPT_TAGS = frozenset("html body main h1".split())
+#: The share of a page's characters from which an element is the page rather than a part beside the article.
+MOST = 0.8
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|(\Z))|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|(\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
@@ -96,15 +113,25 @@ def parse(page: str) -> Node:
     """The page's tree. Children are nodes and decoded texts in page order."""
     root = Node("html", None)
     stack = [root]
-
-    def close_to(names: frozenset[str], limits: frozenset[str]) -> None:
-        """Closes the nearest open element of these names, and all inside it, unless a limit is nearer."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in names:
-                del stack[k:]
-                return
-            if stack[k].name in limits:
-                return
+    places: dict[str, list[int]] = {}  # of each name the open elements' places in the stack
+
+    def nearest(names: frozenset[str]) -> int:
+        """The place of the innermost open element of these names; 0 if there is none."""
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+    def close(k: int) -> None:
+        """Closes the element at a place and all inside it."""
+        for node in stack[k:]:
+            places[node.name].pop()
+        del stack[k:]
+
+    def close_to(names: frozenset[str], limits: frozenset[str]) -> bool:
+        """Closes the innermost open element of these names, unless a limit is nearer."""
+        k = nearest(names)
+        if k and k >= nearest(limits):
+            close(k)
+            return True
+        return False
 
     def text(raw: str) -> None:
         if raw:
@@ -123,8 +150,8 @@ def parse(page: str) -> Node:
             break  # the page ends inside a tag
         if closing:
             name = closing.lower()
-            if name == "p" or name not in ("html", "body"):
-                close_to(frozenset([name]), frozenset(["table"]) if name not in ("table", "body") else frozenset())
+            if name not in ("html", "body"):
+                close_to(frozenset([name]), frozenset(["table"]) if name != "table" else frozenset())
             continue
         if not opening:
             continue
@@ -136,11 +163,8 @@ def parse(page: str) -> Node:
             close_to(frozenset(["p"]), SCOPE)
         if name in IMPLIED:
             names, limits = IMPLIED[name]
-            if name in ("tr", "tbody", "thead", "tfoot"):
-                while any(n.name in names for n in stack[_last(stack, limits) + 1 :]):
-                    close_to(names, limits)
-            else:
-                close_to(names, limits)
+            while close_to(names, limits) and name in ("tr", "tbody", "thead", "tfoot"):
+                pass
         node = Node(name, stack[-1], attributes)
         stack[-1].children.append(node)
         if name in VOID:
@@ -153,49 +177,51 @@ def parse(page: str) -> Node:
                 node.children.append(body)
             continue
         if not attributes.rstrip().endswith("/") or name not in ("svg", "math"):
+            places.setdefault(name, []).append(len(stack))
             stack.append(node)
     return root
 
 
-def _last(stack: list[Node], names: frozenset[str]) -> int:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].name in names:
-            return k
-    return 0
-
-
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
 
 
-def named(node: Node) -> bool:
-    """Whether class or id name the element as no part of the article."""
-    if not node.attributes:
+def hidden(node: Node) -> bool:
+    """Whether the element is not shown."""
+    if not node.attributes or node.name in KEPT_TAGS:
         return False
     found = _attributes(node.attributes)
-    return any(w.lower() in NAMED for w in _PART.findall(f"{found.get('class', '')} {found.get('id', '')}"))
+    return "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I))
 
 
-def boilerplate(node: Node, in_article: bool, holds: bool) -> bool:
-    """Whether the element is no part of the article by its tag, state, role or, unless it ``holds`` an article, name."""
-    name = node.name
-    if name in DROPPED or (name == "header" and not in_article):
-        return True
-    if not node.attributes or name in KEPT_TAGS:
+def named(node: Node) -> bool:
+    """Whether class or id name the element as no part of the article."""
+    if not node.attributes or node.name in KEPT_TAGS:
         return False
+    if node.name in TEXTUAL:
+        names = ADVERTS
+    elif node.name in BLOCKS:
+        names = NAMED
+    elif node.parent is None or node.parent.name in TEXTUAL or any(isinstance(c, str) and not c.isspace() for c in node.parent.children):
+        return False  # inside running text
+    else:
+        names = NAMED
     found = _attributes(node.attributes)
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return True
-    if found.get("role", "").lower() in DROPPED_ROLES:
+    return any(w.lower() in names for w in _PART.findall(f"{found.get('class', '')} {found.get('id', '')}"))
+
+
+def aside(node: Node, in_article: bool) -> bool:
+    """Whether tag or role name the element as no part of the article."""
+    if node.name in ASIDE or (node.name == "header" and not in_article):
         return True
-    return not holds and named(node)
+    return bool(node.attributes) and node.name not in KEPT_TAGS and _attributes(node.attributes).get("role", "").lower() in ASIDE_ROLES
 
 
 class _Measures:
-    __slots__ = ("chars", "density", "link_chars", "link_tags", "total", "tags")
+    __slots__ = ("chars", "density", "link_chars", "link_tags", "own", "tags", "total")
 
     def __init__(self) -> None:
-        self.chars = self.link_chars = self.tags = self.link_tags = 0
+        self.chars = self.own = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
@@ -209,87 +235,121 @@ def _density(m: _Measures, body: _Measures) -> float:
     return m.chars / tags * (math.log(max(inner, 1.0)) / math.log(base) if base > 1 else math.log(max(inner, 1.0)))
 
 
-def content_roots(root: Node) -> list[Node]:
-    """The subtrees that make the main text, in page order."""
-    # Elements around the article keep their place whatever their names ("layout with-sidebar"): if every element
-    # that marks an article stands inside named ones, those inside the fewest keep what is around them.
+def _around(root: Node) -> tuple[set[Node], bool]:
+    """(what stands around the page's article marks, whether it has any).
+
+    Elements around the article keep their place whatever their names ("layout with-sidebar"): if every element that
+    marks an article stands inside named ones, those inside the fewest keep what is around them.
+    """
     marks: list[tuple[int, Node]] = []
     walk = [(root, 0)]
     while walk:
         node, inside = walk.pop()
-        if node is not root and (node.name in DROPPED or node.name == "header"):
+        if node is not root and (node.name in DROPPED or node.name == "header" or (node.name in ASIDE and node.name != "form")):
             continue
-        own = node.name not in KEPT_TAGS and named(node)
+        own = named(node) or node.name == "form"
         if node.name in ("main", "h1") or (node.name == "article" and not own):
             marks.append((inside, node))
         walk.extend((c, inside + own) for c in node.children if isinstance(c, Node))
     least = min((n for n, _ in marks), default=0)
-    holders: set[Node] = set()
+    around: set[Node] = set()
     for inside, node in marks if least else []:
         up = node.parent if inside == least else None
-        while up is not None and up not in holders:
-            holders.add(up)
+        while up is not None and up not in around:
+            around.add(up)
             up = up.parent
-    order: list[tuple[Node, bool]] = []
-    stack: list[tuple[Node, bool]] = [(root, False)]
-    while stack:
-        node, in_article = stack.pop()
-        if node is not root and boilerplate(node, in_article, node in holders):
-            node.dropped = True
-            continue
-        order.append((node, in_article))
-        inside = in_article or node.name in ("article", "main")
-        stack.extend((c, inside) for c in reversed(node.children) if isinstance(c, Node))
+    return around, bool(marks)
+
+
+def _measured(order: list[Node], thin: set[Node]) -> dict[Node, _Measures]:
+    """The nodes' characters and tags; those of links and of ``thin`` elements as link characters and link tags."""
     measures: dict[Node, _Measures] = {}
-    for node, _ in reversed(order):  # children before parents
+    for node in reversed(order):  # children before parents
         m = measures[node] = _Measures()
         for child in node.children:
             if isinstance(child, str):
-                m.chars += len(_SPACE.sub("", child))
+                m.own += len(_SPACE.sub("", child))
             elif not child.dropped:
                 c = measures[child]
                 m.chars += c.chars
                 m.link_chars += c.link_chars
                 m.tags += c.tags + 1
                 m.link_tags += c.link_tags
-        if node.name == "a":
+        m.chars += m.own
+        if node in thin:
+            m.link_chars, m.link_tags = m.chars, m.tags + 1
+        elif node.name == "a":
             m.link_chars, m.link_tags = m.chars, m.link_tags + 1
-    body = next((n for n, _ in order if n.name == "body"), root)
+    return measures
+
+
+def content_roots(root: Node) -> list[Node]:
+    """The subtrees that make the main text, in page order; what they leave out is marked."""
+    order: list[Node] = []
+    articles: set[Node] = set()  # inside an article
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node is not root and (node.name in DROPPED or hidden(node)):
+            node.dropped = True
+            continue
+        order.append(node)
+        if node.parent in articles or node.name in ("article", "main"):
+            articles.add(node)
+        stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+    body = next((n for n in order if n.name == "body"), root)
+    plain = _measured(order, set())
+    around, marked = _around(root)
+    # What the page names as no part of the article, and all inside it.
+    thin: set[Node] = set()
+    for node in order:
+        if node is root or node.parent in thin:
+            if node is not root:
+                thin.add(node)
+        elif node not in around:
+            share = plain[node].chars / max(plain[body].chars, 1)
+            if aside(node, node.parent in articles):
+                beside = node.name != "form" or share * 2 <= 1
+            else:
+                beside = named(node) and (marked or share < MOST)
+            if beside:
+                thin.add(node)
+    measures = _measured(order, thin)
     whole = measures[body]
-    if not measures[root].chars:
+    if not any(measures[n].own for n in order if n not in thin):
         return []
-    for node, _ in order:
+    for node in order:
         measures[node].density = _density(measures[node], whole)
-    for node, _ in order:
-        measures[node].total = sum(measures[c].density for c in node.children if isinstance(c, Node) and not c.dropped)
-    able = [n for n, _ in order if n.name in HOLDERS and measures[n].chars]
+    for node in order:
+        m, own = measures[node], _Measures()
+        own.chars = m.own
+        m.total = _density(own, whole) + sum(measures[c].density for c in node.children if isinstance(c, Node) and not c.dropped)
+    able = [n for n in order if n.name in HOLDERS and n not in thin and measures[n].chars]
     if not able:
-        return [root]
-    best = max(able, key=lambda n: measures[n].total)
+        return []
+    best = max(reversed(able), key=lambda n: measures[n].total)
     threshold, node = measures[best].density, best
     while node is not body and node.parent is not None:
         threshold = min(threshold, measures[node].density)
         node = node.parent
-    # An article's own blocks may be thin; the element that names the article is taken whole.
-    node = best
+    for node in thin:
+        node.dropped = measures[node].density <= 0 or measures[node].density < threshold
+    above, node = set(), best
     while node is not None:
         if node.name in ("article", "main"):
             best = node
         node = node.parent
-    roots, inside = [], {best}
-    above = set()
     node = best.parent
     while node is not None:
         above.add(node)
         node = node.parent
-    for node, _ in order:
+    roots, inside = [], set()
+    for node in order:
         if node.parent in inside:
             inside.add(node)
-        elif node is best:
-            roots.append(node)
-        elif node in above or node.name not in HOLDERS and node.name not in BLOCKS:
+        elif node.dropped or node in above:
             continue
-        elif measures[node].chars and measures[node].density >= threshold and not _links(measures[node]) and best.name not in ("article", "main"):
+        elif node is best or (node.name in BLOCKS and measures[node].chars and measures[node].density >= threshold and not _links(measures[node])):
             roots.append(node)
             inside.add(node)
     return roots

@@ -1,8 +1,12 @@
 """HTML text, BPE, token counts, quality and their edge cases, against brute force and the libraries."""
 
 import hashlib
+import math
 import random
+import re
+import time
 import zlib
+from xml.etree import ElementTree
 
 import numpy as np
 import public_tokenizers
@@ -134,8 +138,85 @@ def test_html():
     nested = '<div class="layout has-sidebar"><article><p>Body of it.</p></article><div class="comments"><article><p>A reader says a thing or two.</p></article></div></div>'
     assert text(nested) == "Body of it."
     assert text('<article><p>Short.</p></article><div class="comments"><article>Long words of a reader of this page</article></div><div class="adBox"><h1>Buy</h1></div>') == "Short."
-    deep = "<div>" * 3000 + "deep" + "</div>" * 3000
-    assert text(deep) == "deep"
+    for opening in ("<div>", "<p><table><tr><td>", "<p><span>", "<table>", "<li><b>"):
+        start = time.monotonic()
+        assert text(opening * 100_000 + "deep") == "deep"
+        assert time.monotonic() - start < 30, opening
+
+
+def test_html_without_named_parts():
+    """Tags and names alone decide nothing about running text, page-wide forms and what stands around the article."""
+    text = html_text.main_text
+    long = " ".join(["several words of a paragraph"] * 12)
+    assert text(f"<body><form id=aspnetForm><input><div><p>{long}</p><p>{long}</p><p>End.</p></div><select><option>x</select></form></body>") == f"{long}\n{long}\nEnd."
+    assert text(f'<div class=post><p>{long}</p><p class="legal">By law.</p><p>See <span class="tags">this one</span> too.</p><p>{long}</p></div>') == f"{long}\nBy law.\nSee this one too.\n{long}"
+    assert text(f"<main><h1>T</h1><p>{long}</p><div class=userposts><p>{long} says a reader</p></div></main>") == f"T\n{long}"
+    assert text(f'<body class="with-sidebar"><div class="page has-sidebar"><div><p>{long}</p><p>{long}</p><p>{long}</p></div><div class=sidebar><p>Read on</p></div></div>') == f"{long}\n{long}\n{long}"
+    assert text(f"<article><p>{long}</p></article><article><p>{long} more</p></article><div class=ad><p>{long}</p></div>") == f"{long}\n{long} more"
+
+
+def page_of(r):
+    """A page of blocks without telling names."""
+
+    def block(depth):
+        words = " ".join("".join(r.choices("abcdefg", k=r.randint(1, 9))) for _ in range(r.choice([1, 3, 12, 40])))
+        kind = r.random()
+        if depth == 0 or kind < 0.35:
+            return f"<p>{words}</p>"
+        if kind < 0.5:
+            return "<ul>" + "".join(f"<li><a href=x>{w}</a></li>" for w in words.split()[:6]) + "</ul>"
+        if kind < 0.6:
+            return f"<p>{words} <a href=y>{words[: r.randint(1, 20)]}</a></p>"
+        return "<div>" + "".join(block(depth - 1) for _ in range(r.randint(1, 5))) + "</div>"
+
+    return "<html><body>" + "".join(block(3) for _ in range(r.randint(1, 5))) + "</body></html>"
+
+
+def plain_main_text(page):
+    """The density method, read off its definition with one walk for each number."""
+    tree = ElementTree.fromstring(page.replace("=x", "='x'").replace("=y", "='y'"))
+    up = {c: p for p in tree.iter() for c in p}
+    body = tree.find("body")
+    size = lambda texts: sum(len("".join((t or "").split())) for t in texts)
+    own = lambda n: size([n.text, *(c.tail for c in n)])
+    chars = lambda n: size(n.itertext())
+    links = lambda n: sum(chars(a) for a in n.iter("a"))
+
+    def density(c, tags, link, link_tags):
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - link, 1) * link + links(body) / max(chars(body), 1) * c + math.e)
+        inner = math.log(max(c / max(link, 1) * max(tags, 1) / max(link_tags, 1), 1))
+        return c / max(tags, 1) * (inner / math.log(base) if base > 1 else inner)
+
+    of = {n: density(chars(n), sum(1 for _ in n.iter()) - 1, links(n), sum(1 for _ in n.iter("a"))) for n in tree.iter()}
+    total = {n: sum(of[c] for c in n) + density(own(n), 0, 0, 0) for n in tree.iter()}
+    best = max([n for n in tree.iter() if n.tag in ("html", "body", "div") and chars(n)][::-1], key=total.get)
+    path = [best]
+    while path[-1] is not body and path[-1] in up:
+        path.append(up[path[-1]])
+    threshold = min(of[n] for n in path if n is not body or n is best)
+    out = []
+
+    def walk(n):
+        if n is best or (n not in path and n.tag in ("div", "p", "ul", "li") and chars(n) and of[n] >= threshold and links(n) * 2 <= chars(n)):
+            out.extend(" ".join("".join(b.itertext()).split()) for b in n.iter() if b.tag in ("p", "li"))
+        else:
+            for c in n:
+                walk(c)
+
+    walk(tree)
+    return "\n".join(out)
+
+
+def test_html_by_density(monkeypatch):
+    r = random.Random(17)
+    pages = [page_of(r) for _ in range(300)]
+    got = [html_text.main_text(p) for p in pages]
+    assert got == [plain_main_text(p) for p in pages]
+    whole = sum(t == html_text.main_text("<body>" + re.sub("<a .*?</a>", "", p)) for p, t in zip(pages, got, strict=True))
+    monkeypatch.setattr(html_text, "_density", lambda m, body: 1.0)
+    assert whole < 280 and sum(html_text.main_text(p) != t for p, t in zip(pages, got, strict=True)) > 100
 
 
 def test_html_pages(spark):
