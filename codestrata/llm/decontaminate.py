@@ -1,13 +1,15 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, searched by block-max WAND.
 
-Every passage of every text is a query: windows of ``2 * stride`` words, a
-stride apart, where the stride is the longest item's length (``LEAST_STRIDE`` at
-least), so that an item lies whole in some window. Words are runs of letters,
-digits and bytes beyond ASCII, A-Z in lower case.
+Items are indexed by length: those of up to 32 words, of up to 64, and so on, each
+class with passages of its own. Every passage of every text is a query: windows of
+twice the class's longest item, half a window apart, so that an item lies whole in
+some window. Words are runs of letters, digits and bytes beyond ASCII, A-Z in lower
+case.
 
 An item's score for a passage is the share of the item's own BM25 mass whose
-terms the passage holds, so one threshold fits all items. Block-max WAND finds
-every item at or above the threshold: a passage whose terms' greatest weights
+terms the passage holds, so one threshold fits all items; document frequencies and
+the mean length are those of all items, however these are dealt to indexes. Block-max
+WAND finds every item at or above the threshold: a passage whose terms' greatest weights
 sum to less, over all items and over each of ``RANGES`` ranges of items, is passed
 over (for many passages at once, before any list is opened); then pivots are chosen by the lists' greatest weights, blocks are
 skipped by their own, and the rest are scored whole. All bounds are upper
@@ -15,44 +17,47 @@ bounds, so nothing above the threshold is lost, and no number of hits is kept.
 
 Verification. An item is a question and an answer: the last line if it has
 several, else the last sentence, else the last quarter of its words. A hit
-counts if runs of ``SHINGLE`` words that the passage shares (the whole part where
-it is shorter) cover at least ``OVERLAP`` of the question's words and of the
-answer's.
+counts if the passage holds, in their order, at least ``OVERLAP`` of the question's
+words and of the answer's (the longest common subsequence); of a part of two words
+or more one word may always be missing.
 
-The index is built on the driver from at most ``ITEMS`` items at a time and
-broadcast; longer lists are searched in as many passes, each over all texts.
-Nothing is shuffled but the passes' hits.
+An index of about ``ITEMS`` items is built on the driver and broadcast; longer lists
+are searched in as many passes, one index after the other, each over all texts.
+Nothing is shuffled but the passes' hits (and, in ``drop_contaminated``, the texts
+where there are several passes).
 
 Defined cases: null and empty texts hold nothing; items without words match
-nothing; repeated items are separate items; rows are neither merged nor dropped
-except, in ``drop_contaminated``, those that hold an item.
+nothing; items equal in id and text are one, other repeated items are separate; rows
+are neither merged nor dropped except, in ``drop_contaminated``, those that hold an item.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm.arrow import column, map_rows, utf8
+from codestrata.llm.scratch import Scratch
 from codestrata.llm.words import PLAIN, Words, blocks
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.8
-SHINGLE = 5
 LEAST_STRIDE = 32
 BLOCK = 4
 RANGES = 64
 ITEMS = 20_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -68,24 +73,41 @@ def split_item(text: str) -> tuple[str, str]:
     return " ".join(words[:cut]), " ".join(words[cut:])
 
 
-def runs(words: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of ``width`` word hashes."""
-    out = np.zeros(max(len(words) - width + 1, 0), np.uint64)
-    for k in range(width):
-        out = out * _BASE + words[k : k + len(out)]
-    return out
+def in_order(part: np.ndarray, passage: np.ndarray) -> int:
+    """How many of the part's words the passage holds in their order: the longest common subsequence, a bit a word."""
+    at: dict[int, int] = {}
+    for k, word in enumerate(part.tolist()):
+        at[word] = at.get(word, 0) | 1 << k
+    whole = (1 << len(part)) - 1
+    free = whole
+    for word in passage[np.isin(passage, part)].tolist():
+        hit = free & at[word]
+        free = (free + hit | free - hit) & whole
+    return len(part) - free.bit_count()
+
+
+def verified(part: np.ndarray, passage: np.ndarray) -> tuple[bool, float]:
+    """Whether the passage holds the part, and the share of its words; an empty part is held."""
+    n = len(part)
+    if not n:
+        return True, 1.0
+    held = in_order(part, passage)
+    return held >= n * OVERLAP - 1e-9 or n - held <= (n > 1), held / n
+
 
+class Statistics(NamedTuple):
+    """Of all items: how many have words, their mean length, in how many each term stands."""
+
+    items: int
+    mean: float
+    terms: np.ndarray  # ascending hashes
+    frequency: np.ndarray
 
-def covered(part: np.ndarray, passage: np.ndarray) -> float:
-    """The share of the part's words inside runs that the passage has too; an empty part is covered."""
-    if not len(part):
-        return 1.0
-    width = min(SHINGLE, len(part))
-    shared = np.isin(runs(part, width), runs(passage, width))
-    inside = np.zeros(len(part), bool)
-    for k in range(width):
-        inside[k : k + len(shared)] |= shared
-    return float(inside.mean())
+
+def item_words(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Question and answer as word hashes."""
+    question, answer = (Words([p.encode()], table=PLAIN).hashes() for p in split_item(text or ""))
+    return question, answer
 
 
 @dataclass
@@ -102,27 +124,22 @@ class Index:
     known: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))  # bits of the terms' low hash bits
 
     @classmethod
-    def build(cls, rows: list[tuple[int, str]]) -> Index:
-        items, parts, bags = [], [], []
-        for item, text in rows:
-            question, answer = (Words([p.encode()], table=PLAIN).hashes() for p in split_item(text or ""))
-            both = np.concatenate((question, answer))
-            if len(both):
-                items.append(item)
-                parts.append((question, answer))
-                bags.append(both)
+    def build(cls, rows: list[tuple[int, str]], statistics: Statistics | None = None) -> Index:
+        return cls._build([(i, *item_words(t)) for i, t in rows], statistics)
+
+    @classmethod
+    def _build(cls, rows: list[tuple[int, np.ndarray, np.ndarray]], statistics: Statistics | None) -> Index:
+        rows = [r for r in rows if len(r[1]) + len(r[2])]
         # Items of like length stand together: their weights are alike, so their ranges' and blocks' bounds are tight.
-        order = sorted(range(len(bags)), key=lambda k: (len(bags[k]), items[k]))
-        items, parts, bags = ([x[k] for k in order] for x in (items, parts, bags))
+        rows.sort(key=lambda r: (len(r[1]) + len(r[2]), r[0] is None, r[0]))
+        items, parts = [r[0] for r in rows], [(r[1], r[2]) for r in rows]
+        bags = [np.concatenate(p) for p in parts]
         terms = np.unique(np.concatenate(bags)) if bags else np.zeros(0, np.uint64)
-        mean = float(np.mean([len(b) for b in bags])) if bags else 1.0
-        frequency = np.zeros(len(terms), np.int64)
-        counted = []
-        for bag in bags:
-            at, n = np.unique(np.searchsorted(terms, bag), return_counts=True)
-            frequency[at] += 1
-            counted.append((at, n))
-        idf = np.log(1 + (len(bags) - frequency + 0.5) / (frequency + 0.5))
+        of = statistics or statistics_of(bags)
+        frequency = of.frequency[np.searchsorted(of.terms, terms)]
+        counted = [np.unique(np.searchsorted(terms, bag), return_counts=True) for bag in bags]
+        mean = of.mean
+        idf = np.log(1 + (of.items - frequency + 0.5) / (frequency + 0.5))
         lists: list[tuple[list[int], list[float], list[float]]] = [([], [], []) for _ in terms]
         for item, (at, n) in enumerate(counted):
             weight = idf[at] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(bags[item]) / mean))
@@ -206,77 +223,153 @@ class Index:
             cursors = [c for c in cursors if c[0] < len(c[1][0])]
         return found
 
-    def hits(self, texts: list[bytes]) -> list[tuple[int, int, float, float, float]]:
-        """(text, item id, score, question overlap, answer overlap): each text's verified items, best passage each."""
-        best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for first, part in blocks(texts):
-            words = Words(part, table=PLAIN)
-            h = words.hashes()
-            term = self.term_ids(h)
-            weight = np.where(term >= 0, self.greatest[term] if len(self.terms) else 0.0, 0.0)
-            total = np.concatenate(([0.0], np.cumsum(weight)))
-            # Windows: starts a stride apart inside each text.
-            n = np.where(words.counts > 0, np.maximum(-(-(words.counts - self.stride) // self.stride), 1), 0)
-            text = np.repeat(np.arange(len(n)), n)
-            start = words.first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * self.stride
-            end = np.minimum(start + 2 * self.stride, words.first[text + 1])
-            open_ = np.flatnonzero(total[end] - total[start] >= THRESHOLD - 1e-9)
-            for run in range(0, len(open_), 2048):
-                at = open_[run : run + 2048]
-                for k, inside in self.promising(term, start[at], end[at]):
-                    span = slice(start[at[k]], end[at[k]])
-                    for item, score in self.search(inside):
-                        question, answer = (covered(p, h[span]) for p in self.parts[item])
-                        if question >= OVERLAP and answer >= OVERLAP:
-                            key = (first + int(text[at[k]]), item)
-                            best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, question, answer))
-        return [(t, self.items[i], *v) for (t, i), v in sorted(best.items())]
-
-
-def build_indexes(items: DataFrame, *, id_column: str = "item_id", text_column: str = "text") -> list[Index]:
-    """Indexes of at most ``ITEMS`` items each; one part of the list is on the driver at a time."""
-    rows = items.select(items[id_column].cast("long").alias("i"), items[text_column].alias("t"))
+    def found(self, words: Words, h: np.ndarray) -> Iterator[tuple[int, int, float, float, float]]:
+        """(text, item's place, score, question overlap, answer overlap) of the texts' verified passages."""
+        term = self.term_ids(h)
+        weight = np.where(term >= 0, self.greatest[term] if len(self.terms) else 0.0, 0.0)
+        total = np.concatenate(([0.0], np.cumsum(weight)))
+        # Windows: starts a stride apart inside each text.
+        n = np.where(words.counts > 0, np.maximum(-(-(words.counts - self.stride) // self.stride), 1), 0)
+        text = np.repeat(np.arange(len(n)), n)
+        start = words.first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * self.stride
+        end = np.minimum(start + 2 * self.stride, words.first[text + 1])
+        open_ = np.flatnonzero(total[end] - total[start] >= THRESHOLD - 1e-9)
+        for run in range(0, len(open_), 2048):
+            at = open_[run : run + 2048]
+            for k, inside in self.promising(term, start[at], end[at]):
+                span = slice(start[at[k]], end[at[k]])
+                for item, score in self.search(inside):
+                    (asked, question), (answered, answer) = (verified(p, h[span]) for p in self.parts[item])
+                    if asked and answered:
+                        yield int(text[at[k]]), item, score, question, answer
+
+
+def statistics_of(bags: list[np.ndarray]) -> Statistics:
+    each = [np.unique(b) for b in bags]
+    terms, frequency = np.unique(np.concatenate(each), return_counts=True) if bags else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return Statistics(len(bags), float(np.mean([len(b) for b in bags])) if bags else 1.0, terms, frequency)
+
+
+def by_length(rows: list[tuple[int, str]], statistics: Statistics | None = None) -> list[Index]:
+    """An index for each class of lengths."""
+    made = [(i, *item_words(t)) for i, t in rows]
+    made = [r for r in made if len(r[1]) + len(r[2])]
+    of = statistics or statistics_of([np.concatenate(r[1:]) for r in made])
+    classes: dict[int, list] = {}
+    for row in made:
+        classes.setdefault((max(len(row[1]) + len(row[2]), LEAST_STRIDE) - 1).bit_length(), []).append(row)
+    return [Index._build(classes[k], of) for k in sorted(classes)]
+
+
+def hits(indexes: list[Index], texts: list[bytes]) -> list[tuple[int, int, float, float, float]]:
+    """(text, item id, score, question overlap, answer overlap): each text's verified items, best passage each."""
+    best: dict[tuple[int, int, int], tuple[float, float, float]] = {}
+    for first, part in blocks(texts):
+        words = Words(part, table=PLAIN)
+        h = words.hashes()
+        for k, index in enumerate(indexes):
+            for text, item, *values in index.found(words, h):
+                key = (first + text, k, item)
+                best[key] = max(best.get(key, (0.0, 0.0, 0.0)), tuple(values))
+    return [(t, indexes[k].items[i], *v) for (t, k, i), v in sorted(best.items())]
+
+
+def built(items: DataFrame, scratch: Scratch, *, id_column: str = "item_id", text_column: str = "text") -> list[Callable[[], list[Index]]]:
+    """Builders of indexes of about ``ITEMS`` items each, all with the statistics of the whole list."""
+    rows = scratch.table(items.select(items[id_column].cast("long").alias("i"), items[text_column].alias("t")).distinct(), "items")
     parts = max(1, -(-rows.count() // ITEMS))
     if parts == 1:
-        return [Index.build([(r["i"], r["t"]) for r in rows.collect()])]
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(2 * parts))
-    return [Index.build([(r["i"], r["t"]) for r in rows.where(part == k).collect()]) for k in range(2 * parts)]
+        return [lambda: by_length([(r["i"], r["t"]) for r in rows.collect()])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            bags = [np.concatenate(item_words(t)) for t in column(batch, "t").to_pylist()]
+            yield {"i": column(batch, "i"), "t": column(batch, "t"), "n": [len(b) for b in bags], "terms": [np.unique(b).view(np.int64) for b in bags]}
+
+    deal = F.pmod(F.xxhash64("i", "t"), F.lit(parts)).alias("part")
+    bags = scratch.table(map_rows(rows, "i long, t string, n long, terms array<long>", run).select("*", deal), "bags")
+    whole = bags.where("n > 0").agg(F.count("*").alias("items"), F.avg("n").alias("mean")).first()
+    terms = bags.select("part", F.explode("terms").alias("term"))
+    frequency = scratch.table(terms.groupBy("term").agg(F.count("*").alias("n")), "frequency")
+
+    def build(k: int) -> list[Index]:
+        of = terms.where(F.col("part") == k).select("term").distinct().join(frequency, "term").toArrow()
+        term, n = of.column("term").to_numpy().view(np.uint64), of.column("n").to_numpy()
+        order = np.argsort(term)
+        own = [(r["i"], r["t"]) for r in bags.where(F.col("part") == k).select("i", "t").collect()]
+        return by_length(own, Statistics(whole["items"], whole["mean"] or 1.0, term[order], n[order]))
+
+    return [lambda k=k: build(k) for k in range(parts)]
+
+
+def _passes(spark: SparkSession, builders: list[Callable[[], list[Index]]], scratch: Scratch, made: Callable[[Broadcast], DataFrame]) -> list[DataFrame]:
+    """``made`` of each index. Where there are several, each result is written, so that one index at a time is held."""
+    out = []
+    for k, build in enumerate(builders):
+        shared = spark.sparkContext.broadcast(build())
+        out.append(made(shared))
+        if len(builders) > 1:
+            out[k] = scratch.table(out[k], f"pass-{k}")
+            shared.destroy()
+    return out
 
 
 def contaminated(docs: DataFrame, items: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, ``item_id``, ``score``, ``question_overlap``, ``answer_overlap``): each text's items, one row a pair."""
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(docs[id_column].alias("i"), docs[text_column].alias("t"))
-    found = []
-    for index in build_indexes(items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[dict]:
+    def search(shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
                     part = batch.slice(at, 1024)
-                    hits = shared.value.hits(utf8(column(part, "t")))
-                    if hits:
-                        text, item, score, question, answer = (list(x) for x in zip(*hits, strict=True))
+                    found = hits(shared.value, utf8(column(part, "t")))
+                    if found:
+                        text, item, score, question, answer = (list(x) for x in zip(*found, strict=True))
                         yield {"i": column(part, "i").take(pa.array(text)), "item_id": item, "score": score, "question_overlap": question, "answer_overlap": answer}
 
-        found.append(map_rows(rows, f"i {kind}, item_id long, score double, question_overlap double, answer_overlap double", run))
-    return reduce(DataFrame.unionByName, found).withColumnRenamed("i", id_column)
+        return map_rows(rows, f"i {kind}, item_id long, score double, question_overlap double, answer_overlap double", run)
+
+    scratch = Scratch(docs.sparkSession, "leaks")
+    return reduce(DataFrame.unionByName, _passes(docs.sparkSession, built(items, scratch), scratch, search)).withColumnRenamed("i", id_column)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, text_column: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose texts hold no item."""
-    kept = docs
-    for index in build_indexes(items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    """The rows, with all their columns, whose texts hold no item.
+
+    A single index drops rows as they pass; several name the texts that hold
+    items by digest, and an anti-join drops the rows.
+    """
+    scratch = Scratch(docs.sparkSession, "leaks")
+    builders = built(items, scratch)
+
+    def held(part: pa.RecordBatch, name: str, shared: Broadcast) -> pa.Array:
+        """Which rows' texts hold an item."""
+        out = np.zeros(part.num_rows, bool)
+        out[[h[0] for h in hits(shared.value, utf8(column(part, name)))]] = True
+        return pa.array(out)
+
+    def clean(shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
+                    keep = pc.invert(held(part, text_column, shared))
+                    yield {c: column(part, c).filter(keep) for c in part.schema.names}
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        return map_rows(docs, docs.schema, run)
+
+    def digests(shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
                     part = batch.slice(at, 1024)
-                    clean = np.ones(part.num_rows, bool)
-                    clean[[h[0] for h in shared.value.hits(utf8(column(part, text_column)))]] = False
-                    yield {c: column(part, c).filter(pa.array(clean)) for c in part.schema.names}
+                    yield {"digest": column(part, "digest").filter(held(part, "t", shared))}
+
+        return map_rows(docs.select(docs[text_column].alias("t"), F.sha2(docs[text_column], 256).alias("digest")), "digest string", run)
 
-        kept = map_rows(kept, kept.schema, run)
-    return kept
+    if len(builders) == 1:
+        return _passes(docs.sparkSession, builders, scratch, clean)[0]
+    found = reduce(DataFrame.unionByName, _passes(docs.sparkSession, builders, scratch, digests)).distinct()
+    return docs.join(found, F.sha2(docs[text_column], 256) == found["digest"], "left_anti")

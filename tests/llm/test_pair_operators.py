@@ -315,15 +315,51 @@ def test_leak_search_like_full_scores():
 
 
 def test_leaks_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "ITEMS", 7)
+    """However the items are dealt to indexes, pairs and scores are the same."""
     items = spark.read.parquet(f"{DATA}/benchmark.parquet")
-    docs = spark.createDataFrame([(r["item_id"], r["text"]) for r in items.collect()], "doc_id long, text string")
-    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(docs, items).collect()}
-    assert {(k, k) for k, _ in docs.collect()} <= got
+    items = items.union(items.limit(5)).union(spark.createDataFrame([(900, None), (901, ""), (None, "a b c d e f"), (902, "w " * 400)], items.schema))
+    r = random.Random(5)
+    docs = spark.createDataFrame([(k, noisy(r, x["text"], r.randint(0, 3)) if x["text"] else x["text"]) for k, x in enumerate(items.collect())], "doc_id long, text string")
+    found = lambda: sorted((x["doc_id"], str(x["item_id"]), round(x["score"], 9), x["question_overlap"], x["answer_overlap"]) for x in decontaminate.contaminated(docs, items).collect())
+    kept = lambda: sorted(x["doc_id"] for x in decontaminate.drop_contaminated(docs, items).collect())
+    one, clean = found(), kept()
+    monkeypatch.setattr(decontaminate, "ITEMS", 7)
+    assert found() == one and kept() == clean and len(one) > 30 and 0 < len(clean) < 15
     none = spark.createDataFrame([], items.schema)
     assert decontaminate.contaminated(docs, none).count() == 0 and decontaminate.drop_contaminated(docs, none).count() == docs.count()
 
 
+@pytest.mark.parametrize(("share", "least"), [(0, 1.0), (0.02, 0.95), (0.05, 0.9), (0.1, 0.8)])
+def test_leaks_with_edits(spark, share, least):
+    """Recall of items planted in filler with a share of their words replaced, over three seeds; no text holds another item."""
+    items = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    given = [(x["item_id"], x["text"]) for x in items.collect()]
+    rows, want = [], set()
+    for seed in range(3):
+        r = random.Random(seed)
+        for item, text in given:
+            words = text.split(" ")
+            changed = [w if r.random() >= share else "".join(r.choices("pqrst", k=4)) for w in words]
+            fill = [" ".join("".join(r.choices("pqrst", k=5)) for _ in range(r.randint(0, 300))) for _ in range(2)]
+            want.add((len(rows), item))
+            rows.append((len(rows), f"{fill[0]} {' '.join(changed)} {fill[1]}"))
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert len(got & want) >= least * len(want), len(got & want) / len(want)
+    clean = spark.createDataFrame([(k, " ".join(w for w, keep in ((w, r.random() < 0.5) for w in t.split()) if keep)) for k, (_, t) in enumerate(given) if len(t.split()) > 20], "doc_id long, text string")
+    assert decontaminate.contaminated(clean, items).count() == 0
+
+
+def test_in_order():
+    r = random.Random(6)
+    for _ in range(300):
+        a, b = ([r.randrange(6) for _ in range(r.randint(0, 14))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert decontaminate.in_order(np.array(a, np.uint64), np.array(b, np.uint64)) == best[-1][-1]
+
+
 def test_item_parts():
     assert decontaminate.split_item("a b.\nc d\ne") == ("a b.\nc d", "e")
     assert decontaminate.split_item("One two. Three four?") == ("One two.", "Three four?")
