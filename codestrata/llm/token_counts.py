@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm.arrow import column, map_rows
+from codestrata.llm.scratch import Scratch
 
 CHUNKS = 300_000
 LONGEST = 100
@@ -127,14 +128,17 @@ def tokenizer_digest(path: str) -> str:
 
 
 class DigestCache:
-    """Counts stored as a Parquet table that only grows; any number of tokenizers share it."""
+    """Counts stored as a Parquet table that only grows; any number of tokenizers share it, a run reads its own's folder."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         jvm = spark.sparkContext._jvm
         folder = jvm.org.apache.hadoop.fs.Path(path)
         if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-            spark.createDataFrame([], CACHE_SCHEMA).write.parquet(path)
+            self._append(spark.createDataFrame([], CACHE_SCHEMA))
+
+    def _append(self, rows: DataFrame) -> None:
+        rows.write.partitionBy("tokenizer_digest").mode("append").parquet(self.path)
 
     def counts(self, version: str) -> DataFrame:
         stored = self.spark.read.schema(CACHE_SCHEMA).parquet(self.path)
@@ -142,7 +146,7 @@ class DigestCache:
         return stored.where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
 
     def add(self, counts: DataFrame, version: str) -> None:
-        counts.select("content_digest", F.lit(version).alias("tokenizer_digest"), F.col("n_tokens").cast("long")).write.mode("append").parquet(self.path)
+        self._append(counts.select("content_digest", F.lit(version).alias("tokenizer_digest"), F.col("n_tokens").cast("long")))
 
 
 def count_tokens(docs: DataFrame, path: str, cache: DigestCache, *, limit: int = 2048, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -150,8 +154,8 @@ def count_tokens(docs: DataFrame, path: str, cache: DigestCache, *, limit: int =
 
     Shuffles: digests to the stored counts; each distinct missing content once
     (copies meet in the map-side aggregate, so a hot content is one row a task);
-    digests back to their counts, a plain join that adaptive execution splits
-    where one content is hot.
+    digests back to their counts, which are written first, so that the join is one
+    of two scans and adaptive execution splits it where one content is hot.
     """
     folded = drops_white_space(described(path))
     # Counts of folded contents that a cache may hold for such a tokenizer are not read.
@@ -169,8 +173,9 @@ def count_tokens(docs: DataFrame, path: str, cache: DigestCache, *, limit: int =
                 yield {"content_digest": column(part, "content_digest"), "n_tokens": [own.count(t) for t in column(part, "t").to_pylist()]}
 
     cache.add(map_rows(missing, "content_digest binary, n_tokens long", run), version)
+    counts = Scratch(docs.sparkSession, "token-counts").table(cache.counts(version), "counts")
     return (
-        keyed.join(cache.counts(version), "content_digest", "left")
+        keyed.join(counts, "content_digest", "left")
         .select("i", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
         .withColumnRenamed("i", id_column)
     )
