@@ -19,8 +19,8 @@ shared folder's URI; tables come through Spark alone.
 
 Defined cases: null html is the empty payload; null URLs have the empty key;
 payloads whose largest page id is null are all responses; rows equal in id and
-payload are all responses or all revisits and each keeps its own record; an
-empty table gives no files and no rows.
+payload are all responses or all revisits and each keeps its own record (their
+record ids, made from the page id, are equal); an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -158,6 +158,10 @@ class Archive:
         captures = self.scratch.table(map_rows(joined, CAPTURE_SCHEMA, run), "captures")
         self._index(captures)
 
+    def _ranges(self) -> int:
+        """Named where rows are few and small but cost much to read, since adaptive execution would put them into one task."""
+        return max(1, int(self.scratch.spark.conf.get("spark.sql.shuffle.partitions")))
+
     def _index(self, captures: DataFrame) -> None:
         """Sorts the captures (not the pages) and writes blocks and directories, one pair of files a range."""
         root = self.root
@@ -197,8 +201,7 @@ class Archive:
                     level2.write("\n".join(directory).encode())
                 yield {"first": [first], "name": [name]}
 
-        ranges = max(1, int(self.scratch.spark.conf.get("spark.sql.shuffle.partitions")))
-        ordered = captures.repartitionByRange(ranges, "key").sortWithinPartitions("key", "file", "at")
+        ordered = captures.repartitionByRange(self._ranges(), "key").sortWithinPartitions("key", "file", "at")
         self.scratch.table(map_rows(ordered, "first string, name string", run), "ranges")
 
     def captures(self, keys: DataFrame, key_column: str = "key") -> DataFrame:
@@ -251,7 +254,7 @@ class Archive:
                         made, size = {k: [] for k in names}, 0
                 yield made
 
-        ordered = keys.select(keys[key_column].alias("key")).distinct().repartitionByRange("key").sortWithinPartitions("key")
+        ordered = keys.select(keys[key_column].alias("key")).distinct().repartitionByRange(self._ranges(), "key").sortWithinPartitions("key")
         return map_rows(ordered, "key string, page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary", run)
 
 
