@@ -9,8 +9,9 @@ is exact for every key of the universe, and a URL is judged inside its row:
 no join, no shuffle.
 
 The filters are sized by the list, not by the corpus: level 1 lets a share of
-about (listed / universe) pass, so later levels hold few keys. They travel as
-literals in the plan and ``MAX_BITS`` is a checked bound on each.
+about (listed / universe) pass, so later levels hold few keys. Keys of a long list
+are dealt over several filters by their hash. Filters travel as literals in the
+plan; ``MAX_BITS`` and ``MAX_PARTS`` are checked bounds.
 
 Defined cases: null URLs and those without ``://`` have an empty host and path
 and fit no rule; rows are neither merged nor dropped; an empty rule list or an
@@ -25,10 +26,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codestrata.llm.arrow import fresh
 from codestrata.llm.scratch import Scratch
 
 HASHES = 4
-MAX_BITS = 1 << 26
+#: A filter's bits, and how many filters a level may have: 64 MB in all.
+MAX_BITS, MAX_PARTS = 1 << 26, 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,24 +57,31 @@ def bit_positions(key: Column, bits: int, level: int) -> list[Column]:
     return [F.pmod(one + k * two.bitwiseAND(F.lit(0x7FFFFFFFFF)) if k else one, F.lit(bits).cast("long")) for k in range(HASHES)]
 
 
-def bloom(keys: DataFrame, bits: int, level: int) -> list[int]:
-    """The filter's 64-bit words. The words are OR-ed map-side, so at most ``bits / 64`` rows reach the driver."""
-    if bits > MAX_BITS:
-        raise ValueError(f"a filter of {bits} bits is over the bound of {MAX_BITS}; split the list by host")
-    at = keys.select(F.explode(F.array(*bit_positions(F.col("key"), bits, level))).alias("at"))
+def part_of(key: Column, parts: int) -> Column:
+    """Which of a level's filters has the key."""
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(parts).cast("long"))
+
+
+def bloom(keys: DataFrame, bits: int, parts: int, level: int) -> list[int]:
+    """The 64-bit words of a level's filters, one after the other. They are OR-ed map-side, so at most ``parts * bits / 64`` rows reach the driver."""
+    if bits > MAX_BITS or parts > MAX_PARTS:
+        raise ValueError(f"{parts} filters of {bits} bits are over the bound of {MAX_PARTS} of {MAX_BITS}")
+    start = part_of(F.col("key"), parts) * bits
+    at = keys.select(F.explode(F.array(*(start + x for x in bit_positions(F.col("key"), bits, level)))).alias("at"))
     words = at.groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set")).collect()
-    out = [0] * ((bits + 63) // 64)
+    out = [0] * (parts * bits // 64)
     for row in words:
         out[row["word"]] = row["set"]
     return out
 
 
 def might_hold(key: Column, words: list[int], bits: int, level: int) -> Column:
-    """Whether a filter accepts a key: array look-ups in a literal, inside code generation."""
+    """Whether the key's filter accepts it: array look-ups in a literal, inside code generation."""
     literal = F.lit(np.array(words, np.int64))
+    start = part_of(key, len(words) * 64 // bits) * (bits // 64)
     tests = []
     for at in bit_positions(key, bits, level):
-        word = F.get(literal, F.floor(at / 64).cast("int"))
+        word = F.get(literal, (start + F.floor(at / 64)).cast("int"))
         tests.append(F.call_function("shiftright", word, (at % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
     out = tests[0]
     for test in tests[1:]:
@@ -99,7 +109,10 @@ class Cascade:
             share = min(max(share, 1e-9), 0.5)
             per_key = HASHES / -math.log(1 - share ** (1 / HASHES))
             bits = max(64, 1 << math.ceil(math.log2(max(1, n) * per_key)))
-            words = bloom(held, bits, level)
+            # A list beyond one filter's bound is dealt over several by the keys' hashes.
+            parts = max(1, bits // MAX_BITS)
+            bits //= parts
+            words = bloom(held, bits, parts, level)
             self.levels.append((words, bits))
             passed = (out or universe).select("key").where(might_hold(F.col("key"), words, bits, level)).distinct()
             if level == 0:
@@ -157,7 +170,8 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, st
     fits = F.filter(tagged, lambda x: x["verdict"].isNotNull())
     # The longest rule; candidates of one length are one key.
     best = F.aggregate(fits, F.struct(F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict")), lambda a, x: F.when(a["rule"].isNull() | (F.length(x["rule"]) > F.length(a["rule"])), x).otherwise(a))
-    return base.withColumn("_best", best).withColumn("rule", F.col("_best.rule")).withColumn("verdict", F.coalesce(F.col("_best.verdict"), F.lit(default))).drop("_best")
+    (found,) = fresh(base, "best")
+    return base.withColumn(found, best).withColumn("rule", F.col(found)["rule"]).withColumn("verdict", F.coalesce(F.col(found)["verdict"], F.lit(default))).drop(found)
 
 
 def _verdict(cascades: dict[str, Cascade], key: Column) -> Column:
