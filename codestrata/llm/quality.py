@@ -47,7 +47,7 @@ _CLASS[ord("0") : ord("9") + 1] = 4
 
 
 def held_out(id_column: Column) -> Column:
-    """Whether a row is kept from learning: CRC-32 of the id as text, modulo 5, is 0; a null id is learnt from."""
+    """Whether a row is kept from learning: CRC-32 of the id as text, modulo 5, is 0. A null id is not held out (nor learnt from: no label names it)."""
     return F.coalesce(F.crc32(F.encode(id_column.cast("string"), "UTF-8")) % FOLDS == 0, F.lit(False))
 
 
@@ -205,7 +205,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label_column: str = "quality",
     """Fits on at most ``sample`` labelled rows outside the held-out fold, chosen by the id's hash.
 
     The chosen ids (a bounded table) are broadcast; their features are built on
-    the executors and one task fits, so the driver gets the model alone.
+    the executors, of an id's rows those with the least hash stay, and one task
+    fits, so the driver gets the model alone.
     """
     chosen = (
         labels.select(labels[id_column].alias("i"), labels[label_column].cast("int").alias("y"))
@@ -229,12 +230,12 @@ def train(docs: DataFrame, labels: DataFrame, *, label_column: str = "quality",
         for batch in batches:
             found += zip(column(batch, "i").to_pylist(), column(batch, "y").to_pylist(), column(batch, "slots").to_pylist(), strict=True)
         found.sort(key=lambda r: (r[0], r[2]))  # whatever the order of arrival, one model
-        found = found[: 2 * sample]  # repeated ids alone could exceed the sample
         model = fit([np.frombuffer(r[2], np.int32) for r in found], np.array([r[1] for r in found], np.int64))
         yield {"weights": [model.weights.tobytes()], "scale": [model.scale.tobytes()], "numbers": [[model.bias, model.slope, model.offset]]}
 
     built = map_rows(rows, "i string, y int, slots binary", build)
-    row = map_rows(built.repartition(1), "weights binary, scale binary, numbers array<double>", learn).first()
+    one = built.groupBy("i").agg(F.min_by(F.struct("y", "slots"), F.xxhash64("slots")).alias("r")).select("i", "r.y", "r.slots")
+    row = map_rows(one.repartition(1), "weights binary, scale binary, numbers array<double>", learn).first()
     if row is None:
         return fit([], np.zeros(0))
     return Model(np.frombuffer(row["weights"], np.float32), np.frombuffer(row["scale"], np.float32), *row["numbers"])
