@@ -1,7 +1,7 @@
 """Tables that cut lineage, written to the folder that all executors share.
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
-that is unset (tests on one machine) a temporary folder stands in.
+that is unset on a local master (tests on one machine) a temporary folder stands in.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir is unset; on a cluster it must name a folder that all executors share")
     if not _FALLBACK:
         _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="codestrata-"))
     return _FALLBACK[0]
