@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import bpe, decontaminate, html_text, line_dedup, minhash, quality, simhash, token_counts, url_filter, warc
+from codestrata.llm import bpe, decontaminate, html_text, line_dedup, minhash, pipeline, quality, simhash, token_counts, url_filter, warc
 from codestrata.llm.arrow import spread
 from codestrata.llm.scratch import Scratch
 
-BPE_RANKS = corpus_pipeline.BPE_RANKS
+BPE_RANKS = pipeline.BPE_RANKS
 COUNTED_TOKENIZER = "word_bpe_49k.json"
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -101,7 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_warc": op9_warc,
         "op10_simhash": op10_simhash,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.arrow import column, map_rows, utf8
+from codestrata.llm.arrow import column, fresh, map_rows, utf8
 from codestrata.llm.scratch import Scratch
 from codestrata.llm.words import Words, blocks
 
@@ -287,17 +287,23 @@ def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
 
 
 def keep_one(docs: DataFrame, prints: DataFrame, named: DataFrame, scratch: Scratch, *, id_column: str, text_column: str) -> DataFrame:
-    """The rows that stay; ``prints``: (i, row, fp) of every row, ``named``: (fp, root)."""
+    """The rows that stay; ``prints``: (i, row, fp) of every row, ``named``: (fp, root).
+
+    Of rows equal in id and text, but not in other columns, the one with the least hash of its columns stays.
+    """
+    i, none, row, n = fresh(docs, "i", "none", "row", "n")
     place = F.struct(F.col("i").isNull().alias("none"), F.col("i").alias("i"), F.col("row").alias("row"))
     # Equal rows are one place; how often it stands is counted, so that one of them stays.
     places = scratch.table(prints.groupBy("fp", "i", "row").agg(F.count("*").alias("n")).join(named.select("fp", "root"), "fp"), "places")
-    stay = places.groupBy("root").agg(F.min(F.struct(place.alias("place"), F.col("n"))).alias("s")).select(F.coalesce(F.col("s.place.i"), F.lit(0)).alias("__i"), F.col("s.place.none").alias("__none"), F.col("s.place.row").alias("__row"), F.col("s.n").alias("__n"))
-    stay = scratch.table(stay, "stay")
-    i = docs[id_column]
-    keyed = docs.withColumns({"__i": F.coalesce(i, F.lit(0)), "__none": i.isNull(), "__row": F.xxhash64(i, docs[text_column])})
-    keys = ["__i", "__none", "__row"]
+    stay = places.groupBy("root").agg(F.min(F.struct(place.alias("place"), F.col("n"))).alias("s"))
+    stay = scratch.table(stay.select(F.coalesce(F.col("s.place.i"), F.lit(0)).alias(i), F.col("s.place.none").alias(none), F.col("s.place.row").alias(row), F.col("s.n").alias(n)), "stay")
+    own = docs[id_column]
+    keyed = docs.withColumns({i: F.coalesce(own, F.lit(0)), none: own.isNull(), row: F.xxhash64(own, docs[text_column])})
+    keys = [i, none, row]
     kept = keyed.join(stay, keys)
-    if stay.where("__n > 1").isEmpty():
+    if stay.where(F.col(n) > 1).isEmpty():
         return kept.select(*docs.columns)
-    once = kept.where("__n = 1")
-    return once.unionByName(kept.where("__n > 1").dropDuplicates(keys)).select(*docs.columns)
+    once = kept.where(F.col(n) == 1).select(*docs.columns)
+    whole = F.struct(*docs.columns)
+    first = kept.where(F.col(n) > 1).groupBy(*keys).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias(n)).select(f"{n}.*")
+    return once.unionByName(first)

@@ -11,13 +11,13 @@ from codestrata.llm import decontaminate, html_text, line_dedup, minhash, querie
 from codestrata.llm.scratch import Scratch
 
 DATA = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, i string, t int, row string, fp double, key binary, part array<int>, line map<string,int>, score string, lines_in long, h timestamp, parent_class struct<a:int,b:string>"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, i string, t int, row string, fp double, key binary, part array<int>, line map<string,int>, score string, lines_in long, h timestamp, parent_class struct<a:int,b:string>, __row long, __i string, __none int, __n int, none int, n int, gone int, clean int, before int, after int, best int, digest binary"
 
 
 @pytest.fixture(scope="module")
 def awkward(spark):
-    more = ("i", 1, "row", 0.5, b"k", [1, None], {"a": 1}, "s", 7, datetime(2024, 1, 1), (1, "b"))
-    none = (None,) * 11
+    more = ("i", 1, "row", 0.5, b"k", [1, None], {"a": 1}, "s", 7, datetime(2024, 1, 1), (1, "b"), 8, "own", *range(9), b"d")
+    none = (None,) * 23
     long = "one long line " * 30000
     rows = [(1, "The first line here.\nAnother line of it, not short.", "en", "s", 5, *more), (1, "The first line here.\nAnother line of it, not short.", "en", "s", 5, *more), (2, None, None, None, None, *none), (None, None, None, None, None, *none), (None, "", "", "", 0, *none), (3, "", "en", "s", 0, *more), (4, long, "en", "s", len(long), *more), (5, "\n\n \n", "en", "s", 4, *none), (5, "é" * 70, "fr", "s", 70, *none)]
     return spark.createDataFrame(rows, SCHEMA)
@@ -46,6 +46,7 @@ def test_stages(spark, awkward, tmp_path, name, empty):
             assert kept
             if "part" in out.columns:
                 assert kept[0]["part"] == [1, None] and kept[0]["h"] == datetime(2024, 1, 1) and kept[0]["parent_class"]["b"] == "b" and kept[0]["lines_in"] == 7
+                assert kept[0]["__row"] == 8 and kept[0]["__i"] == "own" and [kept[0][c] for c in "__none __n none n gone clean before after best".split()] == list(range(9))
 
 
 def test_operators(spark, awkward):

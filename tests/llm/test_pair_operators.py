@@ -119,6 +119,14 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(df.limit(0)).count() == 0 and simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_one_of_each_of_equal_rows(spark):
+    """Of rows equal in id and text the same one stays, however they are dealt."""
+    rows = [(1, "a b c d e f", k, {"k": k}) for k in range(9)] + [(2, "A b c d e f", 0, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other int, more map<string,int>")
+    kept = {tuple(map(str, simhash.one_of_each(df.repartition(n)).collect())) for n in (1, 3, 7)}
+    assert len(kept) == 1 and len(next(iter(kept))) == 1
+
+
 def test_components_of_a_path(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 101), (5, 5)]
     random.Random(1).shuffle(edges)
@@ -159,7 +167,7 @@ def test_near_copies(spark, monkeypatch, rounds, small):
                 low, high = sorted((root[a], root[b]))
                 root = [low if x == high else x for x in root]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    kept = {x["doc_id"] for x in corpus_pipeline.near_dedup_stage(spark, rows.repartition(5), DATA).collect()}
+    kept = {x["doc_id"] for x in dict(corpus_pipeline.STAGES)["near_dedup"](spark, rows.repartition(5), DATA).collect()}
     assert pairs > 300 and kept == set(root)
 
 
@@ -414,6 +422,19 @@ def test_cascade_is_exact(spark):
         assert len(found) * 64 >= bits and bits <= url_filter.MAX_BITS, level
 
 
+def test_cascade_of_many_filters(spark, monkeypatch):
+    """A list beyond one filter's bound is dealt over several; beyond their number it is refused."""
+    monkeypatch.setattr(url_filter, "MAX_BITS", 1 << 9)
+    frame = lambda keys: spark.createDataFrame([(k,) for k in keys], "key string")
+    keys = [f"h{k}.example/" for k in range(2000)]
+    cascade = url_filter.Cascade(Scratch(spark, "t"), "c", frame(keys[:150]), frame(keys), len(keys))
+    assert len(cascade.levels[0][0]) * 64 > cascade.levels[0][1] == 1 << 9
+    assert {x["key"] for x in frame(keys).where(cascade.holds(F.col("key"))).collect()} == set(keys[:150])
+    monkeypatch.setattr(url_filter, "MAX_PARTS", 2)
+    with pytest.raises(ValueError, match="over the bound"):
+        url_filter.Cascade(Scratch(spark, "t"), "c", frame(keys[:1500]), frame(keys), len(keys))
+
+
 # --- archives -------------------------------------------------------------------------------------
 
 

@@ -263,6 +263,41 @@ def test_dual_descent_separates():
     assert (scores[1::2] > 0.5).all() and (scores[::2] < 0.5).all()
 
 
+def test_dual_descent_like_its_definition():
+    """Ratios by counting; the fit closes the gap between the primal and the dual objective."""
+    r = np.random.default_rng(3)
+    rows = [np.sort(r.choice(40, r.integers(1, 9), replace=False)).astype(np.int32) for _ in range(60)]
+    y = np.where(r.random(60) < 0.5 + 0.4 * np.array([(x < 20).mean() - (x >= 20).mean() for x in rows]), 1, -1)
+    ratio = quality.log_count_ratio(rows, y)
+    count = lambda f, label: 1 + sum(f in x for x, k in zip(rows, y, strict=True) if k == label)
+    total = {k: quality.SLOTS + sum(len(x) for x, j in zip(rows, y, strict=True) if j == k) for k in (1, -1)}
+    for f in range(40):
+        assert ratio[f] == pytest.approx(np.log(count(f, 1) / total[1] / (count(f, -1) / total[-1])))
+    values = [ratio[x] / np.linalg.norm(ratio[x]) for x in rows]
+    cost = np.full(60, 0.7)
+    w, bias = quality.dual_descent(rows, values, y, cost, 3000)
+    dense = np.zeros((60, 41))
+    for k, (x, v) in enumerate(zip(rows, values, strict=True)):
+        dense[k, x], dense[k, 40] = v, 1.0
+    whole = np.concatenate((w[:40], [bias]))
+    primal = whole @ whole / 2 + (cost * np.maximum(0, 1 - y * (dense @ whole))).sum()
+    # The same problem by projected gradient on the dual, a plainer and slower way.
+    q = (dense * y[:, None]) @ (dense * y[:, None]).T
+    alpha = np.zeros(60)
+    for _ in range(20000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.norm(q, 2), 0, cost)
+    dual = alpha.sum() - alpha @ q @ alpha / 2
+    assert primal >= dual - 1e-6 and primal - dual < 0.02 * dual
+
+
+def test_quality_of_repeated_ids(spark):
+    """An id's rows are learnt from once, whichever order they come in."""
+    docs = spark.createDataFrame([(k % 40, f"word{k % 2} more text {k}") for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)] * 2, "doc_id long, quality int, toxic int")
+    one, two = (quality.train(docs.repartition(n), labels) for n in (2, 5))
+    assert (one.weights == two.weights).all() and one.bias == two.bias
+
+
 def test_words():
     texts = [b"", b" ", b"a", b"A b\t\nc ", b"  x", b"a a b a a b"]
     w = words.Words(texts)
@@ -274,9 +309,60 @@ def test_words():
 
 
 def test_pipeline(spark):
+    """Every stage on what the one before kept, against its operator's definition in plain Python."""
+    from tests.llm.test_pair_operators import split, within
+
     out = corpus_pipeline.run(spark, DATA)
-    assert 4 <= len(corpus_pipeline.STAGES) <= 5 and out.count() > 50
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, DATA)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+    assert 4 <= len(corpus_pipeline.STAGES) <= 5
+    stages = dict(corpus_pipeline.STAGES)
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    given = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs = {r["doc_id"]: r["text"] for r in given.collect()}
+
+    def kept(name, rows):
+        found = stages[name](spark, rows, DATA)
+        assert found.columns == columns, name
+        return spark.createDataFrame(found.collect(), given.schema)
+
+    # Quality: the score of each text by itself, from the model of the same labels.
+    one = kept("quality", given)
+    model = quality.train(given, spark.read.parquet(f"{DATA}/labels.parquet"))
+    good = {k: t for k, t in docs.items() if model.scores(quality.features([(t or "").encode()]))[0] >= quality.THRESHOLD}
+    assert {r["doc_id"]: r["text"] for r in one.collect()} == good and len(good) < len(docs)
+    # Lines: all earlier lines, one by one.
+    two = kept("line_dedup", one)
+    seen, want = {}, {}
+    for k in sorted(good):
+        lines, left = (good[k] or "").split("\n"), []
+        for line in lines:
+            words = tuple(split(line))
+            near = {words} | {words[:j] + words[j + 1 :] for j in range(len(words))} | {words[:j] + ("",) + words[j + 1 :] for j in range(len(words))}
+            old = {x for key in near for x in seen.get(key, ())} if words else set()
+            if not any(within(list(words), list(x)) for x in old):
+                left.append(line)
+            for key in near if words else ():
+                seen.setdefault(key, set()).add(words)
+        if len(left) == len(lines) or any(split(x) for x in left):
+            want[k] = "\n".join(left)
+    assert {r["doc_id"]: r["text"] for r in two.collect()} == want and want != good
+    assert all(r["n_chars"] == len(r["text"]) for r in two.collect())
+    # Near copies: all pairs of shingle sets, components, the least id stays.
+    three = kept("near_dedup", two)
+    sets = {k: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := split(t)) else set() for k, t in want.items()}
+    root = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            if b < a and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if x == high else x for k, x in root.items()}
+    assert {r["doc_id"] for r in three.collect()} == set(root.values())
+    # Benchmark items: no text keeps one whole, and only texts with most of one's words go.
+    four = kept("decontamination", three)
+    items = [" ".join(re.findall(r"[^\W_]+", r["text"].lower())) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    plain = {k: " ".join(re.findall(r"[^\W_]+", (want[k] or "").lower())) for k in set(root.values())}
+    left = {r["doc_id"] for r in four.collect()}
+    assert not any(f" {i} " in f" {plain[k]} " for k in left for i in items)
+    assert all(max(len(set(i.split()) & set(plain[k].split())) / len(set(i.split())) for i in items) > 0.7 for k in set(plain) - left)
+    # Tokens, and the whole run.
+    lib = encoding()
+    assert {r["doc_id"]: r["token_ids"] for r in out.collect()} == {k: lib.encode_ordinary(want[k] or "") for k in left}
