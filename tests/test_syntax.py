@@ -34,16 +34,35 @@ class Parser:
         return type("Tree", (), {"root_node": tree()})
 
 
-def test_walk(spark):
-    walk = syntax.FileWalk(syntax.grammars()["python"], "pkg/test_box.py", SOURCE, "h").walk(tree())
-    assert [(n["name"], n["type"], n["line"], n["parent_class"], n["docstring"], n["is_test"]) for n in walk.nodes] == [("Box", "class", 2, "", "", False), ("put", "function", 3, "Box", "Puts.", True)]
-    assert [(e["type"], e["from_name"], e["to_name"], e["line"]) for e in walk.edges] == [("imports", "pkg.test_box", "os.path", 1), ("member_of", "put", "Box", 3), ("calls", "put", "save", 5), ("calls", "put", "helper", 6)]
-    assert walk.nodes[1]["end_line"] >= 6 and walk.nodes[1]["signature"] == "def put(self):"
+def test_tree_rows():
+    made = syntax.rows_of("python", "pkg/test_box.py", SOURCE, "h", tree())
+    assert [(n["name"], n["type"], n["line"], n["parent_class"], n["docstring"], n["is_test"]) for n in made["nodes"]] == [("Box", "class", 2, "", "", False), ("put", "function", 3, "Box", "Puts.", True)]
+    assert [(e["type"], e["from_name"], e["to_name"], e["line"]) for e in made["edges"]] == [("imports", "pkg.test_box", "os.path", 1), ("member_of", "put", "Box", 3), ("calls", "put", "save", 5), ("calls", "put", "helper", 6)]
+    assert made["nodes"][1]["end_line"] >= 6 and made["nodes"][1]["signature"] == "def put(self):"
 
 
 def test_grammars():
-    known = syntax.grammars()
-    assert len(known) == 21 and known["go"].class_name == ("type_spec", "type_identifier") and known["lua"].imports == frozenset()
+    known = syntax.GRAMMARS
+    assert len(known) == 21 and known["go"].class_name == ["type_spec", "type_identifier"] and known["lua"].imports == []
+
+
+def test_each_file_is_parsed_once(spark, tmp_path):
+    """Nodes and edges come from one parse where the parsed rows are kept; node ids do not repeat."""
+    sources = spark.createDataFrame([("pkg/test_box.py", "python", SOURCE, "h"), ("x.zig", "zig", "", "h")], "file string, language string, source string, sha256 string")
+    parses = spark.sparkContext.accumulator(0)
+
+    class Counted(Parser):
+        def parse(self, data):
+            parses.add(1)
+            return super().parse(data)
+
+    def keep(df):
+        df.write.parquet(str(tmp_path / "parsed"))
+        return spark.read.schema(df.schema).parquet(str(tmp_path / "parsed"))
+
+    nodes, edges = syntax.parse_trees(sources, lambda language: Counted(), keep)
+    assert {r["name"] for r in nodes.collect()} == {"Box", "put"} and edges.count() == 4 and parses.value == 1
+    assert nodes.select("id").distinct().count() == 2 and nodes.where("length(id) = 12").count() == 2
 
 
 def test_without_a_library(spark):
