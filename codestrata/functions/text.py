@@ -117,6 +117,29 @@ def shortened(doc: Column, size: int = 120) -> Column:
     return F.when(F.length(doc) > size, F.concat(strip_right(F.substring(doc, 1, size)), F.lit("…"))).otherwise(doc)
 
 
+def round_even(x: Column, places: int) -> Column:
+    """The nearest number of so many decimal places, by the exact value of the double; of two equally near the even one.
+
+    The product with the power of ten and its rounding error are both exact (the
+    factors' halves have 26 bits), so a double that only looks like a tie is none.
+    Beyond 2^52 steps a double has no such decimals and stays.
+    """
+    scale = float(10**places)
+
+    def halves(y: Column) -> tuple[Column, Column]:
+        big = y * F.lit(134217729.0)
+        high = big - (big - y)
+        return high, y - high
+
+    (a, b), (c, d) = halves(x), halves(F.lit(scale))
+    product = x * F.lit(scale)
+    error = ((a * c - product) + a * d + b * c) + b * d
+    low = F.floor(product)
+    over = (product - low.cast("double") - F.lit(0.5)) + error
+    up = (over > 0) | ((over == 0) & (F.pmod(low, F.lit(2)) == 1))
+    return F.when(F.abs(product) < F.lit(2.0**52), (low + up.cast("long")).cast("double") / F.lit(scale)).otherwise(x)
+
+
 def register(spark: SparkSession) -> None:
     """SQL names for the functions above; bodies are SQL, so they stay inside code generation."""
     spark.sql("create or replace temporary function node_id(f string, n string, l int) returns string return substr(md5(concat_ws('::', f, n, cast(l as string))), 1, 12)")

@@ -8,6 +8,7 @@ a running aggregate over the file's lines. Regular expressions run in the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -72,9 +73,16 @@ NODE_COLUMNS = ["id", "name", "type", "language", "file", "line", "end_line", "s
 EDGE_COLUMNS = ["from_id", "to_id", "from_name", "to_name", "type", "file", "line", "part", "place"]
 
 
-def lines_of(sources: DataFrame) -> DataFrame:
-    """(file, language, sha256, line from 1, txt): a trailing empty line is a line."""
-    return sources.select("file", "language", "sha256", F.posexplode(F.split("source", "\n", -1)).alias("at", "txt")).select("file", "language", "sha256", (F.col("at") + 1).alias("line"), "txt")
+def lines_of(sources: DataFrame, looks_ahead: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(file, language, sha256, line from 1, txt): a trailing empty line is a line.
+
+    With ``looks_ahead``, ``ahead``: the twenty lines after a line that it accepts, cut from the file's array before that is exploded.
+    """
+    split = sources.select("file", "language", "sha256", F.split("source", "\n", -1).alias("lines"))
+    if looks_ahead is None:
+        return split.select("file", "language", "sha256", F.posexplode("lines").alias("at", "txt")).select("file", "language", "sha256", (F.col("at") + 1).alias("line"), "txt")
+    each = F.transform("lines", lambda x, at: F.struct(x.alias("txt"), F.when(looks_ahead(x), F.slice("lines", at + 2, F.lit(20))).alias("ahead")))
+    return split.select("file", "language", "sha256", F.posexplode(each).alias("at", "x")).select("file", "language", "sha256", (F.col("at") + 1).alias("line"), "x.txt", "x.ahead")
 
 
 def nodes_from(rows: DataFrame, kind: str, name: Column, *, signature: Column | str = "", docstring: Column | str = "", is_test: Column | bool = False, parent: Column | str = "", preview: Column | str = "") -> DataFrame:
@@ -117,11 +125,12 @@ def _so_far() -> WindowSpec:
     return _by_file().rowsBetween(W.unboundedPreceding, 0)
 
 
-def _ahead() -> WindowSpec:
-    return _by_file().rowsBetween(1, 20)
+def _defines(line: Column) -> Column:
+    """Whether a line begins a Python class or function."""
+    return X.strip_left(line).rlike(PY_CLASS) | X.strip_left(line).rlike(PY_DEF)
 
 
-def _python_lines(lines: DataFrame, ahead: bool = False) -> DataFrame:
+def _python_lines(lines: DataFrame) -> DataFrame:
     """Lines with their class and function context.
 
     A class stands until a definition at or left of its own indent; a function
@@ -144,8 +153,6 @@ def _python_lines(lines: DataFrame, ahead: bool = False) -> DataFrame:
     outside = F.col("is_def") & (F.col("indent") <= F.col("class_indent"))
     dedent = ~F.col("starts_def") & (F.col("left") != "") & ~F.col("left").startswith("#") & (F.col("indent") <= F.col("def_indent"))
     base = base.withColumns({"class_over": F.max(outside).over(in_class), "def_over": F.max(dedent).over(in_def)})
-    if ahead:  # only class and function lines look at what follows
-        base = base.withColumn("ahead", F.collect_list("txt").over(_ahead()))
     return base.withColumns({
         "parent": F.when((F.col("class_part") > 0) & ~F.col("class_over"), F.col("class_name")).otherwise(""),
         "inside": F.when((F.col("def_part") > 0) & ~F.col("def_over") & ~F.col("starts_def"), F.col("def_name")),
@@ -204,7 +211,7 @@ def parse_python(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes in one pass over the lines, edges in another; tests join the two for test files alone."""
     python = sources.where("language = 'python'")
     test_file = X.matches_any(X.basename(F.col("file")), PY_TESTS)
-    nodes = _python_nodes(_python_lines(lines_of(python), ahead=True))
+    nodes = _python_nodes(_python_lines(lines_of(python, _defines)))
     edges = _python_edges(_python_lines(lines_of(python)))
     of_tests = python.where(test_file)
     tests = _python_nodes(_python_lines(lines_of(of_tests))).where("is_test").select("file", F.col("name").alias("from_name"), F.col("line").alias("test_line"))
@@ -237,6 +244,11 @@ def _first_match(patterns: list[str], group: int, line: Column) -> Column:
     return out
 
 
+def _other(pattern: str) -> Column:
+    """Whether a line's ``name`` is not that of the pattern too: one name on one line is one node, the pattern's."""
+    return F.col("name") != F.regexp_extract("txt", pattern, 1)
+
+
 def _extends(name: Column, base: Column) -> Column:
     return F.concat(F.lit("class "), name, F.when(F.coalesce(base, F.lit("")) != "", F.concat(F.lit(" extends "), base)).otherwise(""))
 
@@ -245,7 +257,7 @@ def parse_script(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """JavaScript, TypeScript and TSX. Calls are kept to names that the file defines and have no caller."""
     rows = lines_of(sources.where(F.col("language").isin("javascript", "typescript", "tsx")))
     line = F.col("txt")
-    found = rows.withColumns({"name": _first_match(JS_FUNCTIONS, 1, line), "given": _first_match(JS_FUNCTIONS, 2, line)}).where(F.col("name").isNotNull() & ~F.col("name").isin(SCRIPT_KEYWORDS))
+    found = rows.withColumns({"name": _first_match(JS_FUNCTIONS, 1, line), "given": _first_match(JS_FUNCTIONS, 2, line)}).where(F.col("name").isNotNull() & ~F.col("name").isin(SCRIPT_KEYWORDS) & _other(JS_CLASS))
     functions = nodes_from(found, "function", F.col("name"), signature=F.concat(F.lit("function "), F.col("name"), F.lit("("), F.col("given"), F.lit(")")), is_test=X.matches_any(X.basename(F.col("file")), JS_TESTS))
     classes = rows.where(line.rlike(JS_CLASS)).withColumns({"name": F.regexp_extract(line, JS_CLASS, 1), "base": F.coalesce(F.regexp_extract(line, JS_CLASS, 2), F.lit(""))})
     class_nodes = nodes_from(classes, "class", F.col("name"), signature=_extends(F.col("name"), F.col("base")))
@@ -284,7 +296,7 @@ def parse_java(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     line = F.col("txt")
     classes = rows.where(line.rlike(JAVA_CLASS)).withColumns({"name": F.regexp_extract(line, JAVA_CLASS, 1), "base": F.coalesce(F.regexp_extract(line, JAVA_CLASS, 2), F.lit(""))})
     methods = rows.where(line.rlike(JAVA_METHOD)).withColumns({"name": F.regexp_extract(line, JAVA_METHOD, 1), "given": F.regexp_extract(line, JAVA_METHOD, 2)}).where(~F.col("name").isin(METHOD_KEYWORDS))
-    nodes = nodes_from(classes, "class", F.col("name"), signature=_extends(F.col("name"), F.col("base")), is_test=X.basename(F.col("file")).contains("Test")).unionByName(
+    nodes = nodes_from(classes.where(_other(JAVA_METHOD)), "class", F.col("name"), signature=_extends(F.col("name"), F.col("base")), is_test=X.basename(F.col("file")).contains("Test")).unionByName(
         nodes_from(methods, "function", F.col("name"), signature=F.concat(F.col("name"), F.lit("("), F.col("given"), F.lit(")")), is_test=F.col("above").contains("@Test"))
     )
     edges = _union([
@@ -316,7 +328,7 @@ def parse_generic(sources: DataFrame) -> DataFrame:
     """The other languages: nodes alone, without signatures."""
     rows = lines_of(sources.where(~F.col("language").isin(*OWN_PARSER)))
     line = F.col("txt")
-    found = rows.withColumn("name", _first_match(ANY_FUNCTIONS, 1, line)).where(F.col("name").isNotNull() & ~F.col("name").isin(SCRIPT_KEYWORDS))
+    found = rows.withColumn("name", _first_match(ANY_FUNCTIONS, 1, line)).where(F.col("name").isNotNull() & ~F.col("name").isin(SCRIPT_KEYWORDS) & _other(ANY_CLASS))
     classes = rows.where(line.rlike(ANY_CLASS)).withColumn("name", F.regexp_extract(line, ANY_CLASS, 1))
     return nodes_from(found, "function", F.col("name")).unionByName(nodes_from(classes, "class", F.col("name")))
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,23 +38,46 @@ def rename_match(events: DataFrame, seconds: float = RENAME_SECONDS) -> DataFram
     return seen.where((F.col("kind") == "create") & (F.col("_kind") == "delete") & in_time).select("hash", F.col("_file").alias("old_file"), F.col("file").alias("new_file"), "ts")
 
 
+def moved(changes: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(old, new): of the ``snapshot_diff`` the deleted files whose content a new file has, one pair a content."""
+    gone = changes.where("change = 'deleted'").join(before, "file").groupBy("sha256").agg(F.max("file").alias("old"))
+    fresh = changes.where("change = 'changed'").join(before, "file", "left_anti").join(after, "file").groupBy("sha256").agg(F.min("file").alias("new"))
+    return gone.join(fresh, "sha256").select("old", "new")
+
+
 def debounce(events: DataFrame, seconds: float = DEBOUNCE_SECONDS, key: str = "file", time: str = "ts") -> DataFrame:
     """(key, time) of the accepted events: the first, then each that comes ``seconds`` or more after the last accepted one.
 
-    An event that comes so long after the one before it is accepted whatever
-    went before, so a key's events fall into bursts; only a burst is folded.
+    Sorted partitions pass as a stream of Arrow batches. Inside a batch the next
+    accepted event is found by binary search, so long bursts cost their accepted
+    events; between batches one key and one time are held. Null times go.
     """
-    gap = F.expr(f"make_dt_interval(0, 0, 0, {seconds})")
-    w = W.partitionBy(key).orderBy(time)
-    fresh = F.coalesce(F.col(time) >= F.lag(time).over(w) + gap, F.lit(True))
-    bursts = events.select(key, time).withColumn("_fresh", fresh.cast("int")).withColumn("_burst", F.sum("_fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    kept = bursts.groupBy(key, "_burst").agg(F.sort_array(F.collect_list(time)).alias("_times"))
-
-    def fold(kept_so_far: Column, t: Column) -> Column:
-        return F.when((F.size(kept_so_far) == 0) | (t >= F.element_at(kept_so_far, -1) + gap), F.concat(kept_so_far, F.array(t))).otherwise(kept_so_far)
-
-    start = F.slice("_times", 1, 1)
-    return kept.select(key, F.explode(F.aggregate(F.slice("_times", F.lit(2), F.greatest(F.size("_times") - 1, F.lit(0))), start, fold)).alias(time))
+    gap = np.timedelta64(round(seconds * 1e6), "us")
+    kind = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last_time, begun = None, None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, times = batch.column(0), batch.column(1).cast(pa.timestamp("us", tz="UTC")).to_numpy(zero_copy_only=False).astype("datetime64[us]")
+            ends = [r.as_py() for r in pc.run_end_encode(keys).run_ends]
+            taken, at = [], 0
+            for end in ends:
+                name = keys[at].as_py()
+                if not (begun and name == last_key):
+                    begun, last_key, last_time = True, name, None
+                while at < end:
+                    if last_time is not None:
+                        at += int(np.searchsorted(times[at:end], last_time + gap))
+                    if at < end:
+                        taken.append(at)
+                        last_time, at = times[at], at + 1
+                at = end
+            yield batch.take(pa.array(taken, pa.int64()))
+
+    rows = events.select(key, time).where(F.col(time).isNotNull())
+    return rows.repartition(key).sortWithinPartitions(key, time).mapInArrow(run, f"`{key}` {kind[key]}, `{time}` {kind[time]}")
 
 
 def reindex(nodes: DataFrame, edges: DataFrame, embeddings: DataFrame, changed_sources: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -7,8 +7,11 @@ but those. Vectors are sparse (id, term, weight) rows until they are stored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +73,16 @@ def keyword_search(nodes: DataFrame, query: str, limit: int = 20, index: tuple[D
     return nodes.join(F.broadcast(ranked), "id")  # at most ``limit`` rows
 
 
+def keyword_or_like(nodes: DataFrame, query: str, limit: int = 20, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``keyword_search``, or for a query that is no full-text query (a quote inside a term, no token at all) ``like_search`` in its columns."""
+    tokens = query_tokens(nodes.sparkSession, query)
+    if tokens and '"' not in query:
+        return keyword_search(nodes, query, limit, index)
+    found = like_search(nodes, query, limit)
+    places = found.agg(F.sort_array(F.collect_list(F.struct("name", "id"))).alias("l")).select(F.posexplode("l").alias("place", "x")).select("place", F.lit(0.0).alias("bm25"), F.col("x.id").alias("id"))
+    return nodes.join(F.broadcast(places), "id")  # at most ``limit`` rows
+
+
 def like_search(nodes: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """Nodes with the query in name, signature or docstring, by name; for queries that are no terms."""
     pattern = f"%{query}%"
@@ -119,9 +132,39 @@ def dense(weights: DataFrame, vocab: DataFrame, size: int = DIMENSIONS) -> DataF
     return placed.select(F.col("id").alias("node_id"), F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)).cast("float")).alias("vector"))
 
 
-def embed_nodes(nodes: DataFrame, contexts: DataFrame | None = None, size: int = DIMENSIONS) -> tuple[DataFrame, DataFrame]:
-    """(embeddings: node_id, vector, model, text_input; vocabulary). Nodes without known terms have a zero vector."""
+@dataclass(frozen=True)
+class Encoder:
+    """A text encoder as a plug-in: ``encode`` turns a list of texts into as many vectors; it is made once a worker by ``load``."""
+
+    model: str
+    load: Callable[[], Callable[[list[str]], Any]]
+
+    def vectors(self, texts: DataFrame) -> DataFrame:
+        """(node_id, vector, model, text_input) of (id, text_input), by Arrow batches."""
+        load = self.load
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            encode = load()
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    part = batch.slice(at, 64)
+                    made = [[float(x) for x in v] for v in encode([t or "" for t in part.column(1).to_pylist()])]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.field("element", pa.float32()))), part.column(1)], names=["node_id", "vector", "text_input"])
+
+        return texts.select("id", "text_input").mapInArrow(run, "node_id string, vector array<float>, text_input string").select("node_id", "vector", F.lit(self.model).alias("model"), "text_input")
+
+    def vector(self, text: str) -> list[float]:
+        return [float(x) for x in self.load()([text])[0]]
+
+
+def embed_nodes(nodes: DataFrame, contexts: DataFrame | None = None, size: int = DIMENSIONS, encoder: Encoder | None = None) -> tuple[DataFrame, DataFrame]:
+    """(embeddings: node_id, vector, model, text_input; vocabulary). Nodes without known terms have a zero vector.
+
+    With an ``encoder`` the vectors are its own and the vocabulary is empty.
+    """
     texts = embedding_text(nodes, contexts)
+    if encoder is not None:
+        return encoder.vectors(texts), vocabulary(texts, "id", "text_input", size).limit(0)
     vocab = vocabulary(texts, "id", "text_input", size)
     vectors = dense(tfidf(texts, vocab, "id", "text_input"), vocab, size)
     zero = F.array_repeat(F.lit(0.0).cast("float"), size)
@@ -139,7 +182,7 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(vectors: DataFrame, query: list[float], k: int, id_column: str = "node_id", vector_column: str = "vector") -> DataFrame:
     """(id, similarity): the k nearest; rounded to four places before the sort, ties by id."""
     given = F.array(*(F.lit(float(x)).cast("float") for x in query))
-    return vectors.select(F.col(id_column).alias("id"), F.round(cosine(F.col(vector_column), given), 4).alias("similarity")).orderBy(F.col("similarity").desc(), "id").limit(k)
+    return vectors.select(F.col(id_column).alias("id"), X.round_even(cosine(F.col(vector_column), given), 4).alias("similarity")).orderBy(F.col("similarity").desc(), "id").limit(k)
 
 
 def query_vector(spark: SparkSession, query: str, vocab: DataFrame, size: int = DIMENSIONS) -> list[float]:
@@ -174,14 +217,14 @@ def fuse(keyword: DataFrame, semantic: DataFrame, tests: DataFrame, k: int, quer
         score = F.when(F.coalesce("is_test", F.lit(False)), score * TEST_PENALTY).otherwise(score)
     # Ties: keyword hits first, in their order, then semantic ones.
     ranked = both.withColumn("score", score).where(F.col("score") >= threshold)
-    return ranked.orderBy(F.col("score").desc(), F.col("place").asc_nulls_last(), F.col("similarity").desc_nulls_last(), "id").limit(k).select("id", F.round("score", 4).alias("score"))
+    return ranked.orderBy(F.col("score").desc(), F.col("place").asc_nulls_last(), F.col("similarity").desc_nulls_last(), "id").limit(k).select("id", X.round_even(F.col("score"), 4).alias("score"))
 
 
-def hybrid_search(nodes: DataFrame, embeddings: DataFrame, vocab: DataFrame, query: str, k: int = 5, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """(node_id, score, name, type, file, line, signature, docstring, is_test), best first."""
+def hybrid_search(nodes: DataFrame, embeddings: DataFrame, vocab: DataFrame, query: str, k: int = 5, index: tuple[DataFrame, DataFrame] | None = None, vector: list[float] | None = None) -> DataFrame:
+    """(node_id, score, name, type, file, line, signature, docstring, is_test), best first; ``vector``: the query's, if an encoder made it."""
     spark = nodes.sparkSession
     said = keyword_search(nodes, query, k * OVERFETCH, index).select("id", "place")
-    near = nearest(embeddings, query_vector(spark, query, vocab), k * OVERFETCH)
+    near = nearest(embeddings, query_vector(spark, query, vocab) if vector is None else vector, k * OVERFETCH)
     wants = spark.range(1).select(X.wants_tests(F.lit(query)).alias("w")).first()["w"]
     best = fuse(said, near, nodes.select("id", "is_test"), k, wants)
     return nodes.join(F.broadcast(best), "id").select(F.col("id").alias("node_id"), "score", "name", "type", "file", "line", "signature", X.shortened(F.col("docstring")).alias("docstring"), "is_test").orderBy(F.col("score").desc(), "node_id")  # at most ``k`` rows

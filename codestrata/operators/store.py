@@ -1,14 +1,21 @@
 """The graph's tables as Parquet snapshots, and changes to them as plans.
 
-A change reads one snapshot and writes the next one in a folder of its own, then
-names it in a pointer file, so readers see whole snapshots and a failed change
-leaves nothing behind. Files are the unit of change: rows of a changed file are
-replaced by an anti-join on the file.
+A change reads one snapshot and writes the next one of the tables that it touches,
+each in a folder of its own. A manifest names the folders of all tables; a change
+ends with the manifest of the next number, which is created whole under a name of
+its own and then renamed to that number, so readers see the tables of one moment
+and a failed change leaves no trace. Folders go when the manifests that name them
+are more than ``KEPT`` changes old, so readers of the snapshots before end in
+peace. Files are the unit of change: rows of a changed file are replaced by an
+anti-join on the file.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +25,19 @@ from codestrata.operators import cost
 from codestrata.schemas import ACTIVITY, TABLES
 
 
+KEPT = 2
+
+
+def one_by(new: DataFrame, key: str, *order: str) -> DataFrame:
+    """One row a key: the one with the greatest ``order`` (or of all columns), whatever the order of rows."""
+    rows = F.struct(*new.columns)
+    return new.groupBy(F.col(key).alias("_key")).agg(F.max_by(rows, F.struct(*(order or new.columns))).alias("_row")).select("_row.*")
+
+
 def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of ``new`` take the place of rows with their id."""
-    return nodes.join(new.select("id"), "id", "left_anti").unionByName(new)
+    """Rows of ``new`` take the place of rows with their id; of several with one id the last by file and line stays."""
+    last = one_by(new, "id", *(c for c in ("file", "line") if c in new.columns), *(c for c in new.columns if c not in ("file", "line")))
+    return nodes.join(last.select("id"), "id", "left_anti").unionByName(last)
 
 
 def append_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
@@ -43,8 +60,21 @@ def rename_file(table: DataFrame, old: str, new: str) -> DataFrame:
     return table.withColumn("file", F.when(F.col("file") == old, F.lit(new)).otherwise(F.col("file")))
 
 
+def rename_files(table: DataFrame, moves: DataFrame) -> DataFrame:
+    """The rows of the files ``old`` under their names ``new``, of many files in one join."""
+    names = moves.select(F.col("old").alias("file"), F.col("new").alias("_new"))
+    return table.join(names, "file", "left").withColumn("file", F.coalesce("_new", "file")).select(*table.columns)
+
+
 def upsert_by(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    return table.join(new.select(key), key, "left_anti").select(*table.columns).unionByName(new.select(*table.columns))
+    """Rows of ``new`` take the place of rows with their key."""
+    last = one_by(new.select(*table.columns), key)
+    return table.join(last.select(key), key, "left_anti").select(*table.columns).unionByName(last)
+
+
+def file_hash(hashes: DataFrame, file: str) -> DataFrame:
+    """(file, sha256) of one file, if it is known: a point look-up that reaches the scan."""
+    return hashes.where(F.col("file") == file).select("file", "sha256")
 
 
 class Store:
@@ -58,26 +88,51 @@ class Store:
         target = jvm.org.apache.hadoop.fs.Path(path)
         return jvm, target, target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def current(self, table: str) -> str | None:
-        """The folder of the table's snapshot, or None."""
-        jvm, target, fs = self._fs(f"{self.path}/{table}/CURRENT")
+    def _manifests(self) -> list[int]:
+        """The numbers of the manifests, ascending."""
+        _, target, fs = self._fs(f"{self.path}/manifests")
         if not fs.exists(target):
-            return None
-        return self.spark.read.text(f"{self.path}/{table}/CURRENT").first()[0]
+            return []
+        names = [status.getPath().getName() for status in fs.listStatus(target)]
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _manifest(self, number: int) -> dict[str, str]:
+        return json.loads(self.spark.read.text(f"{self.path}/manifests/{number}").first()[0])
+
+    def snapshot(self) -> dict[str, str]:
+        """The folder of each table at this moment."""
+        numbers = self._manifests()
+        return self._manifest(numbers[-1]) if numbers else {}
 
-    def read(self, table: str) -> DataFrame:
-        """The table, empty if it was never written."""
-        found = self.current(table)
+    def read(self, table: str, snapshot: dict[str, str] | None = None) -> DataFrame:
+        """The table, of this moment or of a ``snapshot`` taken before; empty if it was never written."""
+        found = (self.snapshot() if snapshot is None else snapshot).get(table)
         if found is None:
             return self.spark.createDataFrame([], TABLES[table])
         return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{table}/{found}")
 
+    @contextmanager
+    def staged(self) -> Iterator[Callable[[DataFrame], DataFrame]]:
+        """Writes tables that only one change needs and reads them back; they go when it ends."""
+        folder = f"{self.path}/staged/{uuid.uuid4().hex}"
+
+        def keep(df: DataFrame) -> DataFrame:
+            place = f"{folder}/{uuid.uuid4().hex}"
+            df.write.parquet(place)
+            return self.spark.read.schema(df.schema).parquet(place)
+
+        try:
+            yield keep
+        finally:
+            _, target, fs = self._fs(folder)
+            fs.delete(target, True)
+
     def write(self, table: str, rows: DataFrame, by: str | None = None) -> None:
         """Writes the table's next snapshot and switches to it."""
         self.write_all({table: (rows, by)})
 
     def write_all(self, tables: dict[str, tuple[DataFrame, str | None]]) -> None:
-        """Writes the next snapshots of several tables, all from the current ones, then switches to them.
+        """Writes the next snapshots of several tables, all from the current ones, then switches to them at once.
 
         A snapshot is clustered by its column, so that look-ups read few row groups.
         """
@@ -89,22 +144,33 @@ class Store:
                 columns = columns.repartitionByRange(by).sortWithinPartitions(by)
             columns.write.parquet(f"{self.path}/{table}/{name}")
             written[table] = name
-        for table, name in written.items():
-            before = self.current(table)
-            jvm, current, fs = self._fs(f"{self.path}/{table}/CURRENT")
-            following = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/CURRENT.next")
-            out = fs.create(following, True)
-            out.write(bytearray(name.encode()))
-            out.close()
-            fs.delete(current, False)
-            fs.rename(following, current)
-            if before:
-                fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/{before}"), True)
+        self._commit(written)
+
+    def _commit(self, written: dict[str, str]) -> None:
+        """Names the tables' new folders in the next manifest; another change that came first with its number is an error."""
+        numbers = self._manifests()
+        number = numbers[-1] + 1 if numbers else 0
+        made = json.dumps((self._manifest(numbers[-1]) if numbers else {}) | written)
+        jvm, target, fs = self._fs(f"{self.path}/manifests/{number}")
+        following = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/next-{uuid.uuid4().hex}")
+        out = fs.create(following, False)
+        out.write(bytearray(made.encode()))
+        out.close()
+        if fs.exists(target) or not fs.rename(following, target):
+            fs.delete(following, False)
+            raise RuntimeError(f"another change of {self.path} was written first; read its tables and try again")
+        old = [n for n in numbers if n < number - KEPT]
+        if old:
+            used = {(t, f) for n in [*(n for n in numbers if n not in old), number] for t, f in self._manifest(n).items()}
+            for n in old:
+                for table, folder in self._manifest(n).items():
+                    if (table, folder) not in used:
+                        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/{folder}"), True)
+                fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/{n}"), False)
 
     def write_graph(self, nodes: DataFrame, edges: DataFrame) -> None:
         """A rebuild replaces the snapshot, so edges do not pile up."""
-        self.write("nodes", nodes, "file")
-        self.write("edges", edges, "to_name")
+        self.write_all({"nodes": (nodes, "file"), "edges": (edges, "to_name")})
 
     def log(self, op: str, target: str | None, time_ms: float, files_with: int, files_without: int, source: str = "web", extra: dict | None = None) -> None:
         """Appends one activity entry: one small file."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import text as X
 from codestrata.operators import cost, extract, graph, impact, incremental, retrieval, syntax
-from codestrata.operators.store import Store, rename_file
+from codestrata.operators.store import Store, rename_files
 from codestrata.sources import trees
 
 
@@ -31,8 +31,8 @@ def first(df: DataFrame) -> dict[str, Any]:
 class Project:
     """``root``: the source tree; ``path``: the store's folder, by default inside the tree."""
 
-    def __init__(self, spark: SparkSession, root: str, path: str | None = None, scorer=None):
-        self.spark, self.root, self.scorer = spark, root, scorer
+    def __init__(self, spark: SparkSession, root: str, path: str | None = None, scorer=None, encoder: retrieval.Encoder | None = None):
+        self.spark, self.root, self.scorer, self.encoder = spark, root, scorer, encoder
         self.store = Store(spark, path or f"{root.rstrip('/')}/.codestrata/tables")
 
     # Tables.
@@ -52,9 +52,10 @@ class Project:
 
     def build(self) -> dict[str, Any]:
         """Parses the tree, resolves, embeds and writes all tables; returns the statistics."""
-        nodes, edges = syntax.parse_best(trees.read_sources(self.spark, self.root), trees.languages_in(self.root))
-        self.store.write("nodes", nodes, "file")
-        self.store.write("edges", extract.numbered(extract.resolve(self.nodes, edges)), "to_name")
+        with self.store.staged() as keep:
+            nodes, edges = syntax.parse_best(trees.read_sources(self.spark, self.root), trees.languages_in(self.root), keep)
+            nodes = keep(nodes)
+            self.store.write_graph(nodes, extract.numbered(extract.resolve(nodes, edges)))
         self._embed()
         self._keep_hashes(trees.scan_hashes(self.spark, self.root))
         return self.stats()
@@ -65,44 +66,38 @@ class Project:
         self.store.write("file_hashes", now.join(counts, "file", "left").select("file", "sha256", F.coalesce("node_count", F.lit(0)).alias("node_count")))
 
     def _embed(self) -> None:
-        vectors, vocab = retrieval.embed_nodes(self.nodes, graph.context(self.nodes, self.edges))
-        self.store.write("vocabulary", vocab)
-        self.store.write("embeddings", vectors)
+        """Vectors and the full-text index follow the nodes, in one switch."""
+        with self.store.staged() as keep:
+            vectors, vocab = retrieval.embed_nodes(self.nodes, graph.context(self.nodes, self.edges), encoder=self.encoder)
+            postings, lengths = retrieval.inverted_index(self.nodes)
+            self.store.write_all({"vocabulary": (keep(vocab), None), "embeddings": (vectors, None), "postings": (postings, "term"), "lengths": (lengths, "id")})
+
+    @property
+    def index(self) -> tuple[DataFrame, DataFrame]:
+        """The stored postings, clustered by term, and lengths."""
+        return self.store.read("postings"), self.store.read("lengths")
 
     def update(self) -> dict[str, int]:
         """Brings the tables up to the tree: what changed is parsed again, what was moved is renamed, what went is cleared."""
-        now = trees.scan_hashes(self.spark, self.root)
-        before = self.store.read("file_hashes")
-        found = incremental.snapshot_diff(before.select("file", "sha256"), now).collect()  # the changed files' names
-        changed, deleted = ([r["file"] for r in found if r["change"] == kind] for kind in ("changed", "deleted"))
-        moved = self._moved(changed, deleted, before, now)
-        for old, new in moved.items():
-            for name in ("nodes", "edges"):
-                self.store.write(name, rename_file(self.store.read(name), old, new), "file" if name == "nodes" else "to_name")
-        changed = [f for f in changed if f not in moved.values()]
-        deleted = [f for f in deleted if f not in moved]
-        if changed or deleted:
-            files = lambda names: self.spark.createDataFrame([(f,) for f in names], "file string")
-            sources = trees.read_sources(self.spark, self.root).join(files(changed), "file", "left_semi")
-            cleared = files(deleted + changed)
-            columns = [f.name for f in self.edges.schema.fields]
-            nodes, edges, vectors = incremental.reindex(self.nodes, self.edges.select(columns), self.store.read("embeddings"), sources, cleared)
-            self.store.write_all({"edges": (edges, "to_name"), "embeddings": (vectors, None), "nodes": (nodes, "file")})
-            self._embed()
-        self._keep_hashes(now)
-        return {"changed": len(changed), "deleted": len(deleted), "renamed": len(moved)}
-
-    def _moved(self, changed: list[str], deleted: list[str], before: DataFrame, now: DataFrame) -> dict[str, str]:
-        """Old names by new ones with the same content, one to one."""
-        if not changed or not deleted:
-            return {}
-        gone = {r["sha256"]: r["file"] for r in before.where(F.col("file").isin(deleted)).collect()}
-        known = {r["file"] for r in before.where(F.col("file").isin(changed)).select("file").collect()}
-        out = {}
-        for r in now.where(F.col("file").isin(changed)).orderBy("file").collect():
-            if r["file"] not in known and r["sha256"] in gone:
-                out[gone.pop(r["sha256"])] = r["file"]
-        return out
+        with self.store.staged() as keep:
+            now = keep(trees.scan_hashes(self.spark, self.root))
+            before = self.store.read("file_hashes")
+            found = keep(incremental.snapshot_diff(before.select("file", "sha256"), now))
+            moves = keep(incremental.moved(found, before, now))
+            changed = keep(found.where("change = 'changed'").join(moves, F.col("file") == F.col("new"), "left_anti").select("file"))
+            deleted = keep(found.where("change = 'deleted'").join(moves, F.col("file") == F.col("old"), "left_anti").select("file"))
+            counts = {"changed": changed.count(), "deleted": deleted.count(), "renamed": moves.count()}
+            if counts["renamed"]:
+                self.store.write_all({"nodes": (rename_files(self.nodes, moves), "file"), "edges": (rename_files(self.edges, moves), "to_name")})
+            if counts["changed"] or counts["deleted"]:
+                sources = trees.read_sources(self.spark, self.root).join(changed, "file", "left_semi")
+                columns = [f.name for f in self.edges.schema.fields]
+                nodes, edges, vectors = incremental.reindex(self.nodes, self.edges.select(columns), self.store.read("embeddings"), sources, deleted.union(changed))
+                self.store.write_all({"edges": (edges, "to_name"), "embeddings": (vectors, None), "nodes": (nodes, "file")})
+            if any(counts.values()):
+                self._embed()
+                self._keep_hashes(now)
+        return counts
 
     # Asking.
 
@@ -157,12 +152,12 @@ class Project:
         k = limit * (retrieval.RERANK_OVERFETCH if self.scorer else 1)
         nodes, shown = self.nodes, ["name", "type", "file", "line", "signature", X.shortened(F.col("docstring")).alias("docstring"), "is_test"]
         if mode == "keyword":
-            found = retrieval.keyword_search(nodes, query, k).orderBy("place").select(*shown, F.lit(1.0).alias("score"), "bm25")
+            found = retrieval.keyword_or_like(nodes, query, k, self.index).orderBy("place").select(*shown, F.lit(1.0).alias("score"), "bm25")
         elif mode == "semantic":
-            vector = retrieval.query_vector(self.spark, query, self.store.read("vocabulary"))
+            vector = self._vector(query) or retrieval.query_vector(self.spark, query, self.store.read("vocabulary"))
             found = retrieval.semantic_search(nodes, self.store.read("embeddings"), vector, k).orderBy(F.col("similarity").desc(), "id").select(*shown, F.col("similarity").alias("score"))
         else:
-            found = retrieval.hybrid_search(nodes, self.store.read("embeddings"), self.store.read("vocabulary"), query, k)
+            found = retrieval.hybrid_search(nodes, self.store.read("embeddings"), self.store.read("vocabulary"), query, k, self.index, self._vector(query))
         results = rows(found)
         if with_graph:
             for r in results:
@@ -178,6 +173,9 @@ class Project:
         stats = {"files_with": with_, "files_without": without, "tokens_with": tokens[0], "tokens_without": tokens[1], "reduction": round(tokens[1] / tokens[0], 1)}
         return {"results": results, "query": query, "mode": mode, "reranked": self.scorer is not None, "time_ms": round(spent), "token_stats": stats}
 
+    def _vector(self, query: str) -> list[float] | None:
+        return self.encoder.vector(query) if self.encoder else None
+
     def query_graph(self, name: str, kind: str = "all") -> dict[str, Any]:
         begun = time.time()
         found = graph.query_graph(self.nodes, self.edges, name, kind)
@@ -185,8 +183,13 @@ class Project:
         self._log(f"query_graph:{kind}", name, (time.time() - begun) * 1000, graph.files_touched(found), "claude", {})
         return out
 
-    def drawing(self) -> dict[str, Any]:
-        return {"nodes": rows(graph.graph_nodes(self.nodes)), "links": rows(graph.graph_links(self.nodes, self.edges).select("source", "target", "type"))}
+    def drawing(self, limit: int | None = None, after: str = "") -> dict[str, Any]:
+        """Nodes, by id, and the links that leave them; ``limit`` nodes after the id ``after`` give the graph page by page."""
+        nodes, links = graph.graph_nodes(self.nodes), graph.graph_links(self.nodes, self.edges).select("source", "target", "type")
+        if limit is not None:
+            nodes = nodes.where(F.col("id") > after).orderBy("id").limit(limit)
+            links = links.join(F.broadcast(nodes.select(F.col("id").alias("source"))), "source", "left_semi").select("source", "target", "type")  # a page of ids
+        return {"nodes": rows(nodes), "links": rows(links)}
 
     def activity(self) -> dict[str, Any]:
         items = rows(cost.recent(self.store.activity()))

@@ -22,4 +22,6 @@ ACTIVITY = _schema(
     "tokens_with int, tokens_without int, reduction double, time_without_s double, extra_json string"
 )
 VOCABULARY = _schema("term string, df bigint, idf double")
-TABLES = {"vocabulary": VOCABULARY, "nodes": NODES, "edges": EDGES, "embeddings": EMBEDDINGS, "file_hashes": FILE_HASHES, "activity_log": ACTIVITY}
+POSTINGS = _schema("term string, id string, tf bigint")
+LENGTHS = _schema("id string, size bigint")
+TABLES = {"vocabulary": VOCABULARY, "postings": POSTINGS, "lengths": LENGTHS, "nodes": NODES, "edges": EDGES, "embeddings": EMBEDDINGS, "file_hashes": FILE_HASHES, "activity_log": ACTIVITY}

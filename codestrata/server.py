@@ -8,18 +8,45 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any
 from urllib.parse import parse_qs, urlparse
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from codestrata.project import Project, rows
 
-PAGE = "<!doctype html><meta charset=utf-8><title>codestrata</title><h1>codestrata</h1><p>/api/stats /api/nodes /api/edges /api/graph /api/search?q= /api/blast?file= /api/compare?file= /api/activity /api/token-scenarios</p>"
+PAGE = """<!doctype html><meta charset="utf-8"><title>codestrata</title>
+<style>body{font:15px/1.5 system-ui;margin:2em auto;max-width:60em}input{width:24em}pre{background:#f4f4f4;padding:1em;overflow:auto}</style>
+<h1>codestrata</h1><pre id="stats"></pre>
+<form id="search"><input name="q" placeholder="search"> <button>Search</button></form>
+<form id="blast"><input name="file" placeholder="file"> <button>Impact</button></form>
+<pre id="answer"></pre><h2>Activity</h2><pre id="activity"></pre>
+<script>
+const show = (id, data) => { document.getElementById(id).textContent = JSON.stringify(data, null, 1); };
+const ask = (id, path) => fetch(path).then(r => r.json()).then(data => show(id, data));
+for (const name of ["search", "blast"]) {
+  const form = document.getElementById(name);
+  form.onsubmit = event => { event.preventDefault(); ask("answer", `/api/${name}?` + new URLSearchParams(new FormData(form))); };
+}
+const refresh = () => { ask("stats", "/api/stats"); ask("activity", "/api/activity"); };
+refresh();
+setInterval(refresh, 5000);
+</script>"""
+
+
+def page_of(df: DataFrame, q: dict[str, str], key: str, *order: str) -> list[dict[str, Any]]:
+    """All rows in ``order``, or, where a ``limit`` is asked for, so many rows by ``key`` after the key ``after``."""
+    if "limit" not in q:
+        return rows(df.orderBy(*order))
+    left = df.where(F.col(key) > F.lit(q["after"]).cast(df.schema[key].dataType)) if q.get("after") else df
+    return rows(left.orderBy(key).limit(int(q["limit"])))
 
 
 def routes(project: Project) -> dict[str, Callable[[dict[str, str]], Any]]:
     need = lambda f: lambda q: f(q["file"]) if q.get("file") else {"error": "No file specified"}
     return {
         "/api/stats": lambda q: project.stats(),
-        "/api/nodes": lambda q: rows(project.nodes.orderBy("file", "line")),
-        "/api/edges": lambda q: rows(project.edges),
-        "/api/graph": lambda q: project.drawing(),
+        "/api/nodes": lambda q: page_of(project.nodes, q, "id", "file", "line"),
+        "/api/edges": lambda q: page_of(project.edges, q, "id", "id"),
+        "/api/graph": lambda q: project.drawing(int(q["limit"]) if "limit" in q else None, q.get("after", "")),
         "/api/search": lambda q: project.search(q.get("q", ""), q.get("mode", "hybrid")),
         "/api/blast": need(project.blast),
         "/api/compare": need(project.compare),
@@ -30,7 +57,7 @@ def routes(project: Project) -> dict[str, Callable[[dict[str, str]], Any]]:
 
 def make_server(project: Project, port: int = 8000) -> ThreadingHTTPServer:
     """A server that is not yet running. A project without a graph is built first."""
-    if project.store.current("nodes") is None:
+    if "nodes" not in project.store.snapshot():
         project.build()
     known = routes(project)
 

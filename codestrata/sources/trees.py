@@ -14,7 +14,7 @@ from codestrata.functions.languages import EXTENSIONS, language_of, supported_ex
 from codestrata.functions.text import content_hash
 
 # Folders that hold no sources of the project.
-IGNORED = ["node_modules", ".git", "__pycache__", ".venv", "venv", ".tox", "dist", "build", ".code-review-graph", ".idea", ".vscode", "vendor", "target"]
+IGNORED = ["node_modules", ".git", "__pycache__", ".venv", "venv", ".tox", "dist", "build", ".idea", ".vscode", "vendor", "target"]
 #: The store that a project keeps in its own tree.
 OWN_FOLDER = ".codestrata"
 WATCH_IGNORED = [*IGNORED, ".next", ".nuxt"]

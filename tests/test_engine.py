@@ -142,6 +142,76 @@ def test_renames_and_debounce(spark):
     assert sorted((r["file"], (r["ts"] - t).total_seconds()) for r in kept.collect()) == [("a", 0), ("a", 1.0), ("a", 2.0), ("a", 9), ("b", 0.5)]
 
 
+def test_debounce_like_a_loop(spark):
+    """Many keys, one hot, over several batches, against a plain loop."""
+    r = random.Random(4)
+    t = datetime(2024, 1, 1)
+    rows = [(r.choice(["hot"] * 5 + [f"f{k}" for k in range(20)]), t + timedelta(milliseconds=r.randint(0, 400_000))) for _ in range(30_000)] + [(None, t), (None, t), ("f0", None)]
+    want = []
+    for key in {k for k, _ in rows}:
+        last = None
+        for ts in sorted(x for k, x in rows if k == key and x):
+            if last is None or ts >= last + timedelta(seconds=1):
+                want.append((str(key), ts))
+                last = ts
+    got = [(str(x["file"]), x["ts"]) for x in incremental.debounce(spark.createDataFrame(rows, "file string, ts timestamp").repartition(7)).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_round_like_python(spark):
+    r = random.Random(3)
+    values = [0.12345, 0.03125, 0.09375, -0.03125, -0.12345, 1.00005, 0.5, 0.0, -0.0, 2.675, 1e15, 123456.78905, 0.00005, 0.00015, 1.0, float("1e300")]
+    values += [r.random() for _ in range(2000)] + [r.randint(0, 10**6) / 10**5 for _ in range(2000)] + [-r.randint(0, 10**6) / 10**5 for _ in range(500)] + [r.randint(0, 2**20) / 2**16 for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", X.round_even(F.col("v"), 4).alias("r"))
+    assert all(row["r"] == round(row["v"], 4) for row in df.collect())
+
+
+def test_node_ids_are_unique(spark):
+    """One name on one line is one node, as the last of its rules has it; of repeated ids in a batch the last stays."""
+    from codestrata.operators import extract, store
+
+    sources = spark.createDataFrame([("a.kt", "kotlin", "data class Foo(val x: Int)\nfun bar(x: Int) {}\n", "h"), ("a.js", "javascript", "class Foo(x) {\n", "h"), ("A.java", "java", "public class Foo(int x) {\n", "h")], "file string, language string, source string, sha256 string")
+    nodes = extract.parse(sources)[0]
+    assert sorted((r["file"], r["name"], r["type"]) for r in nodes.collect()) == [("A.java", "Foo", "function"), ("a.js", "Foo", "class"), ("a.kt", "Foo", "class"), ("a.kt", "bar", "function")]
+    old = spark.createDataFrame([("1", "a", "f", 1), ("2", "b", "f", 2)], "id string, name string, file string, line int")
+    new = spark.createDataFrame([("2", "x", "f", 2), ("2", "y", "f", 3), ("3", "c", "g", 1), ("3", "c", "g", 1)], old.schema)
+    assert sorted(map(tuple, store.upsert_nodes(old, new).collect())) == [("1", "a", "f", 1), ("2", "y", "f", 3), ("3", "c", "g", 1)]
+
+
+def test_store_moments(spark, tmp_path):
+    """Readers of a snapshot keep the tables of one moment; a change that lost its number is refused; old folders go."""
+    from codestrata.operators.store import KEPT, Store
+
+    store = Store(spark, str(tmp_path / "s"))
+    frame = lambda n: spark.createDataFrame([(f"{k}", n) for k in range(2)], "id string, size long")
+    store.write("lengths", frame(0))
+    then = store.snapshot()
+    held = store.read("lengths", then)
+    store.write_all({"lengths": (frame(1), "id")})
+    assert {r["size"] for r in held.collect()} == {0} and {r["size"] for r in store.read("lengths").collect()} == {1}
+    for n in range(2, 6):
+        store.write("lengths", frame(n))
+    assert {r["size"] for r in store.read("lengths").collect()} == {5}
+    assert len(list((tmp_path / "s" / "lengths").iterdir())) <= KEPT + 2
+    real = store._manifests
+    store._manifests = lambda: real()[:-1]
+    with pytest.raises(RuntimeError, match="written first"):
+        store.write("lengths", frame(9))
+    store._manifests = real
+    assert {r["size"] for r in store.read("lengths").collect()} == {5}
+
+
+def test_encoder_plugin(spark):
+    rows = [("1", "a", "function", "x.py", 1, False, "def a()", "python"), ("2", "b", "function", "x.py", 2, False, "def b()", "python")]
+    nodes = spark.createDataFrame(rows, NODE).withColumns({"docstring": F.lit(""), "body_preview": F.lit(""), "parent_class": F.lit("")})
+    encoder = retrieval.Encoder("own", lambda: lambda texts: [[float(len(t)), float(t.count("b"))] for t in texts])
+    vectors, vocab = retrieval.embed_nodes(nodes, encoder=encoder)
+    got = {r["node_id"]: (list(r["vector"]), r["model"]) for r in vectors.collect()}
+    texts = {r["id"]: r["text_input"] for r in retrieval.embedding_text(nodes).collect()}
+    assert got == {k: ([float(len(t)), float(t.count("b"))], "own") for k, t in texts.items()} and vocab.count() == 0
+    assert encoder.vector("abb") == [3.0, 2.0]
+
+
 def test_activity_of_nothing(spark):
     from codestrata.schemas import ACTIVITY
 
@@ -171,6 +241,11 @@ def test_project(project):
     assert "shop/cart.py" in blast["affected_files"] and blast["review_order"][0] == "1. shop/core.py (the change)"
     assert project.search("price", "keyword")["results"][0]["name"] == "price"
     assert project.search("total of items")["mode"] == "hybrid"
+    assert project.store.read("postings").count() > 0 and [r["name"] for r in project.search('"(x)', "keyword")["results"]] == []
+    assert {r["name"] for r in project.search("(x)", "keyword")["results"]} >= {"price", "tax"}
+    first = project.drawing(2)
+    rest = project.drawing(10, first["nodes"][-1]["id"])
+    assert len(first["nodes"]) == 2 and sorted(n["id"] for n in first["nodes"] + rest["nodes"]) == sorted(n["id"] for n in project.drawing()["nodes"])
     assert {r["from_name"] for r in project.query_graph("price")["callers"]} == {"total"}
     assert project.compare("shop/core.py")["files_without"] == 3
     log = project.activity()
@@ -194,6 +269,9 @@ def test_http(project):
     get = lambda path: urllib.request.urlopen(f"http://127.0.0.1:{made.server_port}{path}", timeout=120).read()
     assert json.loads(get("/api/stats"))["total_nodes"] == 4
     assert json.loads(get("/api/blast")) == {"error": "No file specified"}
+    pages = [json.loads(get("/api/nodes?limit=3")), json.loads(get("/api/edges?limit=1000"))]
+    rest = json.loads(get(f"/api/nodes?limit=3&after={pages[0][-1]['id']}"))
+    assert len(pages[0]) == 3 and len(rest) == 1 and len(pages[1]) == len(json.loads(get("/api/edges")))
     assert len(json.loads(get("/api/graph"))["nodes"]) == 4 and b"codestrata" in get("/")
     made.shutdown()
 
