@@ -1,7 +1,7 @@
 """The graph that the star-schema tables hold, so that every graph operator has rows to work on.
 
-Customers are functions, nations are files and classes, consecutive urgent
-orders of a month are calls. Ids come from the rows' own keys, never from a
+Customers are functions, nations are files and classes, consecutive orders of a
+week are calls. Ids come from the rows' own keys, never from a
 global count.
 """
 
@@ -43,8 +43,8 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region, customer = (table(spark, sf_dir, t) for t in ("nation", "region", "customer"))
     who = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "n_name")
-    w = W.partitionBy(F.date_trunc("month", "o_orderdate")).orderBy("o_orderdate", "o_orderkey")
-    steps = table(spark, sf_dir, "orders").withColumn("before", F.lag("o_custkey").over(w)).where((F.col("o_orderpriority") == "1-URGENT") & F.col("before").isNotNull())
+    w = W.partitionBy(F.date_trunc("week", "o_orderdate")).orderBy("o_orderdate", "o_orderkey")
+    steps = table(spark, sf_dir, "orders").withColumn("before", F.lag("o_custkey").over(w)).where(F.col("before").isNotNull())
     a, b = who.toDF("a_key", "a_name", "a_file"), who.select("c_custkey", "c_name").toDF("b_key", "b_name")
     calls = steps.join(a, F.col("before") == F.col("a_key")).join(b, F.col("o_custkey") == F.col("b_key"))
     edge = lambda df, number, key, source, target, kind, file, line: df.select((F.col(key).cast("long") * 8 + number).alias("id"), F.col(source).alias("from_name"), target.alias("to_name"), F.lit(kind).alias("type"), F.col(file).alias("file"), line.cast("int").alias("line"))
@@ -74,8 +74,8 @@ nodes AS (
 who AS (SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
 steps AS (
   SELECT * FROM (
-    SELECT *, lag(o_custkey) OVER (PARTITION BY date_trunc('month', o_orderdate) ORDER BY o_orderdate, o_orderkey) AS before FROM orders)
-  WHERE o_orderpriority = '1-URGENT' AND before IS NOT NULL),
+    SELECT *, lag(o_custkey) OVER (PARTITION BY date_trunc('week', o_orderdate) ORDER BY o_orderdate, o_orderkey) AS before FROM orders)
+  WHERE before IS NOT NULL),
 calls_rows AS (
   SELECT s.o_orderkey, a.c_custkey AS a_key, a.c_name AS a_name, a.n_name AS a_file, b.c_name AS b_name
   FROM steps s JOIN who a ON s.before = a.c_custkey JOIN who b ON s.o_custkey = b.c_custkey),

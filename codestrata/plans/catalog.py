@@ -6,6 +6,7 @@ Each query applies an operator to whole tables of the star schema; see
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +15,15 @@ from pyspark.sql import functions as F
 from codestrata.functions import languages
 from codestrata.functions import text as X
 from codestrata.operators import cost, extract, graph, impact, incremental, retrieval, store
-from codestrata.plans import binding, oracles
+from codestrata.plans import binding, fixtures, oracles
 from codestrata.sources import trees
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
-CHANGED_FILE = "NATION_3"
+CHANGED_FILE, DELETED_FILE, KEPT_FILE = "NATION_3", "NATION_4", "NATION_5"
+ASKED_FUNCTION = "Customer#000000010"
+NODE_SEARCH = "machinery customer"
 DOC_SEARCH = "erthe anon"
 HOURS = 3600.0
 
@@ -62,6 +65,33 @@ def graph_dependents(spark: SparkSession, d: str) -> DataFrame:
     return graph.dependents_of_all(edges, nodes.select("file").distinct())
 
 
+@query
+def graph_dependents_of(spark: SparkSession, d: str) -> DataFrame:
+    return graph.dependents(binding.edges(spark, d), CHANGED_FILE)
+
+
+@query
+def graph_query(spark: SparkSession, d: str) -> DataFrame:
+    found = graph.query_graph(*_graph(spark, d), ASKED_FUNCTION)
+    part = lambda kind, name, file: found[kind].select(F.lit(kind).alias("kind"), F.col(name).alias("name"), F.col(file).alias("file"), "line")
+    return part("callers", "from_name", "file").unionByName(part("callees", "to_name", "file")).unionByName(part("tests", "test_name", "test_file"))
+
+
+@query
+def all_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.nodes_in_order(binding.nodes(spark, d)).select("id", "name", "type", "file", "line")
+
+
+@query
+def all_edges(spark: SparkSession, d: str) -> DataFrame:
+    return binding.edges(spark, d).select("id", "from_name", "to_name", "type", "file", "line")
+
+
+@query
+def node_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return graph.node(binding.nodes(spark, d), hashlib.md5(f"{CHANGED_FILE}::{CHANGED_FILE}::0".encode()).hexdigest()[:12]).select("id", "name", "type", "file")
+
+
 @query
 def graph_context(spark: SparkSession, d: str) -> DataFrame:
     found = graph.context(*_graph(spark, d))
@@ -269,6 +299,44 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.fuse(said, near, docs.select("id", (F.col("id") % 10 == 0).alias("is_test")), k, False)
 
 
+@query
+def shown_texts(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    return docs.select("id", X.shortened(F.col("text")).alias("shown"), X.wants_tests(F.col("text")).alias("wants_tests"))
+
+
+def _embedded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    nodes, edges = _graph(spark, d)
+    return retrieval.embed_nodes(nodes, graph.context(nodes, edges))
+
+
+@query
+def embed_nodes(spark: SparkSession, d: str) -> DataFrame:
+    vectors = _embedded(spark, d)[0]
+    return vectors.select("node_id", F.posexplode("vector").alias("slot", "w")).where("w <> 0").select("node_id", "slot", X.round_even(F.col("w").cast("double"), 3).alias("w"))
+
+
+@query
+def embed_query(spark: SparkSession, d: str) -> DataFrame:
+    vector = retrieval.query_vector(spark, NODE_SEARCH, _embedded(spark, d)[1])
+    return spark.range(1).select(F.posexplode(F.array(*map(F.lit, vector))).alias("slot", "w")).select("slot", X.round_even(F.col("w").cast("double"), 3).alias("w"))
+
+
+@query
+def semantic_search(spark: SparkSession, d: str) -> DataFrame:
+    nodes = binding.nodes(spark, d)
+    vectors, vocab = _embedded(spark, d)
+    found = retrieval.semantic_search(nodes, vectors, retrieval.query_vector(spark, NODE_SEARCH, vocab), 20)
+    return found.select("id", "name", "file", X.round_even(F.col("similarity"), 3).alias("similarity"))
+
+
+@query
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    nodes = binding.nodes(spark, d)
+    vectors, vocab = _embedded(spark, d)
+    return retrieval.hybrid_search(nodes, vectors, vocab, NODE_SEARCH, 20).select("node_id", "name", "file", X.round_even(F.col("score"), 3).alias("score"))
+
+
 @query
 def embedding_texts(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _graph(spark, d)
@@ -308,6 +376,26 @@ def extract_edges(spark: SparkSession, d: str) -> DataFrame:
     return extract.parse(_sources(spark, d), {"python"})[1].select("file", "type", "from_name", "to_name", "line")
 
 
+def _extraction(name: str, fixture: fixtures.Fixture) -> None:
+    """Registers the nodes and, where its language has any, the edges of a fixture."""
+
+    def nodes(spark: SparkSession, d: str) -> DataFrame:
+        found = extract.parse(fixtures.sources(spark, d, fixture), _LANGUAGES[name])[0]
+        return found.select("id", "name", "type", "language", "file", "line", "signature", "docstring", "sha256", "is_test", "parent_class", "body_preview")
+
+    def edges(spark: SparkSession, d: str) -> DataFrame:
+        return extract.parse(fixtures.sources(spark, d, fixture), _LANGUAGES[name])[1].select("file", "type", "from_name", "to_name", "line")
+
+    _QUERIES[f"extract_{name}_nodes"] = nodes
+    if fixture.edges:
+        _QUERIES[f"extract_{name}_edges"] = edges
+
+
+_LANGUAGES = {"python": {"python"}, "script": {"javascript", "typescript", "tsx"}, "go": {"go"}, "java": {"java"}, "rust": {"rust"}, "generic": {"kotlin", "swift", "ruby"}}
+for _name, _fixture in fixtures.FIXTURES.items():
+    _extraction(_name, _fixture)
+
+
 @query
 def line_scan(spark: SparkSession, d: str) -> DataFrame:
     docs = binding.texts(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), F.lit("text").alias("language"), F.col("text").alias("source"), F.lit("").alias("sha256"))
@@ -344,9 +432,67 @@ def generated_skip(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def upsert_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the nodes come anew, each twice in one batch: the later signature stays."""
     nodes = binding.nodes(spark, d).select("id", "name", "file", "line", "signature")
-    new = nodes.where("line % 3 = 0").withColumn("signature", F.concat(F.col("signature"), F.lit(" -> int")))
-    return store.upsert_nodes(nodes, new)
+    again = nodes.withColumn("signature", F.when(F.col("line") % 3 == 0, F.concat(F.col("signature"), F.lit(" -> int")))).where("signature is not null")
+    return store.upsert_nodes(nodes, again.unionByName(again.withColumn("signature", F.concat(F.col("signature"), F.lit(" | None")))))
+
+
+@query
+def append_edges(spark: SparkSession, d: str) -> DataFrame:
+    edges = binding.edges(spark, d)
+    again = edges.withColumn("type", F.concat(F.lit("again_"), F.col("type")))
+    return store.append_edges(edges, again.unionByName(edges)).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+
+
+def _file_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return binding.nodes(spark, d).groupBy("file").agg(F.substring(F.md5(F.count("*").cast("string")), 1, 16).alias("sha256"))
+
+
+@query
+def file_hash_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return store.file_hash(_file_hashes(spark, d), CHANGED_FILE)
+
+
+@query
+def set_file_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Hashes of files that change, of files that are new, one of them twice."""
+    before = _file_hashes(spark, d)
+    regions = _table(spark, d, "region").select(F.col("r_name").alias("file"), F.substring(F.md5("r_name"), 1, 16).alias("sha256"))
+    changed = before.withColumn("sha256", F.reverse("sha256"))
+    return store.upsert_by(before, changed.unionByName(regions).unionByName(regions), "file")
+
+
+@query
+def store_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors with label 0 come anew, turned round, with the others' new neighbours."""
+    vectors = _table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("node_id"), F.col("embedding").alias("vector"), "label")
+    new = vectors.withColumn("vector", F.transform("vector", lambda x: -x)).withColumn("node_id", F.when(F.col("label") == 0, F.col("node_id")).otherwise(F.concat(F.lit("new-"), F.col("node_id"))))
+    return store.upsert_by(vectors, new, "node_id").select("node_id", F.size("vector").alias("dim"), F.get("vector", F.lit(0)).cast("double").alias("first"))
+
+
+def _reindexed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graph after one file was written anew and another went."""
+    nodes, edges = _graph(spark, d)
+    text = f"def fresh():\n    stays()\n\ndef stays():\n    {DELETED_FILE}()\n    {KEPT_FILE}()\n"
+    sources = trees.with_hash(spark.createDataFrame([(CHANGED_FILE, "python", text)], "file string, language string, source string")).select("file", "language", "source", "sha256")
+    vectors = nodes.select(F.col("id").alias("node_id"), F.col("name").alias("text_input"))
+    return incremental.reindex(nodes, edges, vectors, sources, spark.createDataFrame([(DELETED_FILE,)], "file string"))
+
+
+@query
+def reindex_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _reindexed(spark, d)[0].select("id", "name", "type", "file", "line", "signature")
+
+
+@query
+def reindex_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _reindexed(spark, d)[1].select("from_name", "to_name", "type", "file", "line", "to_id")
+
+
+@query
+def reindex_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return _reindexed(spark, d)[2].select("node_id", "text_input")
 
 
 @query
@@ -373,13 +519,14 @@ def rename_file(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hashes(spark: SparkSession, d: str, when: str) -> DataFrame:
+    """A file for each user, kind of event and hour of the day, with a hash of its events."""
     e = _table(spark, d, "events").where(when)
-    return e.groupBy(F.col("user_id").cast("string").alias("file")).agg(F.substring(F.md5(F.sum(F.col("event_id") % 3).cast("string")), 1, 16).alias("sha256"))
+    return e.groupBy(F.concat_ws("/", F.col("user_id").cast("string"), F.col("event_type"), F.hour("ts").cast("string")).alias("file")).agg(F.substring(F.md5(F.sum(F.col("event_id") % 3).cast("string")), 1, 16).alias("sha256"))
 
 
 @query
 def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
-    return incremental.snapshot_diff(_hashes(spark, d, "day(ts) <= 2 and user_id % 7 <> 1"), _hashes(spark, d, "day(ts) = 3 and user_id % 7 <> 2"))
+    return incremental.snapshot_diff(_hashes(spark, d, "day(ts) <= 15"), _hashes(spark, d, "day(ts) > 15"))
 
 
 @query
@@ -406,4 +553,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.all_sql(CHANGED_FILE, DOC_SEARCH)
+    return oracles.all_sql(CHANGED_FILE, DOC_SEARCH, DELETED_FILE, KEPT_FILE, ASKED_FUNCTION, NODE_SEARCH)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from codestrata.functions.languages import EXTENSIONS
 from codestrata.operators.extract import CALL_DENYLIST
+from codestrata.plans import fixtures
 from codestrata.plans.binding import GRAPH_SQL
 
 
@@ -75,7 +76,7 @@ bm25 AS (
 _COSINE = """
 given AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0),
 cosine AS (
-  SELECT vec_id AS id, round(CASE WHEN p * r > 0 THEN list_dot_product(e, q) / (sqrt(p) * sqrt(r)) ELSE 0 END, 4) AS similarity
+  SELECT vec_id AS id, CAST(printf('%.4f', CASE WHEN p * r > 0 THEN list_dot_product(e, q) / (sqrt(p) * sqrt(r)) ELSE 0 END) AS DOUBLE) AS similarity
   FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, q, list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS p, list_dot_product(q, q) AS r FROM embeddings, given))"""
 
 _VOCAB = f"""
@@ -83,6 +84,31 @@ doc_terms AS (SELECT doc_id AS id, unnest({_TFIDF_TOKENS}) AS term FROM document
 df AS (SELECT term, count(DISTINCT id) AS df FROM doc_terms GROUP BY term),
 vocab AS (SELECT term, df, ln((SELECT count(*) FROM documents) / (1.0 + df)) AS idf FROM df ORDER BY df DESC, term LIMIT 384)"""
 
+_TEXTS = """
+a AS (SELECT function, string_agg(from_name, ' ' ORDER BY place) AS l FROM (SELECT to_name AS function, from_name, file, row_number() OVER (PARTITION BY to_name ORDER BY min(id), from_name, file) AS place FROM edges WHERE type = 'calls' GROUP BY to_name, from_name, file) WHERE place <= 6 GROUP BY function),
+b AS (SELECT function, string_agg(to_name, ' ' ORDER BY place) AS l FROM (SELECT from_name AS function, to_name, row_number() OVER (PARTITION BY from_name ORDER BY min(id), to_name) AS place FROM edges WHERE type = 'calls' AND to_name IN (SELECT name FROM nodes) GROUP BY from_name, to_name) WHERE place <= 5 GROUP BY function),
+c AS (SELECT function, string_agg(from_name, ' ' ORDER BY place) AS l FROM (SELECT to_name AS function, from_name, row_number() OVER (PARTITION BY to_name ORDER BY min(id), from_name) AS place FROM edges WHERE type = 'tests' GROUP BY to_name, from_name) WHERE place <= 4 GROUP BY function),
+texts AS (SELECT n.id, concat_ws(' | ', name, nullif(signature, ''), nullif(docstring, ''), 'File: ' || file, 'Type: ' || type, 'calls: ' || b.l, 'callers: ' || a.l, 'tests: ' || c.l) AS text_input
+FROM nodes n LEFT JOIN a ON n.type = 'function' AND a.function = n.name LEFT JOIN b ON n.type = 'function' AND b.function = n.name LEFT JOIN c ON n.type = 'function' AND c.function = n.name)"""
+
+# TF-IDF over the nodes' texts: vectors as (id, place in the vocabulary, single-precision weight).
+_VECTORS = """
+terms AS (SELECT id, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text_input), '[^a-z0-9]', ' ', 'g'), ' +'), lambda x: length(x) > 1)) AS term FROM texts),
+node_vocab AS (
+  SELECT term, ln((SELECT count(*) FROM texts) / (1.0 + df)) AS idf, CAST(row_number() OVER (ORDER BY df DESC, term) - 1 AS INT) AS slot
+  FROM (SELECT term, count(DISTINCT id) AS df FROM terms GROUP BY term ORDER BY df DESC, term LIMIT 384)),
+weights AS (SELECT id, slot, count(*) * any_value(idf) AS w FROM terms JOIN node_vocab USING (term) GROUP BY id, slot),
+vectors AS (SELECT id, slot, CAST(w / norm AS FLOAT) AS w FROM weights JOIN (SELECT id, sqrt(sum(w * w)) AS norm FROM weights GROUP BY id) USING (id) WHERE norm > 0),
+asked_weights AS (SELECT slot, count(*) * any_value(idf) AS w FROM (SELECT unnest(string_split('{0}', ' ')) AS term) JOIN node_vocab USING (term) GROUP BY slot),
+asked AS (SELECT slot, CAST(w / sqrt((SELECT sum(w * w) FROM asked_weights)) AS FLOAT) AS w FROM asked_weights)"""
+
+_NEAREST = """
+dots AS (SELECT id, sum(CAST(v.w AS DOUBLE) * CAST(a.w AS DOUBLE)) AS dot FROM vectors v JOIN asked a USING (slot) GROUP BY id),
+norms AS (SELECT id, sqrt(sum(CAST(w AS DOUBLE) * CAST(w AS DOUBLE))) AS norm FROM vectors GROUP BY id),
+similar_nodes AS (
+  SELECT n.id, CAST(printf('%.4f', coalesce(dot / (norm * (SELECT sqrt(sum(CAST(w AS DOUBLE) * CAST(w AS DOUBLE))) FROM asked)), 0)) AS DOUBLE) AS similarity
+  FROM nodes n LEFT JOIN dots USING (id) LEFT JOIN norms USING (id))"""
+
 _ACTIVITY = """
 log AS (
   SELECT event_id AS id, strftime(ts, '%H:%M:%S') AS ts, event_type AS op, 'user ' || user_id AS target, CASE WHEN event_id % 2 = 0 THEN 'web' ELSE 'claude' END AS source,
@@ -105,9 +131,10 @@ def _language_case() -> str:
     return f"CASE {whens} END"
 
 
-def all_sql(file: str, doc_search: str) -> dict[str, str]:
+def all_sql(file: str, doc_search: str, deleted: str, kept: str, asked: str, node_search: str) -> dict[str, str]:
     g, blast = f"WITH {GRAPH_SQL}", f"WITH {GRAPH_SQL}, {_blast(file)}"
     prefixes = doc_search.split()
+    vectors = f"{g}, {_TEXTS}, {_VECTORS.format(node_search)}"
     denied = ", ".join(repr(n) for n in sorted(set(CALL_DENYLIST)))
     node_docs = "node_docs AS (SELECT id, concat_ws(' ', name, signature, docstring, file) AS text FROM nodes)"
     return {
@@ -115,6 +142,14 @@ def all_sql(file: str, doc_search: str) -> dict[str, str]:
         "graph_callees": f"{g} SELECT DISTINCT from_name AS function, to_name, file, line FROM edges WHERE type = 'calls'",
         "graph_tests_for": f"{g} SELECT DISTINCT e.to_name AS function, e.from_name AS test_name, e.file AS test_file, e.line, n.signature FROM edges e LEFT JOIN nodes n ON n.name = e.from_name WHERE e.type = 'tests'",
         "graph_dependents": f"{g} SELECT DISTINCT f.file AS imported, e.from_name, e.file FROM (SELECT DISTINCT file FROM nodes) f JOIN edges e ON e.type = 'imports' AND e.to_name ILIKE '%' || f.file || '%'",
+        "graph_dependents_of": f"{g} SELECT DISTINCT from_name, file FROM edges WHERE type = 'imports' AND to_name ILIKE '%{file}%'",
+        "graph_query": f"""{g}
+SELECT DISTINCT 'callers' AS kind, e.from_name AS name, e.file, e.line FROM edges e WHERE e.type = 'calls' AND e.to_name = '{asked}'
+UNION ALL SELECT DISTINCT 'callees', to_name, file, line FROM edges WHERE type = 'calls' AND from_name = '{asked}'
+UNION ALL SELECT DISTINCT 'tests', from_name, file, line FROM edges WHERE type = 'tests' AND to_name = '{asked}'""",
+        "all_nodes": f"{g} SELECT id, name, type, file, line FROM nodes",
+        "all_edges": f"{g} SELECT id, from_name, to_name, type, file, line FROM edges",
+        "node_lookup": f"{g} SELECT id, name, type, file FROM nodes WHERE name = '{file}' AND type = 'class'",
         "graph_context": f"""{g},
 who_calls AS (SELECT to_name AS function, from_name, file, row_number() OVER (PARTITION BY to_name ORDER BY min(id), from_name, file) AS place FROM edges WHERE type = 'calls' GROUP BY to_name, from_name, file),
 what AS (SELECT from_name AS function, to_name, row_number() OVER (PARTITION BY from_name ORDER BY min(id), to_name) AS place FROM edges WHERE type = 'calls' AND to_name IN (SELECT name FROM nodes) GROUP BY from_name, to_name),
@@ -186,18 +221,29 @@ scored AS (
          coalesce(0.4 / (1.0 + place), 0) + coalesce(0.6 * (similarity - (SELECT min(similarity) FROM near)) / greatest((SELECT max(similarity) - min(similarity) FROM near), 1e-6), 0) AS raw
   FROM said FULL JOIN near ON said.id = near.id),
 weighed AS (SELECT s.id, place, similarity, CASE WHEN d.id IS NOT NULL AND s.id % 10 = 0 THEN raw * 0.65 ELSE raw END AS score FROM scored s LEFT JOIN d ON d.id = s.id)
-SELECT id, round(score, 4) AS score FROM weighed WHERE score >= 0.1 ORDER BY score DESC, place ASC NULLS LAST, similarity DESC NULLS LAST, id LIMIT 20""",
-        "embedding_texts": f"""{g},
-a AS (SELECT function, string_agg(from_name, ' ' ORDER BY place) AS l FROM (SELECT to_name AS function, from_name, file, row_number() OVER (PARTITION BY to_name ORDER BY min(id), from_name, file) AS place FROM edges WHERE type = 'calls' GROUP BY to_name, from_name, file) WHERE place <= 6 GROUP BY function),
-b AS (SELECT function, string_agg(to_name, ' ' ORDER BY place) AS l FROM (SELECT from_name AS function, to_name, row_number() OVER (PARTITION BY from_name ORDER BY min(id), to_name) AS place FROM edges WHERE type = 'calls' AND to_name IN (SELECT name FROM nodes) GROUP BY from_name, to_name) WHERE place <= 5 GROUP BY function),
-c AS (SELECT function, string_agg(from_name, ' ' ORDER BY place) AS l FROM (SELECT to_name AS function, from_name, row_number() OVER (PARTITION BY to_name ORDER BY min(id), from_name) AS place FROM edges WHERE type = 'tests' GROUP BY to_name, from_name) WHERE place <= 4 GROUP BY function)
-SELECT n.id, concat_ws(' | ', name, nullif(signature, ''), nullif(docstring, ''), 'File: ' || file, 'Type: ' || type, 'calls: ' || b.l, 'callers: ' || a.l, 'tests: ' || c.l) AS text_input
-FROM nodes n LEFT JOIN a ON n.type = 'function' AND a.function = n.name LEFT JOIN b ON n.type = 'function' AND b.function = n.name LEFT JOIN c ON n.type = 'function' AND c.function = n.name""",
+SELECT id, CAST(printf('%.4f', score) AS DOUBLE) AS score FROM weighed WHERE score >= 0.1 ORDER BY score DESC, place ASC NULLS LAST, similarity DESC NULLS LAST, id LIMIT 20""",
+        "embedding_texts": f"{g}, {_TEXTS} SELECT id, text_input FROM texts",
+        "shown_texts": r"SELECT doc_id AS id, CASE WHEN length(text) > 120 THEN regexp_replace(substr(text, 1, 120), '[\s\x1c-\x1f]+$', '') || '…' ELSE text END AS shown, regexp_matches(lower(text), 'test|spec|fixture|mock') AS wants_tests FROM documents",
+        "embed_nodes": f"{vectors} SELECT id AS node_id, slot, CAST(printf('%.3f', CAST(w AS DOUBLE)) AS DOUBLE) + 0.0 AS w FROM vectors WHERE w <> 0",
+        "embed_query": f"{vectors} SELECT places.slot, CAST(printf('%.3f', coalesce(CAST(w AS DOUBLE), 0)) AS DOUBLE) + 0.0 AS w FROM (SELECT CAST(unnest(range(384)) AS INT) AS slot) places LEFT JOIN asked USING (slot)",
+        "semantic_search": f"{vectors}, {_NEAREST} SELECT id, name, file, CAST(printf('%.3f', similarity) AS DOUBLE) AS similarity FROM (SELECT * FROM similar_nodes ORDER BY similarity DESC, id LIMIT 20) JOIN nodes USING (id)",
+        "hybrid_search": f"""{vectors}, {_NEAREST}, {node_docs}, {_bm25('node_docs', node_search.split())},
+said AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS place FROM bm25 ORDER BY score DESC, id LIMIT 40),
+near AS (SELECT id, similarity FROM similar_nodes ORDER BY similarity DESC, id LIMIT 40),
+scored AS (
+  SELECT coalesce(said.id, near.id) AS id, place, similarity,
+         coalesce(0.4 / (1.0 + place), 0) + coalesce(0.6 * (similarity - (SELECT min(similarity) FROM near)) / greatest((SELECT max(similarity) - min(similarity) FROM near), 1e-6), 0) AS raw
+  FROM said FULL JOIN near ON said.id = near.id),
+best AS (SELECT s.id, CASE WHEN is_test THEN raw * 0.65 ELSE raw END AS score FROM scored s JOIN nodes n ON n.id = s.id
+  WHERE CASE WHEN is_test THEN raw * 0.65 ELSE raw END >= 0.1 ORDER BY score DESC, place ASC NULLS LAST, similarity DESC NULLS LAST, s.id LIMIT 20)
+SELECT id AS node_id, name, file, CAST(printf('%.3f', score) AS DOUBLE) AS score FROM best JOIN nodes USING (id)""",
         "embedding_nodes": "SELECT vec_id, label, lang, source, CAST(len(embedding) AS INT) AS dim FROM embeddings JOIN documents ON vec_id = doc_id",
         "extract_nodes": f"""{g}, {_PARSED}
 SELECT substr(md5(file || '::' || name || '::' || line), 1, 12) AS id, name, type, 'python' AS language, file, line, signature, docstring, is_test, parent_class FROM (
   SELECT file, cls AS name, 'class' AS type, 2 AS line, 'class ' || cls || '(Base, object)' AS signature, '' AS docstring, key % 10 = 0 AS is_test, '' AS parent_class FROM owners
   UNION ALL SELECT file, own, 'function', 3, 'def ' || own || '(self, a) -> int', 'Runs it.', key % 10 = 0, cls FROM owners)""",
+        **{f"extract_{name}_nodes": fixtures.nodes_sql(x) for name, x in fixtures.FIXTURES.items()},
+        **{f"extract_{name}_edges": fixtures.edges_sql(x) for name, x in fixtures.FIXTURES.items() if x.edges},
         "extract_edges": f"""{g}, {_PARSED}
 SELECT base || '.py' AS file, 'calls' AS type, own AS from_name, other AS to_name, line FROM keyed WHERE own <> other
 UNION ALL SELECT base || '.py', 'tests', own, other, 3 FROM keyed WHERE own <> other AND key % 10 = 0
@@ -213,13 +259,26 @@ SELECT p_partkey, {_language_case()} AS language, replace('src/' || base, '/', '
         "generated_skip": r"""
 SELECT page_id FROM pages WHERE NOT (regexp_matches('/' || url, '_pb2\.py$|_pb2_grpc\.py$|[/\\]migrations[/\\]\d+_|\.generated\.') OR contains(substr(html, 1, 500), '# Generated by') OR contains(substr(html, 1, 500), '# DO NOT EDIT')
   OR contains(substr(html, 1, 500), '# @generated') OR contains(substr(html, 1, 500), '// Code generated by'))""",
-        "upsert_nodes": f"{g} SELECT id, name, file, line, CASE WHEN line % 3 = 0 THEN signature || ' -> int' ELSE signature END AS signature FROM nodes",
+        "upsert_nodes": f"{g} SELECT id, name, file, line, CASE WHEN line % 3 = 0 THEN signature || ' -> int | None' ELSE signature END AS signature FROM nodes",
+        "append_edges": f"{g} SELECT type, 2 * count(*) AS n, count(DISTINCT id) AS ids FROM edges GROUP BY type UNION ALL SELECT 'again_' || type, count(*), count(DISTINCT id) FROM edges GROUP BY type",
+        "file_hash_lookup": f"{g} SELECT file, substr(md5(CAST(count(*) AS VARCHAR)), 1, 16) AS sha256 FROM nodes WHERE file = '{file}' GROUP BY file",
+        "set_file_hashes": f"{g} SELECT file, reverse(substr(md5(CAST(count(*) AS VARCHAR)), 1, 16)) AS sha256 FROM nodes GROUP BY file UNION ALL SELECT r_name, substr(md5(r_name), 1, 16) FROM region",
+        "store_embeddings": """SELECT CAST(vec_id AS VARCHAR) AS node_id, CAST(len(embedding) AS INT) AS dim, CAST(CASE WHEN label = 0 THEN -embedding[1] ELSE embedding[1] END AS DOUBLE) AS first FROM embeddings
+UNION ALL SELECT 'new-' || vec_id, CAST(len(embedding) AS INT), CAST(-embedding[1] AS DOUBLE) FROM embeddings WHERE label <> 0""",
+        "reindex_nodes": f"""{g} SELECT id, name, type, file, line, signature FROM nodes WHERE file NOT IN ('{file}', '{deleted}')
+UNION ALL SELECT substr(md5('{file}::fresh::1'), 1, 12), 'fresh', 'function', '{file}', 1, 'def fresh()' UNION ALL SELECT substr(md5('{file}::stays::4'), 1, 12), 'stays', 'function', '{file}', 4, 'def stays()'""",
+        "reindex_edges": f"""{g}, now AS (
+  SELECT from_name, to_name, type, file, line FROM edges WHERE file NOT IN ('{file}', '{deleted}')
+  UNION ALL SELECT 'fresh', 'stays', 'calls', '{file}', 2 UNION ALL SELECT 'stays', '{deleted}', 'calls', '{file}', 5 UNION ALL SELECT 'stays', '{kept}', 'calls', '{file}', 6),
+targets AS (SELECT id, name FROM nodes WHERE file NOT IN ('{file}', '{deleted}') UNION ALL SELECT substr(md5('{file}::stays::4'), 1, 12), 'stays')
+SELECT from_name, to_name, n.type, n.file, n.line, coalesce(t.id, '') AS to_id FROM now n LEFT JOIN targets t ON n.type = 'calls' AND t.name = n.to_name""",
+        "reindex_vectors": f"{g} SELECT id AS node_id, name AS text_input FROM nodes WHERE file NOT IN ('{file}', '{deleted}')",
         "clear_file": f"{g} SELECT 'nodes' AS table_name, file, count(*) AS n FROM nodes WHERE file <> '{file}' GROUP BY file UNION ALL SELECT 'edges', file, count(*) FROM edges WHERE file <> '{file}' GROUP BY file",
         "clear_embeddings": f"{g} SELECT id AS node_id, name AS text_input FROM nodes WHERE file <> '{file}'",
         "rename_file": f"{g} SELECT id, name, CASE WHEN file = '{file}' THEN 'NATION_X' ELSE file END AS file FROM nodes",
         "snapshot_diff": """
-WITH a AS (SELECT CAST(user_id AS VARCHAR) AS file, md5(CAST(sum(event_id % 3) AS VARCHAR)) AS h FROM events WHERE day(ts) <= 2 AND user_id % 7 <> 1 GROUP BY 1),
-b AS (SELECT CAST(user_id AS VARCHAR) AS file, md5(CAST(sum(event_id % 3) AS VARCHAR)) AS h FROM events WHERE day(ts) = 3 AND user_id % 7 <> 2 GROUP BY 1)
+WITH a AS (SELECT user_id || '/' || event_type || '/' || hour(ts) AS file, md5(CAST(sum(event_id % 3) AS VARCHAR)) AS h FROM events WHERE day(ts) <= 15 GROUP BY 1),
+b AS (SELECT user_id || '/' || event_type || '/' || hour(ts) AS file, md5(CAST(sum(event_id % 3) AS VARCHAR)) AS h FROM events WHERE day(ts) > 15 GROUP BY 1)
 SELECT coalesce(a.file, b.file) AS file, CASE WHEN b.h IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.file = b.file WHERE a.h IS NULL OR b.h IS NULL OR substr(a.h, 1, 16) <> substr(b.h, 1, 16)""",
         "rename_match": """
 WITH e AS (SELECT CASE WHEN event_type = 'error' THEN 'delete' ELSE 'create' END AS kind, 'f' || event_id AS file, CAST(user_id AS VARCHAR) AS hash, ts FROM events WHERE event_type IN ('error', 'signup')),
