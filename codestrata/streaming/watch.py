@@ -101,6 +101,45 @@ def debounced(events: DataFrame, seconds: float = incremental.DEBOUNCE_SECONDS,
     return events.select("file", "ts").groupBy("file").applyInPandasWithState(accept, "file string, ts timestamp", "last long", "append", GroupStateTimeout.NoTimeout if forget_after is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def renamed(events: DataFrame, seconds: float = incremental.RENAME_SECONDS, expire: bool = False) -> DataFrame:
+    """(hash, old_file, new_file, ts) of a stream of file events: one pending deletion a content, held as state.
+
+    A later deletion of the content takes the pending one's place; a creation
+    ends it and is a rename if it comes within ``seconds``, as ``rename_match`` has
+    it for a table. With ``expire`` a deletion that nothing followed comes out with
+    a null ``new_file`` once its time is over; such a stream runs until it is stopped.
+    """
+    gap = pd.Timedelta(seconds=seconds)
+
+    def match(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        if state.hasTimedOut:
+            file, at = state.get
+            state.remove()
+            out.append((key[0], file, None, pd.Timestamp(at, unit="us")))
+        else:
+            pending = state.get if state.exists else None
+            rows = sorted(r for pdf in batches for r in zip(pdf["ts"], pdf["kind"], pdf["file"], strict=True))
+            for ts, kind, file in rows:
+                if kind == "delete":
+                    pending = (file, int(ts.value // 1000))
+                elif kind == "create":
+                    if pending is not None and ts <= pd.Timestamp(pending[1], unit="us") + gap:
+                        out.append((key[0], pending[0], file, ts))
+                    pending = None
+            if pending is not None:
+                state.update(pending)
+                if expire:
+                    state.setTimeoutDuration(max(1, int(seconds * 1000)))
+            elif state.exists:
+                state.remove()
+        yield pd.DataFrame(out, columns=["hash", "old_file", "new_file", "ts"])
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
+    keyed = events.where("kind in ('delete', 'create')").select("hash", "kind", "file", "ts").groupBy("hash")
+    return keyed.applyInPandasWithState(match, "hash string, old_file string, new_file string, ts timestamp", "file string, ts long", "append", timeout)
+
+
 def event_counts(events: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
     """(window, event_type, n) of an event-time stream, final once the watermark has passed."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 import pandas as pd
 
-from codestrata.streaming.watch import EVENT_SCHEMA, TreeEvents, Watcher, debounced, event_counts
+from codestrata.streaming.watch import EVENT_SCHEMA, TreeEvents, Watcher, debounced, event_counts, renamed
 
 
 def run(spark, df, name, mode="append"):
@@ -20,6 +20,33 @@ def test_debounce_stream(spark, tmp_path):
     assert sorted((r["file"], (r["ts"] - t.to_pydatetime()).total_seconds()) for r in got) == [("a", 0.0), ("a", 1.0), ("a", 2.5), ("b", 0.2)]
 
 
+def test_renames_over_batches(spark, tmp_path):
+    """The pending deletion of a content is state: it outlives a micro-batch, is replaced by a later one and ended by a creation."""
+    import os
+
+    from codestrata.operators import incremental
+
+    t = pd.Timestamp("2024-01-01")
+    at = lambda s: (t + pd.Timedelta(seconds=s)).to_pydatetime()
+    parts = [
+        [("old", "delete", "h", at(0)), ("p", "delete", "g", at(0)), ("r", "delete", "k", at(0)), ("x", "change", "h", at(1))],
+        [("new", "create", "h", at(4)), ("q", "create", "g", at(9)), ("s", "delete", "k", at(1))],
+        [("u", "create", "k", at(2)), ("v", "create", "k", at(3)), ("new2", "create", "h", at(4.5))],
+    ]
+    for k, part in enumerate(parts):
+        made = tmp_path / f"made-{k}"
+        spark.createDataFrame(part, EVENT_SCHEMA).coalesce(1).write.parquet(str(made))
+        (file,) = made.glob("*.parquet")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        os.utime(file, (1_700_000_000 + k * 60,) * 2)
+        file.rename(tmp_path / "in" / f"{k}.parquet")
+    stream = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {(r["hash"], r["old_file"], r["new_file"], r["ts"]) for r in run(spark, renamed(stream), "renames").collect()}
+    table = spark.read.schema(EVENT_SCHEMA).parquet(str(tmp_path / "in")).where("kind <> 'change'")
+    assert got == {(r["hash"], r["old_file"], r["new_file"], r["ts"]) for r in incremental.rename_match(table).collect()}
+    assert {(o, n) for _, o, n, _ in got} == {("old", "new"), ("s", "u")}
+
+
 def test_event_counts(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr("cast(ts as timestamp) ts", "event_type")
     events.write.parquet(str(tmp_path / "ev"))
