@@ -9,11 +9,15 @@ Candidates. 64 bits are ``SEGMENTS`` segments in a ring, one more than the
 distance bound. By the pigeonring principle two fingerprints within the bound
 have a segment from which every chain of consecutive segments keeps its
 cumulative difference within its share of the bound: 0 in the first segment, at
-most 1 in the first two, and so on. A chain's first two segments are hashed: a
-fingerprint is filed under its own two segments and under those whose second
-segment differs in one bit that is 0 in it (the other of such a pair has a 1
-there and files its own), so both meet under one key of about 26 bits. Members
-of a key's group are pruned by the longer chains, then by the full distance.
+most 1 in the first two, at most 2 in the first three. A chain's first segments are
+hashed. With two, a fingerprint is filed under its own and under those whose
+second segment differs in one bit that is 0 in it (the other of such a pair has a 1
+there and files its own), so both meet under one key of about 26 bits. Of more than
+``MANY`` fingerprints too many would share such keys: then the first three are
+hashed, 39 bits, and filed as they are and with any one bit of the second and third
+changed, so that two that differ in two bits there meet. Members of a key's group
+are pruned by the longer chains, then by the full distance. Either way no pair is
+lost.
 
 Groups. A key's group is read as a sorted stream and only a spanning forest of
 its links is emitted: breadth-first, so a dense group of g fingerprints costs
@@ -51,6 +55,10 @@ SEGMENTS = DISTANCE + 1
 WIDTHS = [BITS // SEGMENTS + (k < BITS % SEGMENTS) for k in range(SEGMENTS)]
 FIRST = [sum(WIDTHS[:k]) for k in range(SEGMENTS)]
 GROUP = 4096
+#: Places in a key: a segment's bits, the ring position, a block's number.
+_WIDEST, _START, _BLOCK = max(WIDTHS), 3 * max(WIDTHS), 3 * max(WIDTHS) + 3
+#: Fingerprints from which keys are of three segments: some thirty share a key of two.
+MANY = 1 << 28
 
 _BIT_TABLE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
@@ -106,21 +114,25 @@ def chain_masks(start: int) -> list[tuple[np.uint64, int]]:
 CHAINS = [chain_masks(s) for s in range(SEGMENTS)]
 
 
-def chain_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, index into ``fp``): the first two segments of each chain, as they are and with one 0 of the second set."""
+def chain_keys(fp: np.ndarray, length: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(key, index into ``fp``): the first ``length`` segments of each chain, as they are and with one bit changed.
+
+    Of two segments only a 0 of the second changes; of three any bit of the second and third.
+    """
     keys, index = [], []
     own = np.arange(len(fp))
     for start in range(SEGMENTS):
-        a, b = start, (start + 1) % SEGMENTS
-        one = (fp >> np.uint64(FIRST[a])) & np.uint64((1 << WIDTHS[a]) - 1)
-        two = (fp >> np.uint64(FIRST[b])) & np.uint64((1 << WIDTHS[b]) - 1)
-        base = (np.uint64(start) << np.uint64(32)) | (one << np.uint64(16))
-        keys.append(base | two)
+        base = np.full(len(fp), start, np.uint64) << np.uint64(_START)
+        for at, k in enumerate((start + j) % SEGMENTS for j in range(length)):
+            base |= ((fp >> np.uint64(FIRST[k])) & np.uint64((1 << WIDTHS[k]) - 1)) << np.uint64(_WIDEST * at)
+        keys.append(base)
         index.append(own)
-        for bit in range(WIDTHS[b]):
-            free = np.flatnonzero((two >> np.uint64(bit)) & np.uint64(1) == 0)
-            keys.append(base[free] | two[free] | np.uint64(1 << bit))
-            index.append(free)
+        for at in range(1, length):
+            for bit in range(WIDTHS[(start + at) % SEGMENTS]):
+                flag = np.uint64(1 << (_WIDEST * at + bit))
+                free = np.flatnonzero(base & flag == 0) if length == 2 else own
+                keys.append(base[free] ^ flag)
+                index.append(free)
     return np.concatenate(keys), np.concatenate(index)
 
 
@@ -160,7 +172,7 @@ def group_links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.concatenate((edge, [len(key)])))
-    starts = ((key >> np.uint64(32)) & np.uint64(7)).astype(np.int64)
+    starts = ((key >> np.uint64(_START)) & np.uint64(7)).astype(np.int64)
     out_a, out_b = [], []
     small = np.repeat(size <= 8, size)
     for shift in range(1, 8):
@@ -186,12 +198,13 @@ def group_links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def hamming_links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): links that span every component of distinct ``fp`` values within the distance bound."""
+    length = 2 if fps.count() <= MANY else 3
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             fp = column(batch, "fp").to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(fp), 2048):
-                key, index = chain_keys(fp[at : at + 2048])
+                key, index = chain_keys(fp[at : at + 2048], length)
                 yield {"key": key.view(np.int64), "fp": fp[at : at + 2048][index].view(np.int64)}
 
     keyed = map_rows(fps.select("fp"), "key long, fp long", expand)
@@ -222,8 +235,8 @@ def hamming_links(fps: DataFrame, scratch: Scratch) -> DataFrame:
         yield made(*held)
 
     def made(key: np.ndarray, blk: np.ndarray, fp: np.ndarray) -> dict:
-        # Keys use 35 bits; a block's number tells equal keys' blocks apart.
-        a, b = group_links(key | (blk.astype(np.uint64) << np.uint64(36)), fp)
+        # A block's number tells equal keys' blocks apart.
+        a, b = group_links(key | (blk.astype(np.uint64) << np.uint64(_BLOCK)), fp)
         low, high = np.minimum(a.view(np.int64), b.view(np.int64)), np.maximum(a.view(np.int64), b.view(np.int64))
         return {"a": low, "b": high}
 
