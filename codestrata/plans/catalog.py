@@ -396,6 +396,16 @@ for _name, _fixture in fixtures.FIXTURES.items():
     _extraction(_name, _fixture)
 
 
+@query
+def tree_sources(spark: SparkSession, d: str) -> DataFrame:
+    return trees.read_sources(spark, fixtures.write_tree(spark, d)).select("file", "language", "sha256")
+
+
+@query
+def tree_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return trees.scan_hashes(spark, fixtures.write_tree(spark, d))
+
+
 @query
 def line_scan(spark: SparkSession, d: str) -> DataFrame:
     docs = binding.texts(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), F.lit("text").alias("language"), F.col("text").alias("source"), F.lit("").alias("sha256"))

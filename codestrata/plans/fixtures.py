@@ -7,8 +7,15 @@ written down by hand from the line rules; nothing here parses.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -227,3 +234,65 @@ def nodes_sql(fixture: Fixture) -> str:
 def edges_sql(fixture: Fixture) -> str:
     rows = [f"SELECT file, '{e.kind}' AS type, {e.source} AS from_name, {e.target} AS to_name, {e.line} AS line FROM files" for e in fixture.edges]
     return f"{_files(fixture)} {' UNION ALL '.join(rows)}"
+
+
+# --- a tree of files ------------------------------------------------------------------------------
+
+#: Path and text of a customer's files: to parse, in folders that are not entered, generated, of no known language, with other line ends and bad bytes.
+TREE = [
+    ("concat('pkg/d', k % 7, '/m', k, '.py')", "concat('def f', k, '():\n    pass\n')", "'python'"),
+    ("concat('web/c', k, '.TSX')", "concat('// ünï ', k, '\n')", "'tsx'"),
+    ("concat('web/node_modules/x', k, '.js')", "'x'", None),
+    ("concat('.git/x', k, '.py')", "'x'", None),
+    ("concat('gen/m', k, '_pb2.py')", "'x'", None),
+    ("concat('gen/m', k, '.go')", "concat('// Code generated by tool ', k)", None),
+    ("concat('doc/m', k, '.unknown')", "'x'", None),
+]
+BAD_BYTES = ("concat('raw/b', k, '.rb')", "concat('a', k)", "concat('a', k, '\nb\nc\n')", "'ruby'")
+_TAIL = b"\r\nb\xff\rc\n"
+
+
+def write_tree(spark: SparkSession, sf_dir: str) -> str:
+    """Writes the files into a folder of their own, on the executors, and names it."""
+    root = f"{_shared(spark)}/codestrata-tree-{uuid.uuid4().hex}"
+    keyed = binding.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    each = [F.struct(F.expr(path).alias("file"), F.encode(F.expr(text.replace("\n", "\\n")), "UTF-8").alias("content")) for path, text, _ in TREE]
+    each.append(F.struct(F.expr(BAD_BYTES[0]).alias("file"), F.concat(F.encode(F.expr(BAD_BYTES[1]), "UTF-8"), F.lit(_TAIL)).alias("content")))
+    files = keyed.select(F.explode(F.array(*each)).alias("x")).select("x.file", "x.content")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            for file, content in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                system.create_dir(f"{base}/{file}".rpartition("/")[0], recursive=True)
+                with system.open_output_stream(f"{base}/{file}", compression=None) as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    files.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return root
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder that the cluster shares; on one machine, where none is named, a temporary one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/") if "://" in named or named.startswith("file:") else f"file://{named.rstrip('/')}"
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir is unset; on a cluster it must name a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="codestrata-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return f"file://{made}"
+
+
+def tree_sql(raw: bool) -> str:
+    """The sources of the tree with the hashes of their decoded texts; ``raw``: all watched files with the hashes of their bytes."""
+    sha = lambda x: f"substr(sha256({x}), 1, 16)"
+    line_feed = lambda x: x.replace("\n", "' || chr(10) || '")
+    kept = [(path, line_feed(text), language) for path, text, language in TREE if language or raw and not any(x in path for x in ("node_modules", ".git", ".unknown"))]
+    rows = [f"SELECT {path} AS file, {language or "''"} AS language, {sha(text)} AS sha256 FROM keyed" for path, text, language in kept]
+    tail = "".join(f"\\x{b:02X}" for b in _TAIL)
+    own = f"CAST({BAD_BYTES[1]} AS BLOB) || '{tail}'::BLOB" if raw else line_feed(BAD_BYTES[2])
+    rows.append(f"SELECT {BAD_BYTES[0]}, {BAD_BYTES[3]}, {sha(own)} FROM keyed")
+    columns = "file, sha256" if raw else "file, language, sha256"
+    return f"WITH keyed AS (SELECT c_custkey AS k FROM customer) SELECT {columns} FROM ({' UNION ALL '.join(rows)})"

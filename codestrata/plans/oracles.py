@@ -242,6 +242,8 @@ SELECT id AS node_id, name, file, CAST(printf('%.3f', score) AS DOUBLE) AS score
 SELECT substr(md5(file || '::' || name || '::' || line), 1, 12) AS id, name, type, 'python' AS language, file, line, signature, docstring, is_test, parent_class FROM (
   SELECT file, cls AS name, 'class' AS type, 2 AS line, 'class ' || cls || '(Base, object)' AS signature, '' AS docstring, key % 10 = 0 AS is_test, '' AS parent_class FROM owners
   UNION ALL SELECT file, own, 'function', 3, 'def ' || own || '(self, a) -> int', 'Runs it.', key % 10 = 0, cls FROM owners)""",
+        "tree_sources": fixtures.tree_sql(raw=False),
+        "tree_hashes": fixtures.tree_sql(raw=True),
         **{f"extract_{name}_nodes": fixtures.nodes_sql(x) for name, x in fixtures.FIXTURES.items()},
         **{f"extract_{name}_edges": fixtures.edges_sql(x) for name, x in fixtures.FIXTURES.items() if x.edges},
         "extract_edges": f"""{g}, {_PARSED}
