@@ -83,9 +83,11 @@ def test_simhash(spark, texts):
     assert len(set(roots)) < len(texts) - 20
 
 
-def test_simhash_large_groups(spark, monkeypatch):
-    """A dense ball of fingerprints under few keys, dealt in blocks."""
+@pytest.mark.parametrize("many", [simhash.MANY, 0])
+def test_simhash_large_groups(spark, monkeypatch, many):
+    """A dense ball of fingerprints under few keys, dealt in blocks; keys of two and of three segments."""
     monkeypatch.setattr(simhash, "GROUP", 40)
+    monkeypatch.setattr(simhash, "MANY", many)
     r = random.Random(4)
     centres = [r.getrandbits(64) for _ in range(4)]
     prints = sorted({c ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 4))) for c in centres for _ in range(250)})
@@ -102,14 +104,15 @@ def test_simhash_large_groups(spark, monkeypatch):
     assert sorted(map(sorted, group.values())) == sorted(map(sorted, want.values()))
 
 
-def test_simhash_chains_lose_nothing():
+@pytest.mark.parametrize("length", [2, 3])
+def test_simhash_chains_lose_nothing(length):
     r = random.Random(9)
     for _ in range(400):
         a = r.getrandbits(64)
         b = a ^ sum(1 << k for k in r.sample(range(64), r.randint(1, 4)))
-        keys = [set(simhash.chain_keys(np.array([x], np.uint64))[0].tolist()) for x in (a, b)]
+        keys = [set(simhash.chain_keys(np.array([x], np.uint64), length)[0].tolist()) for x in (a, b)]
         shared = keys[0] & keys[1]
-        assert any(simhash.linked(np.array([a], np.uint64), np.array([b], np.uint64), k >> 32)[0] for k in shared)
+        assert any(simhash.linked(np.array([a], np.uint64), np.array([b], np.uint64), k >> simhash._START)[0] for k in shared)
 
 
 def test_one_of_each(spark):
@@ -137,10 +140,10 @@ def test_components_of_a_path(spark):
 # --- near copies ----------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("rounds", "small"), [(near_copies.ROUNDS, 1), (0, near_copies.SMALL)])
-def test_near_copies(spark, monkeypatch, rounds, small):
+@pytest.mark.parametrize(("group", "small"), [(near_copies.GROUP, 1), (8, 2), (near_copies.GROUP, near_copies.SMALL)])
+def test_near_copies(spark, monkeypatch, group, small):
     """The pipeline's stage against all pairs at a Jaccard similarity of 0.8 of five-word shingles."""
-    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+    monkeypatch.setattr(near_copies, "GROUP", group)
     monkeypatch.setattr(near_copies, "SMALL", small)
     r = random.Random(21)
     words = [f"w{k}" for k in range(400)]
@@ -171,6 +174,19 @@ def test_near_copies(spark, monkeypatch, rounds, small):
     assert pairs > 300 and kept == set(root)
 
 
+def test_groups_give_forests():
+    """A group of copies gives a row a member, one of texts that share a passage none, one component nothing at the second reading."""
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 63, 300, dtype=np.uint64)
+    copies = [np.concatenate((base[:290], r.integers(0, 1 << 63, 10, dtype=np.uint64))) for _ in range(500)]
+    others = [np.concatenate((base[:60], r.integers(0, 1 << 63, 240, dtype=np.uint64))) for _ in range(500)]
+    group = lambda sets: {"fp": np.arange(len(sets)), "n": np.full(len(sets), 300), "s": np.frombuffer(b"".join(map(near_copies.parities, sets)), np.uint64).reshape(len(sets), -1), "root": np.arange(len(sets))}
+    count = lambda pairs: sum(len(a) for a, _ in pairs)
+    assert count(near_copies.spanning(group(copies))) == 499 and count(near_copies.spanning(group(others))) == 0
+    assert count(near_copies.between(group(others))) == 0 and count(near_copies.between(group(copies) | {"root": np.zeros(500, int)})) == 0
+    assert count(near_copies.between(group(copies[:40]))) == 40 * 39 // 2
+
+
 # --- MinHash --------------------------------------------------------------------------------------
 
 
