@@ -32,7 +32,12 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def list_files(root: str, ignored: list[str] = IGNORED) -> list[tuple[str, int]]:
-    """(relative path, bytes) of the tree's supported files; ignored folders are not entered.
+    """(relative path, bytes) of the tree's supported files."""
+    return [(name, size) for name, size, _ in list_times(root, ignored)]
+
+
+def list_times(root: str, ignored: list[str] = IGNORED) -> list[tuple[str, int, int]]:
+    """(relative path, bytes, nanoseconds of the last change) of the tree's supported files; ignored folders are not entered.
 
     Spark's own file sources pass over names that begin with ``_`` or ``.``, as
     package files do, so the tree is listed here.
@@ -46,7 +51,7 @@ def list_files(root: str, ignored: list[str] = IGNORED) -> list[tuple[str, int]]
                 if entry.base_name not in ignored and entry.base_name != OWN_FOLDER:
                     folders.append(entry.path)
             elif os.path.splitext(entry.base_name)[1].lower() in wanted:
-                found.append((entry.path[len(base) + 1 :], entry.size or 0))
+                found.append((entry.path[len(base) + 1 :], entry.size or 0, entry.mtime_ns or 0))
     return sorted(found)
 
 

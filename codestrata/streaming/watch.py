@@ -14,14 +14,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from codestrata.operators import incremental
 from codestrata.sources import trees
 
+SETTLED_NS = 2_000_000_000
 EVENT_SCHEMA = "file string, kind string, hash string, ts timestamp"
 
 
 class TreeEvents(DataSource):
     """``spark.readStream.format("tree_events").option("path", root)``: what changed since the last look.
 
-    The offset is the tree's state (a hash by file), so a restart goes on from
-    the last committed look and deletions are seen too.
+    The offset is the tree's state (by file a hash, size and time), so a restart goes
+    on from the last committed look and deletions are seen too. Only files whose
+    size or time changed, or that changed so shortly before the last look that a
+    second change may have the same time, are read again.
     """
 
     @classmethod
@@ -39,33 +42,39 @@ class TreeEventReader(SimpleDataSourceStreamReader):
     def __init__(self, root: str):
         self.root = root
 
-    def _state(self) -> dict[str, str]:
+    def _look(self, before: dict) -> dict:
         import hashlib
         import os
+        import time
 
         import pyarrow.fs as pafs
 
         system, base = pafs.FileSystem.from_uri(self.root) if "://" in self.root else (pafs.LocalFileSystem(), os.path.abspath(self.root))
+        at, settled = time.time_ns(), before.get("at", 0) - SETTLED_NS
         out = {}
-        for name, _ in trees.list_files(self.root, trees.WATCH_IGNORED):
+        for name, size, changed in trees.list_times(self.root, trees.WATCH_IGNORED):
+            known = before["files"].get(name)
+            if known and known[1:] == [size, changed] and 0 < changed < settled:
+                out[name] = known
+                continue
             try:
                 with system.open_input_stream(f"{base.rstrip('/')}/{name}") as file:
-                    out[name] = hashlib.sha256(file.read()).hexdigest()[:16]
+                    out[name] = [hashlib.sha256(file.read()).hexdigest()[:16], size, changed]
             except OSError:
                 continue
-        return out
+        return {"files": out, "at": at}
 
     def initialOffset(self) -> dict:
-        return {"files": {}}
+        return {"files": {}, "at": 0}
 
-    def _events(self, before: dict[str, str], now: dict[str, str]) -> list[tuple]:
+    def _events(self, before: dict[str, list], now: dict[str, list]) -> list[tuple]:
         ts = pd.Timestamp.now(tz="UTC").to_pydatetime()
-        gone = [(f, "delete", h, ts) for f, h in sorted(before.items()) if f not in now]
-        return gone + [(f, "create" if f not in before else "change", h, ts) for f, h in sorted(now.items()) if before.get(f) != h]
+        gone = [(f, "delete", h, ts) for f, (h, *_) in sorted(before.items()) if f not in now]
+        return gone + [(f, "create" if f not in before else "change", h, ts) for f, (h, *_) in sorted(now.items()) if f not in before or before[f][0] != h]
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        now = self._state()
-        return iter(self._events(start["files"], now)), {"files": now}
+        now = self._look(start)
+        return iter(self._events(start["files"], now["files"])), now
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         return iter(self._events(start["files"], end["files"]))
@@ -146,16 +155,26 @@ def event_counts(events: DataFrame, window: str = "1 day", late: str = "1 hour")
 
 
 class Watcher:
-    """Keeps a project's tables up to its tree: each trigger rescans, compares with the stored hashes and applies the difference."""
+    """Keeps a project's tables up to its tree: each trigger compares the tree with the stored hashes and applies the difference."""
 
     def __init__(self, spark: SparkSession, project: Any, interval: float = 2.0):
         self.spark, self.project, self.interval = spark, project, interval
         self.query: Any = None
 
-    def start(self) -> Any:
-        """A rate stream is the clock; ``foreachBatch`` makes each update one transaction of the query."""
-        ticks = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-        self.query = ticks.writeStream.trigger(processingTime=f"{self.interval} seconds").foreachBatch(lambda *_: self.tick()).start()
+    def start(self, events: bool = False) -> Any:
+        """``foreachBatch`` makes each update one transaction of the query.
+
+        A rate stream is the clock, or, with ``events``, the tree's own changes,
+        debounced by file: then batches without an accepted event do nothing.
+        """
+        if events:
+            self.spark.dataSource.register(TreeEvents)
+            stream = debounced(self.spark.readStream.format("tree_events").option("path", self.project.root).load())
+            update = lambda batch, _: self.tick() if batch.count() else None  # noqa: E731  (all partitions must be read for the state to be kept)
+        else:
+            stream = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+            update = lambda *_: self.tick()
+        self.query = stream.writeStream.trigger(processingTime=f"{self.interval} seconds").foreachBatch(update).start()
         return self.query
 
     def tick(self) -> dict[str, int]:

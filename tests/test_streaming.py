@@ -88,3 +88,48 @@ def test_watcher_ticks(spark):
         query.awaitTermination(1)
     watcher.stop()
     assert fake.ticks and watcher.query is None
+
+
+def test_watcher_on_events(spark, tmp_path):
+    """Changes of the tree, debounced, drive the updates; without changes there are none."""
+    import time
+
+    class Fake:
+        root, ticks = str(tmp_path), 0
+
+        def update(self):
+            self.ticks += 1
+            return {}
+
+    (tmp_path / "a.py").write_text("x = 1\n")
+    fake = Fake()
+    watcher = Watcher(spark, fake, 0.2)
+    query = watcher.start(events=True)
+
+    def settles(n):
+        end = time.monotonic() + 90
+        while fake.ticks < n and time.monotonic() < end and query.isActive:
+            time.sleep(0.3)
+        return fake.ticks
+
+    assert settles(1) == 1
+    time.sleep(1.5)
+    (tmp_path / "a.py").write_text("x = 2\n")
+    assert settles(2) == 2
+    watcher.stop()
+
+
+def test_unchanged_files_are_not_read_again(tmp_path):
+    import os
+
+    reader = TreeEvents({"path": str(tmp_path)}).simpleStreamReader(None)
+    (tmp_path / "a.py").write_text("x = 1\n")
+    os.utime(tmp_path / "a.py", (1_700_000_000,) * 2)
+    _, state = reader.read(reader.initialOffset())
+    (tmp_path / "a.py").write_text("x = 2\n")
+    os.utime(tmp_path / "a.py", (1_700_000_000,) * 2)
+    events, state = reader.read(state)
+    assert list(events) == []  # same size and time: not read
+    os.utime(tmp_path / "a.py", (1_700_000_009,) * 2)
+    events, _ = reader.read(state)
+    assert [(e[0], e[1]) for e in events] == [("a.py", "change")]
