@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+BATCH_ROWS = 1000
+
 
 def utf8(column: pa.Array) -> list[bytes]:
     """A string column's values as bytes; null is the empty text."""
@@ -44,8 +49,24 @@ def _fitted(values: object, kind: pa.DataType) -> pa.Array:
     return values if pa.types.is_timestamp(kind) or pa.types.is_nested(kind) else values.cast(kind)
 
 
+def _release() -> None:
+    """Gives a finished task's free memory back to the system: workers are reused, and what they keep adds up over stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Rows are whole texts: a batch of Spark's default of 10,000 would hold tens of megabytes in the JVM and again in the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def map_rows(df: DataFrame, schema: str | T.StructType, function: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
     """``function`` turns record batches into dicts of columns, each dict one output batch."""
+    _small_batches(df.sparkSession)
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     wanted = to_arrow_schema(kind)
 
@@ -53,5 +74,6 @@ def map_rows(df: DataFrame, schema: str | T.StructType, function: Callable[[Iter
         for made in function(batches):
             columns = [_fitted(made[f.name], f.type) for f in wanted]
             yield pa.RecordBatch.from_arrays(columns, names=wanted.names)
+        _release()
 
     return df.mapInArrow(run, kind)
