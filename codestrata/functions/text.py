@@ -131,13 +131,16 @@ def round_even(x: Column, places: int) -> Column:
         high = big - (big - y)
         return high, y - high
 
-    (a, b), (c, d) = halves(x), halves(F.lit(scale))
-    product = x * F.lit(scale)
-    error = ((a * c - product) + a * d + b * c) + b * d
-    low = F.floor(product)
-    over = (product - low.cast("double") - F.lit(0.5)) + error
-    up = (over > 0) | ((over == 0) & (F.pmod(low, F.lit(2)) == 1))
-    return F.when(F.abs(product) < F.lit(2.0**52), (low + up.cast("long")).cast("double") / F.lit(scale)).otherwise(x)
+    def rounded(y: Column) -> Column:
+        (a, b), (c, d) = halves(y), halves(F.lit(scale))
+        product = y * F.lit(scale)
+        error = ((a * c - product) + a * d + b * c) + b * d
+        low = F.floor(product)
+        over = (product - low.cast("double") - F.lit(0.5)) + error
+        up = (over > 0) | ((over == 0) & (F.pmod(low, F.lit(2)) == 1))
+        return F.when(F.abs(product) < F.lit(2.0**52), (low + up.cast("long")).cast("double") / F.lit(scale)).otherwise(y)
+
+    return F.transform(F.array(x.cast("double")), rounded)[0]  # the array binds the argument, which is evaluated once
 
 
 def register(spark: SparkSession) -> None:

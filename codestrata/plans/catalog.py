@@ -16,7 +16,8 @@ from codestrata.functions import languages
 from codestrata.functions import text as X
 from codestrata.operators import cost, extract, graph, impact, incremental, retrieval, store
 from codestrata.plans import binding, fixtures, oracles
-from codestrata.sources import trees
+from codestrata.sources import shared, trees
+from codestrata.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -334,7 +335,7 @@ def semantic_search(spark: SparkSession, d: str) -> DataFrame:
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     nodes = binding.nodes(spark, d)
     vectors, vocab = _embedded(spark, d)
-    return retrieval.hybrid_search(nodes, vectors, vocab, NODE_SEARCH, 20).select("node_id", "name", "file", X.round_even(F.col("score"), 3).alias("score"))
+    return retrieval.hybrid_search(nodes, vectors, vocab, NODE_SEARCH, 20).select("node_id", "name", "file", "score")
 
 
 @query
@@ -539,11 +540,15 @@ def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     return incremental.snapshot_diff(_hashes(spark, d, "day(ts) <= 15"), _hashes(spark, d, "day(ts) > 15"))
 
 
+def _content_events(events: DataFrame) -> DataFrame:
+    """Every event as a deletion or a creation of the user's content."""
+    gone = F.col("event_type").isin("error", "view", "signup")
+    return events.select(F.when(gone, "delete").otherwise("create").alias("kind"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("file"), F.col("user_id").cast("string").alias("hash"), "ts")
+
+
 @query
 def rename_match(spark: SparkSession, d: str) -> DataFrame:
-    e = _table(spark, d, "events").where("event_type in ('error', 'signup')")
-    events = e.select(F.when(F.col("event_type") == "error", "delete").otherwise("create").alias("kind"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("file"), F.col("user_id").cast("string").alias("hash"), "ts")
-    return incremental.rename_match(events, 24 * HOURS)
+    return incremental.rename_match(_content_events(_table(spark, d, "events")), 24 * HOURS)
 
 
 @query
@@ -552,10 +557,29 @@ def debounce(spark: SparkSession, d: str) -> DataFrame:
     return incremental.debounce(e, 6 * HOURS)
 
 
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The table's files as a stream; the pattern lets a table be a file or a folder of files."""
+    return spark.readStream.schema(_table(spark, d, "events").schema).parquet(f"{d}/[e]vents.parquet")
+
+
+@query
+def stream_debounce(spark: SparkSession, d: str) -> DataFrame:
+    events = _event_stream(spark, d).select(F.col("user_id").cast("string").alias("file"), "ts")
+    return watch.drained(watch.debounced(events, 6 * HOURS), shared.new_folder(spark, "debounce")).select("file", "ts")
+
+
+@query
+def stream_renames(spark: SparkSession, d: str) -> DataFrame:
+    return watch.drained(watch.renamed(_content_events(_event_stream(spark, d)), 24 * HOURS), shared.new_folder(spark, "renames")).select("hash", "old_file", "new_file", "ts")
+
+
 @query
 def event_stream_counts(spark: SparkSession, d: str) -> DataFrame:
-    e = _table(spark, d, "events")
-    return e.groupBy(F.date_trunc("day", "ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+    """Events and users a day: users are keys of the state, so they are counted exactly; the last state of each key stands."""
+    events = _event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    states = watch.drained(watch.event_counts(events, "1 day", "366 days", ("event_type", "user_id")), shared.new_folder(spark, "counts"), "update")
+    last = states.groupBy("window", "event_type", "user_id").agg(F.max_by("n", "batch").alias("n"))
+    return last.groupBy(F.col("window.start").alias("day"), "event_type").agg(F.sum("n").alias("n"), F.count("*").alias("users"))
 
 
 def queries() -> dict[str, Query]:

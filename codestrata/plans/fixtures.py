@@ -7,10 +7,6 @@ written down by hand from the line rules; nothing here parses.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,7 +17,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import languages
 from codestrata.plans import binding
-from codestrata.sources import trees
+from codestrata.sources import shared, trees
 
 
 @dataclass(frozen=True)
@@ -254,7 +250,7 @@ _TAIL = b"\r\nb\xff\rc\n"
 
 def write_tree(spark: SparkSession, sf_dir: str) -> str:
     """Writes the files into a folder of their own, on the executors, and names it."""
-    root = f"{_shared(spark)}/codestrata-tree-{uuid.uuid4().hex}"
+    root = shared.new_folder(spark, "tree")
     keyed = binding.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
     each = [F.struct(F.expr(path).alias("file"), F.encode(F.expr(text.replace("\n", "\\n")), "UTF-8").alias("content")) for path, text, _ in TREE]
     each.append(F.struct(F.expr(BAD_BYTES[0]).alias("file"), F.concat(F.encode(F.expr(BAD_BYTES[1]), "UTF-8"), F.lit(_TAIL)).alias("content")))
@@ -273,18 +269,6 @@ def write_tree(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that the cluster shares; on one machine, where none is named, a temporary one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/") if "://" in named or named.startswith("file:") else f"file://{named.rstrip('/')}"
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("spark.checkpoint.dir is unset; on a cluster it must name a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="codestrata-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    return f"file://{made}"
-
-
 def tree_sql(raw: bool) -> str:
     """The sources of the tree with the hashes of their decoded texts; ``raw``: all watched files with the hashes of their bytes."""
     sha = lambda x: f"substr(sha256({x}), 1, 16)"

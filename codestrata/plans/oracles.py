@@ -137,7 +137,7 @@ def all_sql(file: str, doc_search: str, deleted: str, kept: str, asked: str, nod
     vectors = f"{g}, {_TEXTS}, {_VECTORS.format(node_search)}"
     denied = ", ".join(repr(n) for n in sorted(set(CALL_DENYLIST)))
     node_docs = "node_docs AS (SELECT id, concat_ws(' ', name, signature, docstring, file) AS text FROM nodes)"
-    return {
+    found = {
         "graph_callers": f"{g} SELECT DISTINCT e.to_name AS function, e.from_name, e.file, e.line, n.type, n.signature FROM edges e LEFT JOIN nodes n ON n.name = e.from_name AND n.file = e.file WHERE e.type = 'calls'",
         "graph_callees": f"{g} SELECT DISTINCT from_name AS function, to_name, file, line FROM edges WHERE type = 'calls'",
         "graph_tests_for": f"{g} SELECT DISTINCT e.to_name AS function, e.from_name AS test_name, e.file AS test_file, e.line, n.signature FROM edges e LEFT JOIN nodes n ON n.name = e.from_name WHERE e.type = 'tests'",
@@ -236,7 +236,7 @@ scored AS (
   FROM said FULL JOIN near ON said.id = near.id),
 best AS (SELECT s.id, CASE WHEN is_test THEN raw * 0.65 ELSE raw END AS score FROM scored s JOIN nodes n ON n.id = s.id
   WHERE CASE WHEN is_test THEN raw * 0.65 ELSE raw END >= 0.1 ORDER BY score DESC, place ASC NULLS LAST, similarity DESC NULLS LAST, s.id LIMIT 20)
-SELECT id AS node_id, name, file, CAST(printf('%.3f', score) AS DOUBLE) AS score FROM best JOIN nodes USING (id)""",
+SELECT id AS node_id, name, file, CAST(printf('%.4f', score) AS DOUBLE) AS score FROM best JOIN nodes USING (id)""",
         "embedding_nodes": "SELECT vec_id, label, lang, source, CAST(len(embedding) AS INT) AS dim FROM embeddings JOIN documents ON vec_id = doc_id",
         "extract_nodes": f"""{g}, {_PARSED}
 SELECT substr(md5(file || '::' || name || '::' || line), 1, 12) AS id, name, type, 'python' AS language, file, line, signature, docstring, is_test, parent_class FROM (
@@ -283,7 +283,7 @@ WITH a AS (SELECT user_id || '/' || event_type || '/' || hour(ts) AS file, md5(C
 b AS (SELECT user_id || '/' || event_type || '/' || hour(ts) AS file, md5(CAST(sum(event_id % 3) AS VARCHAR)) AS h FROM events WHERE day(ts) > 15 GROUP BY 1)
 SELECT coalesce(a.file, b.file) AS file, CASE WHEN b.h IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.file = b.file WHERE a.h IS NULL OR b.h IS NULL OR substr(a.h, 1, 16) <> substr(b.h, 1, 16)""",
         "rename_match": """
-WITH e AS (SELECT CASE WHEN event_type = 'error' THEN 'delete' ELSE 'create' END AS kind, 'f' || event_id AS file, CAST(user_id AS VARCHAR) AS hash, ts FROM events WHERE event_type IN ('error', 'signup')),
+WITH e AS (SELECT CASE WHEN event_type IN ('error', 'view', 'signup') THEN 'delete' ELSE 'create' END AS kind, 'f' || event_id AS file, CAST(user_id AS VARCHAR) AS hash, ts FROM events),
 s AS (SELECT *, lag(kind) OVER w AS k, lag(file) OVER w AS f, lag(ts) OVER w AS t FROM e WINDOW w AS (PARTITION BY hash ORDER BY ts, kind, file))
 SELECT hash, f AS old_file, file AS new_file, ts FROM s WHERE kind = 'create' AND k = 'delete' AND ts <= t + INTERVAL 24 HOUR""",
         "debounce": """
@@ -295,3 +295,5 @@ taken AS (
 SELECT file, ts FROM taken WHERE ts IS NOT NULL""",
         "event_stream_counts": "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2",
     }
+    # A stream over a table's files gives what the operator gives for the table.
+    return found | {"stream_debounce": found["debounce"], "stream_renames": found["rename_match"]}

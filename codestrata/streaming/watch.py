@@ -6,13 +6,15 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, InputPartition, SimpleDataSourceStreamReader
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from codestrata.operators import incremental
 from codestrata.sources import trees
+from codestrata.streaming import stateful
 
 SETTLED_NS = 2_000_000_000
 EVENT_SCHEMA = "file string, kind string, hash string, ts timestamp"
@@ -83,31 +85,25 @@ class TreeEventReader(SimpleDataSourceStreamReader):
         return [InputPartition(0)]
 
 
+def _micros() -> Column:
+    """An event's time as microseconds, whether or not its column has a time zone."""
+    return F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
+
+
+def _times(rows: DataFrame, events: DataFrame) -> Column:
+    return F.timestamp_micros(rows["us"]).cast(events.schema["ts"].dataType).alias("ts")
+
+
 def debounced(events: DataFrame, seconds: float = incremental.DEBOUNCE_SECONDS, forget_after: float | None = None) -> DataFrame:
     """(file, ts) of the accepted events of a stream: leading edge, one state value a file.
 
-    ``forget_after``: seconds of idleness after which a file's state goes; such
-    a stream runs until it is stopped.
+    ``forget_after``: seconds of idleness after which a timer drops a file's
+    state; such a stream runs until it is stopped. Start it with ``started`` or ``drained``.
     """
-    gap = pd.Timedelta(seconds=seconds)
-
-    def accept(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        taken = []
-        for ts in sorted(t for pdf in batches for t in pdf["ts"]):
-            if last is None or ts >= last + gap:
-                taken.append(ts)
-                last = ts
-        if last is not None:
-            state.update((int(last.value // 1000),))
-            if forget_after is not None:
-                state.setTimeoutDuration(max(1, int(forget_after * 1000)))
-        yield pd.DataFrame({"file": [key[0]] * len(taken), "ts": taken})
-
-    return events.select("file", "ts").groupBy("file").applyInPandasWithState(accept, "file string, ts timestamp", "last long", "append", GroupStateTimeout.NoTimeout if forget_after is None else GroupStateTimeout.ProcessingTimeTimeout)
+    accept = stateful.Debounce(round(seconds * 1e6), None if forget_after is None else max(1, round(forget_after * 1000)))
+    keyed = events.select("file", _micros()).groupBy("file")
+    rows = keyed.transformWithState(accept, "file string, us long", "Append", "None" if forget_after is None else "ProcessingTime")
+    return rows.select("file", _times(rows, events))
 
 
 def renamed(events: DataFrame, seconds: float = incremental.RENAME_SECONDS, expire: bool = False) -> DataFrame:
@@ -116,42 +112,48 @@ def renamed(events: DataFrame, seconds: float = incremental.RENAME_SECONDS, expi
     A later deletion of the content takes the pending one's place; a creation
     ends it and is a rename if it comes within ``seconds``, as ``rename_match`` has
     it for a table. With ``expire`` a deletion that nothing followed comes out with
-    a null ``new_file`` once its time is over; such a stream runs until it is stopped.
+    a null ``new_file`` once a timer is over; such a stream runs until it is stopped.
     """
-    gap = pd.Timedelta(seconds=seconds)
-
-    def match(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        if state.hasTimedOut:
-            file, at = state.get
-            state.remove()
-            out.append((key[0], file, None, pd.Timestamp(at, unit="us")))
-        else:
-            pending = state.get if state.exists else None
-            rows = sorted(r for pdf in batches for r in zip(pdf["ts"], pdf["kind"], pdf["file"], strict=True))
-            for ts, kind, file in rows:
-                if kind == "delete":
-                    pending = (file, int(ts.value // 1000))
-                elif kind == "create":
-                    if pending is not None and ts <= pd.Timestamp(pending[1], unit="us") + gap:
-                        out.append((key[0], pending[0], file, ts))
-                    pending = None
-            if pending is not None:
-                state.update(pending)
-                if expire:
-                    state.setTimeoutDuration(max(1, int(seconds * 1000)))
-            elif state.exists:
-                state.remove()
-        yield pd.DataFrame(out, columns=["hash", "old_file", "new_file", "ts"])
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
-    keyed = events.where("kind in ('delete', 'create')").select("hash", "kind", "file", "ts").groupBy("hash")
-    return keyed.applyInPandasWithState(match, "hash string, old_file string, new_file string, ts timestamp", "file string, ts long", "append", timeout)
-
-
-def event_counts(events: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """(window, event_type, n) of an event-time stream, final once the watermark has passed."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"))
+    match = stateful.Renames(round(seconds * 1e6), max(1, round(seconds * 1000)) if expire else None)
+    keyed = events.where("kind in ('delete', 'create')").select("hash", "kind", "file", _micros()).groupBy("hash")
+    rows = keyed.transformWithState(match, "hash string, old_file string, new_file string, us long", "Append", "ProcessingTime" if expire else "None")
+    return rows.select("hash", "old_file", "new_file", _times(rows, events))
+
+
+def event_counts(events: DataFrame, window: str = "1 day", late: str = "1 hour", by: tuple[str, ...] = ("event_type",)) -> DataFrame:
+    """(window, *by, n) of an event-time stream; a window's state goes, and with it what comes later, once the watermark has passed."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", window), *by).agg(F.count("*").alias("n"))
+
+
+def started(writer: DataStreamWriter) -> StreamingQuery:
+    """Starts a query whose state needs the RocksDB store; the session's own setting is as before afterwards (a query keeps its copy)."""
+    spark = SparkSession.active()
+    name, wanted = stateful.STORE
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, wanted)
+    try:
+        return writer.start()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """The rows of a stream once all that its source has now is worked off: ``folder`` gets the rows and the checkpoint.
+
+    Called again with the same folder, the query goes on from its checkpoint:
+    what came since is added, nothing is counted twice. A batch is a folder of
+    its own, written over if it is repeated after a failure. Rows have
+    ``batch``: in ``update`` mode a key's last state is that of its last batch.
+    """
+    spark = stream.sparkSession
+    schema = stream.schema
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+
+    query = started(stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True))
+    query.awaitTermination()
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/rows")
 
 
 class Watcher:
@@ -174,7 +176,7 @@ class Watcher:
         else:
             stream = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
             update = lambda *_: self.tick()
-        self.query = stream.writeStream.trigger(processingTime=f"{self.interval} seconds").foreachBatch(update).start()
+        self.query = started(stream.writeStream.trigger(processingTime=f"{self.interval} seconds").foreachBatch(update))
         return self.query
 
     def tick(self) -> dict[str, int]:
