@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from codestrata.functions import folds
+
 #: White space as the line rules mean it: Unicode's, and the four ASCII separators.
 _WS = r"[\s\x1c-\x1f]"
 
@@ -140,7 +142,7 @@ def round_even(x: Column, places: int) -> Column:
         up = (over > 0) | ((over == 0) & (F.pmod(low, F.lit(2)) == 1))
         return F.when(F.abs(product) < F.lit(2.0**52), (low + up.cast("long")).cast("double") / F.lit(scale)).otherwise(y)
 
-    return F.transform(F.array(x.cast("double")), rounded)[0]  # the array binds the argument, which is evaluated once
+    return folds.bound(x.cast("double"), rounded)
 
 
 def register(spark: SparkSession) -> None:

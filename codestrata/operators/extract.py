@@ -1,9 +1,10 @@
-"""Source texts to graph rows: line tables, regular expressions and windows by file.
+"""Source texts to graph rows: arrays of lines, regular expressions, and folds inside a file's row.
 
 Every parser takes (file, language, source, sha256) and gives nodes and edges as
-lazy plans. A file's lines are exploded once, dealt by file once, and all
-context that depends on earlier lines (the class, the function, an attribute) is
-a running aggregate over the file's lines. Regular expressions run in the JVM.
+lazy plans. What a line needs of the lines before it (the class, the function, an
+attribute) is the state of a fold over the file's array of lines, what it needs
+of others a slice of the array; so extraction has no shuffle at all. Regular
+expressions run in the JVM.
 """
 
 from __future__ import annotations
@@ -12,10 +13,9 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
-from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+from codestrata.functions import folds
 from codestrata.functions import text as X
 from codestrata.functions.languages import OWN_PARSER
 
@@ -73,16 +73,16 @@ NODE_COLUMNS = ["id", "name", "type", "language", "file", "line", "end_line", "s
 EDGE_COLUMNS = ["from_id", "to_id", "from_name", "to_name", "type", "file", "line", "part", "place"]
 
 
-def lines_of(sources: DataFrame, looks_ahead: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(file, language, sha256, line from 1, txt): a trailing empty line is a line.
-
-    With ``looks_ahead``, ``ahead``: the twenty lines after a line that it accepts, cut from the file's array before that is exploded.
-    """
+def lines_of(sources: DataFrame) -> DataFrame:
+    """(file, language, sha256, line from 1, txt): a trailing empty line is a line."""
     split = sources.select("file", "language", "sha256", F.split("source", "\n", -1).alias("lines"))
-    if looks_ahead is None:
-        return split.select("file", "language", "sha256", F.posexplode("lines").alias("at", "txt")).select("file", "language", "sha256", (F.col("at") + 1).alias("line"), "txt")
-    each = F.transform("lines", lambda x, at: F.struct(x.alias("txt"), F.when(looks_ahead(x), F.slice("lines", at + 2, F.lit(20))).alias("ahead")))
-    return split.select("file", "language", "sha256", F.posexplode(each).alias("at", "x")).select("file", "language", "sha256", (F.col("at") + 1).alias("line"), "x.txt", "x.ahead")
+    return split.select("file", "language", "sha256", F.posexplode("lines").alias("at", "txt")).select("file", "language", "sha256", (F.col("at") + 1).alias("line"), "txt")
+
+
+def _line_structs(sources: DataFrame, rows: Callable[[Column], Column]) -> DataFrame:
+    """As ``lines_of`` with more columns: ``rows`` gives a struct a line of the file's array of lines."""
+    found = sources.select("file", "language", "sha256", F.posexplode(folds.bound(F.split("source", "\n", -1), rows)).alias("at", "x"))
+    return found.select("file", "language", "sha256", (F.col("at") + 1).alias("line"), "x.*")
 
 
 def nodes_from(rows: DataFrame, kind: str, name: Column, *, signature: Column | str = "", docstring: Column | str = "", is_test: Column | bool = False, parent: Column | str = "", preview: Column | str = "") -> DataFrame:
@@ -117,46 +117,38 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _by_file() -> WindowSpec:
-    return W.partitionBy("file").orderBy("line")
+_CONTEXT = "struct<class_name:string,class_indent:int,def_name:string,def_indent:int>"
 
 
-def _so_far() -> WindowSpec:
-    return _by_file().rowsBetween(W.unboundedPreceding, 0)
+def _python_facts(txt: Column, left: Column, at: Column) -> Column:
+    """What a line says by itself."""
+    is_class = left.rlike(PY_CLASS)
+    return F.struct(
+        (at + 1).alias("line"), txt.alias("txt"), left.alias("left"), (F.length(txt) - F.length(left)).alias("indent"),
+        is_class.alias("is_class"), (~is_class & left.rlike(PY_DEF)).alias("is_def"), left.rlike(PY_DEF_START).alias("starts_def"), ((left != "") & ~left.startswith("#")).alias("solid"),
+    )
 
 
-def _defines(line: Column) -> Column:
-    """Whether a line begins a Python class or function."""
-    return X.strip_left(line).rlike(PY_CLASS) | X.strip_left(line).rlike(PY_DEF)
-
+def _python_step(now: Column, x: Column) -> Column:
+    """A class stands until a definition at or left of its own indent, a function until a line (no blank, no comment) at or left of its own."""
+    class_over = x["is_def"] & (x["indent"] <= now["class_indent"])
+    def_over = x["solid"] & (x["indent"] <= now["def_indent"])
+    return F.struct(
+        F.when(x["is_class"], F.regexp_extract(x["left"], PY_CLASS, 1)).when(~class_over, now["class_name"]).alias("class_name"),
+        F.when(x["is_class"], x["indent"]).otherwise(now["class_indent"]).alias("class_indent"),
+        F.when(x["starts_def"], F.regexp_extract(x["left"], PY_DEF_START, 1)).when(~def_over, now["def_name"]).alias("def_name"),
+        F.when(x["starts_def"], x["indent"]).otherwise(now["def_indent"]).alias("def_indent"),
+    )
 
-def _python_lines(lines: DataFrame) -> DataFrame:
-    """Lines with their class and function context.
 
-    A class stands until a definition at or left of its own indent; a function
-    until a line (no blank, no comment) at or left of its own. Both are running
-    maxima inside the segment that the class or function line begins.
-    """
-    left = X.strip_left(F.col("txt"))
-    base = lines.withColumn("left", left).withColumn("indent", F.length("txt") - F.length("left"))
-    is_class = F.col("left").rlike(PY_CLASS)
-    base = base.withColumns({"is_class": is_class, "is_def": F.col("left").rlike(PY_DEF) & ~is_class, "starts_def": F.col("left").rlike(PY_DEF_START)})
-    base = base.withColumns({"class_part": F.sum(F.col("is_class").cast("int")).over(_so_far()), "def_part": F.sum(F.col("starts_def").cast("int")).over(_so_far())})
-    in_class = W.partitionBy("file", "class_part").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
-    in_def = W.partitionBy("file", "def_part").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
-    base = base.withColumns({
-        "class_indent": F.first("indent").over(in_class),
-        "class_name": F.first(F.regexp_extract("left", PY_CLASS, 1)).over(in_class),
-        "def_indent": F.first("indent").over(in_def),
-        "def_name": F.first(F.regexp_extract("left", PY_DEF_START, 1)).over(in_def),
-    })
-    outside = F.col("is_def") & (F.col("indent") <= F.col("class_indent"))
-    dedent = ~F.col("starts_def") & (F.col("left") != "") & ~F.col("left").startswith("#") & (F.col("indent") <= F.col("def_indent"))
-    base = base.withColumns({"class_over": F.max(outside).over(in_class), "def_over": F.max(dedent).over(in_def)})
-    return base.withColumns({
-        "parent": F.when((F.col("class_part") > 0) & ~F.col("class_over"), F.col("class_name")).otherwise(""),
-        "inside": F.when((F.col("def_part") > 0) & ~F.col("def_over") & ~F.col("starts_def"), F.col("def_name")),
-    })
+def _python_rows(lines: Column) -> Column:
+    """The facts of a file's lines with their class (``parent``) and function (``inside``) context: one fold over the array."""
+    lefts = F.transform(lines, X.strip_left)
+    facts = F.transform(F.arrays_zip(lines.alias("txt"), lefts.alias("left")), lambda z, at: _python_facts(z["txt"], z["left"], at))
+    none = F.struct(F.lit(None).alias("class_name"), F.lit(-1).alias("class_indent"), F.lit(None).alias("def_name"), F.lit(-1).alias("def_indent"))
+    emit = lambda now, x: F.struct(F.coalesce(now["class_name"], F.lit("")).alias("parent"), F.when(~x["starts_def"], now["def_name"]).alias("inside"))
+    with_context = lambda f: F.zip_with(f, folds.scan(f, none, _CONTEXT, _python_step, emit, "struct<parent:string,inside:string>"), lambda x, c: x.withField("parent", c["parent"]).withField("inside", c["inside"]))
+    return folds.bound(facts, with_context)
 
 
 def _docstring(ahead: Column) -> Column:
@@ -179,60 +171,90 @@ def _preview(ahead: Column) -> Column:
     return F.substring(F.array_join(kept, " "), 1, 300)
 
 
-def _edge_struct(kind: str, source: Column, target: Column, part: int, place: Column) -> Column:
-    return F.struct(F.lit(kind).alias("type"), source.alias("from_name"), target.alias("to_name"), F.lit(part).alias("part"), place.cast("int").alias("place"))
+def _edge_struct(kind: str, line: Column, source: Column, target: Column, part: int, place: Column) -> Column:
+    return F.struct(F.lit(kind).alias("type"), line.alias("line"), source.alias("from_name"), target.alias("to_name"), F.lit(part).alias("part"), place.cast("int").alias("place"))
 
 
-def _python_edges(rows: DataFrame) -> DataFrame:
-    """All edges that a line gives, as one array a line that is exploded: one pass for five kinds."""
+def _python_edges(file: Column, x: Column) -> Column:
+    """All edges that a line gives, as one array."""
     some = lambda given, listed: F.when(given, listed).otherwise(F.array())
-    name = F.regexp_extract("left", PY_CLASS, 1)
-    bases = F.transform(F.split(F.coalesce(F.regexp_extract("left", PY_CLASS, 2), F.lit("")), ","), X.strip)
-    inherits = F.filter(F.transform(bases, lambda b, k: _edge_struct("inherits", name, b, 0, k)), lambda e: (e["to_name"] != "") & ~e["to_name"].isin(PLAIN_BASES))
-    member = F.array(_edge_struct("member_of", F.regexp_extract("left", PY_DEF, 2), F.col("parent"), 0, F.lit(0)))
-    module, both = X.module_name(F.col("file")), X.strip(F.col("txt"))
+    left, line, inside = x["left"], x["line"], x["inside"]
+    name = F.regexp_extract(left, PY_CLASS, 1)
+    bases = F.transform(F.split(F.coalesce(F.regexp_extract(left, PY_CLASS, 2), F.lit("")), ","), X.strip)
+    inherits = F.filter(F.transform(bases, lambda b, k: _edge_struct("inherits", line, name, b, 0, k)), lambda e: (e["to_name"] != "") & ~e["to_name"].isin(PLAIN_BASES))
+    member = F.array(_edge_struct("member_of", line, F.regexp_extract(left, PY_DEF, 2), x["parent"], 0, F.lit(0)))
+    module, both = X.module_name(file), X.strip(x["txt"])
     imported = F.transform(F.split(F.regexp_extract(both, PY_FROM, 2), ","), lambda n: X.strip(F.substring_index(X.strip(n), " as ", 1)))
     from_module = F.regexp_extract(both, PY_FROM, 1)
-    froms = F.filter(F.transform(imported, lambda n, k: F.struct(F.lit("imports").alias("type"), module.alias("from_name"), F.when(n != "", F.concat(from_module, F.lit("."), n)).otherwise("").alias("to_name"), F.lit(1).alias("part"), k.cast("int").alias("place"))), lambda e: e["to_name"] != "")
-    plain = F.array(_edge_struct("imports", module, F.regexp_extract(both, PY_IMPORT, 1), 1, F.lit(0)))
+    froms = F.transform(imported, lambda n, k: _edge_struct("imports", line, module, F.when(n != "", F.concat(from_module, F.lit("."), n)).otherwise(""), 1, k))
+    plain = F.array(_edge_struct("imports", line, module, F.regexp_extract(both, PY_IMPORT, 1), 1, F.lit(0)))
     # Calls: what the line's function calls, in the order of the line, then its getattr names.
-    called = F.transform(F.regexp_extract_all("left", F.lit(PY_CALL), 1), lambda c, k: _edge_struct("calls", F.col("inside"), c, 2, k))
-    called = F.filter(called, lambda e: ((e["to_name"] != F.col("inside")) & ~e["to_name"].startswith("_")) | e["to_name"].startswith("__"))
-    dynamic = F.transform(F.regexp_extract_all("left", F.lit(PY_GETATTR), 1), lambda c, k: _edge_struct("calls", F.col("inside"), c, 2, k + 100_000))
+    called = F.transform(F.regexp_extract_all(left, F.lit(PY_CALL), 1), lambda c, k: _edge_struct("calls", line, inside, c, 2, k))
+    called = F.filter(called, lambda e: ((e["to_name"] != inside) & ~e["to_name"].startswith("_")) | e["to_name"].startswith("__"))
+    dynamic = F.transform(F.regexp_extract_all(left, F.lit(PY_GETATTR), 1), lambda c, k: _edge_struct("calls", line, inside, c, 2, k + 100_000))
     calls = F.filter(F.concat(called, dynamic), lambda e: ~e["to_name"].isin(CALL_DENYLIST))
-    every = F.concat(
-        some(F.col("is_class"), inherits), some(F.col("is_def") & (F.col("parent") != ""), member), some(both.rlike(PY_FROM), froms), some(both.rlike(PY_IMPORT), plain), some(F.col("inside").isNotNull(), calls)
+    return F.concat(
+        some(x["is_class"], inherits), some(x["is_def"] & (x["parent"] != ""), member), some(both.rlike(PY_FROM), F.filter(froms, lambda e: e["to_name"] != "")), some(both.rlike(PY_IMPORT), plain), some(inside.isNotNull(), calls)
     )
-    found = rows.select("file", "line", F.explode(every).alias("e"))
-    return found.select(F.lit("").alias("from_id"), F.lit("").alias("to_id"), "e.from_name", "e.to_name", "e.type", "file", "line", "e.part", "e.place")
+
+
+def _test_edges(edges: Column, rows: Column) -> Column:
+    """In a test file, for each test an edge for each call of its name; calls are sorted by name, so a test's are one slice."""
+    calls = F.array_sort(F.transform(F.filter(edges, lambda e: e["type"] == "calls"), lambda e: F.struct(e["from_name"].alias("from_name"), e["line"].alias("line"), e["place"].alias("place"), e["to_name"].alias("to_name"))))
+    tests = F.filter(rows, lambda x: (x["is_class"] | x["is_def"]) & _is_test(x, F.lit(True)))
+
+    def of(s: Column) -> Column:
+        def one(t: Column) -> Column:
+            first = F.array_position(s["names"], _python_name(t))
+            count = F.size(s["names"]) - F.array_position(s["back"], _python_name(t)) + 2 - first
+            mine = F.slice(s["calls"], F.greatest(first, F.lit(1)).cast("int"), F.when(first > 0, count).otherwise(0).cast("int"))
+            return F.transform(mine, lambda c: _edge_struct("tests", t["line"], c["from_name"], c["to_name"], 3, c["line"] * 1000 + c["place"] % 1000))
+
+        return F.flatten(F.transform(tests, one))
+
+    names = lambda c: F.transform(c, lambda e: e["from_name"])
+    return folds.bound(calls, lambda c: folds.bound(F.struct(c.alias("calls"), names(c).alias("names"), F.reverse(names(c)).alias("back")), of))
 
 
 def parse_python(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes in one pass over the lines, edges in another; tests join the two for test files alone."""
+    """Nodes and edges of a file come from one fold over its lines each, inside the file's row: nothing is shuffled."""
     python = sources.where("language = 'python'")
     test_file = X.matches_any(X.basename(F.col("file")), PY_TESTS)
-    nodes = _python_nodes(_python_lines(lines_of(python, _defines)))
-    edges = _python_edges(_python_lines(lines_of(python)))
-    of_tests = python.where(test_file)
-    tests = _python_nodes(_python_lines(lines_of(of_tests))).where("is_test").select("file", F.col("name").alias("from_name"), F.col("line").alias("test_line"))
-    tested = _python_edges(_python_lines(lines_of(of_tests))).where("type = 'calls'").join(tests, ["file", "from_name"])
-    tested = tested.withColumns({"place": F.col("line") * 1000 + F.col("place") % 1000, "line": F.col("test_line"), "type": F.lit("tests"), "part": F.lit(3)})
-    return nodes, edges.unionByName(tested.select(*edges.columns))
+    lines = F.split("source", "\n", -1)
+
+    def defined(lines: Column) -> Column:
+        """The lines that define something, with the twenty lines after each."""
+        found = F.filter(_python_rows(lines), lambda x: x["is_class"] | x["is_def"])
+        return F.transform(found, lambda x: x.withField("ahead", F.slice(lines, x["line"] + 1, F.lit(20))))
+
+    def edges_of(rows: Column) -> Column:
+        every = F.flatten(F.transform(rows, lambda x: _python_edges(F.col("file"), x)))
+        return folds.bound(every, lambda e: F.concat(e, F.when(test_file, _test_edges(e, rows)).otherwise(F.array())))
+
+    nodes = _python_nodes(python.select("file", "language", "sha256", F.explode(folds.bound(lines, defined)).alias("x")).select("file", "language", "sha256", "x.*"))
+    found = python.select("file", F.explode(folds.bound(folds.bound(lines, _python_rows), edges_of)).alias("e"))
+    return nodes, found.select(F.lit("").alias("from_id"), F.lit("").alias("to_id"), "e.from_name", "e.to_name", "e.type", "file", "e.line", "e.part", "e.place")
+
+
+def _python_name(x: Column) -> Column:
+    return F.when(x["is_class"], F.regexp_extract(x["left"], PY_CLASS, 1)).otherwise(F.regexp_extract(x["left"], PY_DEF, 2))
+
+
+def _is_test(x: Column, test_file: Column) -> Column:
+    name = _python_name(x)
+    return F.when(x["is_class"], name.startswith("Test") & test_file).otherwise(name.startswith("test_") | (test_file & name.startswith("test")))
 
 
 def _python_nodes(rows: DataFrame) -> DataFrame:
-    test_file = X.matches_any(X.basename(F.col("file")), PY_TESTS)
-    is_class = F.col("is_class")
+    x = F.struct("is_class", "left")
     bases = F.coalesce(F.regexp_extract("left", PY_CLASS, 2), F.lit(""))
     given, back = F.regexp_extract("left", PY_DEF, 3), F.coalesce(F.regexp_extract("left", PY_DEF, 4), F.lit(""))
     word = F.when(F.regexp_extract("left", PY_DEF, 1) != "", "async def").otherwise("def")
-    named = rows.where("is_class or is_def").withColumn("name", F.when(is_class, F.regexp_extract("left", PY_CLASS, 1)).otherwise(F.regexp_extract("left", PY_DEF, 2)))
-    name = F.col("name")
+    is_class, name = F.col("is_class"), F.col("name")
+    named = rows.withColumns({"name": _python_name(x), "is_test": _is_test(x, X.matches_any(X.basename(F.col("file")), PY_TESTS))})
     of_class = F.concat(F.lit("class "), name, F.when(bases != "", F.concat(F.lit("("), bases, F.lit(")"))).otherwise(""))
     of_def = F.concat(word, F.lit(" "), name, F.lit("("), given, F.lit(")"), F.when(back != "", F.concat(F.lit(" -> "), back)).otherwise(""))
-    is_test = F.when(is_class, name.startswith("Test") & test_file).otherwise(name.startswith("test_") | (test_file & name.startswith("test")))
-    ahead = F.col("ahead") if "ahead" in rows.columns else F.array().cast("array<string>")
-    made = nodes_from(named, "class", name, signature=F.when(is_class, of_class).otherwise(of_def), docstring=_docstring(ahead), is_test=is_test, parent=F.when(is_class, "").otherwise(F.col("parent")), preview=F.when(is_class, "").otherwise(_preview(ahead)))
+    made = nodes_from(named, "class", name, signature=F.when(is_class, of_class).otherwise(of_def), docstring=_docstring(F.col("ahead")), is_test=F.col("is_test"), parent=F.when(is_class, "").otherwise(F.col("parent")), preview=F.when(is_class, "").otherwise(_preview(F.col("ahead"))))
     return made.withColumn("type", F.when(F.col("signature").startswith("class "), "class").otherwise("function"))
 
 
@@ -255,15 +277,27 @@ def _extends(name: Column, base: Column) -> Column:
 
 def parse_script(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """JavaScript, TypeScript and TSX. Calls are kept to names that the file defines and have no caller."""
-    rows = lines_of(sources.where(F.col("language").isin("javascript", "typescript", "tsx")))
+    scripts = sources.where(F.col("language").isin("javascript", "typescript", "tsx"))
+    rows = lines_of(scripts)
     line = F.col("txt")
     found = rows.withColumns({"name": _first_match(JS_FUNCTIONS, 1, line), "given": _first_match(JS_FUNCTIONS, 2, line)}).where(F.col("name").isNotNull() & ~F.col("name").isin(SCRIPT_KEYWORDS) & _other(JS_CLASS))
     functions = nodes_from(found, "function", F.col("name"), signature=F.concat(F.lit("function "), F.col("name"), F.lit("("), F.col("given"), F.lit(")")), is_test=X.matches_any(X.basename(F.col("file")), JS_TESTS))
     classes = rows.where(line.rlike(JS_CLASS)).withColumns({"name": F.regexp_extract(line, JS_CLASS, 1), "base": F.coalesce(F.regexp_extract(line, JS_CLASS, 2), F.lit(""))})
     class_nodes = nodes_from(classes, "class", F.col("name"), signature=_extends(F.col("name"), F.col("base")))
     nodes = functions.unionByName(class_nodes)
-    calls = rows.select("file", "line", F.posexplode(F.regexp_extract_all(line, F.lit(JS_CALL), 1)).alias("place", "called"))
-    calls = calls.join(nodes.select("file", F.col("name").alias("called")).distinct(), ["file", "called"], "left_semi")
+
+    def calls_of(lines: Column) -> Column:
+        """The file's calls of names that it defines, from its own array of lines."""
+
+        def names(x: Column) -> Column:
+            name, of_class = _first_match(JS_FUNCTIONS, 1, x), F.when(x.rlike(JS_CLASS), F.regexp_extract(x, JS_CLASS, 1))
+            return F.array(F.when(~name.isin(SCRIPT_KEYWORDS), name), of_class)
+
+        every = F.transform(lines, lambda x, at: F.transform(F.regexp_extract_all(x, F.lit(JS_CALL), 1), lambda c, k: F.struct((at + 1).alias("line"), k.alias("place"), c.alias("called"))))
+        own = F.array_distinct(F.array_compact(F.flatten(F.transform(lines, names))))
+        return folds.bound(own, lambda known: F.filter(F.flatten(every), lambda c: F.array_contains(known, c["called"])))
+
+    calls = scripts.select("file", F.explode(folds.bound(F.split("source", "\n", -1), calls_of)).alias("c")).select("file", "c.*")
     edges = _union([
         edges_from(classes.where("base <> ''"), "inherits", F.col("name"), F.col("base"), 0),
         edges_from(rows.where(line.rlike(JS_IMPORT)), "imports", F.col("file"), F.regexp_extract(line, JS_IMPORT, 1), 0, 1),
@@ -292,7 +326,7 @@ def parse_go(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def parse_java(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    rows = lines_of(sources.where("language = 'java'")).withColumn("above", F.coalesce(F.lag("txt").over(_by_file()), F.lit("")))
+    rows = _line_structs(sources.where("language = 'java'"), lambda lines: F.transform(lines, lambda x, at: F.struct(x.alias("txt"), F.coalesce(F.get(lines, at - 1), F.lit("")).alias("above"))))
     line = F.col("txt")
     classes = rows.where(line.rlike(JAVA_CLASS)).withColumns({"name": F.regexp_extract(line, JAVA_CLASS, 1), "base": F.coalesce(F.regexp_extract(line, JAVA_CLASS, 2), F.lit(""))})
     methods = rows.where(line.rlike(JAVA_METHOD)).withColumns({"name": F.regexp_extract(line, JAVA_METHOD, 1), "given": F.regexp_extract(line, JAVA_METHOD, 2)}).where(~F.col("name").isin(METHOD_KEYWORDS))
@@ -308,13 +342,23 @@ def parse_java(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def parse_rust(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A test attribute holds until the next function; a tests module until the end of the file."""
-    rows = lines_of(sources.where("language = 'rust'")).withColumn("both", X.strip(F.col("txt")))
     line = F.col("txt")
-    attribute = F.col("both") == "#[test]"
-    is_fn = line.rlike(RUST_FUNCTION) & ~attribute
-    rows = rows.withColumn("is_fn", is_fn).withColumn("fn_part", F.coalesce(F.sum(F.col("is_fn").cast("int")).over(_by_file().rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    in_part = W.partitionBy("file", "fn_part").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("is_test", F.max(attribute).over(in_part) | F.max(F.col("both").contains("mod tests")).over(_so_far()))
+
+    def flags(x: Column) -> Column:
+        both = X.strip(x)
+        attribute = both == "#[test]"
+        return F.struct(x.alias("txt"), both.alias("both"), attribute.alias("attribute"), (x.rlike(RUST_FUNCTION) & ~attribute).alias("is_fn"), both.contains("mod tests").alias("tests"))
+
+    def step(now: Column, x: Column) -> Column:
+        marked = (now["marked"] & ~now["ended"]) | x["attribute"]
+        return F.struct(marked.alias("marked"), x["is_fn"].alias("ended"), (now["inside"] | x["tests"]).alias("inside"))
+
+    def tested(lines: Column) -> Column:
+        start = F.struct(F.lit(False).alias("marked"), F.lit(False).alias("ended"), F.lit(False).alias("inside"))
+        seen = lambda f: folds.scan(f, start, "struct<marked:boolean,ended:boolean,inside:boolean>", step, lambda now, _: now["marked"] | now["inside"], "boolean")
+        return folds.bound(F.transform(lines, flags), lambda f: F.zip_with(f, seen(f), lambda x, t: x.withField("is_test", t)))
+
+    rows = _line_structs(sources.where("language = 'rust'"), tested)
     functions = rows.where("is_fn").withColumns({"name": F.regexp_extract(line, RUST_FUNCTION, 1), "given": F.regexp_extract(line, RUST_FUNCTION, 2)})
     structs = rows.where(line.rlike(RUST_STRUCT)).withColumn("name", F.regexp_extract(line, RUST_STRUCT, 1))
     nodes = nodes_from(functions, "function", F.col("name"), signature=F.concat(F.lit("fn "), F.col("name"), F.lit("("), F.col("given"), F.lit(")")), is_test=F.col("is_test")).unionByName(

@@ -6,6 +6,7 @@ import re
 import pytest
 
 from codestrata.functions.languages import language_of
+from codestrata.functions import folds
 from codestrata.operators import extract
 from codestrata.sources import trees
 from pyspark.sql import functions as F
@@ -183,3 +184,25 @@ def test_tree(spark, tmp_path):
     assert set(found) == {"a/__init__.py", "c/d.PY"}
     assert found["a/__init__.py"]["source"] == "x = 1\ny = 2"
     assert {r["file"] for r in trees.scan_hashes(spark, f"file://{tmp_path}").collect()} == {"a/__init__.py", "c/d.PY", "f_pb2.py", "g.py", "migrations/0001_a.py", "h.generated.js"}
+
+
+def test_context_over_long_files(spark):
+    """A file of many pieces keeps its context from one piece to the next, and extraction shuffles nothing."""
+    body = "".join(f"        step{k}()\n" for k in range(3 * folds.PIECE))
+    source = f"class A:\n    def first(self):\n{body}    def second(self):\n        last()\ndef third():\n    self_made()\n"
+    rows = spark.createDataFrame([("a.py", "python", source, "h"), ("b.py", "python", "", "h"), ("c.py", "python", None, "h")], "file string, language string, source string, sha256 string")
+    nodes, edges = extract.parse(rows, {"python"})
+    assert {(r["name"], r["parent_class"]) for r in nodes.collect()} == {("A", ""), ("first", "A"), ("second", "A"), ("third", "")}
+    calls = [(r["from_name"], r["to_name"]) for r in edges.where("type = 'calls'").collect()]
+    assert len(calls) == 3 * folds.PIECE + 2 and set(calls[: 3 * folds.PIECE]) == {("first", f"step{k}") for k in range(3 * folds.PIECE)} and {("second", "last"), ("third", "self_made")} < set(calls)
+    for language in ({"python"}, {"javascript"}, {"java"}, {"rust"}, {"go"}):
+        for table in extract.parse(rows, language):
+            assert "Exchange" not in table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tests_of_repeated_names(spark):
+    """Each test of a name gets the calls of all functions of that name, as the rows of the file have it."""
+    source = "def test_a():\n    x1()\n    x2()\n\ndef test_b():\n    x3()\n\ndef test_a():\n    x4()\n"
+    rows = spark.createDataFrame([("test_m.py", "python", source, "h")], "file string, language string, source string, sha256 string")
+    found = extract.parse(rows, {"python"})[1].where("type = 'tests'").collect()
+    assert sorted((r["line"], r["from_name"], r["to_name"]) for r in found) == sorted([(n, "test_a", f"x{k}") for n in (1, 8) for k in (1, 2, 4)] + [(5, "test_b", "x3")])
