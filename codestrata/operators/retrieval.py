@@ -44,11 +44,12 @@ def query_tokens(spark: SparkSession, query: str) -> list[str]:
     return row["t"]
 
 
-def bm25(postings: DataFrame, lengths: DataFrame, prefixes: list[str]) -> DataFrame:
+def bm25(postings: DataFrame, lengths: DataFrame, prefixes: list[str], corpus: DataFrame | None = None) -> DataFrame:
     """(id, score) of every document with a token that starts with one of the prefixes.
 
     A prefix's frequency in a document is the number of such tokens; its idf is
-    that of the documents with one. Corpus statistics are one row.
+    that of the documents with one. ``corpus``: one row of the documents' number ``n``
+    and mean length ``mean``, where these are kept.
     """
     if not prefixes:
         return lengths.select("id", F.lit(0.0).alias("score")).limit(0)
@@ -57,7 +58,7 @@ def bm25(postings: DataFrame, lengths: DataFrame, prefixes: list[str]) -> DataFr
     for prefix in prefixes:
         wanted = wanted | F.col("term").startswith(prefix)
     hits = postings.where(wanted).select("id", "tf", F.explode(F.filter(given, lambda p: F.startswith(F.col("term"), p))).alias("prefix")).groupBy("prefix", "id").agg(F.sum("tf").alias("f"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
+    corpus = lengths.agg(F.count("*").alias("n"), F.avg("size").alias("mean")) if corpus is None else corpus
     df = hits.groupBy("prefix").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     scored = hits.join(F.broadcast(df.crossJoin(corpus)), "prefix").join(lengths, "id")  # the broadcast has a row for each of the query's prefixes

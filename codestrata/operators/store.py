@@ -77,8 +77,8 @@ def file_hash(hashes: DataFrame, file: str) -> DataFrame:
     return hashes.where(F.col("file") == file).select("file", "sha256")
 
 
-class Store:
-    """Snapshots of all tables below one folder."""
+class Manifests:
+    """Numbered manifests below a folder: each is written whole under a name of its own, then renamed to the next number."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -88,21 +88,60 @@ class Store:
         target = jvm.org.apache.hadoop.fs.Path(path)
         return jvm, target, target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _manifests(self) -> list[int]:
-        """The numbers of the manifests, ascending."""
+    def numbers(self) -> list[int]:
+        """Of the manifests that there are, ascending."""
         _, target, fs = self._fs(f"{self.path}/manifests")
         if not fs.exists(target):
             return []
         names = [status.getPath().getName() for status in fs.listStatus(target)]
         return sorted(int(n) for n in names if n.isdigit())
 
-    def _manifest(self, number: int) -> dict[str, str]:
+    def read(self, number: int) -> dict:
         return json.loads(self.spark.read.text(f"{self.path}/manifests/{number}").first()[0])
 
+    def current(self) -> dict:
+        numbers = self.numbers()
+        return self.read(numbers[-1]) if numbers else {}
+
+    def commit(self, made: dict) -> int:
+        """Writes the next manifest and returns its number; another change that came first with it is an error."""
+        numbers = self.numbers()
+        number = numbers[-1] + 1 if numbers else 0
+        jvm, target, fs = self._fs(f"{self.path}/manifests/{number}")
+        following = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/next-{uuid.uuid4().hex}")
+        out = fs.create(following, False)
+        out.write(bytearray(json.dumps(made).encode()))
+        out.close()
+        if fs.exists(target) or not fs.rename(following, target):
+            fs.delete(following, False)
+            raise RuntimeError(f"another change of {self.path} was written first; read its tables and try again")
+        return number
+
+    def retire(self, folders: Callable[[dict], set[str]]) -> None:
+        """Deletes the manifests that are more than ``KEPT`` changes old, and the folders that only they name."""
+        numbers = self.numbers()
+        old = [n for n in numbers if n < numbers[-1] - KEPT]
+        used = {f for n in numbers if n not in old for f in folders(self.read(n))}
+        for n in old:
+            for folder in folders(self.read(n)) - used:
+                self.delete(f"{self.path}/{folder}")
+            self.delete(f"{self.path}/manifests/{n}")
+
+    def delete(self, path: str) -> None:
+        _, target, fs = self._fs(path)
+        fs.delete(target, True)
+
+
+class Store:
+    """Snapshots of all tables below one folder."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.manifests = Manifests(spark, self.path)
+
     def snapshot(self) -> dict[str, str]:
         """The folder of each table at this moment."""
-        numbers = self._manifests()
-        return self._manifest(numbers[-1]) if numbers else {}
+        return self.manifests.current()
 
     def read(self, table: str, snapshot: dict[str, str] | None = None) -> DataFrame:
         """The table, of this moment or of a ``snapshot`` taken before; empty if it was never written."""
@@ -124,8 +163,7 @@ class Store:
         try:
             yield keep
         finally:
-            _, target, fs = self._fs(folder)
-            fs.delete(target, True)
+            self.manifests.delete(folder)
 
     def write(self, table: str, rows: DataFrame, by: str | None = None) -> None:
         """Writes the table's next snapshot and switches to it."""
@@ -147,26 +185,9 @@ class Store:
         self._commit(written)
 
     def _commit(self, written: dict[str, str]) -> None:
-        """Names the tables' new folders in the next manifest; another change that came first with its number is an error."""
-        numbers = self._manifests()
-        number = numbers[-1] + 1 if numbers else 0
-        made = json.dumps((self._manifest(numbers[-1]) if numbers else {}) | written)
-        jvm, target, fs = self._fs(f"{self.path}/manifests/{number}")
-        following = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/next-{uuid.uuid4().hex}")
-        out = fs.create(following, False)
-        out.write(bytearray(made.encode()))
-        out.close()
-        if fs.exists(target) or not fs.rename(following, target):
-            fs.delete(following, False)
-            raise RuntimeError(f"another change of {self.path} was written first; read its tables and try again")
-        old = [n for n in numbers if n < number - KEPT]
-        if old:
-            used = {(t, f) for n in [*(n for n in numbers if n not in old), number] for t, f in self._manifest(n).items()}
-            for n in old:
-                for table, folder in self._manifest(n).items():
-                    if (table, folder) not in used:
-                        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/{folder}"), True)
-                fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/{n}"), False)
+        """Names the tables' new folders in the next manifest; folders that only old manifests name go."""
+        self.manifests.commit(self.manifests.current() | written)
+        self.manifests.retire(lambda made: {f"{table}/{folder}" for table, folder in made.items()})
 
     def write_graph(self, nodes: DataFrame, edges: DataFrame) -> None:
         """A rebuild replaces the snapshot, so edges do not pile up."""
@@ -182,7 +203,7 @@ class Store:
 
     def activity(self) -> DataFrame:
         """The log; empty if nothing was logged."""
-        _, target, fs = self._fs(f"{self.path}/activity_log/entries")
+        _, target, fs = self.manifests._fs(f"{self.path}/activity_log/entries")
         if not fs.exists(target):
             return self.spark.createDataFrame([], ACTIVITY)
         return self.spark.read.schema(ACTIVITY).parquet(f"{self.path}/activity_log/entries")

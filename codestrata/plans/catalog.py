@@ -9,12 +9,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions import languages
 from codestrata.functions import text as X
-from codestrata.operators import cost, extract, graph, impact, incremental, retrieval, store
+from codestrata.operators import cost, extract, graph, impact, incremental, retrieval, segments, store
 from codestrata.plans import binding, fixtures, oracles
 from codestrata.sources import shared, trees
 from codestrata.streaming import watch
@@ -263,6 +263,51 @@ def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", F.round("score", 4).alias("score"))
 
 
+def _upkept(spark: SparkSession, d: str, tokens: Callable[[Column], Column], each: Callable[[segments.TermIndex, DataFrame], None] = lambda *_: None) -> segments.TermIndex:
+    """An index of the documents after two changes: texts that change (some twice), go and come. ``each`` sees it after every change with the ids."""
+    docs, last = _docs(spark, d), F.col("id") % 10
+    index = segments.TermIndex(spark, shared.new_folder(spark, "segments"), tokens)
+    longer = docs.withColumn("text", F.concat("text", F.lit(" erthe anon renewed")))
+    steps = [
+        (docs.where(last != 5), docs.limit(0)),
+        (longer.where(last == 4), docs.where(last == 3)),
+        (longer.where("id % 20 = 4").withColumn("text", F.concat(F.lit("anon "), "text")).unionByName(docs.where(last == 5)), docs.where("id % 20 = 6")),
+    ]
+    for new, gone in steps:
+        index.change(new, gone.select("id"))
+        each(index, new.select("id").union(gone.select("id")))
+    index.merge()
+    return index
+
+
+@query
+def index_upkeep_search(spark: SparkSession, d: str) -> DataFrame:
+    return _upkept(spark, d, X.index_tokens).search(DOC_SEARCH).select(F.col("id").cast("long").alias("id"), F.round("score", 4).alias("score"))
+
+
+@query
+def index_upkeep_df(spark: SparkSession, d: str) -> DataFrame:
+    return _upkept(spark, d, X.tfidf_tokens).document_frequencies()
+
+
+@query
+def vector_upkeep(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the vocabulary's terms follow two changes; their weights are those of a full build."""
+    held: dict[str, DataFrame] = {}
+    folder = shared.new_folder(spark, "vectors")
+
+    def follow(index: segments.TermIndex, changed: DataFrame) -> None:
+        vocab = index.vocabulary()
+        counts = segments.update_term_vectors(held["counts"], index, held["vocab"], changed) if held else index.term_counts(vocab)
+        step = f"{folder}/{len(index.segments())}"
+        for name, rows in (("counts", counts), ("vocab", vocab)):
+            rows.write.parquet(f"{step}/{name}")
+            held[name] = spark.read.schema(rows.schema).parquet(f"{step}/{name}")
+
+    _upkept(spark, d, X.tfidf_tokens, follow)
+    return segments.weighted(held["counts"], held["vocab"]).select(F.col("id").cast("long").alias("id"), "term", F.round("w", 4).alias("w"))
+
+
 @query
 def keyword_search(spark: SparkSession, d: str) -> DataFrame:
     found = retrieval.keyword_search(binding.nodes(spark, d), "MachineryCustomer nation_3")

@@ -79,10 +79,27 @@ cosine AS (
   SELECT vec_id AS id, CAST(printf('%.4f', CASE WHEN p * r > 0 THEN list_dot_product(e, q) / (sqrt(p) * sqrt(r)) ELSE 0 END) AS DOUBLE) AS similarity
   FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, q, list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS p, list_dot_product(q, q) AS r FROM embeddings, given))"""
 
-_VOCAB = f"""
-doc_terms AS (SELECT doc_id AS id, unnest({_TFIDF_TOKENS}) AS term FROM documents),
+
+
+def _vocab(docs: str, key: str) -> str:
+    return f"""
+doc_terms AS (SELECT {key} AS id, unnest({_TFIDF_TOKENS}) AS term FROM {docs}),
 df AS (SELECT term, count(DISTINCT id) AS df FROM doc_terms GROUP BY term),
-vocab AS (SELECT term, df, ln((SELECT count(*) FROM documents) / (1.0 + df)) AS idf FROM df ORDER BY df DESC, term LIMIT 384)"""
+vocab AS (SELECT term, df, ln((SELECT count(*) FROM {docs}) / (1.0 + df)) AS idf FROM df ORDER BY df DESC, term LIMIT 384)"""
+
+
+_VOCAB = _vocab("documents", "doc_id")
+
+_WEIGHTS = """w AS (SELECT id, term, count(*) * any_value(idf) AS w FROM doc_terms JOIN vocab USING (term) GROUP BY id, term),
+norms AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY id)
+SELECT id, term, round(CASE WHEN norm > 0 THEN w / norm ELSE 0 END, 4) AS w FROM w JOIN norms USING (id)"""
+
+# The documents after the changes that the upkeep queries make.
+_UPKEPT = """
+upkept AS (
+  SELECT doc_id AS id, CASE WHEN doc_id % 20 = 4 THEN 'anon ' || text || ' erthe anon renewed' WHEN doc_id % 10 = 4 THEN text || ' erthe anon renewed' ELSE text END AS text
+  FROM documents WHERE doc_id % 10 <> 3 AND doc_id % 20 <> 6)"""
+
 
 _TEXTS = """
 a AS (SELECT function, string_agg(from_name, ' ' ORDER BY place) AS l FROM (SELECT to_name AS function, from_name, file, row_number() OVER (PARTITION BY to_name ORDER BY min(id), from_name, file) AS place FROM edges WHERE type = 'calls' GROUP BY to_name, from_name, file) WHERE place <= 6 GROUP BY function),
@@ -200,9 +217,10 @@ SELECT files_with, files_without, files_with * 800 + 400 AS tokens_with, greates
         "doc_tokens": f"WITH {_VOCAB} SELECT id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms FROM doc_terms GROUP BY id",
         "doc_df": f"WITH {_VOCAB} SELECT term, df FROM df",
         "tfidf_vocab": f"WITH {_VOCAB} SELECT term, df, round(idf, 6) AS idf FROM vocab",
-        "tfidf_weights": f"""WITH {_VOCAB}, w AS (SELECT id, term, count(*) * any_value(idf) AS w FROM doc_terms JOIN vocab USING (term) GROUP BY id, term),
-norms AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY id)
-SELECT id, term, round(CASE WHEN norm > 0 THEN w / norm ELSE 0 END, 4) AS w FROM w JOIN norms USING (id)""",
+        "index_upkeep_search": f"WITH {_UPKEPT}, {_bm25('upkept', prefixes)} SELECT id, round(score, 4) AS score FROM bm25",
+        "index_upkeep_df": f"WITH {_UPKEPT}, {_vocab('upkept', 'id')} SELECT term, df FROM df",
+        "vector_upkeep": f"WITH {_UPKEPT}, {_vocab('upkept', 'id')}, {_WEIGHTS}",
+        "tfidf_weights": f"WITH {_VOCAB}, {_WEIGHTS}",
         "bm25_scores": f"WITH d AS (SELECT doc_id AS id, text FROM documents), {_bm25('d', prefixes)} SELECT id, round(score, 4) AS score FROM bm25",
         "keyword_search": f"""{g}, {node_docs}, {_bm25('node_docs', ['machinery', 'customer', 'nation', '3'])},
 best AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, id) - 1 AS INT) AS place, id, round(score, 4) AS bm25 FROM bm25 ORDER BY score DESC, id LIMIT 20)
