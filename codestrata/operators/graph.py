@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as X
+from codestrata.operators import substrings
 
 CONTEXT_CALLERS, CONTEXT_CALLEES, CONTEXT_TESTS = 10, 5, 5
 
@@ -57,11 +58,11 @@ def dependents(edges: DataFrame, file: str) -> DataFrame:
 
 
 def dependents_of_all(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """(imported, from_name, file) for every file of ``files``: imports are first cut to distinct targets, so the pattern join is between two small sides."""
+    """(imported, from_name, file) for every file of ``files``: stems meet distinct targets by their rarest run of characters."""
     imports = edges.where("type = 'imports'")
     targets = imports.select("to_name").distinct()
     stems = files.select(F.col("file").alias("imported")).distinct().withColumn("stem", X.stem(F.col("imported")))
-    hits = stems.join(targets, F.ilike("to_name", F.concat(F.lit("%"), F.col("stem"), F.lit("%")))).select("imported", "to_name")
+    hits = substrings.matches(stems, "stem", targets, "to_name").select("imported", "to_name")
     return imports.join(hits, "to_name").select("imported", "from_name", "file").distinct()
 
 

@@ -9,7 +9,9 @@ a global row number: the winners are pre-aggregated minima.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -24,6 +26,9 @@ RISK_CAP = 100
 REVIEW_INDIRECT = 5
 TOKENS_PER_FILE = 800
 
+#: Writes a table and reads it back, or leaves it lazy.
+Keep = Callable[[DataFrame], DataFrame]
+
 
 @dataclass
 class Impact:
@@ -35,11 +40,6 @@ class Impact:
     covered: DataFrame  # test_name, test_file, covers
     missing: DataFrame  # function, line
     dependents: DataFrame  # from_name, file
-    kept: list[DataFrame] = field(default_factory=list)
-
-    def release(self) -> None:
-        for level in self.kept:
-            level.unpersist()
 
     @property
     def direct(self) -> DataFrame:
@@ -60,7 +60,7 @@ class Impact:
         return out.distinct()
 
 
-def analyze_file(nodes: DataFrame, edges: DataFrame, file: str, max_depth: int = 3, keep: bool = False) -> Impact:
+def analyze_file(nodes: DataFrame, edges: DataFrame, file: str, max_depth: int = 3, keep: Keep = lambda level: level) -> Impact:
     """The impact of a change to ``file`` over at most ``max_depth`` levels of callers.
 
     Changed functions are not visited in advance: one that calls another counts
@@ -72,14 +72,13 @@ def analyze_file(nodes: DataFrame, edges: DataFrame, file: str, max_depth: int =
     changed = nodes.where((F.col("file") == file) & (F.col("type") == "function")).select("name", "line", "id")
     calls = edges.where(F.col("type") == "calls").where(graph.has_text(F.col("from_name"))).select(F.col("to_name").alias("via"), F.col("from_name").alias("function"), F.coalesce("file", F.lit("unknown")).alias("file"), F.col("id").alias("edge"))
     frontier = changed.groupBy(F.col("name").alias("via")).agg(F.min(F.array(F.col("line").cast("long"))).alias("path"))
-    levels, visited, kept = [], None, []
+    levels, visited = [], None
     for depth in range(1, max_depth + 1):
         found = calls.join(frontier, "via").select("function", F.struct(F.concat("path", F.array("edge")).alias("path"), "via", "file").alias("how"))
         level = found.groupBy("function").agg(F.min("how").alias("how")).select("function", F.col("how.path").alias("path"), F.col("how.via").alias("via"), F.col("how.file").alias("file"))
         if visited is not None:
             level = level.join(visited, "function", "left_anti")
-        if keep:
-            kept.append(level.persist())
+        level = keep(level)
         reason = F.concat(F.lit("directly calls ") if depth == 1 else F.lit(f"indirectly affected (depth {depth}) via "), F.col("via"))
         risk = "high" if depth == 1 else "medium" if depth == 2 else "low"
         levels.append(level.select(F.lit(depth).alias("depth"), "path", "function", F.when(F.col("file") != "", F.col("file")).otherwise("unknown").alias("file"), reason.alias("reason"), F.lit(risk).alias("risk")))
@@ -92,7 +91,7 @@ def analyze_file(nodes: DataFrame, edges: DataFrame, file: str, max_depth: int =
     tests = graph.tests_for(nodes, edges).select(F.col("function").alias("name"), "test_name", "test_file")
     covered = changed.join(tests, "name").select("test_name", F.when(graph.has_text(F.col("test_file")), F.col("test_file")).otherwise("unknown").alias("test_file"), F.col("name").alias("covers"))
     missing = changed.join(edges.where("type = 'tests'").select(F.col("to_name").alias("name")).distinct(), "name", "left_anti").where(~F.col("name").startswith("_")).select(F.col("name").alias("function"), "line")
-    return Impact(file, changed.select("name", "line"), affected, covered, missing, graph.dependents(edges, file), kept)
+    return Impact(file, changed.select("name", "line"), affected, covered, missing, graph.dependents(edges, file))
 
 
 def risk(impact: Impact) -> DataFrame:
@@ -104,13 +103,61 @@ def risk(impact: Impact) -> DataFrame:
         .crossJoin(impact.missing.agg(F.count("*").alias("n_missing")))
         .crossJoin(impact.files().agg(F.count("*").alias("affected_file_count")))
     )
+    error = F.when(F.col("n_changed") == 0, F.lit(f"No nodes found for {impact.file}"))
+    return _scored(counts.withColumns({"changed_file": F.lit(impact.file), "error": error}))
+
+
+def _scored(counts: DataFrame) -> DataFrame:
     score = F.col("n_direct") * DIRECT + F.col("n_indirect") * INDIRECT + F.col("n_missing") * UNTESTED + F.greatest(F.col("n_changed") - 1, F.lit(0)) * CHANGED
     level = F.lit("low")
     for over, name in reversed(LEVELS):
         level = F.when(F.col("_score") > over, name).otherwise(level)
-    return counts.withColumn("_score", score).select(
-        F.lit(impact.file).alias("changed_file"), F.when(F.col("n_changed") == 0, F.lit(f"No nodes found for {impact.file}")).alias("error"), "n_changed", "n_direct", "n_indirect", "n_covered", "n_missing", F.least("_score", F.lit(RISK_CAP)).alias("risk_score"), level.alias("risk_level"), "affected_file_count"
-    )
+    return counts.withColumn("_score", score).select("changed_file", "error", "n_changed", "n_direct", "n_indirect", "n_covered", "n_missing", F.least("_score", F.lit(RISK_CAP)).alias("risk_score"), level.alias("risk_level"), "affected_file_count")
+
+
+def analyze_all_files(nodes: DataFrame, edges: DataFrame, max_depth: int = 3, keep: Keep = lambda level: level) -> DataFrame:
+    """``risk`` for every file that has a node, by one search from all of them.
+
+    A level holds each pair of a changed file and a name that it reaches, with
+    the least path of the pair: pre-aggregated minima, one join with the calls a
+    level whatever the number of files. Edges are cut to what a pair needs, the
+    first one of each caller, callee and file; a name with very many callers is
+    one that adaptive execution splits in the join.
+    """
+    files = nodes.select(F.col("file").alias("changed_file")).distinct()
+    changed = nodes.where("type = 'function'").select(F.col("file").alias("changed_file"), "name", "line")
+    calls = edges.where(F.col("type") == "calls").where(graph.has_text(F.col("from_name")))
+    calls = keep(calls.groupBy(F.col("to_name").alias("via"), F.col("from_name").alias("function"), F.coalesce("file", F.lit("unknown")).alias("file")).agg(F.min("id").alias("edge")))
+    frontier = changed.groupBy("changed_file", F.col("name").alias("via")).agg(F.min(F.array(F.col("line").cast("long"))).alias("path"))
+    levels: list[DataFrame] = []
+    for depth in range(1, max_depth + 1):
+        found = calls.join(frontier, "via").select("changed_file", "function", F.struct(F.concat("path", F.array("edge")).alias("path"), "file").alias("how"))
+        level = found.groupBy("changed_file", "function").agg(F.min("how").alias("how")).select("changed_file", "function", "how.path", "how.file")
+        for earlier in levels:
+            level = level.join(earlier.select("changed_file", "function"), ["changed_file", "function"], "left_anti")
+        level = keep(level.withColumn("depth", F.lit(depth)))
+        levels.append(level)
+        frontier = level.select("changed_file", F.col("function").alias("via"), "path")
+    affected = reduce(DataFrame.unionByName, levels)
+    tests = graph.tests_for(nodes, edges).select(F.col("function").alias("name"), "test_file")
+    covered = changed.join(tests, "name").select("changed_file", F.col("test_file").alias("file"))
+    missing = changed.join(edges.where("type = 'tests'").select(F.col("to_name").alias("name")).distinct(), "name", "left_anti").where(~F.col("name").startswith("_"))
+    dependents = graph.dependents_of_all(edges, nodes.select("file")).select(F.col("imported").alias("changed_file"), "file")
+    touched = affected.select("changed_file", "file").union(covered).union(dependents).union(files.select("changed_file", F.col("changed_file").alias("file")))
+    touched = touched.where(graph.has_text(F.col("file")) & (F.col("file") != "unknown")).distinct()
+    number = lambda rows, **named: rows.groupBy("changed_file").agg(*(c.alias(n) for n, c in named.items()))
+    every = F.count("*")
+    counts = files
+    for part in (
+        number(changed, n_changed=every),
+        number(affected, n_direct=F.count(F.when(F.col("depth") == 1, 1)), n_indirect=F.count(F.when(F.col("depth") > 1, 1))),
+        number(covered, n_covered=every),
+        number(missing, n_missing=every),
+        number(touched, affected_file_count=every),
+    ):
+        counts = counts.join(part, "changed_file", "left")
+    counts = counts.na.fill(0, [c for c in counts.columns if c != "changed_file"])
+    return _scored(counts.withColumn("error", F.when(F.col("n_changed") == 0, F.concat(F.lit("No nodes found for "), F.col("changed_file")))))
 
 
 def review_order(impact: Impact) -> DataFrame:

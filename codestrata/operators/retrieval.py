@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as X
+from codestrata.operators import substrings
 
 # Fixed values of the ranking formulas.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -74,19 +75,27 @@ def keyword_search(nodes: DataFrame, query: str, limit: int = 20, index: tuple[D
     return nodes.join(F.broadcast(ranked), "id")  # at most ``limit`` rows
 
 
-def keyword_or_like(nodes: DataFrame, query: str, limit: int = 20, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def keyword_or_like(nodes: DataFrame, query: str, limit: int = 20, index: tuple[DataFrame, DataFrame] | None = None, runs: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``keyword_search``, or for a query that is no full-text query (a quote inside a term, no token at all) ``like_search`` in its columns."""
     tokens = query_tokens(nodes.sparkSession, query)
     if tokens and '"' not in query:
         return keyword_search(nodes, query, limit, index)
-    found = like_search(nodes, query, limit)
+    found = like_search(nodes, query, limit, runs)
     places = found.agg(F.sort_array(F.collect_list(F.struct("name", "id"))).alias("l")).select(F.posexplode("l").alias("place", "x")).select("place", F.lit(0.0).alias("bm25"), F.col("x.id").alias("id"))
     return nodes.join(F.broadcast(places), "id")  # at most ``limit`` rows
 
 
-def like_search(nodes: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Nodes with the query in name, signature or docstring, by name; for queries that are no terms."""
+LIKE_COLUMNS = ["name", "signature", "docstring"]
+
+
+def like_search(nodes: DataFrame, query: str, limit: int = 20, runs: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Nodes with the query in name, signature or docstring, by name; for queries that are no terms.
+
+    ``runs``: the stored index of ``LIKE_COLUMNS`` by id and its counts; then only nodes that it names are compared.
+    """
     pattern = f"%{query}%"
+    if runs is not None:
+        nodes = nodes.join(substrings.candidates(*runs, query, "id"), "id", "left_semi").select(*nodes.columns)
     return nodes.where(F.col("name").ilike(pattern) | F.col("signature").ilike(pattern) | F.col("docstring").ilike(pattern)).orderBy("name", "id").limit(limit)
 
 

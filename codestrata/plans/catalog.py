@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import languages
 from codestrata.functions import text as X
-from codestrata.operators import cost, extract, graph, impact, incremental, retrieval, segments, store
+from codestrata.operators import cost, extract, graph, impact, incremental, retrieval, segments, store, substrings
 from codestrata.plans import binding, fixtures, oracles
 from codestrata.sources import shared, trees
 from codestrata.streaming import watch
@@ -138,8 +138,21 @@ def analyze_functions(spark: SparkSession, d: str) -> DataFrame:
 # --- impact ---------------------------------------------------------------------------------------
 
 
+def _keeper(spark: SparkSession, name: str) -> Callable[[DataFrame], DataFrame]:
+    """Writes tables below a folder of their own in the shared one, and reads them back."""
+    folder = shared.new_folder(spark, name)
+    written = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        written.append(f"{folder}/{len(written)}")
+        df.write.parquet(written[-1])
+        return spark.read.schema(df.schema).parquet(written[-1])
+
+    return keep
+
+
 def _impact(spark: SparkSession, d: str) -> impact.Impact:
-    return impact.analyze_file(*_graph(spark, d), CHANGED_FILE, keep=True)
+    return impact.analyze_file(*_graph(spark, d), CHANGED_FILE, keep=_keeper(spark, "impact"))
 
 
 def _total_files(spark: SparkSession, d: str) -> DataFrame:
@@ -176,6 +189,12 @@ def blast_risk(spark: SparkSession, d: str) -> DataFrame:
     return impact.risk(_impact(spark, d)).drop("error")
 
 
+@query
+def blast_all(spark: SparkSession, d: str) -> DataFrame:
+    """The risk of a change to each file: one search from all files."""
+    return impact.analyze_all_files(*_graph(spark, d), keep=_keeper(spark, "impacts")).drop("error")
+
+
 @query
 def blast_review_order(spark: SparkSession, d: str) -> DataFrame:
     return impact.review_order(_impact(spark, d)).select("step", "entry")
@@ -316,7 +335,18 @@ def keyword_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def like_search(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.like_search(binding.nodes(spark, d), "machinery", 50).select("id", "name")
+    nodes = binding.nodes(spark, d)
+    runs = substrings.stored(_keeper(spark, "runs"), substrings.build(nodes, "id", retrieval.LIKE_COLUMNS))
+    return retrieval.like_search(nodes, "machinery", 50, runs).select("id", "name")
+
+
+@query
+def part_name_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every part's type and brand as a pattern (some with wildcards, some of one or two characters) against all part names."""
+    parts = _table(spark, d, "part")
+    asked = F.element_at(F.array(F.substring("p_name", 3, 4), F.substring("p_type", 1, 2), F.concat(F.substring("p_name", 2, 2), F.lit("_"), F.substring("p_name", 5, 2)), F.upper(F.substring("p_name", 4, 5)), F.substring("p_type", 1, 1), F.lit("__")), (F.col("p_partkey") % 6 + 1).cast("int"))
+    patterns = parts.select(asked.alias("pattern")).distinct()
+    return substrings.matches(patterns, "pattern", parts.select("p_name"), "p_name").groupBy("pattern").agg(F.count("*").alias("n"))
 
 
 @query

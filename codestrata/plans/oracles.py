@@ -55,6 +55,39 @@ review AS (
 entries AS (SELECT step, step || '. ' || file || ' (' || why || ')' AS entry FROM review)"""])
 
 
+def _blast_all() -> str:
+    """The risk of each file: levels as above, of pairs of a changed file and a name."""
+    levels = ["""
+changed AS (SELECT file AS changed_file, name, line FROM nodes WHERE type = 'function'),
+calls AS (SELECT to_name AS via, from_name AS function, file, id AS edge FROM edges WHERE type = 'calls' AND from_name <> ''),
+frontier0 AS (SELECT changed_file, name AS via, min([CAST(line AS BIGINT)]) AS path FROM changed GROUP BY ALL)"""]
+    for k in (1, 2, 3):
+        seen = " AND ".join(f"(changed_file, function) NOT IN (SELECT changed_file, function FROM level{j})" for j in range(1, k)) or "TRUE"
+        levels.append(f"""
+found{k} AS (SELECT changed_file, function, min({{'path': list_append(path, edge), 'file': file}}) AS how FROM calls JOIN frontier{k - 1} USING (via) GROUP BY ALL),
+level{k} AS (SELECT {k} AS depth, changed_file, function, how.path AS path, how.file AS file FROM found{k} WHERE {seen}),
+frontier{k} AS (SELECT changed_file, function AS via, path FROM level{k})""")
+    return ",".join([*levels, """
+affected AS (SELECT * FROM level1 UNION ALL SELECT * FROM level2 UNION ALL SELECT * FROM level3),
+test_rows AS (
+  SELECT DISTINCT e.to_name AS function, e.from_name AS test_name, e.file AS test_file, e.line, n.signature
+  FROM edges e LEFT JOIN nodes n ON n.name = e.from_name WHERE e.type = 'tests'),
+covered AS (SELECT c.changed_file, t.test_file FROM changed c JOIN test_rows t ON t.function = c.name),
+missing AS (SELECT changed_file FROM changed WHERE name NOT IN (SELECT to_name FROM edges WHERE type = 'tests') AND NOT starts_with(name, '_')),
+own AS (SELECT DISTINCT file AS changed_file FROM nodes),
+touched AS (
+  SELECT changed_file, file FROM affected UNION SELECT changed_file, test_file FROM covered UNION SELECT changed_file, changed_file FROM own
+  UNION SELECT o.changed_file, e.file FROM own o JOIN edges e ON e.type = 'imports' AND e.to_name ILIKE '%' || o.changed_file || '%'),
+counts AS (
+  SELECT changed_file, (SELECT count(*) FROM changed x WHERE x.changed_file = o.changed_file) AS n_changed,
+         (SELECT count(*) FROM level1 x WHERE x.changed_file = o.changed_file) AS n_direct, (SELECT count(*) FROM affected x WHERE x.changed_file = o.changed_file AND depth > 1) AS n_indirect,
+         (SELECT count(*) FROM covered x WHERE x.changed_file = o.changed_file) AS n_covered, (SELECT count(*) FROM missing x WHERE x.changed_file = o.changed_file) AS n_missing,
+         (SELECT count(*) FROM touched x WHERE x.changed_file = o.changed_file) AS affected_file_count FROM own o)
+SELECT changed_file, n_changed, n_direct, n_indirect, n_covered, n_missing, least(score, 100) AS risk_score,
+       CASE WHEN score > 50 THEN 'critical' WHEN score > 30 THEN 'high' WHEN score > 15 THEN 'medium' ELSE 'low' END AS risk_level, affected_file_count
+FROM (SELECT *, n_direct * 3 + n_indirect + n_missing * 5 + greatest(n_changed - 1, 0) * 2 AS score FROM counts)"""])
+
+
 _FOLDED_TOKENS = r"list_filter(regexp_split_to_array(strip_accents(lower({0})), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 _TFIDF_TOKENS = "list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9]', ' ', 'g'), ' +'), lambda x: length(x) > 1)"
 
@@ -194,6 +227,7 @@ FROM (SELECT DISTINCT name AS function FROM nodes WHERE type = 'function') f LEF
         "blast_tests_missing": f"{blast} SELECT * FROM missing",
         "blast_files": f"{blast} SELECT * FROM files",
         "blast_risk": f"{blast} SELECT * FROM risk",
+        "blast_all": f"{g}, {_blast_all()}",
         "blast_review_order": f"{blast} SELECT * FROM entries",
         "compare_cost": f"""{blast}
 SELECT changed_file, total_files AS files_without, least(affected_file_count, total_files) AS files_with, total_files * 800 AS tokens_without, least(affected_file_count, total_files) * 800 AS tokens_with,
@@ -226,6 +260,11 @@ SELECT files_with, files_without, files_with * 800 + 400 AS tokens_with, greates
 best AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, id) - 1 AS INT) AS place, id, round(score, 4) AS bm25 FROM bm25 ORDER BY score DESC, id LIMIT 20)
 SELECT place, id, name, bm25 FROM best JOIN nodes USING (id)""",
         "like_search": f"{g} SELECT id, name FROM nodes WHERE name ILIKE '%machinery%' OR signature ILIKE '%machinery%' OR docstring ILIKE '%machinery%' ORDER BY name, id LIMIT 50",
+        "part_name_matches": """
+WITH asked AS (
+  SELECT DISTINCT CASE p_partkey % 6 WHEN 0 THEN substr(p_name, 3, 4) WHEN 1 THEN substr(p_type, 1, 2) WHEN 2 THEN substr(p_name, 2, 2) || '_' || substr(p_name, 5, 2)
+    WHEN 3 THEN upper(substr(p_name, 4, 5)) WHEN 4 THEN substr(p_type, 1, 1) ELSE '__' END AS pattern FROM part)
+SELECT pattern, count(*) AS n FROM asked JOIN part ON p_name ILIKE '%' || pattern || '%' GROUP BY pattern""",
         "query_mode": r"""
 WITH p AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN replace(p_name, ' ', '_') WHEN 1 THEN (SELECT string_agg(upper(substr(w, 1, 1)) || lower(substr(w, 2)), '' ORDER BY k) FROM (SELECT unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) AS k))
   WHEN 2 THEN p_name WHEN 3 THEN split_part(p_name, ' ', 1) || replace(p_brand, '#', '') ELSE p_type END AS asked FROM part)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as X
-from codestrata.operators import cost, extract, graph, impact, incremental, retrieval, syntax
+from codestrata.operators import cost, extract, graph, impact, incremental, retrieval, substrings, syntax
 from codestrata.operators.store import Store, rename_files
 from codestrata.sources import trees
 
@@ -70,13 +70,19 @@ class Project:
         with self.store.staged() as keep:
             vectors, vocab = retrieval.embed_nodes(self.nodes, graph.context(self.nodes, self.edges), encoder=self.encoder)
             postings, lengths = retrieval.inverted_index(self.nodes)
-            self.store.write_all({"vocabulary": (keep(vocab), None), "embeddings": (vectors, None), "postings": (postings, "term"), "lengths": (lengths, "id")})
+            runs = keep(substrings.build(self.nodes, "id", retrieval.LIKE_COLUMNS))
+            self.store.write_all({"vocabulary": (keep(vocab), None), "embeddings": (vectors, None), "postings": (postings, "term"), "lengths": (lengths, "id"), "runs": (runs, "run"), "run_counts": (substrings.counts(runs), "run")})
 
     @property
     def index(self) -> tuple[DataFrame, DataFrame]:
         """The stored postings, clustered by term, and lengths."""
         return self.store.read("postings"), self.store.read("lengths")
 
+    @property
+    def runs(self) -> tuple[DataFrame, DataFrame]:
+        """The stored runs of characters, clustered by run, and how often each stands."""
+        return self.store.read("runs"), self.store.read("run_counts")
+
     def update(self) -> dict[str, int]:
         """Brings the tables up to the tree: what changed is parsed again, what was moved is renamed, what went is cleared."""
         with self.store.staged() as keep:
@@ -109,23 +115,23 @@ class Project:
 
     def blast(self, file: str, source: str = "web") -> dict[str, Any]:
         begun = time.time()
-        found = impact.analyze_file(self.nodes, self.edges, file, keep=True)
-        row = first(impact.risk(found))
-        out: dict[str, Any] = {"changed_file": file}
-        if row["error"]:
-            out["error"] = row["error"]
-        out |= {
-            "changed_functions": [r["name"] for r in found.changed.orderBy("line").collect()],
-            "directly_affected": rows(found.direct.orderBy("path").select("function", "file", "reason", "risk")),
-            "indirectly_affected": rows(found.indirect.orderBy("depth", "path").select("function", "file", "reason", "risk")),
-            "affected_files": sorted(r["file"] for r in found.files().collect()),
-            "affected_file_count": row["affected_file_count"],
-            "tests": {"covered": rows(found.covered), "missing": [r["function"] for r in found.missing.orderBy("line").collect()]},
-            "risk_score": row["risk_score"],
-            "risk_level": row["risk_level"],
-            "review_order": [r["entry"] for r in impact.review_order(found).orderBy("step").collect()],
-        }
-        found.release()
+        with self.store.staged() as keep:
+            found = impact.analyze_file(self.nodes, self.edges, file, keep=keep)
+            row = first(impact.risk(found))
+            out: dict[str, Any] = {"changed_file": file}
+            if row["error"]:
+                out["error"] = row["error"]
+            out |= {
+                "changed_functions": [r["name"] for r in found.changed.orderBy("line").collect()],
+                "directly_affected": rows(found.direct.orderBy("path").select("function", "file", "reason", "risk")),
+                "indirectly_affected": rows(found.indirect.orderBy("depth", "path").select("function", "file", "reason", "risk")),
+                "affected_files": sorted(r["file"] for r in found.files().collect()),
+                "affected_file_count": row["affected_file_count"],
+                "tests": {"covered": rows(found.covered), "missing": [r["function"] for r in found.missing.orderBy("line").collect()]},
+                "risk_score": row["risk_score"],
+                "risk_level": row["risk_level"],
+                "review_order": [r["entry"] for r in impact.review_order(found).orderBy("step").collect()],
+            }
         spent = (time.time() - begun) * 1000
         self._log("blast", file, spent, row["affected_file_count"], source, {"risk_level": row["risk_level"], "risk_score": row["risk_score"], "direct_count": row["n_direct"]})
         return out | {"time_ms": round(spent)}
@@ -152,7 +158,7 @@ class Project:
         k = limit * (retrieval.RERANK_OVERFETCH if self.scorer else 1)
         nodes, shown = self.nodes, ["name", "type", "file", "line", "signature", X.shortened(F.col("docstring")).alias("docstring"), "is_test"]
         if mode == "keyword":
-            found = retrieval.keyword_or_like(nodes, query, k, self.index).orderBy("place").select(*shown, F.lit(1.0).alias("score"), "bm25")
+            found = retrieval.keyword_or_like(nodes, query, k, self.index, self.runs).orderBy("place").select(*shown, F.lit(1.0).alias("score"), "bm25")
         elif mode == "semantic":
             vector = self._vector(query) or retrieval.query_vector(self.spark, query, self.store.read("vocabulary"))
             found = retrieval.semantic_search(nodes, self.store.read("embeddings"), vector, k).orderBy(F.col("similarity").desc(), "id").select(*shown, F.col("similarity").alias("score"))

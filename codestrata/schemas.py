@@ -24,4 +24,6 @@ ACTIVITY = _schema(
 VOCABULARY = _schema("term string, df bigint, idf double")
 POSTINGS = _schema("term string, id string, tf bigint")
 LENGTHS = _schema("id string, size bigint")
-TABLES = {"vocabulary": VOCABULARY, "postings": POSTINGS, "lengths": LENGTHS, "nodes": NODES, "edges": EDGES, "embeddings": EMBEDDINGS, "file_hashes": FILE_HASHES, "activity_log": ACTIVITY}
+RUNS = _schema("run string, id string")
+RUN_COUNTS = _schema("run string, n bigint")
+TABLES = {"runs": RUNS, "run_counts": RUN_COUNTS, "vocabulary": VOCABULARY, "postings": POSTINGS, "lengths": LENGTHS, "nodes": NODES, "edges": EDGES, "embeddings": EMBEDDINGS, "file_hashes": FILE_HASHES, "activity_log": ACTIVITY}
