@@ -394,15 +394,27 @@ def parse(sources: DataFrame, languages: set[str] | None = None) -> tuple[DataFr
     return _union(nodes).select(NODE_COLUMNS), _union(edges).select(EDGE_COLUMNS)
 
 
-def resolve(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def names_of(nodes: DataFrame) -> DataFrame:
+    """(name, id): the dictionary that call edges point to by name."""
+    return nodes.select("name", "id")
+
+
+def expand(edges: DataFrame, names: DataFrame) -> DataFrame:
     """Call edges fan out to every node of the called name and get its id; all others stay as they are.
 
-    A plain left join on the name: adaptive execution splits a name that a
-    large share of the calls has.
+    Edges are stored as they were found, and the dictionary beside them: a name
+    that n calls have and m nodes is n + m rows, and a change of a file touches
+    its own. The n times m pairs exist only where a reader asks for them, in a
+    plain left join on the name that adaptive execution splits for a hot one.
     """
-    targets = nodes.select(F.col("name").alias("_name"), F.col("id").alias("_id"))
+    targets = names.select(F.col("name").alias("_name"), F.col("id").alias("_id"))
     joined = edges.join(targets, (F.col("type") == "calls") & (F.col("to_name") == F.col("_name")), "left")
-    return joined.withColumn("to_id", F.coalesce("_id", "to_id")).drop("_name", "_id")
+    return joined.withColumn("to_id", F.coalesce("_id", "to_id")).select(*edges.columns)
+
+
+def resolve(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``expand`` by the dictionary of these nodes."""
+    return expand(edges, names_of(nodes))
 
 
 def numbered(edges: DataFrame) -> DataFrame:

@@ -167,12 +167,20 @@ class Encoder:
         return [float(x) for x in self.load()([text])[0]]
 
 
-def embed_nodes(nodes: DataFrame, contexts: DataFrame | None = None, size: int = DIMENSIONS, encoder: Encoder | None = None) -> tuple[DataFrame, DataFrame]:
+def embed_nodes(nodes: DataFrame, contexts: DataFrame | None = None, size: int = DIMENSIONS, encoder: Encoder | None = None, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(embeddings: node_id, vector, model, text_input; vocabulary). Nodes without known terms have a zero vector.
 
-    With an ``encoder`` the vectors are its own and the vocabulary is empty.
+    With an ``encoder`` the vectors are its own and the vocabulary is empty; of
+    nodes whose text is that of ``before`` (embeddings of the same model) the
+    vector stays, so only changed texts are encoded.
     """
     texts = embedding_text(nodes, contexts)
+    if encoder is not None and before is not None:
+        known = before.where(F.col("model") == encoder.model).select(F.col("node_id").alias("_id"), F.col("text_input").alias("_text"), "vector", "model")
+        same = (F.col("id") == F.col("_id")) & (F.col("text_input") == F.col("_text"))
+        stay = texts.join(known, same).select(F.col("id").alias("node_id"), "vector", "model", "text_input")
+        made = encoder.vectors(texts.join(known, same, "left_anti"))
+        return stay.unionByName(made), vocabulary(texts, "id", "text_input", size).limit(0)
     if encoder is not None:
         return encoder.vectors(texts), vocabulary(texts, "id", "text_input", size).limit(0)
     vocab = vocabulary(texts, "id", "text_input", size)

@@ -89,9 +89,13 @@ class TermIndex:
         terms = counted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("terms"))
         return rows.select("id", F.size("tokens").cast("long").alias("size")).join(terms, "id", "left").select("id", "size", F.coalesce("terms", F.array().cast("array<struct<term:string,tf:long>>")).alias("terms"))
 
-    def change(self, docs: DataFrame, gone: DataFrame | None = None) -> None:
-        """Documents (id, text) come or take the place of those with their ids; those with the ids ``gone`` (id) go."""
-        segments = self.segments()
+    def rebuild(self, docs: DataFrame) -> None:
+        """The index of these documents (id, text) and no others."""
+        self.change(docs, segments=[])
+
+    def change(self, docs: DataFrame, gone: DataFrame | None = None, segments: list[dict] | None = None) -> None:
+        """Documents (id, text) come or take the place of those with their ids; those with the ids ``gone`` (id) go. ``segments``: what the change is to, all by default."""
+        segments = self.segments() if segments is None else segments
         number = segments[-1]["number"] + 1 if segments else 0
         folder = f"{self.path}/staged-{uuid.uuid4().hex}"
         keep = self._keeper(folder)
@@ -112,6 +116,7 @@ class TermIndex:
         })
         self.manifests.commit({"segments": [*segments, {"name": name, "number": number, "docs": new.count() + old.count()}]})
         self.manifests.delete(folder)
+        self.manifests.retire(lambda made: {s["name"] for s in made["segments"]})
 
     def _keeper(self, folder: str) -> Callable[[DataFrame], DataFrame]:
         def keep(df: DataFrame) -> DataFrame:

@@ -189,10 +189,6 @@ class Store:
         self.manifests.commit(self.manifests.current() | written)
         self.manifests.retire(lambda made: {f"{table}/{folder}" for table, folder in made.items()})
 
-    def write_graph(self, nodes: DataFrame, edges: DataFrame) -> None:
-        """A rebuild replaces the snapshot, so edges do not pile up."""
-        self.write_all({"nodes": (nodes, "file"), "edges": (edges, "to_name")})
-
     def log(self, op: str, target: str | None, time_ms: float, files_with: int, files_without: int, source: str = "web", extra: dict | None = None) -> None:
         """Appends one activity entry: one small file."""
         c = F.lit

@@ -121,8 +121,10 @@ def graph_d3_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def edge_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Edges and the dictionary of names are stored each once; the fan-out is made on reading."""
     nodes, edges = _graph(spark, d)
-    return extract.resolve(nodes, edges).select("id", "from_name", "to_name", "type", "to_id")
+    keep = _keeper(spark, "names")
+    return extract.expand(keep(edges), keep(extract.names_of(nodes))).select("id", "from_name", "to_name", "type", "to_id")
 
 
 @query

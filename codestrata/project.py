@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as X
-from codestrata.operators import cost, extract, graph, impact, incremental, retrieval, substrings, syntax
+from codestrata.operators import cost, extract, graph, impact, incremental, retrieval, segments, substrings, syntax
 from codestrata.operators.store import Store, rename_files
 from codestrata.sources import trees
 
@@ -28,12 +29,18 @@ def first(df: DataFrame) -> dict[str, Any]:
     return row.asDict(recursive=True) if row else {}
 
 
+def _indexed(nodes: DataFrame) -> DataFrame:
+    """(id, text): what the term index holds of a node."""
+    return nodes.select("id", F.concat_ws(" ", *retrieval.INDEXED).alias("text"))
+
+
 class Project:
     """``root``: the source tree; ``path``: the store's folder, by default inside the tree."""
 
     def __init__(self, spark: SparkSession, root: str, path: str | None = None, scorer=None, encoder: retrieval.Encoder | None = None):
         self.spark, self.root, self.scorer, self.encoder = spark, root, scorer, encoder
         self.store = Store(spark, path or f"{root.rstrip('/')}/.codestrata/tables")
+        self.terms = segments.TermIndex(spark, f"{self.store.path}/terms")
 
     # Tables.
 
@@ -43,48 +50,61 @@ class Project:
 
     @property
     def edges(self) -> DataFrame:
+        """The edges as they were found: calls point to names."""
         return self.store.read("edges")
 
+    @property
+    def resolved(self) -> DataFrame:
+        """The edges with an edge to each node that a call's name stands for, each with an id of its own."""
+        found = extract.expand(self.edges, self.store.read("names"))
+        return found.withColumn("id", F.when(F.col("to_id") != "", F.xxhash64("id", "to_id")).otherwise(F.col("id")))
+
+    @property
+    def index(self) -> tuple[DataFrame, DataFrame]:
+        """The stored postings, clustered by term, and lengths."""
+        return self.terms.postings(), self.terms.lengths()
+
+    @property
+    def runs(self) -> tuple[DataFrame, DataFrame]:
+        """The stored runs of characters, clustered by run, and how often each stands."""
+        return self.store.read("runs"), self.store.read("run_counts")
+
     def total_files(self) -> DataFrame:
         return self.nodes.agg(F.count_distinct("file").alias("total_files"))
 
     # Building.
 
     def build(self) -> dict[str, Any]:
-        """Parses the tree, resolves, embeds and writes all tables; returns the statistics."""
+        """Parses the tree, embeds and writes all tables in one switch; returns the statistics."""
         with self.store.staged() as keep:
             nodes, edges = syntax.parse_best(trees.read_sources(self.spark, self.root), trees.languages_in(self.root), keep)
-            nodes = keep(nodes)
-            self.store.write_graph(nodes, extract.numbered(extract.resolve(nodes, edges)))
-        self._embed()
-        self._keep_hashes(trees.scan_hashes(self.spark, self.root))
+            self._write(keep(nodes), keep(extract.numbered(edges)), trees.scan_hashes(self.spark, self.root), keep)
+        self.terms.rebuild(_indexed(self.nodes))
         return self.stats()
 
-    def _keep_hashes(self, now: DataFrame) -> None:
-        """What the tree's files were when the tables were last brought up to it."""
-        counts = self.nodes.groupBy("file").agg(F.count("*").cast("int").alias("node_count"))
-        self.store.write("file_hashes", now.join(counts, "file", "left").select("file", "sha256", F.coalesce("node_count", F.lit(0)).alias("node_count")))
-
-    def _embed(self) -> None:
-        """Vectors and the full-text index follow the nodes, in one switch."""
-        with self.store.staged() as keep:
-            vectors, vocab = retrieval.embed_nodes(self.nodes, graph.context(self.nodes, self.edges), encoder=self.encoder)
-            postings, lengths = retrieval.inverted_index(self.nodes)
-            runs = keep(substrings.build(self.nodes, "id", retrieval.LIKE_COLUMNS))
-            self.store.write_all({"vocabulary": (keep(vocab), None), "embeddings": (vectors, None), "postings": (postings, "term"), "lengths": (lengths, "id"), "runs": (runs, "run"), "run_counts": (substrings.counts(runs), "run")})
-
-    @property
-    def index(self) -> tuple[DataFrame, DataFrame]:
-        """The stored postings, clustered by term, and lengths."""
-        return self.store.read("postings"), self.store.read("lengths")
-
-    @property
-    def runs(self) -> tuple[DataFrame, DataFrame]:
-        """The stored runs of characters, clustered by run, and how often each stands."""
-        return self.store.read("runs"), self.store.read("run_counts")
+    def _write(self, nodes: DataFrame, edges: DataFrame, hashes: DataFrame, keep: Callable[[DataFrame], DataFrame], before: DataFrame | None = None) -> None:
+        """All tables that follow from these nodes, edges and files, switched to at once. ``before``: embeddings whose texts may have stayed."""
+        vectors, vocab = retrieval.embed_nodes(nodes, graph.context(nodes, edges), encoder=self.encoder, before=before)
+        runs = keep(substrings.build(nodes, "id", retrieval.LIKE_COLUMNS))
+        counts = nodes.groupBy("file").agg(F.count("*").cast("int").alias("node_count"))
+        self.store.write_all({
+            "nodes": (nodes, "file"),
+            "edges": (edges, "to_name"),
+            "names": (extract.names_of(nodes), "name"),
+            "vocabulary": (keep(vocab), None),
+            "embeddings": (vectors, None),
+            "runs": (runs, "run"),
+            "run_counts": (substrings.counts(runs), "run"),
+            "file_hashes": (hashes.join(counts, "file", "left").select("file", "sha256", F.coalesce("node_count", F.lit(0)).alias("node_count")), None),
+        })
 
     def update(self) -> dict[str, int]:
-        """Brings the tables up to the tree: what changed is parsed again, what was moved is renamed, what went is cleared."""
+        """Brings the tables up to the tree: what changed is parsed again, what was moved is renamed, what went is cleared.
+
+        One switch of all tables; then the term index gets a segment of the
+        nodes whose text or file changed. A search in between may find nodes that
+        are gone, which its join with the nodes drops.
+        """
         with self.store.staged() as keep:
             now = keep(trees.scan_hashes(self.spark, self.root))
             before = self.store.read("file_hashes")
@@ -93,23 +113,27 @@ class Project:
             changed = keep(found.where("change = 'changed'").join(moves, F.col("file") == F.col("new"), "left_anti").select("file"))
             deleted = keep(found.where("change = 'deleted'").join(moves, F.col("file") == F.col("old"), "left_anti").select("file"))
             counts = {"changed": changed.count(), "deleted": deleted.count(), "renamed": moves.count()}
+            if not any(counts.values()):
+                return counts
+            nodes, edges, touched = self.nodes, self.edges, changed.union(moves.select("new"))
+            old = keep(nodes.join(changed.union(deleted), "file", "left_semi").select("id"))
             if counts["renamed"]:
-                self.store.write_all({"nodes": (rename_files(self.nodes, moves), "file"), "edges": (rename_files(self.edges, moves), "to_name")})
+                nodes, edges = rename_files(nodes, moves), rename_files(edges, moves)
             if counts["changed"] or counts["deleted"]:
                 sources = trees.read_sources(self.spark, self.root).join(changed, "file", "left_semi")
-                columns = [f.name for f in self.edges.schema.fields]
-                nodes, edges, vectors = incremental.reindex(self.nodes, self.edges.select(columns), self.store.read("embeddings"), sources, deleted.union(changed))
-                self.store.write_all({"edges": (edges, "to_name"), "embeddings": (vectors, None), "nodes": (nodes, "file")})
-            if any(counts.values()):
-                self._embed()
-                self._keep_hashes(now)
+                nodes, edges = incremental.reindex_stored(nodes, edges, sources, deleted)
+            nodes = keep(nodes)
+            self._write(nodes, keep(edges), now, keep, self.store.read("embeddings"))
+            new = keep(nodes.join(touched, "file", "left_semi"))
+            self.terms.change(_indexed(new), old.join(new, "id", "left_anti"))
+            self.terms.merge()
         return counts
 
     # Asking.
 
     def stats(self) -> dict[str, Any]:
-        out = first(graph.stats_totals(self.nodes, self.edges, self.store.read("embeddings")))
-        for r in graph.stats_by_type(self.nodes, self.edges).collect():
+        out = first(graph.stats_totals(self.nodes, self.resolved, self.store.read("embeddings")))
+        for r in graph.stats_by_type(self.nodes, self.resolved).collect():
             out.setdefault({"node_type": "node_types", "language": "languages", "edge_type": "edge_types"}[r["kind"]], {})[r["value"]] = r["n"]
         return out
 
@@ -191,7 +215,7 @@ class Project:
 
     def drawing(self, limit: int | None = None, after: str = "") -> dict[str, Any]:
         """Nodes, by id, and the links that leave them; ``limit`` nodes after the id ``after`` give the graph page by page."""
-        nodes, links = graph.graph_nodes(self.nodes), graph.graph_links(self.nodes, self.edges).select("source", "target", "type")
+        nodes, links = graph.graph_nodes(self.nodes), graph.graph_links(self.nodes, self.resolved).select("source", "target", "type")
         if limit is not None:
             nodes = nodes.where(F.col("id") > after).orderBy("id").limit(limit)
             links = links.join(F.broadcast(nodes.select(F.col("id").alias("source"))), "source", "left_semi").select("source", "target", "type")  # a page of ids

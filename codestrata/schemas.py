@@ -22,8 +22,8 @@ ACTIVITY = _schema(
     "tokens_with int, tokens_without int, reduction double, time_without_s double, extra_json string"
 )
 VOCABULARY = _schema("term string, df bigint, idf double")
-POSTINGS = _schema("term string, id string, tf bigint")
 LENGTHS = _schema("id string, size bigint")
+NAMES = _schema("name string, id string")
 RUNS = _schema("run string, id string")
 RUN_COUNTS = _schema("run string, n bigint")
-TABLES = {"runs": RUNS, "run_counts": RUN_COUNTS, "vocabulary": VOCABULARY, "postings": POSTINGS, "lengths": LENGTHS, "nodes": NODES, "edges": EDGES, "embeddings": EMBEDDINGS, "file_hashes": FILE_HASHES, "activity_log": ACTIVITY}
+TABLES = {"runs": RUNS, "run_counts": RUN_COUNTS, "vocabulary": VOCABULARY, "names": NAMES, "lengths": LENGTHS, "nodes": NODES, "edges": EDGES, "embeddings": EMBEDDINGS, "file_hashes": FILE_HASHES, "activity_log": ACTIVITY}

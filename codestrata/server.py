@@ -45,7 +45,7 @@ def routes(project: Project) -> dict[str, Callable[[dict[str, str]], Any]]:
     return {
         "/api/stats": lambda q: project.stats(),
         "/api/nodes": lambda q: page_of(project.nodes, q, "id", "file", "line"),
-        "/api/edges": lambda q: page_of(project.edges, q, "id", "id"),
+        "/api/edges": lambda q: page_of(project.resolved, q, "id", "id"),
         "/api/graph": lambda q: project.drawing(int(q["limit"]) if "limit" in q else None, q.get("after", "")),
         "/api/search": lambda q: project.search(q.get("q", ""), q.get("mode", "hybrid")),
         "/api/blast": need(project.blast),

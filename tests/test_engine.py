@@ -210,6 +210,10 @@ def test_encoder_plugin(spark):
     texts = {r["id"]: r["text_input"] for r in retrieval.embedding_text(nodes).collect()}
     assert got == {k: ([float(len(t)), float(t.count("b"))], "own") for k, t in texts.items()} and vocab.count() == 0
     assert encoder.vector("abb") == [3.0, 2.0]
+    # Of a text that stayed the stored vector stays; only the other is encoded.
+    stored = vectors.withColumn("vector", F.array(F.lit(7.0).cast("float"))).withColumn("text_input", F.when(F.col("node_id") == "1", F.col("text_input")).otherwise("another"))
+    again = {r["node_id"]: list(r["vector"]) for r in retrieval.embed_nodes(nodes, encoder=encoder, before=stored)[0].collect()}
+    assert again == {"1": [7.0], "2": got["2"][0]}
 
 
 def test_activity_of_nothing(spark):
@@ -241,7 +245,7 @@ def test_project(project):
     assert "shop/cart.py" in blast["affected_files"] and blast["review_order"][0] == "1. shop/core.py (the change)"
     assert project.search("price", "keyword")["results"][0]["name"] == "price"
     assert project.search("total of items")["mode"] == "hybrid"
-    assert project.store.read("postings").count() > 0 and [r["name"] for r in project.search('"(x)', "keyword")["results"]] == []
+    assert project.terms.postings().count() > 0 and [r["name"] for r in project.search('"(x)', "keyword")["results"]] == []
     assert {r["name"] for r in project.search("(x)", "keyword")["results"]} >= {"price", "tax"}
     first = project.drawing(2)
     rest = project.drawing(10, first["nodes"][-1]["id"])
@@ -287,8 +291,10 @@ def test_updates(project):
     assert project.update() == {"changed": 1, "deleted": 0, "renamed": 1}
     now = {r["name"]: r for r in project.nodes.collect()}
     assert now["price"]["file"] == "shop/money.py" and now["price"]["id"] == ids["price"]
-    edge = project.edges.where("type = 'calls' and from_name = 'extra'").first()
+    edge = project.resolved.where("type = 'calls' and from_name = 'extra'").first()
     assert edge["to_id"] == ids["tax"]
+    assert {r["name"] for r in project.search("money", "keyword")["results"]} == {"price", "tax"}  # the renamed file is indexed
+    assert len(project.terms.segments()) == 2 and project.edges.count() == project.edges.select("id").distinct().count()
     os.remove(f"{root}/test_cart.py")
     assert project.update() == {"changed": 0, "deleted": 1, "renamed": 0}
     assert "test_total" not in {r["name"] for r in project.nodes.collect()} and project.update() == {"changed": 0, "deleted": 0, "renamed": 0}
