@@ -13,13 +13,16 @@ an element thin. The block with the greatest sum of its children's densities (it
 own bare text counts as a child) is the main block; of equal sums the innermost. The
 least density on the path from it up to the body is the threshold: blocks that
 reach it elsewhere on the page are content too. A main block inside an
-``article`` or ``main`` element brings in that whole element, whose headings and
-short blocks may be thin.
+``article`` (or else a ``main`` element) brings in that whole element, whose
+headings and short blocks may be thin, but for lists of links in it; so does any
+other article with a block as dense as those of this one are on average. Of a ``main`` element around an article
+the ``h1`` comes too, the rest as elsewhere.
 
 Adverts, notices and reader comments are often as dense as paragraphs, so what a
 page itself names by tag, role, class or id as such counts as link text: it has
-density 0, makes what holds it thin and is left out. Class and id names count for
-containers only; for paragraphs and headings only names of adverts do, for inline
+density 0, makes what holds it thin and is left out. Of a class or id the last
+telling word counts ("comment-list" names comments, "legal-analysis" an analysis).
+Class and id names count for containers only; for paragraphs and headings only names of adverts do, for inline
 elements only outside running text. Not so named are: a form that holds most of the
 page's text, what stands around an article or a main heading, and, on pages
 without one, what holds most of the text.
@@ -87,10 +90,18 @@ NAMED = frozenset(
     "subscription signup login register share sharing social follow comment comments commentlist reply replies respond disqus discussion reactions related recommended "
     "recommendations recirc trending popular widget pagination pager copyright disclaimer legal paywall skip tags tagcloud toc search hidden userposts usercomments ugc guestbook".split()
 )
+#: Words that may follow such a word in a name ("comment-list", "ad-slot-2"); others make it a name of something else ("legal-analysis").
+PLAIN_WORDS = frozenset(
+    "area articles bar block body bottom bottombar box boxes btn button buttons card cards cell col column container content count embed entry feed form frame group head header heading hero holder icon icons inner "
+    "input item items label layer layout left link links list main message module news note outer page panel post posts region right row section sections sidebar slot small large space stories story strip tab text thread tile title top "
+    "topics unit view wrap wrapper zone bloc boxed sticky fixed dialog".split()
+)
 ADVERTS = frozenset("ad ads adsbygoogle adv advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion promoted cookie cookies newsletter".split())
 #: Blocks of running text.
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dt dd figcaption caption summary".split())
 KEPT_TAGS = frozenset("html body main h1".split())
+#: Containers that are lists of links from so many links on.
+LINK_LISTS, MANY_LINKS = frozenset("div ul ol section menu dl table".split()), 4
 #: The share of a page's characters from which an element is the page rather than a part beside the article.
 MOST = 0.8
 
@@ -101,12 +112,19 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("attributes", "children", "dropped", "name", "parent")
+    __slots__ = ("_running", "attributes", "children", "dropped", "name", "parent")
 
     def __init__(self, name: str, parent: Node | None, attributes: str = ""):
         self.name, self.parent, self.attributes = name, parent, attributes
         self.children: list[Node | str] = []
         self.dropped = False
+        self._running: bool | None = None
+
+    def running(self) -> bool:
+        """Whether text stands among the children; looked up once, when the tree is whole."""
+        if self._running is None:
+            self._running = any(isinstance(c, str) and not c.isspace() for c in self.children)
+        return self._running
 
 
 def parse(page: str) -> Node:
@@ -202,12 +220,22 @@ def named(node: Node) -> bool:
         names = ADVERTS
     elif node.name in BLOCKS:
         names = NAMED
-    elif node.parent is None or node.parent.name in TEXTUAL or any(isinstance(c, str) and not c.isspace() for c in node.parent.children):
+    elif node.parent is None or node.parent.name in TEXTUAL or node.parent.running():
         return False  # inside running text
     else:
         names = NAMED
     found = _attributes(node.attributes)
-    return any(w.lower() in names for w in _PART.findall(f"{found.get('class', '')} {found.get('id', '')}"))
+    return any(_says(token, names) for token in f"{found.get('class', '')} {found.get('id', '')}".split())
+
+
+def _says(token: str, names: frozenset[str]) -> bool:
+    """Whether one class or id says so: a word of ``names`` that nothing but plain words and numbers follow."""
+    for word in reversed(_PART.findall(token)):
+        if word.lower() in names:
+            return True
+        if word.lower() not in PLAIN_WORDS and not word.isdigit() and len(word) > 1:
+            return False
+    return False
 
 
 def aside(node: Node, in_article: bool) -> bool:
@@ -334,27 +362,71 @@ def content_roots(root: Node) -> list[Node]:
         node = node.parent
     for node in thin:
         node.dropped = measures[node].density <= 0 or measures[node].density < threshold
-    above, node = set(), best
+    able_text = lambda n: n.name in BLOCKS and measures[n].chars and not n.dropped and not _links(measures[n])
+    # The article around the main block comes in whole; only where there is none, its main element.
+    lifted, node = {}, best
     while node is not None:
         if node.name in ("article", "main"):
-            best = node
+            lifted[node.name] = node
         node = node.parent
-    node = best.parent
+    best = lifted.get("article") or lifted.get("main") or best
+    above, node = set(), best.parent
     while node is not None:
         above.add(node)
         node = node.parent
-    roots, inside = [], set()
+    # So does any other article with a block as dense as this one's are on average; and the heading that a main element has beside its article.
+    whole_ones, usual = _other_articles([n for n in order if able_text(n)], best, measures)
+    if best.name == "article":
+        threshold = max(threshold, usual)  # beside an article only what is as dense as its text
+    outer = lifted.get("main")
+    roots, inside, in_main = [], set(), set()
     for node in order:
+        if node is outer or node.parent in in_main:
+            in_main.add(node)
         if node.parent in inside:
             inside.add(node)
         elif node.dropped or node in above:
             continue
-        elif node is best or (node.name in BLOCKS and measures[node].chars and measures[node].density >= threshold and not _links(measures[node])):
+        elif node is best or (able_text(node) and (measures[node].density >= threshold or node in whole_ones or (node.name == "h1" and node in in_main))):
             roots.append(node)
             inside.add(node)
+    if best.name in ("article", "main"):
+        _drop_lists_of_links(best, measures)
     return roots
 
 
+def _other_articles(blocks: list[Node], best: Node, measures: dict[Node, _Measures]) -> tuple[set[Node], float]:
+    """(the articles beside ``best`` with a block of running text as dense as those in ``best`` are on average, that average by characters)."""
+    within: dict[Node, Node] = {}  # the outermost article, or best, that a block stands in
+    densest: dict[Node, float] = {}
+    weighed = chars = 0.0
+    for node in blocks:
+        place = within.get(node.parent) or (node if node is best or node.name == "article" else None)
+        if place is None:
+            continue
+        within[node] = place
+        if node.name in TEXTUAL and measures[node].chars:
+            if place is best:
+                weighed += measures[node].density * measures[node].chars
+                chars += measures[node].chars
+            else:
+                densest[place] = max(densest.get(place, 0.0), measures[node].density)
+    usual = weighed / max(chars, 1)
+    return {n for n, density in densest.items() if chars and density >= usual}, usual
+
+
+def _drop_lists_of_links(article: Node, measures: dict[Node, _Measures]) -> None:
+    """Inside an element that comes in whole, containers of several links and hardly anything else are no text of it."""
+    stack: list[Node] = [article]
+    while stack:
+        node = stack.pop()
+        m = measures[node]
+        if node is not article and node.name in LINK_LISTS and m.link_tags >= MANY_LINKS and m.chars - m.link_chars <= m.link_chars * 0.1:
+            node.dropped = True
+            continue
+        stack.extend(c for c in node.children if isinstance(c, Node) and not c.dropped)
+
+
 def _links(m: _Measures) -> bool:
     return m.link_chars * 2 > m.chars
 

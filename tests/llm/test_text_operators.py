@@ -366,3 +366,38 @@ def test_pipeline(spark):
     # Tokens, and the whole run.
     lib = encoding()
     assert {r["doc_id"]: r["token_ids"] for r in out.collect()} == {k: lib.encode_ordinary(want[k] or "") for k in left}
+
+
+# --- pages without helpful names ------------------------------------------------------------------
+
+
+def _paragraph(n):
+    return "<p>" + " ".join(f"Sentence number {n} tells of things that happened, at some length, and without hurry." for _ in range(3)) + "</p>"
+
+
+def _starts(page):
+    return [line[:17] for line in html_text.main_text(page).split("\n")]
+
+
+def test_main_element_around_an_article():
+    links = "<div>" + "".join(f'<a href="/{k}">Another story number {k}</a> ' for k in range(8)) + "</div>"
+    voices = "<div><div>Bob says: nice one</div><div>Ann says: I agree with that</div></div>"
+    page = f"<body><main><h1>Head</h1><article>{_paragraph(1)}{_paragraph(2)}{links}{_paragraph(3)}</article>{links}{voices}</main></body>"
+    assert _starts(page) == ["Head", "Sentence number 1", "Sentence number 2", "Sentence number 3"]
+
+
+def test_names_that_only_sound_like_asides():
+    inner = f"<div class='legal-analysis'>{_paragraph(2)}</div><section class='related-work'>{_paragraph(3)}</section><section id='search-methods'>{_paragraph(4)}</section>"
+    beside = f"<div class='comment-list'>{_paragraph(5)}</div><div class='ad-slot-2'>{_paragraph(6)}</div><div id='socialShare'>{_paragraph(7)}</div>"
+    assert _starts(f"<body><article><h1>Head</h1>{_paragraph(1)}{inner}{beside}</article></body>") == ["Head", *(f"Sentence number {n}" for n in (1, 2, 3, 4))]
+
+
+def test_two_articles():
+    page = f"<body><article><h2>One</h2>{_paragraph(1)}{_paragraph(2)}{_paragraph(3)}</article><article><h2>Two</h2><p>Short <b>one</b> here with <i>marks</i>.</p>{_paragraph(4)}</article><article><p>Nice one!</p></article></body>"
+    assert _starts(page) == ["One", *(f"Sentence number {n}" for n in (1, 2, 3)), "Two", "Short one here wi", "Sentence number 4"]
+
+
+def test_many_siblings():
+    page = "<body><div>" + "<span class=a>x y</span>" * 100_000 + "</div></body>"
+    begun = time.monotonic()
+    assert html_text.main_text(page).startswith("x y") and time.monotonic() - begun < 60
