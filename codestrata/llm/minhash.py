@@ -9,7 +9,7 @@ their likeness, and no bin depends on how far the next filled one is. Each bin
 keeps ``LOW`` low-order bits of its value mixed with its number, packed. Two unlike values agree in these by
 chance with probability 2^-LOW, which the likeness corrects.
 
-Defined cases: a text without words has the fingerprint of zeros and is like
+Defined cases: ids are integers of any size (other types are refused). A text without words has the fingerprint of zeros and is like
 nothing but another text without words (1). Null is the empty text. Equal texts
 have equal fingerprints. The next document is the next row by (doc_id, nulls
 last, text's hash); one row alone is its own next.
@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codestrata.llm.arrow import column, map_rows
 from codestrata.llm.words import Words, blocks, mix
@@ -108,12 +109,15 @@ def fingerprint_documents(docs: DataFrame, *, id_column: str = "doc_id", text_co
         rows = docs.select(docs[id_column].alias("i"), F.coalesce(docs[text_column], F.lit("")).alias("t"))
     else:
         rows = docs.select("i", F.coalesce(docs[text_column], F.lit("")).alias("t"))
+    if not isinstance(docs.schema[id_column].dataType, T.IntegralType):
+        raise ValueError(f"{id_column} must be an integer column: its ranges are numbers")
     kind = docs.schema[id_column].dataType.simpleString()
     found = rows.where("i is not null").selectExpr("cast(i as double) as x").approxQuantile("x", [k / ranges for k in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
     bounds = np.unique(np.array(found, np.float64))
 
     def range_of(ids: pa.Array) -> np.ndarray:
-        plain = pc.fill_null(ids.cast(pa.float64()), np.inf).to_numpy(zero_copy_only=False)
+        # Rounded on purpose: rounding keeps the order, and ranges only have to be in order.
+        plain = pc.fill_null(pc.cast(ids, pa.float64(), safe=False), np.inf).to_numpy(zero_copy_only=False)
         return np.where(np.isinf(plain), len(bounds) + 1, np.searchsorted(bounds, plain, side="right")).astype(np.int32)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

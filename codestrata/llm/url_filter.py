@@ -10,8 +10,9 @@ no join, no shuffle.
 
 The filters are sized by the list, not by the corpus: level 1 lets a share of
 about (listed / universe) pass, so later levels hold few keys. Keys of a long list
-are dealt over several filters by their hash. Filters travel as literals in the
-plan; ``MAX_BITS`` and ``MAX_PARTS`` are checked bounds.
+are dealt over several filters of at most ``MAX_BITS`` bits by their hash. The
+filters of a level are one row that is written and broadcast: some ten bits a
+listed key, whatever the corpus.
 
 Defined cases: null URLs and those without ``://`` have an empty host and path
 and fit no rule; rows are neither merged nor dropped; an empty rule list or an
@@ -21,8 +22,10 @@ empty table gives rows without rules or no rows.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +33,8 @@ from codestrata.llm.arrow import fresh
 from codestrata.llm.scratch import Scratch
 
 HASHES = 4
-#: A filter's bits, and how many filters a level may have: 64 MB in all.
-MAX_BITS, MAX_PARTS = 1 << 26, 8
+#: The bits of one filter; longer lists have several.
+MAX_BITS = 1 << 26
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,31 +65,24 @@ def part_of(key: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(parts).cast("long"))
 
 
-def bloom(keys: DataFrame, bits: int, parts: int, level: int) -> list[int]:
-    """The 64-bit words of a level's filters, one after the other. They are OR-ed map-side, so at most ``parts * bits / 64`` rows reach the driver."""
-    if bits > MAX_BITS or parts > MAX_PARTS:
-        raise ValueError(f"{parts} filters of {bits} bits are over the bound of {MAX_PARTS} of {MAX_BITS}")
+def bloom(keys: DataFrame, bits: int, parts: int, level: int) -> np.ndarray:
+    """int64[parts, bits / 64]: the words of a level's filters. They are OR-ed map-side, so at most as many rows reach the driver, as one Arrow table."""
     start = part_of(F.col("key"), parts) * bits
     at = keys.select(F.explode(F.array(*(start + x for x in bit_positions(F.col("key"), bits, level)))).alias("at"))
-    words = at.groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set")).collect()
-    out = [0] * (parts * bits // 64)
-    for row in words:
-        out[row["word"]] = row["set"]
-    return out
+    words = at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set")).toArrow()
+    out = np.zeros(parts * bits // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("set").to_numpy()
+    return out.reshape(parts, -1)
 
 
-def might_hold(key: Column, words: list[int], bits: int, level: int) -> Column:
-    """Whether the key's filter accepts it: array look-ups in a literal, inside code generation."""
-    literal = F.lit(np.array(words, np.int64))
-    start = part_of(key, len(words) * 64 // bits) * (bits // 64)
+def might_hold(key: Column, filters: Column, bits: int, parts: int, level: int) -> Column:
+    """Whether the key's filter of a level (an array of arrays of words) accepts it."""
+    words = F.get(filters, part_of(key, parts).cast("int"))
     tests = []
     for at in bit_positions(key, bits, level):
-        word = F.get(literal, (start + F.floor(at / 64)).cast("int"))
+        word = F.get(words, F.floor(at / 64).cast("int"))
         tests.append(F.call_function("shiftright", word, (at % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
-    out = tests[0]
-    for test in tests[1:]:
-        out = out & test
-    return out
+    return reduce(lambda a, b: a & b, tests)
 
 
 class Cascade:
@@ -97,7 +93,9 @@ class Cascade:
 
         Of the universe only level 1's false positives are written, about as many as listed keys.
         """
-        self.levels: list[tuple[list[int], int]] = []
+        self.name = name
+        self.levels: list[tuple[int, int]] = []  # bits and filters of each
+        self.tables: list[DataFrame] = []  # one row: the filters of each
         listed = scratch.table(listed.select("key").where(F.col("key").isNotNull()).distinct(), f"{name}-listed")
         # In each level: keys to hold, keys to keep out. The next level swaps what passed by mistake.
         held, out = listed, None
@@ -113,20 +111,33 @@ class Cascade:
             parts = max(1, bits // MAX_BITS)
             bits //= parts
             words = bloom(held, bits, parts, level)
-            self.levels.append((words, bits))
-            passed = (out or universe).select("key").where(might_hold(F.col("key"), words, bits, level)).distinct()
+            each = pa.ListArray.from_arrays(np.arange(parts + 1, dtype=np.int32) * words.shape[1], words.ravel())
+            rows = pa.table({self._column(level): pa.ListArray.from_arrays([0, parts], each)})
+            self.tables.append(scratch.table(held.sparkSession.createDataFrame(rows), f"{name}-filter-{level}"))
+            self.levels.append((bits, parts))
+            seen = (out or universe).select("key").crossJoin(F.broadcast(self.tables[-1]))  # one row
+            passed = seen.where(might_hold(F.col("key"), F.col(self._column(level)), bits, parts, level)).select("key").distinct()
             if level == 0:
                 passed = passed.join(listed, "key", "left_anti")
             held, out = scratch.table(passed, f"{name}-{level}"), held
         else:
             raise ValueError("the cascade did not end; two keys share all their hashes")
 
+    def _column(self, level: int) -> str:
+        return f"__filter_{self.name}_{level}"
+
+    def beside(self, rows: DataFrame) -> DataFrame:
+        """The rows with the filters of all levels: a broadcast of one row a level, whose size is the list's."""
+        for table in self.tables:
+            rows = rows.crossJoin(F.broadcast(table))
+        return rows
+
     def holds(self, key: Column) -> Column:
-        """Listed exactly if the first level that rejects the key is an even one (counted from 1)."""
+        """Listed exactly if the first level that rejects the key is an even one (counted from 1); for rows that have the filters ``beside``."""
         out = F.lit(len(self.levels) % 2 == 1)
         for level in range(len(self.levels) - 1, -1, -1):
-            words, bits = self.levels[level]
-            out = F.when(might_hold(key, words, bits, level), out).otherwise(F.lit(level % 2 == 1))
+            bits, parts = self.levels[level]
+            out = F.when(might_hold(key, F.col(self._column(level)), bits, parts, level), out).otherwise(F.lit(level % 2 == 1))
         return out
 
 
@@ -164,14 +175,17 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, st
     universe = base.select(F.explode(F.transform(asked, lambda x: key_of(x["host"], x["path"]))).alias("key"))
     size = universe.agg(F.approx_count_distinct("key").alias("n")).first()["n"]
     scratch = Scratch(spark, "urls")
-    cascades = {v: Cascade(scratch, v, rules.where(F.col("verdict") == v), universe, size) for v in sorted(shape["verdicts"])}
+    cascades = {v: Cascade(scratch, f"v{k}", rules.where(F.col("verdict") == v), universe, size) for k, v in enumerate(sorted(shape["verdicts"]))}
+    columns = base.columns
+    for cascade in cascades.values():
+        base = cascade.beside(base)
     hit = asked
     tagged = F.transform(hit, lambda x: F.struct(key_of(x["host"], x["path"]).alias("rule"), _verdict(cascades, key_of(x["host"], x["path"])).alias("verdict")))
     fits = F.filter(tagged, lambda x: x["verdict"].isNotNull())
     # The longest rule; candidates of one length are one key.
     best = F.aggregate(fits, F.struct(F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict")), lambda a, x: F.when(a["rule"].isNull() | (F.length(x["rule"]) > F.length(a["rule"])), x).otherwise(a))
     (found,) = fresh(base, "best")
-    return base.withColumn(found, best).withColumn("rule", F.col(found)["rule"]).withColumn("verdict", F.coalesce(F.col(found)["verdict"], F.lit(default))).drop(found)
+    return base.select(*columns, best.alias(found)).withColumn("rule", F.col(found)["rule"]).withColumn("verdict", F.coalesce(F.col(found)["verdict"], F.lit(default))).drop(found)
 
 
 def _verdict(cascades: dict[str, Cascade], key: Column) -> Column:

@@ -219,6 +219,19 @@ def test_minhash_edges(spark):
     assert minhash.fingerprint_documents(two.limit(0)).count() == 0
 
 
+def test_minhash_of_large_ids(spark):
+    """Ids that doubles cannot tell apart keep their order; other types are refused."""
+    ids = [-(1 << 63), (1 << 63) - 1, (1 << 60) + 2, (1 << 60) + 1, (1 << 60) + 3, 5, -(1 << 53) - 1]
+    df = spark.createDataFrame([(k, f"text of {k} with some words more") for k in ids], "doc_id long, text string")
+    got = {r["doc_id"]: r["edited_sha256"] for r in minhash.fingerprint_documents(df).collect()}
+    ordered = sorted(ids)
+    for k, i in enumerate(ordered):
+        text, following = (f"text of {x} with some words more" for x in (i, ordered[(k + 1) % len(ids)]))
+        assert got[i] == hashlib.sha256((text[: len(text) - len(text) // 4] + following[: len(text) // 4]).encode()).hexdigest()
+    with pytest.raises(ValueError, match="integer"):
+        minhash.fingerprint_documents(df.selectExpr("cast(doc_id as string) doc_id", "text"))
+
+
 def test_densify():
     bins = np.full((3, minhash.BINS), minhash._EMPTY)
     bins[1, 7] = 5
@@ -432,23 +445,31 @@ def test_cascade_is_exact(spark):
     frame = lambda keys: spark.createDataFrame([(k,) for k in keys], "key string")
     cascade = url_filter.Cascade(Scratch(spark, "t"), "c", frame(sorted(listed)), frame(universe), len(universe))
     assert len(cascade.levels) > 1
-    got = {x["key"] for x in frame(universe).where(cascade.holds(F.col("key"))).collect()}
+    got = {x["key"] for x in cascade.beside(frame(universe)).where(cascade.holds(F.col("key"))).collect()}
     assert got == listed
-    for level, (found, bits) in enumerate(cascade.levels):
-        assert len(found) * 64 >= bits and bits <= url_filter.MAX_BITS, level
+    assert all(bits <= url_filter.MAX_BITS and parts == 1 for bits, parts in cascade.levels)
 
 
 def test_cascade_of_many_filters(spark, monkeypatch):
-    """A list beyond one filter's bound is dealt over several; beyond their number it is refused."""
+    """A list beyond one filter's bound is dealt over several, as many as it needs."""
     monkeypatch.setattr(url_filter, "MAX_BITS", 1 << 9)
     frame = lambda keys: spark.createDataFrame([(k,) for k in keys], "key string")
     keys = [f"h{k}.example/" for k in range(2000)]
-    cascade = url_filter.Cascade(Scratch(spark, "t"), "c", frame(keys[:150]), frame(keys), len(keys))
-    assert len(cascade.levels[0][0]) * 64 > cascade.levels[0][1] == 1 << 9
-    assert {x["key"] for x in frame(keys).where(cascade.holds(F.col("key"))).collect()} == set(keys[:150])
-    monkeypatch.setattr(url_filter, "MAX_PARTS", 2)
-    with pytest.raises(ValueError, match="over the bound"):
-        url_filter.Cascade(Scratch(spark, "t"), "c", frame(keys[:1500]), frame(keys), len(keys))
+    for n, parts in ((150, 2), (1500, 8)):
+        cascade = url_filter.Cascade(Scratch(spark, "t"), "c", frame(keys[:n]), frame(keys), len(keys))
+        assert cascade.levels[0][0] == 1 << 9 and cascade.levels[0][1] >= parts
+        assert {x["key"] for x in cascade.beside(frame(keys)).where(cascade.holds(F.col("key"))).collect()} == set(keys[:n])
+
+
+def test_long_list_of_urls(spark):
+    """Two million listed keys: filters of some ten megabits, shipped as one row a level."""
+    n = 2_000_000
+    rules = spark.range(n).selectExpr("if(id % 2 = 0, 'block', 'allow') verdict", "concat('h', id, '.example/') rule")
+    pages = spark.range(0, 2 * n, 1000).selectExpr("id page_id", "concat('https://www.H', id, '.example/a?b') url")
+    out = url_filter.filter_urls(spark, pages, rules, default="none").groupBy("verdict").count().collect()
+    assert {r["verdict"]: r["count"] for r in out} == {"block": 2000, "none": 2000}
+    found = url_filter.filter_urls(spark, pages.selectExpr("page_id + 1 as page_id", "concat('https://h', page_id + 1, '.example/') url"), rules, default="none")
+    assert {r["verdict"]: r["count"] for r in found.groupBy("verdict").count().collect()} == {"allow": 2000, "none": 2000}
 
 
 # --- archives -------------------------------------------------------------------------------------
