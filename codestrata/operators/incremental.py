@@ -96,10 +96,3 @@ def reindex(nodes: DataFrame, edges: DataFrame, embeddings: DataFrame, changed_s
     fresh = extract.numbered(new_edges).select(*kept.columns)
     return all_nodes, extract.resolve(all_nodes, base.unionByName(fresh)), kept_vectors
 
-
-def reindex_stored(nodes: DataFrame, edges: DataFrame, changed_sources: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``reindex`` of nodes and edges as they are stored, calls unresolved: nothing but the changed files' own rows is made anew."""
-    gone = changed_sources.select("file").union(deleted.select("file")).distinct()
-    new_nodes, new_edges = extract.parse(changed_sources)
-    all_nodes = store.clear_files(nodes, gone).unionByName(new_nodes.select(*nodes.columns))
-    return all_nodes, store.clear_files(edges, gone).unionByName(extract.numbered(new_edges).select(*edges.columns))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import text as X
 from codestrata.operators import cost, extract, graph, impact, incremental, retrieval, segments, substrings, syntax
-from codestrata.operators.store import Store, rename_files
+from codestrata.operators.store import Replaced, Store, clear_files, rename_files
 from codestrata.sources import trees
 
 
@@ -82,14 +82,18 @@ class Project:
         self.terms.rebuild(_indexed(self.nodes))
         return self.stats()
 
-    def _write(self, nodes: DataFrame, edges: DataFrame, hashes: DataFrame, keep: Callable[[DataFrame], DataFrame], before: DataFrame | None = None) -> None:
-        """All tables that follow from these nodes, edges and files, switched to at once. ``before``: embeddings whose texts may have stayed."""
+    def _write(self, nodes: DataFrame, edges: DataFrame, hashes: DataFrame, keep: Callable[[DataFrame], DataFrame], before: DataFrame | None = None, change: tuple[Replaced, Replaced] | None = None) -> None:
+        """All tables that follow from these nodes, edges and files, switched to at once.
+
+        ``before``: embeddings whose texts may have stayed; ``change``: what became of the stored nodes and edges, where they are not all new.
+        """
+        new_nodes, new_edges = change or (nodes, edges)
         vectors, vocab = retrieval.embed_nodes(nodes, graph.context(nodes, edges), encoder=self.encoder, before=before)
         runs = keep(substrings.build(nodes, "id", retrieval.LIKE_COLUMNS))
         counts = nodes.groupBy("file").agg(F.count("*").cast("int").alias("node_count"))
         self.store.write_all({
-            "nodes": (nodes, "file"),
-            "edges": (edges, "to_name"),
+            "nodes": (new_nodes, "file"),
+            "edges": (new_edges, "to_name"),
             "names": (extract.names_of(nodes), "name"),
             "vocabulary": (keep(vocab), None),
             "embeddings": (vectors, None),
@@ -115,17 +119,16 @@ class Project:
             counts = {"changed": changed.count(), "deleted": deleted.count(), "renamed": moves.count()}
             if not any(counts.values()):
                 return counts
-            nodes, edges, touched = self.nodes, self.edges, changed.union(moves.select("new"))
-            old = keep(nodes.join(changed.union(deleted), "file", "left_semi").select("id"))
-            if counts["renamed"]:
-                nodes, edges = rename_files(nodes, moves), rename_files(edges, moves)
-            if counts["changed"] or counts["deleted"]:
-                sources = trees.read_sources(self.spark, self.root).join(changed, "file", "left_semi")
-                nodes, edges = incremental.reindex_stored(nodes, edges, sources, deleted)
-            nodes = keep(nodes)
-            self._write(nodes, keep(edges), now, keep, self.store.read("embeddings"))
-            new = keep(nodes.join(touched, "file", "left_semi"))
-            self.terms.change(_indexed(new), old.join(new, "id", "left_anti"))
+            gone = keep(changed.union(deleted).union(moves.select("old")))
+            sources = trees.read_sources(self.spark, self.root).join(changed, "file", "left_semi")
+            parsed = extract.parse(sources)
+            moved = [rename_files(t.join(moves.select(F.col("old").alias("file")), "file", "left_semi").select(*t.columns), moves) for t in (self.nodes, self.edges)]
+            new_nodes = keep(moved[0].unionByName(parsed[0].select(*self.nodes.columns)))
+            new_edges = keep(moved[1].unionByName(extract.numbered(parsed[1]).select(*self.edges.columns)))
+            old = keep(self.nodes.join(gone, "file", "left_semi").select("id"))
+            nodes, edges = (keep(clear_files(t, gone).unionByName(new)) for t, new in ((self.nodes, new_nodes), (self.edges, new_edges)))
+            self._write(nodes, edges, now, keep, self.store.read("embeddings"), (Replaced(gone, new_nodes), Replaced(gone, new_edges)))
+            self.terms.change(_indexed(new_nodes), old.join(new_nodes, "id", "left_anti"))
             self.terms.merge()
         return counts
 

@@ -201,6 +201,39 @@ def test_store_moments(spark, tmp_path):
     assert {r["size"] for r in store.read("lengths").collect()} == {5}
 
 
+def test_changes_leave_most_data_files(spark, tmp_path):
+    """A change of one source file writes anew only the data files that hold its rows, whatever the table is clustered by."""
+    from codestrata.operators.store import Replaced, Store
+
+    store = Store(spark, str(tmp_path / "s"))
+    names = [f.name for f in store.read("edges").schema.fields]
+    edges = spark.range(4000).selectExpr("id", "'' from_id", "'' to_id", "concat('f', id) from_name", "lpad(string(id), 6, '0') to_name", "'calls' type", "concat('file', id div 10) file", "1 line").select(names)
+    for by in ("file", "to_name"):
+        store.write_all({"edges": (edges.repartition(8), by)})
+        before = set(store.read("edges").inputFiles())
+        new = edges.where("id = 0").selectExpr("id + 9000 id", "from_id", "to_id", "'new' from_name", "to_name", "type", "'file7' file", "line").select(names)
+        store.write_all({"edges": (Replaced(spark.createDataFrame([("file7",), ("none",)], "file string"), new), by)})
+        after = set(store.read("edges").inputFiles())
+        if len(before) > 1:
+            assert len(before & after) >= len(before) - 2, by
+        want = sorted(r["id"] for r in edges.where("file <> 'file7'").collect()) + [9000]
+        assert sorted(r["id"] for r in store.read("edges").collect()) == want
+    store.write_all({"edges": (Replaced(spark.createDataFrame([("file8",)], "file string"), edges.limit(0)), "file")})
+    assert store.read("edges").count() == 4000 - 10 + 1 - 10
+
+
+def test_log_is_compacted(spark, tmp_path, monkeypatch):
+    from codestrata.operators import store as stores
+
+    monkeypatch.setattr(stores, "LOG_FILES", 3)
+    store = stores.Store(spark, str(tmp_path / "s"))
+    assert store.activity().count() == 0
+    for k in range(4):
+        store.log("search", f"q{k}", 1.0, 1, 2)
+    assert [r["target"] for r in store.activity().orderBy("id").collect()] == [f"q{k}" for k in range(4)]
+    assert len(store._log_files()) == 1 and len(store.activity().inputFiles()) == 2
+
+
 def test_encoder_plugin(spark):
     rows = [("1", "a", "function", "x.py", 1, False, "def a()", "python"), ("2", "b", "function", "x.py", 2, False, "def b()", "python")]
     nodes = spark.createDataFrame(rows, NODE).withColumns({"docstring": F.lit(""), "body_preview": F.lit(""), "parent_class": F.lit("")})
@@ -294,7 +327,7 @@ def test_updates(project):
     edge = project.resolved.where("type = 'calls' and from_name = 'extra'").first()
     assert edge["to_id"] == ids["tax"]
     assert {r["name"] for r in project.search("money", "keyword")["results"]} == {"price", "tax"}  # the renamed file is indexed
-    assert len(project.terms.segments()) == 2 and project.edges.count() == project.edges.select("id").distinct().count()
+    assert len(project.terms.segments()) == 2 and isinstance(project.store.snapshot()["nodes"], list) and project.edges.count() == project.edges.select("id").distinct().count()
     os.remove(f"{root}/test_cart.py")
     assert project.update() == {"changed": 0, "deleted": 1, "renamed": 0}
     assert "test_total" not in {r["name"] for r in project.nodes.collect()} and project.update() == {"changed": 0, "deleted": 0, "renamed": 0}
