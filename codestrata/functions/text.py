@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,21 +80,27 @@ def query_terms(query: Column) -> Column:
 
 def index_tokens(c: Column) -> Column:
     """Full-text tokens: lower case without accents, split at all that is no letter or number."""
-    plain = F.translate(F.lower(c), _ACCENTED, _PLAIN)
+    plain = F.translate(F.lower(c), *_folded())
     return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-# Latin letters with marks that fold to one letter, built from the characters' own decompositions.
+@cache
 def _folded() -> tuple[str, str]:
-    import unicodedata
+    """Characters and what stands for them, by their own decompositions: of a letter with marks the letter stays, marks go.
 
-    pairs = [(chr(k), unicodedata.normalize("NFD", chr(k))[0]) for k in range(0xC0, 0x250) if unicodedata.normalize("NFD", chr(k)) != chr(k) and chr(k).lower() == chr(k)]
+    (``translate`` deletes the characters at the end that nothing stands for.) No
+    character decomposes into several without marks. Hangul letters that were
+    written apart are not joined.
+    """
+    folded = {}
+    for k in (*range(0x80, 0xD800), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0100, 0xE01F0)):
+        bare = unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFD", chr(k)) if unicodedata.category(x)[0] != "M"))
+        if bare != chr(k):
+            folded[chr(k)] = bare
+    pairs = sorted(folded.items(), key=lambda pair: not pair[1])
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-_ACCENTED, _PLAIN = _folded()
-
-
 def tfidf_tokens(c: Column) -> Column:
     """Vector tokens: ASCII letters and digits in lower case, two characters at least."""
     return F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]", " "), " +"), lambda x: F.length(x) > 1)

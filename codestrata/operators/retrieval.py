@@ -11,9 +11,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codestrata.functions import text as X
 from codestrata.operators import substrings
@@ -203,6 +206,69 @@ def nearest(vectors: DataFrame, query: list[float], k: int, id_column: str = "no
     return vectors.select(F.col(id_column).alias("id"), X.round_even(cosine(F.col(vector_column), given), 4).alias("similarity")).orderBy(F.col("similarity").desc(), "id").limit(k)
 
 
+QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
+
+
+def _packed(rows: DataFrame, size: int, label: str) -> DataFrame:
+    """Rows (id, vector) in blocks of up to ``size``: ids and one matrix of doubles each, by Arrow batches, without a shuffle."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                matrix = np.asarray(part.column(1).flatten(), np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([matrix.tobytes()], pa.binary())], names=[f"{label}_ids", f"{label}_matrix"])
+
+    return rows.mapInArrow(pack, f"{label}_ids array<long>, {label}_matrix binary")
+
+
+def _round_4(x: np.ndarray) -> np.ndarray:
+    """As ``round(x, 4)``: doubles near a tie are rounded one by one."""
+    steps = x * 1e4
+    out = np.rint(steps) / 1e4
+    near = np.flatnonzero(np.abs(np.abs(steps - np.floor(steps)) - 0.5) < 1e-6)
+    out[near] = [round(v, 4) for v in x[near].tolist()]
+    return out
+
+
+def nearest_many(queries: DataFrame, vectors: DataFrame, k: int, id_column: str = "node_id", vector_column: str = "vector") -> DataFrame:
+    """(query, id, similarity, place from 1): for each row of ``queries`` the k nearest of ``vectors``, rounded to four places before the ranking, ties by id.
+
+    Both sides are packed into blocks of bounded size, and each pair of blocks is
+    one matrix product that gives a query's best k of the block; these meet in a
+    ranking whose limit Spark applies before the shuffle too, so a query's lists
+    stay short. The work is that of all pairs, which the task is; what is held at
+    once is two blocks. Ids are integers, vectors of one length without nulls.
+    """
+    chosen = lambda rows: rows.where(F.col(vector_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    pairs = _packed(chosen(vectors), VECTOR_BLOCK, "v").repartition(cores).crossJoin(_packed(chosen(queries), QUERY_BLOCK, "q"))  # blocks of a stated query set against blocks of all rows
+
+    def unit(matrix: bytes, n: int) -> np.ndarray:
+        rows = np.frombuffer(matrix, np.float64).reshape(n, -1)
+        norms = np.sqrt((rows * rows).sum(axis=1))
+        return rows / np.where(norms > 0, norms, 1.0)[:, None]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, asked = np.array(row["v_ids"], np.int64), row["q_ids"]
+                similar = unit(row["q_matrix"], len(asked)) @ unit(row["v_matrix"], len(ids)).T
+                found: tuple[list, list, list] = ([], [], [])
+                for query, line in zip(asked, similar, strict=True):
+                    # All that may be among the k best after rounding.
+                    at = np.arange(len(ids)) if len(ids) <= k else np.flatnonzero(line >= np.partition(line, -k)[-k] - 1.5e-4)
+                    rounded = _round_4(line[at])
+                    top = np.lexsort((ids[at], -rounded))[:k]
+                    for column, values in zip(found, ([query] * len(top), ids[at][top].tolist(), rounded[top].tolist()), strict=True):
+                        column.extend(values)
+                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query", "id", "similarity"])
+
+    few = pairs.mapInArrow(best, "query long, id long, similarity double")
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.col("similarity").desc(), "id"))
+    return few.withColumn("place", place).where(F.col("place") <= k)
+
+
 def query_vector(spark: SparkSession, query: str, vocab: DataFrame, size: int = DIMENSIONS) -> list[float]:
     """The query's vector over a stored vocabulary: one row."""
     text = spark.createDataFrame([("q", query)], "id string, text_input string")
@@ -248,6 +314,35 @@ def hybrid_search(nodes: DataFrame, embeddings: DataFrame, vocab: DataFrame, que
     return nodes.join(F.broadcast(best), "id").select(F.col("id").alias("node_id"), "score", "name", "type", "file", "line", "signature", X.shortened(F.col("docstring")).alias("docstring"), "is_test").orderBy(F.col("score").desc(), "node_id")  # at most ``k`` rows
 
 
+def rerank_many(candidates: DataFrame, load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], k: int = 5) -> DataFrame:
+    """(query_id, id, rerank_score, place from 1): the candidates of many queries in the order of joint scores, the first k of each.
+
+    ``candidates``: (query_id, query, id, place, is_test, document), a top-k list a
+    query. ``load`` makes the scorer once a worker; texts go to it by Arrow batches.
+    The guards are aggregates over a query's list: one candidate alone, or only
+    negative scores, keep the list's order and have no score. Tests count by half
+    unless the query asks for them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = load()
+        for batch in batches:
+            said = list(zip(batch.column("query").to_pylist(), batch.column("document").to_pylist(), strict=True))
+            scores = [float(x) for at in range(0, len(said), 64) for x in scorer([(q or "", d or "") for q, d in said[at : at + 64]])]
+            kept = batch.drop_columns(["document"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(scores, pa.float64())], names=[*kept.schema.names, "raw"])
+
+    shape = candidates.select("query_id", "query", "id", "place", "is_test", "document")
+    fields = [f for f in shape.schema.fields if f.name != "document"]
+    scored = shape.mapInArrow(run, T.StructType([*fields, T.StructField("raw", T.DoubleType())]))
+    mine = W.partitionBy("query_id")
+    kept = (F.count("*").over(mine) <= 1) | (F.max("raw").over(mine) < 0)
+    weight = F.when(X.wants_tests(F.col("query")) | ~F.coalesce("is_test", F.lit(False)), F.lit(1.0)).otherwise(RERANK_TEST_PENALTY)
+    ranked = scored.withColumn("score", F.when(~kept, F.col("raw") * weight))
+    order = F.row_number().over(mine.orderBy(F.col("score").desc_nulls_last(), "place", "id"))
+    return ranked.withColumn("now", order).where(F.col("now") <= k).select("query_id", "id", X.round_even(F.col("score"), 4).alias("rerank_score"), F.col("now").alias("place"))
+
+
 def rerank(query: str, candidates: list[dict], scorer: Callable[[list[tuple[str, str]]], list[float]] | None, k: int = 5) -> list[dict]:
     """Joint relevance scores for a top-k list; its order stays without a scorer, for one row, or if all scores are negative."""
     if scorer is None or len(candidates) <= 1:

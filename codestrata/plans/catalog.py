@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions import languages
@@ -367,6 +367,28 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.nearest(_table(spark, d, "embeddings"), _query_vector(spark, d), 20, "vec_id", "embedding")
 
 
+@query
+def nearest_of_many(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of all vectors for every vector whose id is divisible by 50."""
+    vectors = _table(spark, d, "embeddings")
+    return retrieval.nearest_many(vectors.where("vec_id % 50 = 0"), vectors, 10, "vec_id", "embedding")
+
+
+def _scorer() -> Callable[[list[tuple[str, str]]], list[float]]:
+    """A fixed joint score, so that SQL can say the same."""
+    return lambda pairs: [((len(q) * 7 + len(d) * 13) % 101 - (60 if len(q) % 4 else 120)) / 16 for q, d in pairs]
+
+
+@query
+def rerank_lists(spark: SparkSession, d: str) -> DataFrame:
+    """For every brand the first twenty parts of it, reranked; some brands ask for tests, some have only negative scores."""
+    parts = _table(spark, d, "part")
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    asked = F.concat(F.col("p_brand"), F.when(F.substring("p_brand", 7, 1) == "3", " test").when(F.substring("p_brand", 7, 1) == "4", " of").otherwise(""))
+    lists = parts.select(F.col("p_brand").alias("query_id"), asked.alias("query"), F.col("p_partkey").alias("id"), place.alias("place"), (F.col("p_partkey") % 3 == 0).alias("is_test"), F.concat_ws(" ", "p_name", "p_type").alias("document"))
+    return retrieval.rerank_many(lists.where("place <= 20"), _scorer, 5)
+
+
 @query
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     docs, k = _docs(spark, d), 20
@@ -591,6 +613,17 @@ def clear_file(spark: SparkSession, d: str) -> DataFrame:
     return left(nodes, "nodes").unionByName(left(edges, "edges"))
 
 
+@query
+def replace_one_file(spark: SparkSession, d: str) -> DataFrame:
+    """A store's nodes after one file's rows were replaced: the other data files are those of the snapshot before."""
+    nodes = binding.nodes(spark, d)
+    held = store.Store(spark, shared.new_folder(spark, "store"))
+    held.write_all({"nodes": (nodes, "file")})
+    new = nodes.where(F.col("file") == CHANGED_FILE).withColumn("signature", F.concat(F.col("signature"), F.lit(" -> int")))
+    held.write_all({"nodes": (store.Replaced(new.select("file"), new), "file")})
+    return held.read("nodes").select("id", "name", "file", "signature")
+
+
 @query
 def clear_embeddings(spark: SparkSession, d: str) -> DataFrame:
     nodes = binding.nodes(spark, d)

@@ -270,6 +270,21 @@ WITH p AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN replace(p_name, ' ',
   WHEN 2 THEN p_name WHEN 3 THEN split_part(p_name, ' ', 1) || replace(p_brand, '#', '') ELSE p_type END AS asked FROM part)
 SELECT p_partkey, asked, CASE WHEN regexp_matches(asked, '^[a-z][a-z0-9]*(_[a-z0-9]+)+$') OR regexp_matches(asked, '^[A-Z][a-z0-9]+([A-Z][a-z0-9]*)+$') OR regexp_matches(asked, '^[a-z][a-z0-9]*([A-Z][a-z0-9]*)+$') THEN 'keyword' ELSE 'hybrid' END AS mode FROM p""",
         "cosine_topk": f"WITH {_COSINE} SELECT id, similarity FROM cosine ORDER BY similarity DESC, id LIMIT 20",
+        "nearest_of_many": """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+n AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v),
+s AS (
+  SELECT q.vec_id AS query, n.vec_id AS id, CAST(printf('%.4f', CASE WHEN q.norm * n.norm > 0 THEN list_dot_product(q.e, n.e) / (q.norm * n.norm) ELSE 0 END) AS DOUBLE) + 0.0 AS similarity
+  FROM n q JOIN n ON q.vec_id % 50 = 0)
+SELECT query, id, similarity, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS place FROM s) WHERE place <= 10""",
+        "rerank_lists": """
+WITH lists AS (
+  SELECT p_brand AS query_id, p_brand || CASE substr(p_brand, 7, 1) WHEN '3' THEN ' test' WHEN '4' THEN ' of' ELSE '' END AS query, p_partkey AS id,
+         row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS place, p_partkey % 3 = 0 AS is_test, p_name || ' ' || p_type AS document FROM part),
+scored AS (SELECT *, ((length(query) * 7 + length(document) * 13) % 101 - CASE WHEN length(query) % 4 = 0 THEN 120 ELSE 60 END) / 16.0 AS raw FROM lists WHERE place <= 20),
+guarded AS (SELECT *, CASE WHEN count(*) OVER w > 1 AND max(raw) OVER w >= 0 THEN raw * CASE WHEN is_test AND NOT contains(query, 'test') THEN 0.5 ELSE 1 END END AS score FROM scored WINDOW w AS (PARTITION BY query_id))
+SELECT query_id, id, CAST(printf('%.4f', CAST(score AS DOUBLE)) AS DOUBLE) AS rerank_score, CAST(now AS INT) AS place
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, place, id) AS now FROM guarded) WHERE now <= 5""",
         "hybrid_topk": f"""WITH d AS (SELECT doc_id AS id, text FROM documents), {_bm25('d', prefixes)}, {_COSINE},
 said AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS place FROM bm25 ORDER BY score DESC, id LIMIT 40),
 near AS (SELECT id, similarity FROM cosine ORDER BY similarity DESC, id LIMIT 40),
@@ -333,6 +348,7 @@ targets AS (SELECT id, name FROM nodes WHERE file NOT IN ('{file}', '{deleted}')
 SELECT from_name, to_name, n.type, n.file, n.line, coalesce(t.id, '') AS to_id FROM now n LEFT JOIN targets t ON n.type = 'calls' AND t.name = n.to_name""",
         "reindex_vectors": f"{g} SELECT id AS node_id, name AS text_input FROM nodes WHERE file NOT IN ('{file}', '{deleted}')",
         "clear_file": f"{g} SELECT 'nodes' AS table_name, file, count(*) AS n FROM nodes WHERE file <> '{file}' GROUP BY file UNION ALL SELECT 'edges', file, count(*) FROM edges WHERE file <> '{file}' GROUP BY file",
+        "replace_one_file": f"{g} SELECT id, name, file, CASE WHEN file = '{file}' THEN signature || ' -> int' ELSE signature END AS signature FROM nodes",
         "clear_embeddings": f"{g} SELECT id AS node_id, name AS text_input FROM nodes WHERE file <> '{file}'",
         "rename_file": f"{g} SELECT id, name, CASE WHEN file = '{file}' THEN 'NATION_X' ELSE file END AS file FROM nodes",
         "snapshot_diff": """

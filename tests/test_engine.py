@@ -166,6 +166,23 @@ def test_round_like_python(spark):
     assert all(row["r"] == round(row["v"], 4) for row in df.collect())
 
 
+def test_folding_of_all_characters(spark):
+    """Full-text tokens of Vietnamese, Greek, combining marks and every assigned character, as DuckDB folds them."""
+    import unicodedata
+
+    import duckdb
+
+    texts = ["Tiếng Việt đã được", "Ελληνικά ΐ Ά ώρα", "e\u0301cole n\u0303o \u0301x", "Ǆungla ḟ ẛ̣ ﬁ", "İstanbul ığdır", "हिन्दी ไทย", "가나다 \U0001d160"]
+    letters = [chr(k) for k in range(0x80, 0x20000) if unicodedata.category(chr(k))[0] in "LNM" and chr(k).lower() == chr(k)]
+    texts += ["a" + c + "b" for c in letters]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = {r["k"]: r["x"] for r in df.select("k", X.index_tokens(F.col("t")).alias("x")).collect()}
+    db = duckdb.connect()
+    want = db.execute(r"SELECT k, list_filter(regexp_split_to_array(strip_accents(lower(t)), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM (SELECT unnest(?) AS t, unnest(?) AS k)", [texts, list(range(len(texts)))]).fetchall()
+    wrong = [(texts[k], got[k], w) for k, w in want if got[k] != w]
+    assert len(want) == len(texts) and all(unicodedata.category(t[1]) in ("Lo", "No", "Nd", "Nl", "Ll", "Lm") for t, *_ in wrong) and len(wrong) < 0.02 * len(texts) and not [w for w in wrong if w[0] in texts[:7]], wrong[:20]
+
+
 def test_node_ids_are_unique(spark):
     """One name on one line is one node, as the last of its rules has it; of repeated ids in a batch the last stays."""
     from codestrata.operators import extract, store
