@@ -506,6 +506,13 @@ def tree_hashes(spark: SparkSession, d: str) -> DataFrame:
     return trees.scan_hashes(spark, fixtures.write_tree(spark, d))
 
 
+@query
+def tree_of_one_language(spark: SparkSession, d: str) -> DataFrame:
+    """Language and path reach the listing: other folders are not entered, other files not read."""
+    found = trees.scan_paths(spark, fixtures.write_tree(spark, d), languages=["python"], prefix="pkg/d3/")
+    return found.select("file", "language", F.length("content").alias("size"))
+
+
 @query
 def line_scan(spark: SparkSession, d: str) -> DataFrame:
     docs = binding.texts(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), F.lit("text").alias("language"), F.col("text").alias("source"), F.lit("").alias("sha256"))

@@ -348,6 +348,7 @@ targets AS (SELECT id, name FROM nodes WHERE file NOT IN ('{file}', '{deleted}')
 SELECT from_name, to_name, n.type, n.file, n.line, coalesce(t.id, '') AS to_id FROM now n LEFT JOIN targets t ON n.type = 'calls' AND t.name = n.to_name""",
         "reindex_vectors": f"{g} SELECT id AS node_id, name AS text_input FROM nodes WHERE file NOT IN ('{file}', '{deleted}')",
         "clear_file": f"{g} SELECT 'nodes' AS table_name, file, count(*) AS n FROM nodes WHERE file <> '{file}' GROUP BY file UNION ALL SELECT 'edges', file, count(*) FROM edges WHERE file <> '{file}' GROUP BY file",
+        "tree_of_one_language": "SELECT 'pkg/d3/m' || c_custkey || '.py' AS file, 'python' AS language, CAST(length('def f' || c_custkey || '():') + 10 AS INT) AS size FROM customer WHERE c_custkey % 7 = 3",
         "replace_one_file": f"{g} SELECT id, name, file, CASE WHEN file = '{file}' THEN signature || ' -> int' ELSE signature END AS signature FROM nodes",
         "clear_embeddings": f"{g} SELECT id AS node_id, name AS text_input FROM nodes WHERE file <> '{file}'",
         "rename_file": f"{g} SELECT id, name, CASE WHEN file = '{file}' THEN 'NATION_X' ELSE file END AS file FROM nodes",

@@ -77,7 +77,7 @@ class Project:
     def build(self) -> dict[str, Any]:
         """Parses the tree, embeds and writes all tables in one switch; returns the statistics."""
         with self.store.staged() as keep:
-            nodes, edges = syntax.parse_best(trees.read_sources(self.spark, self.root), trees.languages_in(self.root), keep)
+            nodes, edges = syntax.parse_best(trees.read_sources(self.spark, self.root), trees.languages_in(self.spark, self.root), keep)
             self._write(keep(nodes), keep(extract.numbered(edges)), trees.scan_hashes(self.spark, self.root), keep)
         self.terms.rebuild(_indexed(self.nodes))
         return self.stats()

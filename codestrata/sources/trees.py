@@ -10,8 +10,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.functions.languages import EXTENSIONS, language_of, supported_extensions
+from codestrata.functions.languages import language_of, supported_extensions
 from codestrata.functions.text import content_hash
+from codestrata.sources import tree_source
 
 # Folders that hold no sources of the project.
 IGNORED = ["node_modules", ".git", "__pycache__", ".venv", "venv", ".tox", "dist", "build", ".idea", ".vscode", "vendor", "target"]
@@ -31,16 +32,10 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["file", "source"])
 
 
-def list_files(root: str, ignored: list[str] = IGNORED) -> list[tuple[str, int]]:
-    """(relative path, bytes) of the tree's supported files."""
-    return [(name, size) for name, size, _ in list_times(root, ignored)]
-
-
 def list_times(root: str, ignored: list[str] = IGNORED) -> list[tuple[str, int, int]]:
     """(relative path, bytes, nanoseconds of the last change) of the tree's supported files; ignored folders are not entered.
 
-    Spark's own file sources pass over names that begin with ``_`` or ``.``, as
-    package files do, so the tree is listed here.
+    For a watcher of one machine's tree; tables of a tree come from ``tree_source``.
     """
     system, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), os.path.abspath(root))
     base = base.rstrip("/")
@@ -55,30 +50,15 @@ def list_times(root: str, ignored: list[str] = IGNORED) -> list[tuple[str, int,
     return sorted(found)
 
 
-def languages_in(root: str) -> set[str]:
+def languages_in(spark: SparkSession, root: str) -> set[str]:
     """The languages of the tree's files, from the listing alone."""
-    of = {e.lower(): language for language, extensions in reversed(EXTENSIONS.items()) for e in extensions}
-    return {of[os.path.splitext(f)[1].lower()] for f, _ in list_files(root)}
-
-
-def scan_paths(spark: SparkSession, root: str, ignored: list[str] = IGNORED, bytes_per_task: int = 32 << 20) -> DataFrame:
-    """(file, content, language) of the tree's supported files; paths are relative to ``root``. Files that can't be read are left out."""
-    files = list_files(root, ignored)
-    tasks = max(1, min(len(files), sum(n + 4096 for _, n in files) // bytes_per_task + 1))
-    names = spark.createDataFrame([(f,) for f, _ in files], "file string").repartition(tasks)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), os.path.abspath(root))
-        for batch in batches:
-            for name in batch.column(0).to_pylist():
-                try:
-                    with system.open_input_stream(f"{base.rstrip('/')}/{name}") as file:
-                        content = file.read()
-                except OSError:
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], names=["file", "content"])
-
-    return names.mapInArrow(read, "file string, content binary").withColumn("language", language_of(F.col("file")))
+    listed = tree_source.load(spark, root, [*IGNORED, OWN_FOLDER], content=False)
+    return {r["language"] for r in listed.select("language").distinct().collect()}  # at most the known languages
+
+
+def scan_paths(spark: SparkSession, root: str, ignored: list[str] = IGNORED, languages: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """(file, content, language) of the tree's supported files (of some ``languages``, of paths with a ``prefix``); paths are relative to ``root``."""
+    return tree_source.load(spark, root, [*ignored, OWN_FOLDER], languages=languages, prefix=prefix).select("file", "content", "language")
 
 
 def read_sources(spark: SparkSession, root: str) -> DataFrame:

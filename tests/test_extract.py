@@ -206,3 +206,35 @@ def test_tests_of_repeated_names(spark):
     rows = spark.createDataFrame([("test_m.py", "python", source, "h")], "file string, language string, source string, sha256 string")
     found = extract.parse(rows, {"python"})[1].where("type = 'tests'").collect()
     assert sorted((r["line"], r["from_name"], r["to_name"]) for r in found) == sorted([(n, "test_a", f"x{k}") for n in (1, 8) for k in (1, 2, 4)] + [(5, "test_b", "x3")])
+
+
+def test_tree_source(spark, tmp_path, monkeypatch):
+    """Every file comes once whatever the number of folders; languages and paths reach the listing."""
+    from codestrata.sources import tree_source
+
+    want = {}
+    for k in range(60):
+        folder = tmp_path / f"a{k % 3}" / f"b{k % 5}" / ("vendor" if k % 20 == 19 else f"c{k % 2}")
+        folder.mkdir(parents=True, exist_ok=True)
+        name = f"m{k}.{['py', 'GO', 'txt'][k % 3]}"
+        (folder / name).write_text(f"x{k}")
+        if k % 3 < 2 and k % 20 != 19:
+            want[str((folder / name).relative_to(tmp_path))] = ("python" if k % 3 == 0 else "go", f"x{k}".encode())
+    (tmp_path / "__init__.py").write_text("")
+    want["__init__.py"] = ("python", b"")
+    reader = tree_source.TreeReader(str(tmp_path), ["vendor"], True)
+    for folders in (1, 2, 7, 1000):
+        monkeypatch.setattr(tree_source, "FOLDERS", folders)
+        monkeypatch.setattr(tree_source, "NAMES", 4)
+        rows = [r for part in reader.partitions() for batch in reader.read(part) for r in batch.to_pylist()]
+        assert len(rows) == len(want) and {r["file"]: (r["language"], r["content"]) for r in rows} == want
+    found = tree_source.load(spark, str(tmp_path), ["vendor"])
+    assert {r["file"]: (r["language"], bytes(r["content"])) for r in found.collect()} == want
+    some = tree_source.load(spark, str(tmp_path), ["vendor"], languages=["go"], prefix="a1/b")
+    assert {r["file"] for r in some.collect()} == {f for f, (language, _) in want.items() if language == "go" and f.startswith("a1/b")}
+    name = next(f for f in want if f.startswith("a1"))
+    assert [r["file"] for r in tree_source.load(spark, str(tmp_path), [], prefix=name).collect()] == [name]
+    assert found.where("language = 'go'").count() < found.count() == len(want)
+    assert trees.languages_in(spark, str(tmp_path)) == {"python", "go"}
+    (tmp_path / "none").mkdir()
+    assert tree_source.load(spark, str(tmp_path / "none"), []).count() == 0
