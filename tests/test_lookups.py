@@ -62,3 +62,39 @@ def test_impact_of_all_files(spark):
     for file, row in got.items():
         assert impact.risk(impact.analyze_file(nodes, edges, file)).first().asDict() == row
     assert impact.analyze_all_files(nodes.limit(0), edges).count() == 0
+
+
+def test_nearest_of_many(spark, monkeypatch):
+    """Blocks of any size give each query's best by the rounded similarity, ties by id, with zero and repeated vectors."""
+    r = random.Random(9)
+    base = [[r.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)] for _ in range(20)]
+    rows = [(k, r.choice(base)) for k in range(150)] + [(150, [0.0] * 4), (151, None)]
+    vectors = spark.createDataFrame(rows, "node_id long, vector array<float>").repartition(3)
+
+    def similarity(a, b):
+        p, q = sum(x * x for x in a) ** 0.5, sum(x * x for x in b) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / (p * q), 4) if p * q else 0.0
+
+    want = set()
+    for q, v in rows:
+        if q % 10 == 0 and v is not None:
+            best = sorted(((-similarity(v, w), k) for k, w in rows if w is not None))[:7]
+            want |= {(q, k, -s + 0.0, place) for place, (s, k) in enumerate(best, 1)}
+    for block in (3, 4096):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        monkeypatch.setattr(retrieval, "VECTOR_BLOCK", block)
+        assert {tuple(x) for x in retrieval.nearest_many(vectors.where("node_id % 10 = 0"), vectors, 7).collect()} == want
+
+
+def test_reranking_is_the_one_list_rule(spark):
+    """Lists of many queries come out as each list does by itself: guards, the tests' penalty, ties by the list's order."""
+    scores = lambda pairs: [((len(q) * 7 + len(d) * 13) % 17 - (9 if q.startswith("a") else 30)) / 4 for q, d in pairs]
+    r = random.Random(10)
+    rows = [(k, f"{'ab'[k % 2]} {['x', 'test'][k % 3 == 0]}", f"{k}-{n}", n, r.random() < 0.4, "d" * r.randint(0, 30)) for k in range(12) for n in range(1 if k == 5 else r.randint(2, 9))]
+    got = {}
+    for x in retrieval.rerank_many(spark.createDataFrame(rows, "query_id long, query string, id string, place int, is_test boolean, document string"), lambda: scores, 4).collect():
+        got.setdefault(x["query_id"], {})[x["place"]] = (x["id"], x["rerank_score"])
+    for k in range(12):
+        mine = [{"id": x[2], "is_test": x[4], "name": x[5] or None} for x in rows if x[0] == k]
+        want = retrieval.rerank(next(x[1] for x in rows if x[0] == k), mine, scores, 4)
+        assert [got[k][p] for p in sorted(got[k])] == [(w["id"], w.get("rerank_score")) for w in want]
