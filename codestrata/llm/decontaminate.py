@@ -58,6 +58,10 @@ LEAST_STRIDE = 32
 BLOCK = 4
 RANGES = 64
 ITEMS = 20_000
+#: And at most so many bytes of items (or one longer item); more are searched in further passes.
+ITEM_BYTES = 4 << 20
+#: Pairs of a window and a term that are looked at together.
+PAIRS = 1 << 18
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -234,8 +238,9 @@ class Index:
         start = words.first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * self.stride
         end = np.minimum(start + 2 * self.stride, words.first[text + 1])
         open_ = np.flatnonzero(total[end] - total[start] >= THRESHOLD - 1e-9)
-        for run in range(0, len(open_), 2048):
-            at = open_[run : run + 2048]
+        together = max(1, min(2048, PAIRS // (2 * self.stride)))
+        for run in range(0, len(open_), together):
+            at = open_[run : run + together]
             for k, inside in self.promising(term, start[at], end[at]):
                 span = slice(start[at[k]], end[at[k]])
                 for item, score in self.search(inside):
@@ -275,9 +280,10 @@ def hits(indexes: list[Index], texts: list[bytes]) -> list[tuple[int, int, float
 
 
 def built(items: DataFrame, scratch: Scratch, *, id_column: str = "item_id", text_column: str = "text") -> list[Callable[[], list[Index]]]:
-    """Builders of indexes of about ``ITEMS`` items each, all with the statistics of the whole list."""
+    """Builders of indexes of about ``ITEMS`` items and ``ITEM_BYTES`` bytes each, all with the statistics of the whole list."""
     rows = scratch.table(items.select(items[id_column].cast("long").alias("i"), items[text_column].alias("t")).distinct(), "items")
-    parts = max(1, -(-rows.count() // ITEMS))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("bytes")).first()
+    parts = max(1, -(-size["n"] // ITEMS), -(-size["bytes"] // ITEM_BYTES))
     if parts == 1:
         return [lambda: by_length([(r["i"], r["t"]) for r in rows.collect()])]
 

@@ -360,8 +360,12 @@ def test_leaks_in_parts(spark, monkeypatch):
     found = lambda: sorted((x["doc_id"], str(x["item_id"]), round(x["score"], 9), x["question_overlap"], x["answer_overlap"]) for x in decontaminate.contaminated(docs, items).collect())
     kept = lambda: sorted(x["doc_id"] for x in decontaminate.drop_contaminated(docs, items).collect())
     one, clean = found(), kept()
-    monkeypatch.setattr(decontaminate, "ITEMS", 7)
-    assert found() == one and kept() == clean and len(one) > 30 and 0 < len(clean) < 15
+    for name, bound in (("ITEMS", 7), ("ITEM_BYTES", 2000), ("PAIRS", 1)):
+        with monkeypatch.context() as m:
+            m.setattr(decontaminate, name, bound)
+            if name != "PAIRS":
+                assert len(decontaminate.built(items, Scratch(spark, "t"))) > 2
+            assert found() == one and kept() == clean and len(one) > 30 and 0 < len(clean) < 15
     none = spark.createDataFrame([], items.schema)
     assert decontaminate.contaminated(docs, none).count() == 0 and decontaminate.drop_contaminated(docs, none).count() == docs.count()
 
