@@ -491,7 +491,7 @@ def _extraction(name: str, fixture: fixtures.Fixture) -> None:
         _QUERIES[f"extract_{name}_edges"] = edges
 
 
-_LANGUAGES = {"python": {"python"}, "script": {"javascript", "typescript", "tsx"}, "go": {"go"}, "java": {"java"}, "rust": {"rust"}, "generic": {"kotlin", "swift", "ruby"}}
+_LANGUAGES = {"python": {"python"}, "pytest": {"python"}, "script": {"javascript", "typescript", "tsx"}, "go": {"go"}, "java": {"java"}, "rust": {"rust"}, "generic": {"kotlin", "swift", "ruby"}}
 for _name, _fixture in fixtures.FIXTURES.items():
     _extraction(_name, _fixture)
 

@@ -49,6 +49,11 @@ class Fixture:
     edges: list[Edge] = field(default_factory=list)
 
 
+def _after(start: str) -> str:
+    """A preview of the test file: what stands at its end follows ``start``, cut at 300 characters."""
+    return f"substr(concat({start}, '\"\"\"Long. \"\"\" x = \"', repeat('a', 200), '\" y = \"', repeat('b', 200), '\"'), 1, 300)"
+
+
 PYTHON = Fixture(
     path="concat('pkg/m', k, '.py')",
     language="'python'",
@@ -94,6 +99,53 @@ PYTHON = Fixture(
     ],
 )
 
+#: A test file: a test class, tests by their names, an edge for each call of each test; a body beyond the cut of a preview.
+PYTEST = Fixture(
+    path="concat('tests/test_m', k, '.py')",
+    language="'python'",
+    lines=[
+        "concat('from shop.m', k, ' import run', k)",
+        "''",
+        "concat('class TestRun', k, ':')",
+        "concat('    def test_one', k, '(self):')",
+        "concat('        run', k, '(1)')",
+        "concat('        make', k % 4, '(run', k, '(2))')",
+        "concat('    def helper', k, '(self):')",
+        "concat('        deep', k, '()')",
+        "''",
+        "concat('def test_two', k, '():')",
+        "concat('    load', k % 5, '()')",
+        "''",
+        "concat('def testing', k, '():')",
+        "'    \"\"\"Long.'",
+        "'    \"\"\"'",
+        "'    # a note'",
+        "concat('    x = \"', repeat('a', 200), '\"')",
+        "concat('    y = \"', repeat('b', 200), '\"')",
+    ],
+    nodes=[
+        Node("concat('TestRun', k)", "class", 3, "concat('class TestRun', k)", is_test="TRUE"),
+        Node("concat('test_one', k)", "function", 4, "concat('def test_one', k, '(self)')", is_test="TRUE", parent="concat('TestRun', k)", preview=_after("concat('run', k, '(1) make', k % 4, '(run', k, '(2)) def helper', k, '(self): deep', k, '() def test_two', k, '(): load', k % 5, '() def testing', k, '(): ')")),
+        Node("concat('helper', k)", "function", 7, "concat('def helper', k, '(self)')", parent="concat('TestRun', k)", preview=_after("concat('deep', k, '() def test_two', k, '(): load', k % 5, '() def testing', k, '(): ')")),
+        Node("concat('test_two', k)", "function", 10, "concat('def test_two', k, '()')", is_test="TRUE", preview=_after("concat('load', k % 5, '() def testing', k, '(): ')")),
+        Node("concat('testing', k)", "function", 13, "concat('def testing', k, '()')", "'Long.'", is_test="TRUE", preview=_after("''")),
+    ],
+    edges=[
+        Edge("imports", "concat('tests.test_m', k)", "concat('shop.m', k, '.run', k)", 1),
+        Edge("member_of", "concat('test_one', k)", "concat('TestRun', k)", 4),
+        Edge("member_of", "concat('helper', k)", "concat('TestRun', k)", 7),
+        Edge("calls", "concat('test_one', k)", "concat('run', k)", 5),
+        Edge("calls", "concat('test_one', k)", "concat('make', k % 4)", 6),
+        Edge("calls", "concat('test_one', k)", "concat('run', k)", 6),
+        Edge("calls", "concat('helper', k)", "concat('deep', k)", 8),
+        Edge("calls", "concat('test_two', k)", "concat('load', k % 5)", 11),
+        Edge("tests", "concat('test_one', k)", "concat('run', k)", 4),
+        Edge("tests", "concat('test_one', k)", "concat('make', k % 4)", 4),
+        Edge("tests", "concat('test_one', k)", "concat('run', k)", 4),
+        Edge("tests", "concat('test_two', k)", "concat('load', k % 5)", 10),
+    ],
+)
+
 SCRIPT = Fixture(
     path="concat('web/c', k, CASE k % 5 WHEN 0 THEN '.spec.js' WHEN 1 THEN '.tsx' ELSE '.ts' END)",
     language="CASE k % 5 WHEN 0 THEN 'javascript' WHEN 1 THEN 'tsx' ELSE 'typescript' END",
@@ -204,7 +256,7 @@ GENERIC = Fixture(
     nodes=[Node("concat('Foo', k)", "class", 1), Node("concat('bar', k)", "function", 2)],
 )
 
-FIXTURES = {"python": PYTHON, "script": SCRIPT, "go": GO, "java": JAVA, "rust": RUST, "generic": GENERIC}
+FIXTURES = {"python": PYTHON, "pytest": PYTEST, "script": SCRIPT, "go": GO, "java": JAVA, "rust": RUST, "generic": GENERIC}
 
 
 def sources(spark: SparkSession, sf_dir: str, fixture: Fixture) -> DataFrame:
