@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codestrata.llm.arrow import column, fresh, map_rows
+from codestrata.llm.arrow import fresh, map_rows
 from codestrata.llm.scratch import Scratch
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
