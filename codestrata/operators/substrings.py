@@ -67,14 +67,35 @@ def counts(index: DataFrame) -> DataFrame:
 
 
 def matches(patterns: DataFrame, pattern: str, texts: DataFrame, text: str) -> DataFrame:
-    """Each row of ``patterns`` with each row of ``texts`` whose ``text`` holds it, whatever the case: an equi-join on the pattern's rarest run."""
-    filed = texts.withColumn("_run", F.explode(runs(F.col(text))))
+    """Each row of ``patterns`` with each row of ``texts`` whose ``text`` holds it, whatever the case: an equi-join on the pattern's rarest run.
+
+    Both sides are distinct before they meet, and meet with the other columns' rows last.
+    """
+    found = hits(patterns.select(F.col(pattern).alias("_pattern")), texts.select(F.col(text).alias("_text")))
+    return patterns.join(found, patterns[pattern] == found["_pattern"]).join(texts.hint("merge"), F.col("_text") == texts[text]).drop("_pattern", "_text")
+
+
+def hits(patterns: DataFrame, texts: DataFrame) -> DataFrame:
+    """(_pattern, _text): each distinct pattern with each distinct text that holds it.
+
+    Texts are filed distinct, by the number of rows that say the same. The joins are
+    by hints sorted ones: what a text is filed under is many times what the planner
+    sees of its column, and broadcast by that estimate it would fill the driver.
+    """
+    distinct = texts.select("_text").distinct()
+    filed = distinct.withColumn("_run", F.explode(runs(F.col("_text"))))
     often = filed.groupBy("_run").agg(F.count("*").alias("_n"))
-    wanted = patterns.select(F.col(pattern).alias("_pattern")).distinct().select("_pattern", F.explode(needed(F.col("_pattern"))).alias("_run"))
+    wanted = patterns.select("_pattern").distinct().select("_pattern", F.explode(needed(F.col("_pattern"))).alias("_run"))
     # A run that files nothing has the count 0: it is the rarest, and its pattern meets no text.
-    rarest = wanted.join(often, "_run", "left").groupBy("_pattern").agg(F.min_by("_run", F.struct(F.coalesce("_n", F.lit(0)), F.col("_run"))).alias("_run"))
-    found = rarest.join(filed, "_run").where(F.ilike(F.col(text), F.concat(F.lit("%"), F.col("_pattern"), F.lit("%"))))
-    return patterns.join(found.drop("_run"), patterns[pattern] == found["_pattern"]).drop("_pattern")
+    rarest = wanted.join(often.hint("merge"), "_run", "left").groupBy("_pattern").agg(F.min_by("_run", F.struct(F.coalesce("_n", F.lit(0)), F.col("_run"))).alias("_run"))
+    return rarest.join(filed.hint("merge"), "_run").where(F.ilike(F.col("_text"), F.concat(F.lit("%"), F.col("_pattern"), F.lit("%")))).select("_pattern", "_text")
+
+
+def count_matches(patterns: DataFrame, pattern: str, texts: DataFrame, text: str) -> DataFrame:
+    """(pattern, n): how many rows of ``texts`` hold each distinct pattern; rows that say the same are counted, not compared anew."""
+    counted = texts.groupBy(F.col(text).alias("_text")).agg(F.count("*").alias("_n"))
+    found = hits(patterns.select(F.col(pattern).alias("_pattern")), counted)
+    return found.join(counted.hint("merge"), "_text").groupBy(F.col("_pattern").alias(pattern)).agg(F.sum("_n").alias("n"))
 
 
 def candidates(index: DataFrame, often: DataFrame, query: str, key: str) -> DataFrame:
