@@ -35,7 +35,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from codestrata.llm.arrow import column, map_rows
+from codestrata.llm.arrow import column, kept, map_rows
 
 STATES = 150_000
 PIECES = 300_000
@@ -303,15 +303,9 @@ class Codec:
         yield machine.close()
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    """This process's codec for a rank file: built once per worker."""
-    if (path, pattern) not in _codecs:
-        _codecs.clear()
-        _codecs[path, pattern] = Codec(load_ranks(path), pattern)
-    return _codecs[path, pattern]
+    """This process's codec for a rank file: built once a worker, for the stage that encodes."""
+    return kept((path, pattern), lambda: Codec(load_ranks(path), pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_column: str = "doc_id", text_column: str = "text", ids: bool = True) -> DataFrame:
@@ -345,4 +339,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_column: str
                 yield {"i": column(part, "i"), "n_tokens": counts, "ids_sha256": digests, "decoded_sha256": back} | ({"token_ids": lists} if ids else {})
 
     rows = docs.select(docs[id_column].alias("i"), docs[text_column].alias("t"))
-    return map_rows(rows, f"i {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}", run).withColumnRenamed("i", id_column)
+    return map_rows(rows, f"i {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}", run, keeps=(path, pattern)).withColumnRenamed("i", id_column)
