@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,9 +57,17 @@ def needed(pattern: Column) -> Column:
     return folds.bound(_chars(longest), of)
 
 
-def build(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(run, key): the index of several text columns; runs do not go over from one column to the next."""
-    every = F.array_distinct(F.concat(*(runs(F.col(c)) for c in columns)))
+def build(rows: DataFrame, key: str, columns: list[str], query: str | None = None) -> DataFrame:
+    """(run, key): the index of several text columns; runs do not go over from one column to the next.
+
+    An index is kept for many queries. For one ``query`` alone texts are filed only
+    under its runs, of which they hold few or none: the rows are as good as hits.
+    """
+    if query is None:
+        every = F.array_distinct(F.concat(*(runs(F.col(c)) for c in columns)))
+    else:
+        holds = lambda run: reduce(or_, (F.coalesce(F.contains(F.lower(c), F.lit(run)), F.lit(False)) for c in columns))
+        every = F.array_compact(F.array(*(F.when(holds(run), F.lit(run)) for run in asked(query))))
     return rows.select(key, F.explode(every).alias("run")).select("run", key)
 
 
@@ -98,13 +108,18 @@ def count_matches(patterns: DataFrame, pattern: str, texts: DataFrame, text: str
     return found.join(counted.hint("merge"), "_text").groupBy(F.col("_pattern").alias(pattern)).agg(F.sum("_n").alias("n"))
 
 
+def asked(query: str) -> list[str]:
+    """Runs that each text with the query in it is filed under, as ``needed``, of one literal."""
+    longest = max(re.split(_WILD, query.lower()), key=len)
+    n = min(LONGEST, len(longest))
+    return sorted({longest[k : k + n] for k in range(len(longest) - n + 1)}) if n else [""]
+
+
 def candidates(index: DataFrame, often: DataFrame, query: str, key: str) -> DataFrame:
     """The keys filed under the rarest runs of one query: a filter of literals on the index, which is clustered by run."""
-    pieces = sorted(re.split(_WILD, query.lower()), key=len)
-    n = min(LONGEST, len(pieces[-1]))
-    asked = sorted({pieces[-1][k : k + n] for k in range(len(pieces[-1]) - n + 1)}) if n else [""]
-    known = {r["run"]: r["n"] for r in often.where(F.col("run").isin(asked)).collect()}  # a row for each run of the query
-    chosen = sorted(asked, key=lambda run: (known.get(run, 0), run))[:RAREST]
+    wanted = asked(query)
+    known = {r["run"]: r["n"] for r in often.where(F.col("run").isin(wanted)).collect()}  # a row for each run of the query
+    chosen = sorted(wanted, key=lambda run: (known.get(run, 0), run))[:RAREST]
     return index.where(F.col("run").isin(chosen)).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") == len(chosen)).select(key)
 
 
