@@ -25,6 +25,8 @@ LEVELS = [(50, "critical"), (30, "high"), (15, "medium")]
 RISK_CAP = 100
 REVIEW_INDIRECT = 5
 TOKENS_PER_FILE = 800
+#: Files that are numbered in one group.
+BUCKET = 4096
 
 #: Writes a table and reads it back, or leaves it lazy.
 Keep = Callable[[DataFrame], DataFrame]
@@ -115,42 +117,95 @@ def _scored(counts: DataFrame) -> DataFrame:
     return counts.withColumn("_score", score).select("changed_file", "error", "n_changed", "n_direct", "n_indirect", "n_covered", "n_missing", F.least("_score", F.lit(RISK_CAP)).alias("risk_score"), level.alias("risk_level"), "affected_file_count")
 
 
+def _numbered(files: DataFrame) -> DataFrame:
+    """(changed_file, word, bit): files in words of up to 64, numbered within buckets of about ``BUCKET`` by hash, so that no task numbers all."""
+    buckets = F.floor(F.col("n") / BUCKET) + 1
+    dealt = files.crossJoin(F.broadcast(files.agg(F.count("*").alias("n")))).select("changed_file", F.pmod(F.xxhash64("changed_file"), buckets).alias("bucket"))  # one row
+    place = F.row_number().over(W.partitionBy("bucket").orderBy("changed_file")) - 1
+    return dealt.withColumn("place", place).select("changed_file", (F.col("bucket") * (1 << 32) + F.floor(F.col("place") / 64)).alias("word"), (F.col("place") % 64).alias("bit"))
+
+
+def _listed(words: DataFrame, files: DataFrame, *by: str) -> DataFrame:
+    """(changed_file, *by, n): how many rows have the file's bit. Bits are counted before the shuffle."""
+    counted = words.select("word", *by, F.explode(F.expr("filter(sequence(0, 63), b -> getbit(bits, b) = 1)")).alias("bit")).groupBy("word", "bit", *by).agg(F.count("*").alias("n"))
+    return counted.join(files, ["word", "bit"]).select("changed_file", *by, "n")
+
+
+def _found_in(changed: DataFrame, calls: DataFrame, levels: list[DataFrame], reached: DataFrame, files: DataFrame, max_depth: int, keep: Keep) -> DataFrame:
+    """(changed_file, file): the files in which the changed file's reached names are found, by the least path of each pair.
+
+    A name that calls from one file is found in that one. To names that call from
+    several, and to all that these call within the levels left, pairs of a file and
+    a name are followed with their paths, level by level.
+    """
+    homes = keep(calls.select("function", "file").distinct())
+    many = keep(homes.groupBy("function").agg(F.count("*").alias("n")).where("n > 1").select("function"))
+    if many.isEmpty():
+        one = reached.join(homes, "function")
+        return _listed(one.groupBy("word", "file").agg(F.expr("bit_or(bits)").alias("bits")), files, "file").select("changed_file", "file")
+    one = reached.join(homes.join(many, "function", "left_anti"), "function")
+    single = _listed(one.groupBy("word", "file").agg(F.expr("bit_or(bits)").alias("bits")), files, "file").select("changed_file", "file")
+    # By level from the last: the names whose paths are asked for.
+    needed = [many]
+    for _ in range(1, max_depth):
+        callees = calls.join(needed[0], "function", "left_semi").select(F.col("via").alias("function"))
+        needed.insert(0, keep(many.union(callees).distinct()))
+    frontier = changed.groupBy("changed_file", F.col("name").alias("via")).agg(F.min(F.array(F.col("line").cast("long"))).alias("path"))
+    followed: list[DataFrame] = []
+    for names in needed:
+        least = calls.join(names, "function", "left_semi").groupBy("via", "function", "file").agg(F.min("edge").alias("edge"))
+        found = least.join(frontier, "via").select("changed_file", "function", F.struct(F.concat("path", F.array("edge")).alias("path"), "file").alias("how"))
+        level = found.groupBy("changed_file", "function").agg(F.min("how").alias("how")).select("changed_file", "function", "how.path", "how.file")
+        for earlier in followed:
+            level = level.join(earlier.select("changed_file", "function"), ["changed_file", "function"], "left_anti")
+        level = keep(level)
+        followed.append(level)
+        frontier = level.select("changed_file", F.col("function").alias("via"), "path")
+    pairs = reduce(DataFrame.unionByName, followed)
+    return single.union(pairs.join(many, "function", "left_semi").select("changed_file", "file").distinct())
+
+
 def analyze_all_files(nodes: DataFrame, edges: DataFrame, max_depth: int = 3, keep: Keep = lambda level: level) -> DataFrame:
     """``risk`` for every file that has a node, by one search from all of them.
 
-    A level holds each pair of a changed file and a name that it reaches, with
-    the least path of the pair: pre-aggregated minima, one join with the calls a
-    level whatever the number of files. Edges are cut to what a pair needs, the
-    first one of each caller, callee and file; a name with very many callers is
-    one that adaptive execution splits in the join.
+    A level holds each name with the files that newly reach it, as bits of words of
+    64 files: a message along a call is one word however many of its files reach
+    the callee, words meet in pre-aggregated unions, and the work does not grow with
+    pairs of a file and a name but with the words that have one. Which pairs a level
+    has does not depend on paths; only the file that a pair is found in does, and
+    that only where a name calls from several files. Paths are followed to such
+    names alone (``_found_in``).
     """
-    files = nodes.select(F.col("file").alias("changed_file")).distinct()
+    files = keep(_numbered(nodes.select(F.col("file").alias("changed_file")).distinct()))
     changed = nodes.where("type = 'function'").select(F.col("file").alias("changed_file"), "name", "line")
-    calls = edges.where(F.col("type") == "calls").where(graph.has_text(F.col("from_name")))
-    calls = keep(calls.groupBy(F.col("to_name").alias("via"), F.col("from_name").alias("function"), F.coalesce("file", F.lit("unknown")).alias("file")).agg(F.min("id").alias("edge")))
-    frontier = changed.groupBy("changed_file", F.col("name").alias("via")).agg(F.min(F.array(F.col("line").cast("long"))).alias("path"))
+    calls = edges.where(F.col("type") == "calls").where(graph.has_text(F.col("from_name"))).select(F.col("to_name").alias("via"), F.col("from_name").alias("function"), F.coalesce("file", F.lit("unknown")).alias("file"), F.col("id").alias("edge"))
+    steps = keep(calls.select("via", "function").distinct())
+    union = F.expr("bit_or(bits)").alias("bits")
+    frontier = changed.join(files, changed["changed_file"].eqNullSafe(files["changed_file"])).groupBy(F.col("name").alias("via"), "word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
     levels: list[DataFrame] = []
     for depth in range(1, max_depth + 1):
-        found = calls.join(frontier, "via").select("changed_file", "function", F.struct(F.concat("path", F.array("edge")).alias("path"), "file").alias("how"))
-        level = found.groupBy("changed_file", "function").agg(F.min("how").alias("how")).select("changed_file", "function", "how.path", "how.file")
-        for earlier in levels:
-            level = level.join(earlier.select("changed_file", "function"), ["changed_file", "function"], "left_anti")
+        level = steps.join(frontier, "via").groupBy("function", "word").agg(union)
+        if levels:
+            seen = reduce(DataFrame.unionByName, levels).groupBy("function", "word").agg(F.expr("bit_or(bits)").alias("seen"))
+            level = level.join(seen, ["function", "word"], "left").select("function", "word", F.expr("bits & ~coalesce(seen, 0L)").alias("bits")).where("bits <> 0")
         level = keep(level.withColumn("depth", F.lit(depth)))
         levels.append(level)
-        frontier = level.select("changed_file", F.col("function").alias("via"), "path")
-    affected = reduce(DataFrame.unionByName, levels)
+        frontier = level.select(F.col("function").alias("via"), "word", "bits")
+    reached = reduce(DataFrame.unionByName, levels)
+    affected = _listed(reached.select("word", "bits", "depth"), files, "depth")
+    found_in = _found_in(changed, calls, levels, reached, files, max_depth, keep)
     tests = graph.tests_for(nodes, edges).select(F.col("function").alias("name"), "test_file")
     covered = changed.join(tests, "name").select("changed_file", F.col("test_file").alias("file"))
     missing = changed.join(edges.where("type = 'tests'").select(F.col("to_name").alias("name")).distinct(), "name", "left_anti").where(~F.col("name").startswith("_"))
     dependents = graph.dependents_of_all(edges, nodes.select("file")).select(F.col("imported").alias("changed_file"), "file")
-    touched = affected.select("changed_file", "file").union(covered).union(dependents).union(files.select("changed_file", F.col("changed_file").alias("file")))
+    touched = found_in.union(covered).union(dependents).union(files.select("changed_file", F.col("changed_file").alias("file")))
     touched = touched.where(graph.has_text(F.col("file")) & (F.col("file") != "unknown")).distinct()
     number = lambda rows, **named: rows.groupBy("changed_file").agg(*(c.alias(n) for n, c in named.items()))
     every = F.count("*")
     counts = files
     for part in (
         number(changed, n_changed=every),
-        number(affected, n_direct=F.count(F.when(F.col("depth") == 1, 1)), n_indirect=F.count(F.when(F.col("depth") > 1, 1))),
+        number(affected, n_direct=F.sum(F.when(F.col("depth") == 1, F.col("n"))), n_indirect=F.sum(F.when(F.col("depth") > 1, F.col("n")))),
         number(covered, n_covered=every),
         number(missing, n_missing=every),
         number(touched, affected_file_count=every),
