@@ -85,6 +85,17 @@ def index_tokens(c: Column) -> Column:
     return F.filter(F.split(folds.bound(F.lower(c), plain), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
+def counted(tokens: Column) -> Column:
+    """(term, tf) of each distinct token, by term: runs of the sorted array, counted inside the row."""
+
+    def runs(words: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+        length = lambda at: F.transform(at, lambda i, k: F.struct(F.get(words, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(words)) - i).cast("long").alias("tf")))
+        return F.when(F.size(words) > 0, folds.bound(first, length)).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+    return folds.bound(F.sort_array(tokens), runs)
+
+
 @cache
 def _folded() -> tuple[str, str]:
     """Characters and what stands for them, by their own decompositions: of a letter with marks the letter stays, marks go.

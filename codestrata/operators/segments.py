@@ -2,7 +2,7 @@
 
 A change of documents (new texts, ids that go) is one small segment:
 
-- ``forward``: each document's size and terms with their frequencies, clustered by id;
+- ``forward``: each document's size and terms with their frequencies, in the documents' order;
 - ``postings``: the same by term, clustered by term;
 - ``gone``: the ids whose rows in earlier segments are dead;
 - ``df``: by how much each term's document frequency changed;
@@ -29,6 +29,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as X
@@ -45,7 +46,9 @@ SCHEMAS = {
     "df": "term string, delta long",
     "totals": "docs long, tokens long",
 }
-_CLUSTERED = {"forward": "id", "postings": "term", "gone": "id", "df": "term"}
+_CLUSTERED = {"postings": "term", "gone": "id", "df": "term"}
+#: Up to so many changed ids are sent to the rows that they are looked up in; for more, both sides are shuffled.
+FEW_IDS = 1_000_000
 
 
 class TermIndex:
@@ -72,22 +75,24 @@ class TermIndex:
         dead = self._read("gone", segments).groupBy("id").agg(F.max("segment").alias("dead"))
         return rows.join(dead, "id", "left").where(F.col("dead").isNull() | (F.col("segment") >= F.col("dead"))).select(*[c for c in rows.columns if c != "segment"])
 
-    def _write(self, tables: dict[str, DataFrame]) -> str:
-        name = f"segment-{uuid.uuid4().hex}"
+    def _write(self, tables: dict[str, DataFrame], name: str | None = None) -> str:
+        name = name or f"segment-{uuid.uuid4().hex}"
         for table, rows in tables.items():
             by = _CLUSTERED.get(table)
-            (rows.repartitionByRange(by).sortWithinPartitions(by) if by else rows.coalesce(1)).write.parquet(f"{self.path}/{name}/{table}")
+            (rows.repartitionByRange(by).sortWithinPartitions(by) if by else rows.coalesce(1) if table == "totals" else rows).write.parquet(f"{self.path}/{name}/{table}")
         return name
 
     # Changes.
 
-    def _forward(self, docs: DataFrame) -> DataFrame:
-        """(id, size, terms) of (id, text): one row an id, the greatest text of several."""
-        one = docs.groupBy(F.col("id").cast("string").alias("id")).agg(F.max("text").alias("text"))
-        rows = one.select("id", F.coalesce(self.tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
-        counted = rows.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-        terms = counted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("terms"))
-        return rows.select("id", F.size("tokens").cast("long").alias("size")).join(terms, "id", "left").select("id", "size", F.coalesce("terms", F.array().cast("array<struct<term:string,tf:long>>")).alias("terms"))
+    def _forward(self, docs: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """(id, size, terms) of (id, text): one row an id, the greatest text of several. Terms are counted in the text's row; only texts of repeated ids are shuffled."""
+        rows = docs.select(F.col("id").cast("string").alias("id"), "text")
+        twice = keep(rows.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id"))
+        if not twice.isEmpty():
+            same = F.col("id").eqNullSafe(F.col("_id"))
+            rows = rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").groupBy("id").agg(F.max("text").alias("text")))
+        tokens = rows.select("id", F.coalesce(self.tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+        return tokens.select("id", F.size("tokens").cast("long").alias("size"), X.counted(F.col("tokens")).alias("terms"))
 
     def rebuild(self, docs: DataFrame) -> None:
         """The index of these documents (id, text) and no others."""
@@ -99,21 +104,26 @@ class TermIndex:
         number = segments[-1]["number"] + 1 if segments else 0
         folder = f"{self.path}/staged-{uuid.uuid4().hex}"
         keep = self._keeper(folder)
-        new = keep(self._forward(docs))
+        new = self._forward(docs, keep)
+        name = self._write({"forward": new})
+        new = self.spark.read.schema(SCHEMAS["forward"]).parquet(f"{self.path}/{name}/forward")
         touched = new.select("id")
         if gone is not None:
             touched = touched.union(gone.select(F.col("id").cast("string"))).distinct()
-        old = keep(self._live("forward", segments, lambda rows: rows.join(touched, "id", "left_semi")))
+        if segments:
+            touched = _few(keep(touched))
+            old = keep(self._live("forward", segments, lambda rows: rows.join(touched, "id", "left_semi")))
+        else:
+            old = self.spark.createDataFrame([], SCHEMAS["forward"])
         signed = lambda rows, sign: rows.select(F.explode("terms").alias("t")).select("t.term", F.lit(sign).alias("delta"))
         total = lambda rows: rows.agg(F.count("*").alias("docs"), F.coalesce(F.sum("size"), F.lit(0)).alias("tokens"))
         after, before = total(new), total(old).toDF("docs_before", "tokens_before")
-        name = self._write({
-            "forward": new,
+        self._write({
             "postings": new.select("id", F.explode("terms").alias("t")).select("t.term", "id", "t.tf"),
             "gone": old.select("id"),
             "df": signed(new, 1).unionByName(signed(old, -1)).groupBy("term").agg(F.sum("delta").cast("long").alias("delta")).where("delta <> 0"),
             "totals": after.crossJoin(before).select((F.col("docs") - F.col("docs_before")).alias("docs"), (F.col("tokens") - F.col("tokens_before")).alias("tokens")),  # one row each
-        })
+        }, name)
         self.manifests.commit({"segments": [*segments, {"name": name, "number": number, "docs": new.count() + old.count()}]})
         self.manifests.delete(folder)
         self.manifests.retire(lambda made: {s["name"] for s in made["segments"]})
@@ -189,31 +199,46 @@ class TermIndex:
         return top.crossJoin(F.broadcast(self.totals())).select("term", "df", F.log(F.col("docs") / (1 + F.col("df"))).alias("idf"))  # one row
 
     def term_counts(self, terms: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-        """(id, term, tf) of the living documents (of those ``ids``), for these terms: a bounded list."""
-        only = (lambda rows: rows) if ids is None else lambda rows: rows.join(ids, "id", "left_semi")
-        rows = self._live("forward", self.segments(), only).select("id", F.explode("terms").alias("t")).select("id", "t.term", "t.tf")
-        return rows.join(F.broadcast(terms.select("term")), "term", "left_semi")
+        """(id, term, tf) of the living documents (of those ``ids``), for these terms: a bounded list, so that a row keeps no others before it is shuffled."""
+        return self._counts(_words(terms), ids)
 
+    def _counts(self, words: list[str], ids: DataFrame | None = None, since: int = 0) -> DataFrame:
+        chosen = lambda rows: rows.select("id", F.filter("terms", lambda t: t["term"].isin(words)).alias("terms"), "segment")
+        only = chosen if ids is None else lambda rows: chosen(rows.join(ids, "id", "left_semi"))
+        return self._live("forward", [s for s in self.segments() if s["number"] >= since], only).select("id", F.explode("terms").alias("t")).select("id", "t.term", "t.tf")
 
-def update_term_vectors(vectors: DataFrame, index: TermIndex, before: DataFrame, changed: DataFrame) -> DataFrame:
+
+def _few(ids: DataFrame) -> DataFrame:
+    """These ids, sent to all tasks of a join where they are few."""
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids  # bounded
+
+
+def _words(vocab: DataFrame) -> list[str]:
+    return [r["term"] for r in vocab.select("term").collect()]  # at most the vocabulary's fixed size
+
+
+def update_term_vectors(vectors: DataFrame, index: TermIndex, before: DataFrame, changed: DataFrame, now: DataFrame | None = None, since: int = 0) -> DataFrame:
     """``vectors`` (id, term, tf: counts of the vocabulary's terms) brought up to an index that has changed.
 
-    ``before``: the vocabulary that they were made with; ``changed`` (id): the
-    documents that came, changed or went. Rows of other documents stay but for
-    terms that left the vocabulary; terms that entered it are looked up in the
-    postings of those terms alone.
+    ``before``: the vocabulary that they were made with, ``now``: the index's, where it is
+    stored; ``changed`` (id): the documents that came, changed or went, all of them in
+    segments from the number ``since`` on, so that older ones are not read for them. Rows
+    of other documents stay but for terms that left the vocabulary; terms that entered
+    it are looked up in the postings of those terms alone.
     """
-    now = index.vocabulary().select("term")
-    changed = changed.select(F.col("id").cast("string")).distinct()
-    stay = vectors.join(F.broadcast(now), "term", "left_semi").join(changed, "id", "left_anti")
-    entered = [r["term"] for r in now.join(before, "term", "left_anti").collect()]  # at most the vocabulary's fixed size
-    came = index._live("postings", index.segments(), lambda rows: rows.where(F.col("term").isin(entered))).join(changed, "id", "left_anti")
-    anew = index.term_counts(now, changed)
-    return stay.select("id", "term", "tf").unionByName(came.select("id", "term", "tf")).unionByName(anew.select("id", "term", "tf"))
+    words, had = _words(index.vocabulary() if now is None else now), set(_words(before))
+    changed = _few(changed.select(F.col("id").cast("string")).distinct())
+    stay = vectors.where(F.col("term").isin(words)).join(changed, "id", "left_anti")
+    out = stay.select("id", "term", "tf").unionByName(index._counts(words, changed, since))
+    entered = [w for w in words if w not in had]
+    if entered:
+        came = index._live("postings", index.segments(), lambda rows: rows.where(F.col("term").isin(entered))).join(changed, "id", "left_anti")
+        out = out.unionByName(came.select("id", "term", "tf"))
+    return out
 
 
 def weighted(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(id, term, w): L2-normed TF-IDF weights of counts, as ``retrieval.tfidf`` has them for texts."""
+    """(id, term, w): L2-normed TF-IDF weights of counts, as ``retrieval.tfidf`` has them for texts. One shuffle; a document has at most the vocabulary's terms."""
     raw = counts.join(F.broadcast(vocab), "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "id").select("id", "term", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))
+    return raw.withColumn("norm", norm).select("id", "term", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0).alias("w"))
